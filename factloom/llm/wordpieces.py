@@ -30,6 +30,10 @@ _PIECE = re.compile(
     "|[^\na-z0-9ªµº²³¹¼-¾ß-öø-ſ]+"
 )
 
+# The sign by which byte-level vocabularies write a byte: itself if printable, else the next free one from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class WordEncoder:
     """``encode(texts)`` gives, for each text, its ids as packed little-endian integers."""
@@ -45,18 +49,12 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        for at in range(0, len(new), 200):
-            part = new[at : at + 200]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            of = np.array(found.word_ids, np.int64)
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            if len(starts) != len(part):  # a piece that the library splits again
-                self.pieces.update((p, self._whole(p)) for p in part)
-                continue
-            ids = np.array(found.ids, self.dtype).tobytes()
-            cuts = [*(starts * self.dtype.itemsize).tolist(), len(ids)]
-            self.pieces.update((p, ids[a:b]) for p, a, b in zip(part, cuts, cuts[1:]))
+    def _learn_pieces(self, new: set[str]) -> None:
+        # A piece is one pre-token: the model itself encodes it, without the steps around it.
+        model = self.tokenizer.model.tokenize
+        for p in new:
+            signs = p if p.isascii() else p.encode().decode("latin-1").translate(_SIGNS)
+            self.pieces[p] = np.array([t.id for t in model(signs)], self.dtype).tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
         whole = b"\n".join(new).decode("utf-8", "replace")
@@ -73,7 +71,7 @@ class WordEncoder:
         self.pieces["\n"] = mark
         parts = _PIECE.findall(whole.lower())
         if unknown := set(parts) - self.pieces.keys():
-            self._learn_pieces(sorted(unknown))
+            self._learn_pieces(unknown)
         self.chunks.update(zip(new, b"".join(map(self.pieces.__getitem__, parts)).split(mark)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
