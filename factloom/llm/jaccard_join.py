@@ -23,7 +23,11 @@ link at a Jaccard similarity of 75 % or more.  The join is exact on these sets:
    (its hub), which is linear in the entries; linked sets become one component,
    and entries that lie within one component are done.  After rounds with
    different hubs, what is left, entries across components, is compared pair by
-   pair.  A hub with many partners is dealt over several places.
+   pair.  There, the join itself drops pairs that can't link: a set's sketch has
+   a bit for each of 512 hash buckets, the parity of the bucket's tokens, so two
+   sketches differ in at most as many bits as the sets do in tokens, and linked
+   sets differ in at most a seventh of their tokens.  A hub with many partners
+   is dealt over several places.
 
 Null and empty texts have no tokens and link with nothing.  Rows that share a
 doc_id are one node: their sets link them together.  Rows without doc_id take
@@ -176,7 +180,20 @@ def prefix_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray | None:
     return np.unique(np.concatenate(keys))
 
 
-SET_SCHEMA = "doc_id bigint, n_shingles bigint, key binary, tokens binary, entries array<bigint>"
+SET_SCHEMA = "doc_id bigint, n_shingles bigint, key binary, tokens binary, sketch array<bigint>, entries array<bigint>"
+SKETCH_WORDS = 8
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens in 64 * SKETCH_WORDS buckets."""
+    odd = np.bincount((tokens >> np.uint64(17)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(a, b, n_a, n_b):
+    """False only for sets under 75 %: their difference is over a seventh of their sizes' sum."""
+    bits = [F.bit_count(F.element_at(a, i).bitwiseXOR(F.element_at(b, i))) for i in range(1, SKETCH_WORDS + 1)]
+    return sum(bits[1:], bits[0]) * 7 <= n_a + n_b
 
 
 def _indexed(width: int):
@@ -192,10 +209,10 @@ def _indexed(width: int):
         for doc_id, s in zip(texts.column("doc_ids")[0].as_py(), sets):
             entries = prefix_keys(s, of[np.searchsorted(every, s)])
             live = entries is not None
-            rows.append((doc_id, len(s), set_key(s) if len(s) else None, s.astype("<u8").tobytes() if live else None, entries.view(np.int64) if live else None))
+            rows.append((doc_id, len(s), set_key(s) if len(s) else None, s.astype("<u8").tobytes() if live else None, sketch(s) if live else None, entries.view(np.int64) if live else None))
         cols = list(zip(*rows))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_shingles", "key", "tokens", "entries"])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_shingles", "key", "tokens", "sketch", "entries"])
 
     return run
 
@@ -238,7 +255,7 @@ def linked(sets: DataFrame) -> DataFrame:
     """(node, component) of the class representatives that link with another one."""
     classes = sets.filter("entries is not null").groupBy("key").agg(F.min("doc_id").alias("r"))
     reps = sets.filter("entries is not null").join(classes.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("r")))
-    reps = written(reps.select("doc_id", "n_shingles", "tokens", "entries").dropDuplicates(["doc_id"]), "join-representatives")
+    reps = written(reps.select("doc_id", "n_shingles", "tokens", "sketch", "entries").dropDuplicates(["doc_id"]), "join-representatives")
     entries = reps.select(F.col("doc_id").alias("r"), "n_shingles", F.explode("entries").alias("e"))
     repeated = entries.groupBy("e").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("e").alias("f"))
     entries = written(entries.join(repeated, F.col("e") == F.col("f")).select("e", "r", "n_shingles"), "join-entries")
@@ -259,10 +276,11 @@ def linked(sets: DataFrame) -> DataFrame:
             pairs = met.filter(near).select(F.least("r", "hr").alias("a"), F.greatest("r", "hr").alias("b")).distinct()
         else:
             left = here.join(spread.select("f"), F.col("e") == F.col("f")).select("e", "r", "n_shingles", "c")
+            left = left.join(reps.select(F.col("doc_id").alias("d"), "sketch"), F.col("r") == F.col("d")).drop("d")
             left = written(left, "join-left")
-            other = left.toDF("e2", "r2", "n2", "c2")
+            other = left.toDF("e2", "r2", "n2", "c2", "sketch2")
             near = (F.col("n_shingles") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n_shingles") * 3)
-            met = left.join(other, (F.col("e") == F.col("e2")) & (F.col("c") < F.col("c2")) & near)
+            met = left.join(other, (F.col("e") == F.col("e2")) & (F.col("c") < F.col("c2")) & near & may_link(F.col("sketch"), F.col("sketch2"), F.col("n_shingles"), F.col("n2")))
             pairs = met.select(F.least("r", "r2").alias("a"), F.greatest("r", "r2").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
