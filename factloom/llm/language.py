@@ -173,5 +173,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in a language that the model knows, with all their columns."""
     verdicts = identify(docs.select("doc_id", "text", "lang")).select("doc_id", (F.col("lang_pred") != UNKNOWN).alias("kept"))
-    by_id = written(verdicts, "languages").filter("not kept").select(F.col("doc_id").alias("r")).distinct()
-    return docs.join(F.broadcast(by_id) if few(by_id, IDS_SENT) else by_id, F.col("doc_id").eqNullSafe(F.col("r")), "left_anti")
+    by_id = written(verdicts, "languages").filter("not kept").select(F.col("doc_id").alias("__factloom_id")).distinct()
+    return docs.join(F.broadcast(by_id) if few(by_id, IDS_SENT) else by_id, F.col("doc_id").eqNullSafe(F.col("__factloom_id")), "left_anti")

@@ -224,6 +224,6 @@ def mix(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0, fanout: int
 def mixed(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns.  Rows without words are taken once."""
     plan = mix(docs.select("doc_id", "source", "text"), total_share, cap)
-    copies = plan.groupBy(F.col("doc_id").alias("d")).agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("d"))).filter("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = plan.groupBy(F.col("doc_id").alias("__factloom_id")).agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("__factloom_copies"))
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__factloom_id"))).filter("__factloom_copies > 0")
+    return taken.withColumn("__factloom_copy", F.explode(F.sequence(F.lit(1), F.col("__factloom_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@ All pieces of one length are interchangeable, so the packing is planned on the
 histogram of lengths, which has at most ``capacity`` entries however large the
 corpus is:
 
-1. Large lengths (over a small share of the capacity) are split, from the
+1. Large lengths (over 0.3 of the capacity, a parameter) are split, from the
    longest down, into groups of equal cardinality, and rounded up to the
    longest of their group: few sizes remain.
 2. A configuration programme over these sizes (which multisets of sizes to use,
@@ -71,25 +71,23 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
 
 def _best_pattern(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float, list[int]]:
     """Unbounded knapsack: the multiset of sizes that is worth most."""
-    best = np.zeros(capacity + 1)
-    for c in range(1, capacity + 1):
-        top = best[c - 1]
-        for s, w in zip(sizes, worth):
-            if s <= c and best[c - s] + w > top + 1e-12:
-                top = best[c - s] + w
-        best[c] = top
+    step, best, took = np.array(sizes), np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    first = int(step.min())
+    for c in range(first, capacity + 1):
+        fits = step <= c
+        values = np.where(fits, best[np.where(fits, c - step, 0)] + worth, -np.inf)
+        i = int(values.argmax())
+        if values[i] > best[c - 1] + 1e-12:
+            best[c], took[c] = values[i], i
+        else:
+            best[c] = best[c - 1]
     pattern, c = [0] * len(sizes), capacity
-    while c > 0:
-        if best[c] == best[c - 1]:
+    while c >= first:
+        if (i := int(took[c])) < 0:
             c -= 1
-            continue
-        for i, (s, w) in enumerate(zip(sizes, worth)):
-            if s <= c and abs(best[c - s] + w - best[c]) < 1e-12:
-                pattern[i] += 1
-                c -= s
-                break
         else:
-            c -= 1
+            pattern[i] += 1
+            c -= sizes[i]
     return float(best[capacity]), pattern
 
 
@@ -113,7 +111,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(p, float(x)) for p, x in zip(patterns, amount)]
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 24, small: float = 0.05) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = 32, small: float = 0.3) -> list[tuple[dict[int, int], int]]:
     """Classes of equal sequences: (pieces of each length, number of such sequences)."""
     left = Counter(histogram)
     large = sorted((n for n in left if n > small * capacity), reverse=True)

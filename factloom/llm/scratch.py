@@ -53,7 +53,7 @@ def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     Rows that share a doc_id stay or go together; of rows that also share their text one stays.
     """
     by_id = written(verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdicts")
-    removed = by_id.filter("not kept").select(F.col("doc_id").alias("removed"))
+    removed = by_id.filter("not kept").select(F.col("doc_id").alias("__factloom_removed"))
     removed = F.broadcast(removed) if few(removed, IDS_SENT) else removed
-    left = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("removed")), "left_anti")
+    left = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("__factloom_removed")), "left_anti")
     return left if by_id.filter("kept and n > 1").isEmpty() else left.dropDuplicates(["doc_id", "text"])
