@@ -408,4 +408,4 @@ def test_pipeline_stages(spark, docs, tmp_path):
         docs = stage(spark, docs, "")
         assert docs.columns == columns, name
     left = {r["doc_id"] for r in docs.collect()}
-    assert not left & {0, 1, 2, 3, 5, 121}
+    assert left and not left & {0, 1, 2, 3, 4, 6, 121}  # no letter; shorter or later copies
