@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import without, written
 from .shingles import PLACES, Shingler, mixed, set_key, similar
+from .workers import bounded_batches, give_back, lean
 
 BLOCK_BYTES = 8_000_000
 FREQUENT = 24  # documents from which on a token is indexed in combinations
@@ -141,6 +142,8 @@ def _frequencies(table: pa.Table) -> pa.Table:
     classes = frequency_class(np.bincount(of, np.concatenate(counts), len(every)))[of]
     ends = np.cumsum([len(t) for t in tokens])
     packed = [_pack(c.tobytes()) for c in np.split(classes, ends[:-1])]
+    del tokens, counts, every, of, classes
+    give_back()
     return pa.table({"block": blocks, "part": table.column("part"), "classes": pa.array(packed, pa.binary())})
 
 
@@ -220,11 +223,12 @@ def _indexed(width: int):
 def indexed_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, key, and tokens and index entries of the sets that may link."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     # about two million tokens to a range, so that one fits into a task whatever the corpus
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // 12_000_000))
     rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
-    table = written(rows.mapInArrow(_blocks(parts, width), BLOCK_SCHEMA), "join-blocks")
+    table = written(rows.mapInArrow(lean(_blocks(parts, width)), BLOCK_SCHEMA), "join-blocks")
     counts = table.filter("kind = 'tokens'").select("block", "part", "tokens", "counts")
     classes = counts.groupBy("part").applyInArrow(_frequencies, "block string, part int, classes binary").withColumnRenamed("block", "of_block")
     texts = table.filter("kind = 'texts'").select("block", "doc_ids", "lengths", "texts")
@@ -248,7 +252,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = pairs.join(counts.withColumnRenamed("a", "c"), F.col("a") == F.col("c")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
     partners = dealt.join(sets.select(F.col("doc_id").alias("d"), F.col("tokens").alias("tokens_b")), F.col("b") == F.col("d"))
     both = partners.join(hubs, (F.col("a") == F.col("hub")) & (F.col("place") == F.col("at")))
-    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verified, "a bigint, b bigint")
+    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(lean(_verified), "a bigint, b bigint")
 
 
 def linked(sets: DataFrame) -> DataFrame:

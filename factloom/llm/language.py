@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import IDS_SENT, few, written
+from .workers import bounded_batches, lean
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -115,6 +116,7 @@ def held_out(doc_id, of: int, remainder: int):
 
 def train(rows: DataFrame, rows_per_language: int = 1500, words: int = 20_000, grams: int = 8_000, longest: int = 4) -> Model:
     """Fit on ``rows`` (doc_id, text, lang).  Counting is distributed; what comes back has at most ``words`` * 5 rows a language."""
+    bounded_batches(rows.sparkSession)
     known = rows.filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     unit = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -132,7 +134,7 @@ def train(rows: DataFrame, rows_per_language: int = 1500, words: int = 20_000, g
                 part = items[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([w for w, _ in part]), pa.array([m for _, m in part], pa.int64())], ["lang", "word", "n"])
 
-    counts = picked.select("lang", "text").mapInArrow(counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = picked.select("lang", "text").mapInArrow(lean(counted), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = written(counts, "language-words")
     # the count from which a language keeps at most 5 * words of its words, by a histogram of counts
     least: dict[str, int] = {}
@@ -160,7 +162,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [m.judge(x) for x in t.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(judged, "doc_id bigint, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(judged), "doc_id bigint, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

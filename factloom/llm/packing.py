@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 from .wordpieces import batches, encoder
+from .workers import bounded_batches, lean
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part string, nth bigint"
 
@@ -267,7 +268,8 @@ def _place(places):
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
     spark = docs.sparkSession
-    pieces = written(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, end_id, capacity), PIECE_SCHEMA), "pieces")
+    bounded_batches(spark)
+    pieces = written(docs.select("doc_id", "text").mapInArrow(lean(_cut(tokenizer, end_id, capacity)), PIECE_SCHEMA), "pieces")
     counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
@@ -275,5 +277,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        _place(places), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+        lean(_place(places)), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     )
