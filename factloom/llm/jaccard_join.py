@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import without, written
+from .scratch import dropped, new_path, without, written
 from .shingles import PLACES, Shingler, mixed, set_key, similar
 from .workers import bounded_batches, give_back, lean
 
@@ -228,11 +228,14 @@ def indexed_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     # about two million tokens to a range, so that one fits into a task whatever the corpus
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // 12_000_000))
     rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
-    table = written(rows.mapInArrow(lean(_blocks(parts, width)), BLOCK_SCHEMA), "join-blocks")
+    blocks = new_path(spark, "join-blocks")
+    table = written(rows.mapInArrow(lean(_blocks(parts, width)), BLOCK_SCHEMA), "join-blocks", blocks)
     counts = table.filter("kind = 'tokens'").select("block", "part", "tokens", "counts")
     classes = counts.groupBy("part").applyInArrow(_frequencies, "block string, part int, classes binary").withColumnRenamed("block", "of_block")
     texts = table.filter("kind = 'texts'").select("block", "doc_ids", "lengths", "texts")
-    return written(texts.groupBy("block").cogroup(classes.groupBy("of_block")).applyInArrow(_indexed(width), SET_SCHEMA), "join-sets")
+    sets = written(texts.groupBy("block").cogroup(classes.groupBy("of_block")).applyInArrow(_indexed(width), SET_SCHEMA), "join-sets")
+    dropped(spark, blocks)  # the sets are written, so no lost executor asks for their blocks again
+    return sets
 
 
 def _verified(tables):

@@ -27,13 +27,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """``df`` written once as Parquet and read back with its own schema."""
-    path = new_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
+    """``df`` written once as Parquet, to a new path unless one is given, and read back with its own schema."""
+    path = path or new_path(df.sparkSession, name)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return table.select(*columns) if columns else table
