@@ -24,8 +24,8 @@ def leg_scores(ranked: DataFrame, leg: str, order: list) -> DataFrame:
 def fuse(legs: list[DataFrame], weights: dict[str, float] | None = None, limit: int = 10) -> DataFrame:
     """Weighted mean over the legs that found a key, with a bonus for several legs.
 
-    A key that a leg found twice keeps its lower score.  Ties go to the first leg and
-    position.
+    A key that a leg found twice keeps its lower score.  Ties, to six digits, go to the
+    first leg and position.
     """
     w = {**WEIGHTS, **(weights or {})}
     every = legs[0]
@@ -43,7 +43,7 @@ def fuse(legs: list[DataFrame], weights: dict[str, float] | None = None, limit:
     return (
         grouped.withColumn("n_legs", n.cast("int"))
         .withColumn("fusion_score", F.try_divide(total, weight) * bonus)
-        .orderBy(F.desc("fusion_score"), "first.leg", "first.pos")
+        .orderBy(F.desc(F.round("fusion_score", 6)), "first.leg", "first.pos")  # the last bits of equal scores differ by weight
         .limit(limit)
         .drop("first")
     )
