@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .scratch import new_path, written
 from .wordpieces import batches, encoder
+from .workers import bounded_batches, lean
 
 NO_ID = -(2**63)
 SHARD_SCHEMA = "shard string, first_id bigint, n_docs bigint, n_tokens bigint, itemsize int"
@@ -83,6 +84,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, partitions: int |
     from pyarrow import fs
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = new_path(spark, "tokens")
     store, root = _filesystem(base)
     store.create_dir(root, recursive=True)
@@ -90,7 +92,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, partitions: int |
     rows = docs.select("doc_id", "text")
     n = partitions or max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    shards = written(ordered.mapInArrow(_write_shards(base, tokenizer, end_id, shard_bytes), SHARD_SCHEMA), "token-shards")
+    shards = written(ordered.mapInArrow(lean(_write_shards(base, tokenizer, end_id, shard_bytes)), SHARD_SCHEMA), "token-shards")
     # Shards cut within a run of one doc_id can't be told apart by it: then their order is that of their names.
     order = Window.orderBy("first_id", "shard").rowsBetween(Window.unboundedPreceding, -1)
     based = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).cast("long"))

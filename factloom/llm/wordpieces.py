@@ -2,20 +2,23 @@
 
 The vocabulary file lower-cases, drops white space and splits letters, single
 digits and other signs, so the ids of a text are the ids of its blank-separated
-chunks, one after the other.  Each chunk is encoded once for each worker and
-kept in a bounded cache; a text is then a C-level join of cached bytes.  Chunks
-outside Latin script, or holding a special token's marker, go to the tokenizer
+chunks, one after the other.  Arrow splits a batch and finds its distinct chunks,
+each is looked up once in a bounded cache of the worker, and the ids of all texts
+are taken from these in one step.  Chunks outside Latin script, or holding a special token's marker, go to the tokenizer
 whole, so every text gets the ids the library itself would give.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNKS_KEPT = 250_000
+BATCH_CHARS = 8_000_000
+CHUNKS_KEPT = 400_000
 PIECES_KEPT = 700_000
 
 # Characters up to U+017F are stable under NFC, and all but U+0130 lower-case
@@ -43,7 +46,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -51,19 +54,19 @@ class WordEncoder:
 
     def _learn_pieces(self, new: set[str]) -> None:
         # A piece is one pre-token: the model itself encodes it, without the steps around it.
-        model = self.tokenizer.model.tokenize
+        model, kind = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         for p in new:
             signs = p if p.isascii() else p.encode().decode("latin-1").translate(_SIGNS)
-            self.pieces[p] = np.array([t.id for t in model(signs)], self.dtype).tobytes()
+            self.pieces[p] = array(kind, [t.id for t in model(signs)]).tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
-        whole = b"\n".join(new).decode("utf-8", "replace")
+    def _learn(self, new: list[str]) -> None:
+        whole = "\n".join(new)
         if not _LINES.fullmatch(whole) or "<|" in whole:
-            odd = [c for c in new if not _PLAIN.fullmatch(t := c.decode("utf-8", "replace")) or "<|" in t]
-            self.chunks.update((c, self._whole(c.decode("utf-8", "replace"))) for c in odd)
+            odd = [c for c in new if not _PLAIN.fullmatch(c) or "<|" in c]
+            self.chunks.update((c, self._whole(c)) for c in odd)
             if not (new := list(set(new).difference(odd))):
                 return
-            whole = b"\n".join(new).decode()
+            whole = "\n".join(new)
         if len(self.pieces) > PIECES_KEPT:
             self.pieces.clear()
         # One mark between chunks: no id is as large, so the joined ids split at it again.
@@ -76,14 +79,25 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Texts are taken whole; a batch should hold a few MB of text at most."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        seen = set(itertools.chain.from_iterable(split))
+        try:
+            column = pa.array([t or "" for t in texts], pa.large_string())
+        except UnicodeEncodeError:  # half a surrogate pair
+            column = pa.array([(t or "").encode("utf-8", "replace").decode() for t in texts], pa.large_string())
+        split = pc.ascii_split_whitespace(column)
+        coded = split.values.dictionary_encode()
+        # Chunks hold no line break, so one join and one split make the list.
+        listed = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        seen = pc.binary_join(listed, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n") if len(coded.dictionary) else []
         if len(self.chunks) > CHUNKS_KEPT:
             self.chunks.clear()
-        if new := seen - self.chunks.keys():
-            self._learn(list(new))
-        ids = self.chunks.__getitem__
-        return [b"".join(map(ids, x)) for x in split]
+        if new := [c for c in seen if c not in self.chunks]:
+            self._learn(new)
+        ids = pa.array(map(self.chunks.__getitem__, seen), pa.large_binary(), size=len(seen)).take(coded.indices)
+        _, ends, values = ids.buffers()
+        if values is None or not len(ids):
+            return [b""] * len(texts)
+        at = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        return [values[a:b].to_pybytes() for a, b in zip(at, at[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -96,7 +110,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def batches(rows, size=lambda r: 0, most: int = 2_000_000):
+def batches(rows, size=lambda r: 0, most: int = BATCH_CHARS):
     """Lists of rows of a bounded total size; a single larger row is a list of its own."""
     held, total = [], 0
     for r in rows:
