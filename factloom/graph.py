@@ -1,0 +1,113 @@
+"""The graph's five verbs over a store of published tables; each gives a DataFrame."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.text import safe_id
+from .operators import concepts as C
+from .operators import dedup, entities, extract, fusion, jobs, search, store
+from .operators.filters import Scope
+from .schema import CONCEPTS, CONCEPTUALIZATIONS, JOBS, TRIPLE_TYPES, TRIPLES, VECTORS
+
+SCHEMAS = {"triples": TRIPLES, "concepts": CONCEPTS, "conceptualizations": CONCEPTUALIZATIONS, "vectors": VECTORS, "jobs": JOBS}
+
+
+def _shaped(df: DataFrame, schema: str) -> DataFrame:
+    """``df`` with the schema's columns in its order; those it lacks are null."""
+    fields = df.sparkSession.createDataFrame([], schema).schema.fields
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def _within(name: str, value: float, low: float, high: float) -> None:
+    if not low <= value <= high:
+        raise ValueError(f"{name} must be from {low} to {high}, not {value}")
+
+
+class KnowledgeGraph:
+    """Extraction, concepts and vectors go in together; searches read what is published."""
+
+    def __init__(self, spark: SparkSession, root: str, extractor: Callable = extract.rule_extractor, embedder: Callable[[list[str]], np.ndarray] = extract.hash_embedder):
+        self.spark, self.root, self.extractor, self.embedder = spark, root.rstrip("/"), extractor, embedder
+        self.store = store.Store(spark, self.root)
+
+    def table(self, name: str) -> DataFrame:
+        return self.store.read(name, SCHEMAS[name])
+
+    def _staged(self, df: DataFrame) -> DataFrame:
+        """Written once, so that what follows doesn't extract or embed again; nothing names the folder."""
+        folder = f"{self.root}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def process_knowledge(self, docs: DataFrame, at: str) -> DataFrame:
+        """Store what docs (id, text, source, source_type) say; gives the jobs of this batch.
+
+        A chunk whose extraction fails is left out, and its document's job still completes.
+        """
+        time = F.lit(at).cast("timestamp")
+        raw = extract.extract_triples(docs.select("text", "source", "source_type"), TRIPLE_TYPES, self.extractor).filter("error is null")
+        cleaned = _shaped(store.cleaned_triples(raw.withColumn("extracted_at", time)), TRIPLES)
+        triples = self._staged(store.new_rows(dedup.exact_dedup(cleaned).drop("n_merged"), self.table("triples"), ["id"]))
+
+        related = self._staged(extract.bucket_concepts(C.element_sets(triples)))
+        named = related.groupBy("concept", "abstraction_level").agg(F.lit(1.0).alias("confidence"))
+        concepts = store.new_rows(_shaped(named.withColumns({"id": safe_id(F.col("concept"), F.col("abstraction_level")), "extracted_at": time}), CONCEPTS), self.table("concepts"), ["id"])
+        context = C.context_triples(triples, related).groupBy("source_element", "concept").agg(F.array_sort(F.collect_list("id")).alias("context_triples"))  # 5 ids at most
+        links = related.select("source_element", "concept", F.col("kind").alias("triple_type")).join(context, ["source_element", "concept"], "left")
+        links = links.withColumns({"id": safe_id(F.col("source_element"), F.col("triple_type"), F.col("concept")), "confidence": F.lit(1.0), "extracted_at": time})
+        links = store.new_rows(_shaped(links, CONCEPTUALIZATIONS), self.table("conceptualizations"), ["id"])
+
+        concepts = self._staged(concepts)
+        texts = store.vector_texts(triples).select("text").unionByName(concepts.select(F.col("concept").alias("text")))
+        dictionary = self._staged(extract.embed_texts(texts, self.embedder))
+        of_concepts = concepts.select(F.col("id").alias("concept_node_id"), F.col("concept").alias("text")).join(dictionary, "text").withColumns({
+            "vector_type": F.lit("CONCEPT"), "vector_id": safe_id(F.col("concept_node_id"), F.lit("CONCEPT"), F.col("text")),
+        })
+        vectors = _shaped(store.materialise_vectors(triples, dictionary), VECTORS).unionByName(_shaped(of_concepts, VECTORS))
+
+        events = jobs.pipeline_events(docs, at).withColumns({"status": F.lit("COMPLETED"), "progress": F.lit(100), "retry_count": F.lit(0), "max_retries": F.lit(3)})
+        done = self._staged(_shaped(events.withColumns({"created_at": time, "started_at": time, "completed_at": F.current_timestamp()}), JOBS))
+        self.store.publish({"triples": triples, "concepts": concepts, "conceptualizations": links, "vectors": vectors, "jobs": done})
+        return done
+
+    def get_pipeline_status(self, parent_id: str) -> DataFrame:
+        """One row with the map of the stages' states, as the last batch left them; none if there is no such job."""
+        events = self.table("jobs").filter((F.col("id") == parent_id) | (F.col("parent_job_id") == parent_id)).withColumn("event_time", F.col("created_at"))
+        return jobs.pipeline_overview(jobs.latest_state(events))
+
+    def search_knowledge_graph(self, query: str, limit: int = 10, threshold: float = 0.7, scope: Scope = Scope(), weights: dict[str, float] | None = None, legs: tuple[str, ...] = fusion.LEGS) -> DataFrame:
+        """Fused search; ``threshold`` is the least vector score, and 0 means 0."""
+        _within("limit", limit, 1, 100)
+        _within("threshold", threshold, 0, 1)
+        for name, w in (weights or {}).items():
+            _within(f"weight of {name}", w, 0, 1)
+        if not legs or set(legs) - set(fusion.LEGS):
+            raise ValueError(f"legs must be some of {fusion.LEGS}, not {legs}")
+        triples, vectors = self.table("triples"), self.table("vectors")
+        vector = self.embedder([query])[0].tolist()
+        found = {
+            "entity": lambda: (search.search_entity(triples, query, scope, limit), [F.desc("subject"), F.desc("object"), F.desc("extracted_at"), "id"]),
+            "relationship": lambda: (search.search_relationship(triples, query, scope, limit), [F.desc("predicate"), F.desc("extracted_at"), "id"]),
+            "semantic": lambda: (search.search_semantic(triples, vectors, vector, threshold, limit, scope), [F.desc("score"), "id"]),
+            "concept": lambda: (
+                search.concept_triples(triples, self.table("concepts"), self.table("conceptualizations"), vectors, vector, threshold, limit, scope),
+                [F.desc("concept_score"), "id"],
+            ),
+        }
+        scored = [fusion.leg_scores(ranked, leg, order) for leg in fusion.LEGS if leg in legs for ranked, order in [found[leg]()]]
+        return fusion.fuse(scored, weights, limit)
+
+    def search_concepts(self, query: str, level: str | None = None, limit: int = 50) -> DataFrame:
+        return search.search_concepts(self.table("concepts"), query, level, limit)
+
+    def get_knowledge_graph_stats(self) -> DataFrame:
+        """One row: totals, and a map with the count of every type."""
+        triples = self.table("triples")
+        kinds = entities.triples_by_type(triples, TRIPLE_TYPES).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("triples_by_type"))
+        return entities.graph_stats(triples, self.table("concepts")).crossJoin(kinds)  # one row each

@@ -1,0 +1,47 @@
+import pytest
+
+from factloom.graph import KnowledgeGraph
+
+TEXTS = [
+    ("d1", "Alice Moor works at Tech Corp. Tech Corp is based in San Francisco.", "notes", "file"),
+    ("d2", "Alice Moor works at Tech Corp. Bob Hill lives in Lisbon.", "mail", "file"),
+    ("d3", None, "mail", "file"),
+    ("d4", "", "mail", "file"),
+]
+DOCS = "id string, text string, source string, source_type string"
+
+
+@pytest.fixture(scope="module")
+def graph(spark, tmp_path_factory):
+    g = KnowledgeGraph(spark, f"file://{tmp_path_factory.mktemp('graph')}")
+    g.process_knowledge(spark.createDataFrame(TEXTS, DOCS), "2025-01-01 00:00:00")
+    return g
+
+
+def test_repeated_facts_are_stored_once(spark, graph):
+    rows = {(r["subject"], r["predicate"], r["object"]) for r in graph.table("triples").collect()}
+    assert rows == {("Alice Moor", "works at", "Tech Corp"), ("Tech Corp", "is based in", "San Francisco"), ("Bob Hill", "lives in", "Lisbon")}
+    before = {n: graph.table(n).count() for n in ("triples", "concepts", "conceptualizations", "vectors")}
+    graph.process_knowledge(spark.createDataFrame(TEXTS, DOCS), "2025-01-02 00:00:00")
+    assert {n: graph.table(n).count() for n in before} == before
+    assert before["triples"] == 3
+
+
+def test_search(graph):
+    (first, *_) = graph.search_knowledge_graph("works at", threshold=0.0).collect()
+    assert (first["subject"], first["predicate"]) == ("Alice Moor", "works at")
+    only = graph.search_knowledge_graph("Alice Moor works at Tech Corp", legs=("semantic",)).collect()
+    assert [(r["subject"], r["n_legs"]) for r in only] == [("Alice Moor", 1)]
+    assert graph.search_knowledge_graph("nothing like it", threshold=1.0).collect() == []
+    for bad in ({"limit": 0}, {"threshold": 2}, {"weights": {"entity": 3}}, {"legs": ("other",)}):
+        with pytest.raises(ValueError):
+            graph.search_knowledge_graph("x", **bad)
+
+
+def test_status_concepts_and_stats(graph):
+    (s,) = graph.get_pipeline_status("job-d1").collect()
+    assert set(s["stages"]) == {"EXTRACTION", "CONCEPTS", "DEDUPLICATION"} and s["stages"]["EXTRACTION"]["status"] == "COMPLETED"
+    assert graph.get_pipeline_status("job-none").collect() == []
+    assert [r["concept"] for r in graph.search_concepts("CORP").collect()] == ["corp"]
+    (t,) = graph.get_knowledge_graph_stats().collect()
+    assert t["total_triples"] == 3 and t["triples_by_type"]["ENTITY_ENTITY"] == 3 and t["triples_by_type"]["EVENT_EVENT"] == 0
