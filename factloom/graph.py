@@ -13,7 +13,7 @@ from .functions.text import safe_id
 from .operators import concepts as C
 from .operators import dedup, entities, extract, fusion, jobs, search, store
 from .operators.filters import Scope
-from .schema import CONCEPTS, CONCEPTUALIZATIONS, JOBS, TRIPLE_TYPES, TRIPLES, VECTORS
+from .schema import CONCEPTS, CONCEPTUALIZATIONS, JOBS, TRIPLE_KEY, TRIPLE_TYPES, TRIPLES, VECTORS
 
 SCHEMAS = {"triples": TRIPLES, "concepts": CONCEPTS, "conceptualizations": CONCEPTUALIZATIONS, "vectors": VECTORS, "jobs": JOBS}
 
@@ -53,7 +53,7 @@ class KnowledgeGraph:
         time = F.lit(at).cast("timestamp")
         raw = extract.extract_triples(docs.select("text", "source", "source_type"), TRIPLE_TYPES, self.extractor).filter("error is null")
         cleaned = _shaped(store.cleaned_triples(raw.withColumn("extracted_at", time)), TRIPLES)
-        triples = self._staged(store.new_rows(dedup.exact_dedup(cleaned).drop("n_merged"), self.table("triples"), ["id"]))
+        triples = self._staged(_shaped(store.new_rows(dedup.exact_dedup(cleaned).drop("n_merged"), self.table("triples"), TRIPLE_KEY), TRIPLES))
 
         related = self._staged(extract.bucket_concepts(C.element_sets(triples)))
         named = related.groupBy("concept", "abstraction_level").agg(F.lit(1.0).alias("confidence"))
