@@ -2,25 +2,36 @@
 
 Tokens are words after lower-casing A-Z, and one end for each text.  Every token
 belongs to one of ``CLASSES`` classes by a fixed rule on its letters, the end to a
-class of its own.  The model factors a token's probability into that of its
-class given the classes of the two tokens before it, and that of the token
-within its class:
-
-* The class part is a log-bilinear network: the context's representation is the
-  sum of the two classes' vectors, each scaled by its position's weights; its
-  product with the target's vector, and a bias, is the score.  It is trained in
-  numpy by noise-contrastive estimation on the class trigram counts of all
-  training texts.  Then one batched matrix product over all contexts gives the
-  normalised log-probabilities, a table of CLASSES**3 numbers.
-* The token part is (c + 1) / (N of class + V of class + 1), where the last 1 is
-  that of all unseen tokens of the class together, so that probabilities of all
-  tokens, unseen ones as one type for each class, sum to 1.
+class of its own.  The units of the network are words: those with at least
+sqrt(tokens) / 8 training tokens, so that they grow with the corpus, and for each
+class one unit that all its rarer words share.  The model factors a token's
+probability into that of its class given the units of the two tokens before it,
+that of its unit within the class given the same, and, for a rare word, that of
+the token among the class's rare ones:
+
+* Class and unit are scored by a log-bilinear network: the context's
+  representation is the sum of the two units' vectors, each of its position; its
+  product with the target's vector, and a bias, is the score.  Every unit starts
+  from its class's vectors, which are trained on the driver by noise-contrastive
+  estimation on all class trigram counts.  Then each task trains all vectors by
+  noise-contrastive estimation on every training token it holds, once, and the
+  tasks' parameters are averaged, weighted by tokens.  Noise counts by its
+  expectation, so nothing is drawn.  Scores are normalised over the classes and
+  over the units of a class.
+* A rare token's part is (c + 1) / (N + V + 1) over the rare tokens N and types V
+  of its class, where the last 1 is that of all unseen tokens of the class
+  together, so that probabilities of all tokens, unseen ones as one type for each
+  class, sum to 1.
+
+How rows are dealt over tasks moves ``score`` a little, as each task trains from
+the same start on its own rows; the other columns don't depend on it.
 
 Counting covers the whole corpus and never gathers it anywhere.  Texts are read
 once, into blocks of bounded size that hold each text as numbers into a word
 list of the block's own.  Word lists are counted by a shuffle on the word, and
 the counts go back to the blocks by a shuffle on the block; only class totals
-and trigram counts, of a fixed size, come to the driver.
+and trigram counts, of a fixed size, and the frequent words with their vectors, of
+the order of sqrt(tokens), come to the driver.
 
 Null text is empty: its one token is the end.  A row without doc_id is a
 training row.  Rows that share a doc_id are scored, and learned from, each.  An
@@ -30,6 +41,7 @@ every other one alike.  Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -46,6 +58,8 @@ CLASSES = 64
 BLOCK_BYTES = 12_000_000
 CELLS = CLASSES**3
 CELLS_A_ROW = 4096
+SIZE, NOISE = 16, 48
+PART = 8192  # parameters that a task sends in one row
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = b""  # no word is empty
 
@@ -136,62 +150,181 @@ def _blocks(tables) -> Iterator[pa.RecordBatch]:
         yield _batch([{"kind": "cells", "cell_row": i, "cells": cells[i * CELLS_A_ROW : (i + 1) * CELLS_A_ROW]}])
 
 
-def train_classes(cells: np.ndarray, size: int = 16, noise: int = 48, steps: int = 2500, batch: int = 512, rate: float = 0.2, seed: int = 7) -> np.ndarray:
-    """log P(class | two classes before) as a (CLASSES, CLASSES, CLASSES) table, from trigram counts."""
+def fit_classes(cells: np.ndarray, size: int = SIZE, noise: int = NOISE, steps: int = 300, rate: float = 0.2, seed: int = 7) -> tuple[np.ndarray, ...]:
+    """Vectors of both context positions, target vectors and biases of the classes, from all counted trigrams."""
     rng = np.random.default_rng(seed)
-    counts = cells.reshape(CLASSES, CLASSES, CLASSES).astype(float)
+    counts = cells.reshape(CLASSES * CLASSES, CLASSES).astype(float)
     total = counts.sum()
+    first, second, target = (rng.normal(0, 0.1, (CLASSES, size)) for _ in range(3))
     if not total:
-        return np.full((CLASSES,) * 3, -np.log(CLASSES))
-    unigram = (counts.sum((0, 1)) + 1) / (total + CLASSES)
-    context = rng.normal(0, 0.1, (CLASSES, size))
-    target = rng.normal(0, 0.1, (CLASSES, size))
-    weight = np.ones((2, size))
+        return first, second, np.zeros((CLASSES, size)), np.full(CLASSES, -np.log(CLASSES))
+    unigram = (counts.sum(0) + 1) / (total + CLASSES)
     bias = np.log(unigram)  # scores start as the noise's own log-probabilities
-    params = [context, target, weight, bias]
+    params = [first, second, target, bias]
     squares = [np.full_like(p, 1e-3) for p in params]
-    log_noise = np.log(noise * unigram)
-    flat = np.cumsum(counts.ravel()) / total
+    met = np.flatnonzero(counts.any(1))
     one = np.eye(CLASSES)
-    cells_drawn = np.searchsorted(flat, rng.random((steps, batch)), "right").clip(0, CELLS - 1)
-    noise_drawn = rng.choice(CLASSES, (steps, noise), p=unigram)
-    for cell, wrong in zip(cells_drawn, noise_drawn):
-        a, b, w = one[cell // CLASSES**2], one[cell // CLASSES % CLASSES], cell % CLASSES
-        q = (a @ context) * weight[0] + (b @ context) * weight[1]
-        # every example of a batch meets the same noise, so all products are matrix products
-        data = (q * target[w]).sum(1) + bias[w]
-        false = q @ target[wrong].T + bias[wrong]
-        up = (1 - 1 / (1 + np.exp(log_noise[w] - data))) / batch  # data should be told from noise
-        down = 1 / (1 + np.exp(log_noise[wrong] - false)) / batch
-        onto = one[w] * up[:, None] - down @ one[wrong]  # (batch, CLASSES): the error at each class
+    a, b, shares = one[met // CLASSES], one[met % CLASSES], counts[met] / total
+    wrong = noise * unigram * shares.sum(1, keepdims=True)  # noise that each context is due to meet
+    log_noise = np.log(noise * unigram)
+    for _ in range(steps):
+        q = a @ first + b @ second
+        true = 1 / (1 + np.exp(log_noise - q @ target.T - bias))
+        onto = shares * (1 - true) - wrong * true
         dq = onto @ target
-        grads = [a.T @ (dq * weight[0]) + b.T @ (dq * weight[1]), onto.T @ q, np.stack([(dq * (a @ context)).sum(0), (dq * (b @ context)).sum(0)]), onto.sum(0)]
-        for p, g, s in zip(params, grads, squares):
+        for p, g, s in zip(params, (a.T @ dq, b.T @ dq, onto.T @ q, onto.sum(0)), squares):
             s += g * g
             p += rate * g / np.sqrt(s)
-    q = (context * weight[0])[:, None, :] + (context * weight[1])[None, :, :]
-    logits = q.reshape(-1, size) @ target.T + bias  # all contexts at once
-    logits -= logits.max(1, keepdims=True)
-    return (logits - np.log(np.exp(logits).sum(1, keepdims=True))).reshape((CLASSES,) * 3)
+    return first, second, target, bias
 
 
-class Scorer:
-    """Everything of fixed size that scoring needs."""
+def train_classes(cells: np.ndarray, **options) -> np.ndarray:
+    """log P(class | two classes before) as a (CLASSES, CLASSES, CLASSES) table, from trigram counts."""
+    first, second, target, bias = fit_classes(cells, **options)
+    logits = (first[:, None, :] + second[None, :, :]) @ target.T + bias
+    logits -= logits.max(-1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(-1, keepdims=True))
+
+
+class Units:
+    """What the network knows: of each class a slot for its rare words, then its frequent words, side by side."""
+
+    def __init__(self, words: list[bytes], classes: list[int], counts: list[int], class_tokens: np.ndarray, class_types: np.ndarray):
+        classes, counts = np.array(classes, np.int64), np.array(counts, np.int64)
+        known = np.bincount(classes, minlength=CLASSES)
+        self.first = np.concatenate([[0], np.cumsum(known + 1)])
+        at = np.argsort(classes, kind="stable")
+        number = np.empty(len(words), np.int64)
+        number[at] = np.arange(len(words)) + classes[at] + 1
+        self.words, self.number, self.n = words, number, int(self.first[-1])
+        self.classes = np.repeat(np.arange(CLASSES), known + 1)
+        self.rare_tokens = class_tokens - np.bincount(classes, counts, CLASSES)
+        self.rare_types = class_types - known
+        slots = np.zeros(self.n)
+        slots[number], slots[self.first[:-1]] = counts, self.rare_tokens
+        self.class_share = (class_tokens + 1) / (class_tokens.sum() + CLASSES)
+        self.share = (slots + 1) / (class_tokens + known + 1)[self.classes]  # of its class
+
+
+class Network:
+    """Log-bilinear over units: the sum of two context vectors scores the class, then the unit within its class."""
+
+    def __init__(self, units: Units, cells: np.ndarray):
+        first, second, target, bias = fit_classes(cells)
+        # every unit starts near its class, or words of a class could not part, and within it as the counts have it
+        k = units.classes
+        near = np.random.default_rng(11).normal(0, 0.1, (3, units.n, SIZE))
+        parts = [first[k] + near[0], second[k] + near[1], target, bias, near[2], np.log(units.share)]
+        self.params = [p.astype(np.float32) for p in parts]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.params])
+
+    def take(self, flat: np.ndarray) -> None:
+        cuts = np.cumsum([p.size for p in self.params])[:-1]
+        self.params = [x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat, cuts), self.params)]
+
+
+def _by_class(units: Units, unit: np.ndarray):
+    """(class's slots, where its tokens are, their places among the slots) of each class with a choice of slots."""
+    k = units.classes[unit]
+    at = np.argsort(k, kind="stable")
+    ends = np.searchsorted(k[at], np.arange(CLASSES + 1))
+    for c in range(CLASSES):
+        if ends[c] < ends[c + 1] and units.first[c + 1] - units.first[c] > 1:
+            mine = at[ends[c] : ends[c + 1]]
+            yield slice(units.first[c], units.first[c + 1]), mine, unit[mine] - units.first[c]
+
+
+def _told(q, target, bias, noise, right):
+    """The error at each score: examples against the noise that they are due to meet."""
+    true = 1 / (1 + np.exp(np.log(noise) - q @ target.T - bias))
+    onto = -noise * true
+    rows = np.arange(len(q))
+    onto[rows, right] += 1 - true[rows, right]
+    return onto
+
+
+def train(net: Network, units: Units, texts: Iterator[np.ndarray], batch: int, rate: float = 0.1) -> int:
+    """One pass of noise-contrastive estimation over all tokens of ``texts``, each a row of units; how many they were."""
+    of_class, of_unit = (NOISE * units.class_share).astype(np.float32), (NOISE * units.share).astype(np.float32)
+    squares = [np.ones_like(p) for p in net.params]
+    lanes = np.arange(SIZE)
+
+    def onto_units(at, g):
+        return np.bincount((at[:, None] * SIZE + lanes).ravel(), g.ravel(), units.n * SIZE).reshape(units.n, SIZE)
+
+    def step(a, b, unit):
+        first, second, target, bias, word, word_bias = net.params
+        q = first[a] + second[b]
+        onto = _told(q, target, bias, of_class, units.classes[unit])
+        dq, d_word, d_word_bias = onto @ target, np.zeros_like(word), np.zeros_like(word_bias)
+        for slots, mine, right in _by_class(units, unit):
+            x = _told(q[mine], word[slots], word_bias[slots], of_unit[slots], right)
+            dq[mine] += x @ word[slots]
+            d_word[slots], d_word_bias[slots] = x.T @ q[mine], x.sum(0)
+        for p, g, s in zip(net.params, (onto_units(a, dq), onto_units(b, dq), onto.T @ q, onto.sum(0), d_word, d_word_bias), squares):
+            s += g * g
+            p += rate * g / np.sqrt(s)
 
-    def __init__(self, table: np.ndarray, class_tokens: np.ndarray, class_types: np.ndarray):
-        self.table = (table / np.log(10)).astype(np.float32).ravel()
-        self.class_log = np.log10(class_tokens + class_types + 1)
-        self.tokens, self.types = int(class_tokens.sum()), int(class_types.sum())
+    n, waiting, held = 0, [], 0
 
-    def score(self, ids: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> tuple[int, float, float]:
-        """(known tokens, base score, score) of a text, from its block's counts and classes."""
-        c = counts[ids]
-        logs = np.log10(c + 1.0)
-        base = float(logs.sum()) - len(ids) * float(np.log10(self.tokens + self.types + 1))
-        k = classes[ids].astype(np.int64)
-        before = np.concatenate([[0, 0], k])
-        cell = (before[:-2] * CLASSES + before[1:-1]) * CLASSES + k
-        return int((c > 0).sum()), base, float(self.table[cell].sum(dtype=float) + (logs - self.class_log[k]).sum())
+    def flush(all_of_it: bool):
+        nonlocal waiting, held
+        a, b, unit = (np.concatenate(x) for x in zip(*waiting))
+        end = held if all_of_it else held - held % batch
+        for i in range(0, end, batch):
+            part = slice(i, min(i + batch, end))
+            step(a[part], b[part], unit[part])
+        waiting, held = [(a[end:], b[end:], unit[end:])], held - end
+
+    for ids in texts:
+        c = np.concatenate([[0, 0], ids])
+        waiting.append((c[:-2], c[1:-1], ids))
+        n, held = n + len(ids), held + len(ids)
+        if held >= batch:
+            flush(False)
+    if held:
+        flush(True)
+    return n
+
+
+class Scorer:
+    """What scoring needs besides a block: it grows as the units do."""
+
+    def __init__(self, units: Units, net: Network, tokens: int, types: int):
+        self.units, self.net, self.tokens, self.types = units, net, tokens, types
+        self.rare_log = np.log10(units.rare_tokens + units.rare_types + 1)
+
+    def logs(self, a: np.ndarray, b: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """log10 P(unit | two units before)."""
+        first, second, target, bias, word, word_bias = self.net.params
+        q = first[a] + second[b]
+
+        def chosen(x, right):
+            return x[np.arange(len(x)), right] - (m := x.max(1)) - np.log(np.exp(x - m[:, None]).sum(1))
+
+        out = chosen(q @ target.T + bias, self.units.classes[unit]).astype(float)
+        for slots, mine, right in _by_class(self.units, unit):
+            out[mine] += chosen(q[mine] @ word[slots].T + word_bias[slots], right)
+        return out / np.log(10)
+
+    def score(self, texts: list[np.ndarray], counts: np.ndarray, unit_of: np.ndarray) -> list[tuple[int, float, float]]:
+        """(known tokens, base score, score) of each text, from its block's counts and units."""
+        word_logs = np.log10(counts + 1.0)
+        k = self.units.classes[unit_of]
+        rare = np.where(unit_of == self.units.first[k], word_logs - self.rare_log[k], 0.0)
+        lengths = np.array([len(ids) for ids in texts], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        ids = np.concatenate(texts)
+        unit = unit_of[ids]
+        before = np.concatenate([x for t in texts for x in ([0, 0], unit_of[t[:-1]], [0])])  # each text's, two places later
+        at = np.arange(len(ids)) + 2 * np.repeat(np.arange(len(texts)), lengths)
+        a, b, step = before[at], before[at + 1], 1 << 15
+        logs = rare[ids] + np.concatenate([self.logs(a[i : i + step], b[i : i + step], unit[i : i + step]) for i in range(0, len(ids), step)])
+        base = np.add.reduceat(word_logs[ids], starts) - lengths * float(np.log10(self.tokens + self.types + 1))
+        known = np.add.reduceat((counts[ids] > 0).astype(np.int64), starts)
+        return list(zip(known.tolist(), base.tolist(), np.add.reduceat(logs, starts).tolist()))
 
 
 SCORE_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -201,20 +334,63 @@ def _score(sent):
     def run(key, docs, words):
         scorer = sent.value
         n = words.num_rows
-        counts, classes = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        counts, unit_of = np.zeros(n, np.int64), np.zeros(n, np.int64)
         at = words.column("number").to_numpy()
-        counts[at], classes[at] = words.column("c").to_numpy(), words.column("class").to_numpy()
-        rows = []
-        for doc_id, held, ids in zip(docs.column("doc_id").to_pylist(), docs.column("held_out").to_pylist(), docs.column("ids")):
-            ids = unpacked(ids.as_py())
-            rows.append((doc_id, held, len(ids), *(s := scorer.score(ids, counts, classes))[:1], scorer.tokens, *s[1:]))
-        cols = list(zip(*rows)) or [()] * 7
+        counts[at], unit_of[at] = words.column("c").to_numpy(), words.column("unit").to_numpy()
+        unit_of[at] = np.where(unit_of[at] < 0, scorer.units.first[words.column("class").to_numpy()], unit_of[at])
+        texts = [unpacked(ids.as_py()) for ids in docs.column("ids")]
+        cols = [docs.column("doc_id").to_pylist(), docs.column("held_out").to_pylist(), [len(t) for t in texts]]
+        known, base, score = zip(*scorer.score(texts, counts, unit_of))
+        cols += [known, [scorer.tokens] * len(texts), base, score]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
+class _UnitOf(dict):
+    """Word -> unit; a rare word's is its class's slot."""
+
+    def __init__(self, units: Units):
+        super().__init__(zip(units.words, units.number.tolist()))
+        self.first = units.first.tolist()
+
+    def __missing__(self, word):
+        if len(word) <= 32:
+            self[word] = unit = self.first[class_of(word)]
+            return unit
+        return self.first[class_of(word)]
+
+
+FIT_SCHEMA = "part int, n bigint, data binary"
+
+
+def _fitted(sent, batch: int):
+    """Each task trains on its own texts; its parameters go out in parts, with the number of tokens that they have seen."""
+
+    def run(tables):
+        units, net = sent.value
+        unit_of = _UnitOf(units)
+
+        def texts():
+            for t in tables:
+                for text in t.column(0):
+                    yield np.fromiter(map(unit_of.__getitem__, tokens_of(text.as_py()) + [END]), np.int64)
+
+        if n := train(net, units, texts(), batch):
+            flat = net.flat()
+            for k, i in enumerate(range(0, len(flat), PART)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[i : i + PART].tobytes()], pa.binary())], ["part", "n", "data"])
+
+    return run
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    n = table.column("n").to_pylist()
+    data = sum(k * np.frombuffer(d.as_py(), np.float32).astype(float) for k, d in zip(n, table.column("data"))) / sum(n)
+    return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([sum(n)], pa.int64()), pa.array([data.astype(np.float32).tobytes()], pa.binary())], ["part", "n", "data"])
+
+
 def score(docs: DataFrame, of: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``."""
     spark = docs.sparkSession
@@ -230,9 +406,22 @@ def score(docs: DataFrame, of: int = 7, remainder: int = 2) -> DataFrame:
     cells = np.zeros(CELLS, np.int64)
     summed = table.filter("kind = 'cells'").select("cell_row", F.posexplode("cells").alias("i", "n")).filter("n > 0").groupBy("cell_row", "i").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     cells[summed.column("cell_row").to_numpy() * CELLS_A_ROW + summed.column("i").to_numpy()] = summed.column("n").to_numpy()
-    sent = spark.sparkContext.broadcast(Scorer(train_classes(cells), class_tokens, class_types))
-    counted = listed.select("block", "number", "word", "class").join(vocabulary.select("word", "c"), "word", "left").select(
-        "block", "number", "class", F.coalesce("c", F.lit(0)).alias("c")
+    tokens, types = int(class_tokens.sum()), int(class_types.sum())
+    # words that often are at most 8 * sqrt(tokens) in number
+    frequent = vocabulary.filter(F.col("c") >= max(2, math.isqrt(tokens) // 8)).orderBy(F.desc("c"), "word").toArrow()
+    units = Units(frequent.column("word").to_pylist(), frequent.column("class").to_pylist(), frequent.column("c").to_pylist(), class_tokens, class_types)
+    net = Network(units, cells)
+    batch = min(8192, max(256, tokens // 256))
+    to_fit = spark.sparkContext.broadcast((units, net))
+    run = rows.filter("not held_out").select("text").mapInArrow(_fitted(to_fit, batch), FIT_SCHEMA)
+    fitted = sorted(run.groupBy("part").applyInArrow(_mean, FIT_SCHEMA).collect(), key=lambda r: r["part"])  # one set of parameters
+    if fitted:
+        net.take(np.concatenate([np.frombuffer(r["data"], np.float32) for r in fitted]))
+    sent = spark.sparkContext.broadcast(Scorer(units, net, tokens, types))
+    numbers = spark.createDataFrame(list(zip(map(bytearray, units.words), units.number.tolist())), "word binary, unit bigint")
+    vocabulary = vocabulary.select("word", "c").join(F.broadcast(numbers), "word", "left")
+    counted = listed.select("block", "number", "word", "class").join(vocabulary, "word", "left").select(
+        "block", "number", "class", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("unit", F.lit(-1)).alias("unit")
     )
     texts = table.filter("kind = 'doc'").select("block", "doc_id", "held_out", "ids")
     counted = counted.withColumnRenamed("block", "of_block")

@@ -409,3 +409,28 @@ def test_pipeline_stages(spark, docs, tmp_path):
         assert docs.columns == columns, name
     left = {r["doc_id"] for r in docs.collect()}
     assert left and not left & {0, 1, 2, 3, 4, 6, 121}  # no letter; shorter or later copies
+
+
+def test_lm_tells_words_of_one_class_apart(spark):
+    pairs = ("winning morning", "running evening", "running morning", "winning evening")
+    assert len({lm_scoring.class_of(w.encode()) for p in pairs for w in p.split()}) == 1
+    learned = [(None, " ".join([pairs[k % 2]] * 20)) for k in range(200)]
+    asked = [(i, " ".join([p] * 20)) for i, p in enumerate(pairs)]
+    out = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(learned + asked, "doc_id long, text string")).collect() if r["doc_id"] is not None}
+    seen, unseen = (min(out[0]["score"], out[1]["score"]), max(out[2]["score"], out[3]["score"]))
+    assert seen > unseen + 1
+
+
+def test_lm_probabilities_sum_to_one_over_units():
+    tokens, types = np.zeros(lm_scoring.CLASSES), np.zeros(lm_scoring.CLASSES)
+    tokens[[0, 3, 9]], types[[0, 3, 9]] = (5, 90, 40), (1, 6, 2)
+    units = lm_scoring.Units([b"p", b"q", b"r"], [3, 9, 3], [30, 38, 20], tokens, types)
+    cells = np.zeros(lm_scoring.CELLS, np.int64)
+    cells[[3, 9, 3 * 64 + 9]] = 40
+    net = lm_scoring.Network(units, cells)
+    rng = np.random.default_rng(1)
+    assert lm_scoring.train(net, units, (rng.integers(0, units.n, 50) for _ in range(40)), 256) == 2000
+    scorer = lm_scoring.Scorer(units, net, 135, 9)
+    every = np.arange(units.n)
+    for a, b in ((0, 0), (3, int(units.number[0])), (int(units.number[2]), 9)):
+        assert (10 ** scorer.logs(np.full(units.n, a), np.full(units.n, b), every)).sum() == pytest.approx(1, abs=1e-4)
