@@ -1,10 +1,10 @@
 """Media columns: payloads as lossless WebP images.
 
 A text's UTF-8 bytes, filled up with bytes 255 to a positive multiple of 576, are
-the samples of one or more lossless images.  The stored bytes are decoded again,
-and checksums and features come from the decoded pixels.  The feature lists the
-images' sizes, mean and deviation of the samples, and their distribution over 16
-ranges, in thousandths.
+the samples of one or more lossless images: the media column.  ``as_columns``
+gives it with the pixel arrays that decoding it gives, and ``as_media`` the
+checksums and features of both.  The feature lists the images' sizes, mean and
+deviation of the samples, and their distribution over 16 ranges, in thousandths.
 
 Null text is empty: a payload of 576 fill bytes.  Every row is stored by itself;
 an empty table gives an empty result; other columns are not looked at.
@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .webp import read_payload, store_payload
+from .webp import read_images, samples, store_payload
+from .workers import BATCH_BYTES, bounded_batches, lean
 
 UNIT = 576
+COLUMNS = "doc_id bigint, n_bytes bigint, media binary, images array<struct<width: int, height: int, argb: binary>>"
 SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
@@ -40,19 +42,46 @@ def feature(samples: bytes, shapes) -> str:
 
 
 def _stored(tables):
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    image = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("argb", pa.binary())])
     for t in tables:
-        rows = []
+        ids, sizes, medias, images, held = [], [], [], [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(medias, pa.binary()), pa.array(images, pa.list_(image))], ["doc_id", "n_bytes", "media", "images"])
+
         for doc_id, text in zip(t.column(0), t.column(1)):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             media = store_payload(padded(raw))
-            back, shapes = read_payload(media)
-            rows.append((doc_id.as_py(), len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, shapes)))
+            ids.append(doc_id.as_py())
+            sizes.append(len(raw))
+            medias.append(media)
+            images.append([{"width": p.shape[1], "height": p.shape[0], "argb": p.astype("<u4").tobytes()} for p in read_images(media)])
+            held += 5 * len(raw)
+            if held >= BATCH_BYTES:
+                yield batch()
+                ids, sizes, medias, images, held = [], [], [], [], 0
+        yield batch()
+
+
+def _digests(tables):
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    for t in tables:
+        rows = []
+        for doc_id, n, media, images in zip(*(t.column(k) for k in range(4))):
+            media, images = media.as_py(), images.as_py()
+            back = b"".join(samples(np.frombuffer(i["argb"], "<u4")) for i in images)
+            rows.append((doc_id.as_py(), n.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, [(i["width"], i["height"]) for i in images])))
         cols = list(zip(*rows)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
+def as_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media, images: each row's stored images, and the pixels (row by row, 4 bytes each) read back from them."""
+    bounded_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(lean(_stored), COLUMNS)
+
+
 def as_media(docs: DataFrame) -> DataFrame:
-    """The digest columns of each row's stored image."""
-    return docs.select("doc_id", "text").mapInArrow(_stored, SCHEMA)
+    """The digest columns of each row's media and pixels."""
+    return as_columns(docs).mapInArrow(lean(_digests), SCHEMA)

@@ -2,12 +2,17 @@
 
 ``decode`` reads prefix codes, meta prefix images, back-references and the colour
 cache, and inverts the predictor, cross-colour, subtract-green and palette
-transforms.  Images whose codes all have 8 or 0 bits, as ``encode_bytes`` writes
-them, take a vectorised way through the same headers.
+transforms.  With one group of codes, what a symbol would be is looked up at every
+bit at once, and only the steps from symbol to symbol are followed one by one.
+
+``encode_bytes`` writes prefix codes fitted to the image, back-references, a colour
+cache, and the transform (none, a predictor or a packed palette) that leaves
+the least entropy.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 
 import numpy as np
@@ -34,6 +39,10 @@ MOST = 16384  # pixels of a side
 REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), axis=1, bitorder="little").ravel()
 
 
+def _reversed(code: int, n: int) -> int:
+    return (int(REVERSED[code & 255]) << 8 | int(REVERSED[code >> 8])) >> (16 - n)
+
+
 class Bits:
     """Little-endian bit reader."""
 
@@ -58,8 +67,6 @@ class Code:
         lengths = list(lengths)
         used = [s for s, n in enumerate(lengths) if n]
         self.only = used[0] if len(used) == 1 else (0 if not used else None)
-        # every symbol 0..255 with 8 bits: the code is the symbol
-        self.plain = used == list(range(256)) and all(lengths[s] == 8 for s in used)
         self.table: dict[tuple[int, int], int] = {}
         if self.only is None:
             code, last = 0, 0
@@ -69,10 +76,30 @@ class Code:
                 code, last = code + 1, n
             if code != 1 << last:
                 raise ValueError("a prefix code is not complete")
+        self.most, self.short = max(lengths, default=0), None
+
+    def look_up(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """(symbols, lengths, mask): by the next bits under the mask."""
+        if self.only is not None:
+            return np.array([self.only], np.int32), np.zeros(1, np.int32), 0
+        most = max(n for n, _ in self.table)
+        symbols, lengths = np.zeros(1 << most, np.int32), np.zeros(1 << most, np.int32)
+        for (n, code), s in self.table.items():
+            at = _reversed(code, n)
+            symbols[at :: 1 << n], lengths[at :: 1 << n] = s, n
+        return symbols, lengths, (1 << most) - 1
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
+        if self.most <= 8:
+            if self.short is None:
+                symbols, lengths, mask = self.look_up()
+                self.short = symbols.tolist(), lengths.tolist(), mask
+            symbols, lengths, mask = self.short
+            index = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2], "little") >> (bits.at & 7) & mask
+            bits.read(lengths[index])  # not past the end
+            return symbols[index]
         code = 0
         for n in range(1, 16):
             code = code << 1 | bits.read(1)
@@ -140,8 +167,11 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + N_LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, N_DISTANCES)
     groups = [[_read_code(bits, n) for n in sizes] for _ in range(n_groups)]
     total = width * height
-    if n_groups == 1 and not cache_bits and all(c.plain or (c.only is not None and (k or c.only < 256)) for k, c in enumerate(groups[0][:4])):
-        return _read_plain(bits, total, groups[0])
+    if n_groups == 1 and groups[0][0].only is None:
+        return _read_group(bits, total, width, groups[0], cache_bits)
+    if n_groups == 1 and not cache_bits and groups[0][0].only < 256 and all(c.only is not None for c in groups[0][1:4]):
+        green, red, blue, alpha = (c.only for c in groups[0][:4])
+        return np.full(total, alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
     out = [0] * total
     cache = [0] * (1 << cache_bits)
     shift = 32 - cache_bits
@@ -177,25 +207,91 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _read_plain(bits: Bits, total: int, group: list[Code]) -> np.ndarray:
-    """Pixels whose channels take 8 bits or none: no position depends on a value before it."""
-    channels = [k for k in range(4) if group[k].only is None]
-    out = np.zeros(total, np.uint32)
-    for k, shift in ((0, 8), (1, 16), (2, 0), (3, 24)):
-        if group[k].only is not None:
-            out |= np.uint32(group[k].only << shift)
-    if not channels:
-        return out
-    n = total * len(channels)
-    first, off = bits.at >> 3, bits.at & 7
-    raw = np.frombuffer(bits.data, np.uint8, n + (off > 0), first)
-    if off:
-        raw = (raw[:-1] >> off) | (raw[1:] << (8 - off))
-    values = REVERSED[raw].reshape(total, len(channels))
-    for i, k in enumerate(channels):
-        out |= values[:, i].astype(np.uint32) << np.uint32((8, 16, 0, 24)[k])
-    bits.at += 8 * n
-    return out
+def _read_group(bits: Bits, total: int, width: int, group: list[Code], cache_bits: int, step: int = 1 << 15) -> np.ndarray:
+    """Pixels of one group of codes: symbols are looked up at all bits of ``step`` bytes, then followed."""
+    tables = [c.look_up() for c in group]
+    out: list[int] = []
+    cache, shift, slot_of = [0] * (1 << cache_bits), 32 - cache_bits, {}
+
+    def read(k, at):
+        symbols, lengths, mask = tables[k]
+        index = window[at] & mask
+        return symbols[index], at + lengths[index]
+
+    def numbers(symbol, at):
+        extra = np.maximum(0, (symbol - 2) >> 1)
+        value = ((2 + (symbol & 1)) << extra) + (window[at] & ((1 << extra) - 1)) + 1
+        return np.where(symbol < 4, symbol + 1, value), at + extra
+
+    while len(out) < total:
+        first = bits.at >> 3
+        if first >= len(bits.data):
+            raise ValueError("the image ends early")
+        raw = np.zeros(step + 20, np.int64) if first + step + 20 <= len(bits.data) else np.zeros(len(bits.data) - first + 20, np.int64)
+        here = np.frombuffer(bits.data, np.uint8, min(len(raw), len(bits.data) - first), first)
+        raw[: len(here)] = here
+        quads = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        window = (quads[:, None] >> np.arange(8)).ravel()
+        n_bits = 8 * (len(raw) - 20)  # symbols begin before; what they read may be after
+        at = np.arange(n_bits)
+        green, after = read(0, at)
+        argb = green.astype(np.int64) << 8
+        then = after
+        for k, left in ((1, 16), (2, 0), (3, 24)):
+            if group[k].only is not None:
+                argb |= group[k].only << left
+                continue
+            value, then = read(k, then)
+            argb |= value.astype(np.int64) << left
+        nexts = np.where(green < 256, then, after)
+        copies = np.flatnonzero((green >= 256) & (green < 256 + N_LENGTHS))
+        length, then = numbers(green[copies] - 256, after[copies])
+        symbol, then = read(4, then)
+        far, then = numbers(symbol, then)
+        nexts[copies] = then
+        follow, found, p = nexts.tolist(), [], bits.at & 7
+        room = total - len(out)
+        while p < n_bits and len(found) < room:  # a symbol is one pixel at least
+            found.append(p)
+            p = follow[p]
+        kinds = green[found].tolist()
+        which = np.searchsorted(copies, found)
+        lengths, fars, colours = length.tolist(), far.tolist(), argb[found]
+        slots = (((CACHE_FACTOR * colours & 0xFFFFFFFF) >> shift) if cache_bits else np.zeros(len(found), np.int64)).tolist()
+        n_out = len(out)
+        for k, (s, colour, slot) in enumerate(zip(kinds, colours.tolist(), slots)):
+            if n_out >= total:
+                p = found[k]
+                break
+            if s < 256:
+                out.append(colour)
+                cache[slot] = colour
+                n_out += 1
+            elif s >= 256 + N_LENGTHS:
+                out.append(cache[s - 256 - N_LENGTHS])
+                n_out += 1
+            else:
+                n, d = lengths[which[k]], fars[which[k]]
+                if d > len(NEAR):
+                    d -= len(NEAR)
+                else:
+                    dx, dy = NEAR[d - 1]
+                    d = max(1, dx + dy * width)
+                if d > n_out or n_out + n > total:
+                    raise ValueError("a back-reference leaves the image")
+                part = out[n_out - d : n_out - d + n if n < d else None]
+                part = part if n <= d else (part * (n // d + 1))[:n]  # a copy may read what it has just written
+                out += part
+                n_out += n
+                if cache_bits:
+                    for c in part:
+                        if (slot := slot_of.get(c)) is None:
+                            slot = slot_of[c] = (CACHE_FACTOR * c & 0xFFFFFFFF) >> shift
+                        cache[slot] = c
+        bits.at = 8 * first + p
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the image ends early")
+    return np.array(out, np.uint32)
 
 
 def _split(p: np.ndarray) -> np.ndarray:
@@ -240,6 +336,15 @@ def _neighbours(c, x: int, y: int, width: int):
 def _undo_predictor(p: np.ndarray, modes: np.ndarray, tile_bits: int) -> np.ndarray:
     height, width = p.shape
     c = _split(p).astype(int)
+    used = set(np.unique((modes >> 8) & 15).tolist())
+    if used == {1} or used == {2}:
+        # rows begin by the pixel above, the first row goes on by the one before; sums do for the rest
+        c[0, 0, 3] += 255
+        if used == {1}:
+            c[:, 0] = c[:, 0].cumsum(0)
+            return _joined(c.cumsum(1) & 255)
+        c[0] = c[0].cumsum(0)
+        return _joined(c.cumsum(0) & 255)
     for y in range(height):
         for x in range(width):
             if not x and not y:
@@ -354,35 +459,215 @@ def riff(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def code_lengths(counts, most: int = 15) -> list[int]:
+    """Lengths of a prefix code of at most ``most`` bits, for symbols with a count; two at least have one."""
+    counts = list(counts)
+    used = [s for s, n in enumerate(counts) if n]
+    used += [s for s in (0, 1) if s not in used][: max(0, 2 - len(used))]
+    weights = [max(1, counts[s]) for s in used]
+    while True:
+        heap = [(n, k) for k, n in enumerate(weights)]
+        heapq.heapify(heap)
+        above, new = [0] * (2 * len(used) - 1), len(used)
+        while len(heap) > 1:
+            a, i = heapq.heappop(heap)
+            b, j = heap[0]
+            above[i] = above[j] = new
+            heapq.heapreplace(heap, (a + b, new))
+            new += 1
+        depth = [0] * new
+        for k in range(new - 2, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth) <= most:
+            break
+        weights = [(n + 1) // 2 for n in weights]
+    lengths = [0] * len(counts)
+    for k, s in enumerate(used):
+        lengths[s] = depth[k]
+    return lengths
+
+
+def codes(lengths) -> np.ndarray:
+    """Each symbol's code as its bits are written, lowest first."""
+    out, code, last = np.zeros(len(lengths), np.int64), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        out[s] = _reversed(code, n)
+        code, last = code + 1, n
+    return out
+
+
+def _put_code(w: Writer, lengths: list[int]) -> None:
+    runs, at = [], 0  # (symbol, extra bits, how many)
+    while at < len(lengths):
+        n, end = lengths[at], at
+        while end < len(lengths) and lengths[end] == 0 and end - at < 138:
+            end += 1
+        if end - at >= 3:
+            runs.append((18, end - at - 11, 7) if end - at > 10 else (17, end - at - 3, 3))
+            at = end
+        else:
+            runs.append((n, 0, 0))
+            at += 1
+    counts = [0] * 19
+    for s, _, _ in runs:
+        counts[s] += 1
+    of_lengths = code_lengths(counts, 7)
+    used = max(k for k, s in enumerate(LENGTH_ORDER) if of_lengths[s]) + 1
+    w.put(0, 1)
+    w.put(max(4, used) - 4, 4)
+    for s in LENGTH_ORDER[: max(4, used)]:
+        w.put(of_lengths[s], 3)
+    w.put(0, 1)
+    written = codes(of_lengths).tolist()
+    for s, extra, n in runs:
+        w.put(written[s], of_lengths[s])
+        w.put(extra, n)
+
+
+def _symbols(values: np.ndarray):
+    """Symbols, extra bits and how many, of lengths or distances."""
+    x = values - 1
+    high = np.frexp(np.maximum(x, 1))[1] - 1
+    extra = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + ((x >> np.maximum(high - 1, 0)) & 1)), x & ((1 << extra) - 1), extra
+
+
+LEAST, LONGEST, FARTHEST = 6, 4096, (1 << 20) - 121
+
+
+def back_references(v: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) in order and without overlaps, from equal runs of LEAST values or more."""
+    n = len(v) - LEAST + 1
+    if n < 2:
+        return []
+    keys = np.zeros(n, np.uint64)
+    for k in range(LEAST):
+        keys |= v[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    far = np.zeros(n, np.int64)
+    far[order[1:][same]] = (order[1:] - order[:-1])[same]
+    far[far > FARTHEST] = 0
+    starts = np.flatnonzero(np.diff(far, prepend=-1))
+    ends = np.append(starts[1:], n) + LEAST - 1
+    out, at = [], 0
+    for a, b, d in zip(*(x[far[starts] > 0].tolist() for x in (starts, ends, far[starts]))):
+        a = max(a, at)
+        if b - a >= 4:
+            out += [(c, min(LONGEST, b - c), d) for c in range(a, b, LONGEST)]
+            at = b
+    return out
+
+
+def _packed_bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One byte a bit, of all values one after the other."""
+    parts = []
+    for i in range(0, len(values), 1 << 16):
+        v, n = values[i : i + (1 << 16)], sizes[i : i + (1 << 16)]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        parts.append((np.repeat(v, n) >> place & 1).astype(np.uint8))
+    return np.concatenate(parts)
+
+
+def _entropy(v: np.ndarray) -> float:
+    n = np.bincount(v)
+    n = n[n > 0]
+    return float((n * np.log2(len(v) / n)).sum())
+
+
+CACHE_BITS = 6
+
+
+def _put_pixels(w: Writer, v: np.ndarray, alpha: int) -> np.ndarray:
+    """Codes of an image with green samples ``v`` go to ``w``; the pixels' bits are returned."""
+    w.put(1, 1)
+    w.put(CACHE_BITS, 4)
+    w.put(0, 1)  # one group of codes
+    colours = np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(alpha << 24)
+    slots = ((colours * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).astype(np.int64)[v]
+    order = np.argsort(slots, kind="stable")
+    hit = np.zeros(len(v), bool)
+    hit[order[1:]] = (slots[order[1:]] == slots[order[:-1]]) & (v[order[1:]] == v[order[:-1]])
+    green = np.where(hit, 256 + N_LENGTHS + slots, v)
+    copies = np.array(back_references(v), np.int64).reshape(-1, 3)
+    begun = np.ones(len(v), bool)
+    edges = np.zeros(len(v) + 1, np.int64)
+    np.add.at(edges, copies[:, 0], 1)
+    np.add.at(edges, copies[:, 0] + copies[:, 1], -1)
+    begun[edges[:-1].cumsum() > 0] = False
+    begun[copies[:, 0]] = True
+    length, length_extra, length_bits = _symbols(copies[:, 1])
+    far, far_extra, far_bits = _symbols(copies[:, 2] + len(NEAR))
+    green[copies[:, 0]] = 256 + length
+    place = np.cumsum(begun)[copies[:, 0]] - 1
+    green = green[begun]
+    green_lengths = code_lengths(np.bincount(green, minlength=256 + N_LENGTHS + (1 << CACHE_BITS)).tolist())
+    far_lengths = code_lengths(np.bincount(far, minlength=N_DISTANCES).tolist())
+    _put_code(w, green_lengths)
+    w.single(0)
+    w.single(0)
+    w.single(alpha)
+    _put_code(w, far_lengths)
+    values, sizes = np.zeros((len(green), 4), np.int64), np.zeros((len(green), 4), np.int64)
+    values[:, 0], sizes[:, 0] = codes(green_lengths)[green], np.array(green_lengths)[green]
+    values[place, 1], sizes[place, 1] = length_extra, length_bits
+    values[place, 2], sizes[place, 2] = codes(far_lengths)[far], np.array(far_lengths)[far]
+    values[place, 3], sizes[place, 3] = far_extra, far_bits
+    some = sizes.ravel() > 0
+    return _packed_bits(values.ravel()[some], sizes.ravel()[some])
+
+
 def encode_bytes(payload: bytes, width: int) -> bytes:
     """One image whose green samples are the payload; its length is a multiple of ``width``."""
-    height = len(payload) // width
+    v = np.frombuffer(payload, np.uint8).astype(np.int64).reshape(-1, width)
+    height = len(v)
     w = Writer()
     w.put(0x2F, 8)
     w.put(width - 1, 14)
     w.put(height - 1, 14)
     w.put(0, 4)  # no alpha, version 0
-    w.put(0, 3)  # no transform, no colour cache, one group of codes
-    w.put(0, 1)  # green: code lengths follow
-    used = LENGTH_ORDER.index(8) + 1
-    w.put(used - 4, 4)
-    w.put(1 << 3 * (used - 1), 3 * used)  # of the lengths only 8 occurs, so each takes no bits
-    w.put(1, 1)
-    w.put(3, 3)
-    w.put(254, 8)  # the first 256 symbols have one
-    w.single(0)
-    w.single(0)
-    w.single(255)
-    w.single(0)
-    head = w.value.to_bytes((w.n + 7) // 8, "little")
-    coded, off = REVERSED[np.frombuffer(payload, np.uint8)], w.n & 7
-    if not off:
-        return riff(head + coded.tobytes())
-    out = np.zeros(len(coded) + 1, np.uint8)
-    out[:-1] = coded << off
-    out[1:] |= coded >> (8 - off)
-    out[0] |= head[-1]
-    return riff(head[:-1] + out.tobytes())
+    met = np.flatnonzero(np.bincount(v.ravel(), minlength=256))
+    left, top = v.copy(), v.copy()
+    left[:, 1:] -= v[:, :-1]
+    left[1:, 0] -= v[:-1, 0]
+    top[1:] -= v[:-1]
+    top[0, 1:] -= v[0, :-1]
+    kinds = [v, left & 255, top & 255]
+    mode = int(np.argmin([_entropy(k.ravel()) for k in kinds]))
+    alpha = 255
+    if len(met) <= 16:
+        n = len(met)
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(n - 1, 8)
+        w.put(0, 1)  # the table: differences of the colours, without a cache
+        steps = np.diff(met, prepend=0)
+        lengths = code_lengths(np.bincount(steps, minlength=256 + N_LENGTHS).tolist())
+        _put_code(w, lengths)
+        w.single(0)
+        w.single(0)
+        w.single(0)
+        w.single(0)
+        for s, c in zip(steps.tolist(), codes(lengths)[steps].tolist()):
+            w.put(c, lengths[s])
+        pack = 3 if n <= 2 else 2 if n <= 4 else 1
+        each, some = 8 >> pack, 1 << pack
+        index = np.searchsorted(met, v)
+        index = np.pad(index, ((0, 0), (0, -width % some))).reshape(height, -1, some)
+        v = (index << (each * np.arange(some))).sum(-1)
+    elif mode:
+        w.put(1, 1)
+        w.put(PREDICTOR, 2)
+        w.put(7, 3)  # tiles of 512, all of one mode
+        w.put(0, 1)
+        for s in (mode, 0, 0, 255, 0):
+            w.single(s)
+        v, alpha = kinds[mode], 0
+    w.put(0, 1)  # no further transform
+    body = _put_pixels(w, v.ravel(), alpha)
+    head = np.unpackbits(np.frombuffer(w.value.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
+    return riff(np.packbits(np.concatenate([head, body]), bitorder="little").tobytes())
 
 
 def store_payload(payload: bytes, narrow: int = 24, wide: int = 576) -> bytes:
@@ -392,13 +677,21 @@ def store_payload(payload: bytes, narrow: int = 24, wide: int = 576) -> bytes:
     return b"".join(encode_bytes(payload[a : a + step], width) for a in range(0, len(payload), step))
 
 
-def read_payload(media: bytes) -> tuple[bytes, list[tuple[int, int]]]:
-    """The green samples of all images, and the images' (width, height)."""
-    parts, shapes, at = [], [], 0
+def read_images(media: bytes) -> list[np.ndarray]:
+    """The pixels of all images."""
+    out, at = [], 0
     while at < len(media):
         n = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        p = decode(media[at : at + n])
-        parts.append((p >> 8).astype(np.uint8).tobytes())
-        shapes.append((p.shape[1], p.shape[0]))
+        out.append(decode(media[at : at + n]))
         at += n
-    return b"".join(parts), shapes
+    return out
+
+
+def samples(p: np.ndarray) -> bytes:
+    return (p >> 8).astype(np.uint8).tobytes()
+
+
+def read_payload(media: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+    """The green samples of all images, and the images' (width, height)."""
+    images = read_images(media)
+    return b"".join(map(samples, images)), [(p.shape[1], p.shape[0]) for p in images]

@@ -434,3 +434,34 @@ def test_lm_probabilities_sum_to_one_over_units():
     every = np.arange(units.n)
     for a, b in ((0, 0), (3, int(units.number[0])), (int(units.number[2]), 9)):
         assert (10 ** scorer.logs(np.full(units.n, a), np.full(units.n, b), every)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_media_columns_are_coded_images(docs, rows, monkeypatch):
+    monkeypatch.setattr(media, "BATCH_BYTES", 5000)
+    for r in media.as_columns(docs).collect():
+        payload = media.padded((rows[r["doc_id"]][1] or "").encode())
+        assert b"".join(bytes(i["argb"])[1::4] for i in r["images"]) == payload
+        assert all(len(i["argb"]) == 4 * i["width"] * i["height"] for i in r["images"])
+        assert len(r["media"]) < len(payload)  # a raw copy is longer
+
+
+def test_writer_uses_what_the_format_has(monkeypatch):
+    seen = set()
+    for name in ("_undo_predictor", "_undo_palette", "_read_group"):
+        def spy(*a, f=getattr(webp, name), name=name):
+            seen.add((name, a[4] > 0) if name == "_read_group" else name)
+            return f(*a)
+        monkeypatch.setattr(webp, name, spy)
+    rng = np.random.default_rng(4)
+    text = sentence(rng, 2000).encode()[:5760]
+    ramp = (np.arange(5760) // 7 % 256).astype(np.uint8).tobytes()
+    walk = rng.integers(0, 2, (240, 24)).cumsum(0).astype(np.uint8).tobytes()  # like the row above
+    few = rng.integers(0, 3, 5760).astype(np.uint8).tobytes()
+    noise = rng.integers(0, 256, 576 * 200).astype(np.uint8).tobytes()
+    one = b"\xff" * 576
+    for payload in (text, ramp, walk, few, noise, one):
+        assert webp.read_payload(webp.store_payload(payload))[0] == payload
+    assert seen == {"_undo_predictor", "_undo_palette", ("_read_group", True), ("_read_group", False)}
+    assert len(webp.store_payload(text)) < len(text) // 2 and webp.back_references(np.frombuffer(text, np.uint8))
+    skewed = [2**k for k in range(30)]
+    assert max(webp.code_lengths(skewed)) <= 15 and sum(2.0**-n for n in webp.code_lengths(skewed)) == 1
