@@ -83,12 +83,13 @@ _NUMBERS = {w: str(i) for i, w in enumerate("zero one two three four five six se
 _ANY_TWIN = re.compile("[" + "".join(map(re.escape, _TWINS)) + "]")
 _NUMBER = "(?:" + "|".join(_NUMBERS) + ")"
 # A row of at least four words for digits, or of digits and such words.
-_SPELLED = re.compile(rf"(?<![A-Za-z]){_NUMBER}(?:[ ,.-]{{1,2}}(?:{_NUMBER}|[0-9]))*+(?![A-Za-z])", re.I)
+_SPELLED = re.compile(rf"(?<![A-Za-z]){_NUMBER}(?![A-Za-z])(?:[ ,.-]{{1,2}}(?:{_NUMBER}|[0-9])(?![A-Za-z]))*+", re.I)
 _AT = re.compile(r"[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?", re.I)
 _DOT = re.compile(r"[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?", re.I)
-# Between blanks: "name at host dot tld"
-_SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( at )[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*? dot [A-Za-z]{2,}(?![A-Za-z0-9])", re.I)
-_SIGNS = re.compile(r"[\[({<][ ]?(?:at|@|dot|\.)[ ]?[\])}>]| dot |(?<![a-z])(?:" + "|".join(_NUMBERS) + r")[ ,.-]{1,2}(?:" + "|".join(_NUMBERS) + r"|[0-9])(?![a-z])", re.I)
+# Between blanks: "name at host dot tld", "name at host.tld", and "10 dot 0 dot 0 dot 1"
+_SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( at )[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*(?: dot |\.)[A-Za-z]{2,}(?![A-Za-z0-9])", re.I)
+_SAID_BETWEEN_DIGITS = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
+_SIGNS = re.compile(r"[\[({<][ ]?(?:at|@|dot|\.)[ ]?[\])}>]| dot | at [a-z0-9-]+\.[a-z0-9]|(?<![a-z])(?:" + "|".join(_NUMBERS) + r")[ ,.-]{1,2}(?:" + "|".join(_NUMBERS) + r"|[0-9])(?![a-z])", re.I)
 
 
 def _edits(text: str) -> list[tuple[int, int, str]]:
@@ -96,6 +97,7 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), _TWINS[m[0]]) for m in _ANY_TWIN.finditer(text)]
     found += [(m.start(), m.end(), "@") for m in _AT.finditer(text)]
     found += [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
+    found += [(m.start(), m.end(), ".") for m in _SAID_BETWEEN_DIGITS.finditer(text)]
     for m in _SAID.finditer(text):
         found.append((m.start(1), m.end(1), "@"))
         found += [(m.end(1) + d.start(), m.end(1) + d.end(), ".") for d in re.finditer(" dot ", text[m.end(1) : m.end()], re.I)]

@@ -465,3 +465,18 @@ def test_writer_uses_what_the_format_has(monkeypatch):
     assert len(webp.store_payload(text)) < len(text) // 2 and webp.back_references(np.frombuffer(text, np.uint8))
     skewed = [2**k for k in range(30)]
     assert max(webp.code_lengths(skewed)) <= 15 and sum(2.0**-n for n in webp.code_lengths(skewed)) == 1
+
+
+@pytest.mark.parametrize("number, after", [("+four nine five one five one two three four five six", x) for x in (", Ohio", ". Ones", " sixteen", ", 7th", "")])
+def test_spelled_number_before_a_word_that_begins_like_one(number, after):
+    text = "call " + number + after
+    (kind, a, b), = private_data.all_spans(text)[1]
+    assert (kind, text[a:b]) == ("phone", number)
+
+
+def test_spoken_dots_and_at():
+    cases = {"host 10 dot 0 dot 0 dot 1 is up": ("ip", "10 dot 0 dot 0 dot 1"), "ask jane at mail.org today": ("email", "jane at mail.org"), "ask jane at mail.co.uk.": ("email", "jane at mail.co.uk"), "ask jane at mail.co dot uk.": ("email", "jane at mail.co dot uk")}
+    for text, want in cases.items():
+        base, every = private_data.all_spans(text)
+        assert base == [] and [(k, text[a:b]) for k, a, b in every] == [want]
+    assert private_data.all_spans("we met at noon. Then 3 dot 5 left")[1] == []
