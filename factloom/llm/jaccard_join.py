@@ -258,11 +258,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(lean(_verified), "a bigint, b bigint")
 
 
-def linked(sets: DataFrame) -> DataFrame:
-    """(node, component) of the class representatives that link with another one."""
-    classes = sets.filter("entries is not null").groupBy("key").agg(F.min("doc_id").alias("r"))
-    reps = sets.filter("entries is not null").join(classes.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("r")))
-    reps = written(reps.select("doc_id", "n_shingles", "tokens", "sketch", "entries").dropDuplicates(["doc_id"]), "join-representatives")
+def classes_of(sets: DataFrame, shared: bool) -> DataFrame:
+    """k, r, node: of each distinct set its key, smallest doc_id, and node.
+
+    The node is r, but where r stands for several sets, each of them has a node above all doc_ids.
+    """
+    classes = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("r")).withColumnRenamed("key", "k")
+    if not shared:
+        return classes.withColumn("node", F.col("r"))
+    several = classes.groupBy("r").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("r").alias("several"))
+    above = F.lit(1 << 62) + F.xxhash64("k").bitwiseAND(F.lit((1 << 62) - 1))
+    return classes.join(several, F.col("r") == F.col("several"), "left").select("k", "r", F.when(F.col("several").isNull(), F.col("r")).otherwise(above).alias("node"))
+
+
+def linked(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) of the classes' nodes that link with another one."""
+    reps = sets.filter("entries is not null").join(classes, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("r"))).dropDuplicates(["key"])
+    reps = written(reps.select(F.col("node").alias("doc_id"), "n_shingles", "tokens", "sketch", "entries"), "join-representatives")
     entries = reps.select(F.col("doc_id").alias("r"), "n_shingles", F.explode("entries").alias("e"))
     repeated = entries.groupBy("e").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("e").alias("f"))
     entries = written(entries.join(repeated, F.col("e") == F.col("f")).select("e", "r", "n_shingles"), "join-entries")
@@ -306,12 +318,23 @@ def linked(sets: DataFrame) -> DataFrame:
 def join(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
     sets = indexed_sets(docs, width)
-    of = linked(sets)
     slim = sets.select("doc_id", "n_shingles", "key")
+    ids = written(slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("shared_id")), "join-shared")
+    shared = not ids.isEmpty()
     # equal sets, whether or not their tokens are rare, are one class
-    classes = slim.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("r")).withColumnRenamed("key", "k")
-    named = classes.join(of, F.col("r") == F.col("node"), "left").select("k", F.coalesce("component", "r").alias("c"))
-    return slim.join(named, F.col("key") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    classes = classes_of(sets, shared)
+    of = linked(sets, classes)
+    if shared:
+        # a shared doc_id links the sets of its rows
+        rows = slim.join(ids, F.col("doc_id") == F.col("shared_id")).join(classes, F.col("key") == F.col("k"))
+        by_id = rows.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+        of = written(components(of.toDF("a", "b").unionByName(by_id)), "join-components")
+    named = classes.join(of.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("k", F.coalesce("component", "r").alias("c"))
+    out = slim.join(named, F.col("key") == F.col("k"), "left")
+    if shared:  # and so a row without tokens goes by its doc_id
+        by_id = of.select(F.col("node").alias("of_id"), F.col("component").alias("by_id"))
+        out = out.join(by_id, F.col("key").isNull() & (F.col("doc_id") == F.col("of_id")), "left").withColumn("c", F.coalesce("c", "by_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

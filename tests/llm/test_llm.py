@@ -480,3 +480,13 @@ def test_spoken_dots_and_at():
         base, every = private_data.all_spans(text)
         assert base == [] and [(k, text[a:b]) for k, a, b in every] == [want]
     assert private_data.all_spans("we met at noon. Then 3 dot 5 left")[1] == []
+
+
+def test_jaccard_join_of_shared_and_missing_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (" ".join(f"{k}{w}" for w in rng.integers(0, 10**6, 120)) for k in "abcde")
+    near = lambda t: t + " and more"
+    rows = [(5, a), (5, b), (5, None), (6, near(a)), (7, near(b)), (2, c), (9, c), (9, d), (4, near(d)), (None, e), (None, near(c)), (8, "alone in this table with words"), (10, "")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # -1 is linked to 2 by c, 9 has c too and brings d, and with it 4; 5 has a and b
+    assert got == {(5, 5), (6, 5), (7, 5), (2, -1), (9, -1), (4, -1), (-1, -1), (8, 8), (10, 10)}
