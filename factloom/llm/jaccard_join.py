@@ -10,29 +10,34 @@ link at a Jaccard similarity of 75 % or more.  The join is exact on these sets:
 2. Prefixes.  A set of n tokens misses at most t = n - ceil(0.75 n) tokens of a
    set it links with.  In the global order (rare first, by frequency class and
    hash) the first tokens are taken until they *cover* t + 1: a rare token covers
-   one; frequent tokens are dealt over subclasses by hash, and a subclass with k
-   tokens in the prefix covers k - 1, for which all 2-token combinations are
-   indexed.  Losing t tokens uncovers at most t, so linked sets share a rare
-   token or a combination of two frequent ones.  The number of subclasses goes by
-   the power of two below n; a set that can link with smaller ones of the next
-   lower power also indexes by that one's.  Sets of under 32 tokens index single
-   tokens.  A set whose t + 1 rarest tokens occur nowhere else links with nothing
-   and is done.
+   one and is indexed by itself.  A frequent token is indexed in combinations of k
+   = 2, a very frequent one in those of k = 3: they are dealt over subclasses by
+   hash, and a subclass with j tokens in the prefix covers j - k + 1, for which all
+   its combinations of k are indexed.  Losing t tokens uncovers at most t, so
+   linked sets share an entry.  The number of subclasses goes by the power of two
+   below n; a set that can link with smaller ones of the next lower power also
+   indexes by that one's.  A set whose t + 1 rarest tokens occur nowhere else links
+   with nothing and is done.
 3. Verification.  Equal sets are one class, with the smallest doc_id for all.
    Of the sets that share an index entry, each is first compared with one of them
    (its hub), which is linear in the entries; linked sets become one component,
-   and entries that lie within one component are done.  After rounds with
-   different hubs, what is left, entries across components, is compared pair by
-   pair.  There, the join itself drops pairs that can't link: a set's sketch has
-   a bit for each of 512 hash buckets, the parity of the bucket's tokens, so two
-   sketches differ in at most as many bits as the sets do in tokens, and linked
-   sets differ in at most a seventh of their tokens.  A hub with many partners
-   is dealt over several places.
+   and entries that lie within one component are done.  Rounds with other hubs
+   follow as long as each takes a tenth off the pairs that are left.  Then entries
+   across components are compared pair by pair, each pair at one entry: every set
+   carries its first few entries, and where two sets share some of these, only the
+   least of them counts for the pair.  The join itself drops pairs that can't link,
+   by their sizes, by their tokens that no other set has, and by a sketch of the
+   others (a bit for each of 512 hash buckets, the parity of the bucket's tokens, so
+   two sketches differ in at most as many bits as the sets do in tokens): linked
+   sets differ in at most a seventh of their tokens.  A hub with many partners is
+   dealt over several places.
 
 Null and empty texts have no tokens and link with nothing.  Rows that share a
-doc_id are one node: their sets link them together.  Rows without doc_id take
-part as doc_id -1 would.  An empty table gives an empty result; other columns
-are not looked at.
+doc_id are one node: their sets link them together.  A row without doc_id takes
+part by its text and is returned without one; its component_id is the smallest
+doc_id that it reaches, or null.  Identifiers from 2**62 on are reserved for such
+sets.  The time of a very long text follows its length; its set is held by one
+task.  An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -45,15 +50,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import dropped, new_path, without, written
+from .scratch import dealt_join, dropped, new_path, without, written
 from .shingles import PLACES, Shingler, mixed, set_key, similar
 from .workers import bounded_batches, give_back, lean
 
 BLOCK_BYTES = 8_000_000
-FREQUENT = 24  # documents from which on a token is indexed in combinations
-SINGLES_BELOW = 5  # sets of under 2**5 tokens index single tokens
+FREQUENT = {2: 24, 3: 576}  # sets with a token from which on it is indexed in combinations of so many
 PARTNERS_AT_A_PLACE = 256
-HUB_ROUNDS = 3
+FIRST_ENTRIES = 8  # what a set carries to tell where a pair counts
+RESERVED = 1 << 62  # identifiers of sets without a doc_id of their own
 
 
 def frequency_class(n: np.ndarray) -> np.ndarray:
@@ -61,6 +66,9 @@ def frequency_class(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 100, n, np.minimum(255, 100 + 8 * np.log2(np.maximum(n, 100) / 100))).astype(np.uint8)
 
 
+FREQUENT_CLASS = {k: int(frequency_class(np.array([n]))[0]) for k, n in FREQUENT.items()}
+
+
 def _pack(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
@@ -147,6 +155,21 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return pa.table({"block": blocks, "part": table.column("part"), "classes": pa.array(packed, pa.binary())})
 
 
+def _combinations(tokens: np.ndarray, group: np.ndarray, k: int) -> list[np.ndarray]:
+    """All k-combinations of the tokens within each group, each as its sorted members' columns."""
+    by = np.lexsort((tokens, group))
+    t, g = tokens[by], group[by]
+    rows = [np.arange(len(t))]
+    for _ in range(k - 1):
+        last = rows[-1]
+        end = np.searchsorted(g, g[last], "right")
+        more = end - last - 1  # members of the group after the last one
+        at = np.repeat(np.arange(len(last)), more)
+        new = np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more) + last[at] + 1
+        rows = [r[at] for r in rows] + [new]
+    return [t[r] for r in rows]
+
+
 def prefix_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray | None:
     """Index entries of a set, or None if it can't link with any other one."""
     n = len(tokens)
@@ -159,31 +182,34 @@ def prefix_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray | None:
     schemes = [power] + [power - 1] * (3 * n < 4 << power and power > 0)
     keys = []
     for s in schemes:
-        frequent = classes >= FREQUENT if s >= SINGLES_BELOW else np.zeros(n, bool)
+        # combinations that leave enough to cover: none of single tokens, pairs in sets of under 8
+        k_of = np.ones(n, np.int64)
+        for k in (2, 3):
+            if s >= 2 * k - 3:
+                k_of[classes >= FREQUENT_CLASS[k]] = k
+        sub = (tokens >> np.uint64(7)) % np.uint64(1 << max(0, s - 3)) * np.uint64(4) + k_of.astype(np.uint64)
         covers = np.ones(n, np.int64)
-        sub = None
-        if frequent.any():
-            at = np.flatnonzero(frequent)
-            sub = (tokens[at] >> np.uint64(7)) % np.uint64(1 << (s - 3))
-            covers[at[np.unique(sub, return_index=True)[1]]] = 0  # the first of a subclass covers nothing yet
+        for k in (2, 3):
+            at = np.flatnonzero(k_of == k)
+            if len(at):
+                by = at[np.argsort(sub[at], kind="stable")]  # each subclass in the global order
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(sub[by])) + 1])
+                place = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
+                covers[by[place < k - 1]] = 0
         end = int(np.searchsorted(np.cumsum(covers), need)) + 1
-        keys.append(tokens[:end][~frequent[:end] & (classes[:end] > 1)])
-        if sub is None:
-            continue
-        inside = at < end
-        t, g = tokens[at[inside]], sub[inside]
-        by = np.lexsort((t, g))
-        t, g = t[by], g[by]
-        for d in range(1, len(t)):
-            same = g[d:] == g[:-d]
-            if not same.any():
-                break
-            a, b = t[:-d][same], t[d:][same]
-            keys.append(mixed(a * PLACES[0] + mixed(b * PLACES[1]) + np.uint64(s)))
+        t, g, k_of = tokens[:end], sub[:end], k_of[:end]
+        keys.append(t[(k_of == 1) & (classes[:end] > 1)])
+        for k in (2, 3):
+            some = k_of == k
+            if some.any():
+                key = np.uint64(s)
+                for place, column in enumerate(_combinations(t[some], g[some], k)):
+                    key = mixed(key + column * PLACES[place])
+                keys.append(key)
     return np.unique(np.concatenate(keys))
 
 
-SET_SCHEMA = "doc_id bigint, n_shingles bigint, key binary, tokens binary, sketch array<bigint>, entries array<bigint>"
+SET_SCHEMA = "doc_id bigint, n_shingles bigint, key binary, tokens binary, alone bigint, sketch array<bigint>, entries array<bigint>"
 SKETCH_WORDS = 8
 
 
@@ -193,10 +219,19 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def may_link(a, b, n_a, n_b):
-    """False only for sets under 75 %: their difference is over a seventh of their sizes' sum."""
-    bits = [F.bit_count(F.element_at(a, i).bitwiseXOR(F.element_at(b, i))) for i in range(1, SKETCH_WORDS + 1)]
-    return sum(bits[1:], bits[0]) * 7 <= n_a + n_b
+def may_link(a, b):
+    """False only for sets under 75 %: their difference is over a seventh of their sizes' sum.
+
+    a and b: functions from a column's name to the column of one set and of the other.
+    """
+    near = (a("n_shingles") * 4 >= b("n_shingles") * 3) & (b("n_shingles") * 4 >= a("n_shingles") * 3)
+    bits = [F.bit_count(F.element_at(a("sketch"), i).bitwiseXOR(F.element_at(b("sketch"), i))) for i in range(1, SKETCH_WORDS + 1)]
+    return near & ((sum(bits[1:], bits[0]) + a("alone") + b("alone")) * 7 <= a("n_shingles") + b("n_shingles"))
+
+
+def own_id(key: bytes) -> int:
+    """What stands for the doc_id of rows that have none: one of the reserved numbers, by their set."""
+    return RESERVED | int.from_bytes(key[:8], "little") >> 2
 
 
 def _indexed(width: int):
@@ -210,12 +245,16 @@ def _indexed(width: int):
         of = np.frombuffer(b"".join(_unpack(c.as_py()) for _, c in parts), np.uint8)
         rows = []
         for doc_id, s in zip(texts.column("doc_ids")[0].as_py(), sets):
-            entries = prefix_keys(s, of[np.searchsorted(every, s)])
-            live = entries is not None
-            rows.append((doc_id, len(s), set_key(s) if len(s) else None, s.astype("<u8").tobytes() if live else None, sketch(s) if live else None, entries.view(np.int64) if live else None))
+            if not len(s):
+                rows.append((doc_id, 0, None, None, None, None, None))
+                continue
+            k, c = set_key(s), of[np.searchsorted(every, s)]
+            entries = prefix_keys(s, c)
+            row = (own_id(k) if doc_id is None else doc_id, len(s), k)
+            rows.append(row + ((None,) * 4 if entries is None else (s.astype("<u8").tobytes(), int((c <= 1).sum()), sketch(s[c > 1]), entries.view(np.int64))))
         cols = list(zip(*rows))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_shingles", "key", "tokens", "sketch", "entries"])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_shingles", "key", "tokens", "alone", "sketch", "entries"])
 
     return run
 
@@ -227,9 +266,8 @@ def indexed_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     # about two million tokens to a range, so that one fits into a task whatever the corpus
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // 12_000_000))
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
     blocks = new_path(spark, "join-blocks")
-    table = written(rows.mapInArrow(lean(_blocks(parts, width)), BLOCK_SCHEMA), "join-blocks", blocks)
+    table = written(docs.select("doc_id", "text").mapInArrow(lean(_blocks(parts, width)), BLOCK_SCHEMA), "join-blocks", blocks)
     counts = table.filter("kind = 'tokens'").select("block", "part", "tokens", "counts")
     classes = counts.groupBy("part").applyInArrow(_frequencies, "block string, part int, classes binary").withColumnRenamed("block", "of_block")
     texts = table.filter("kind = 'texts'").select("block", "doc_ids", "lengths", "texts")
@@ -259,86 +297,117 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def classes_of(sets: DataFrame, shared: bool) -> DataFrame:
-    """k, r, node: of each distinct set its key, smallest doc_id, and node.
+    """k, r, node, n_rows: of each distinct set its key, smallest doc_id, node and number of rows.
 
-    The node is r, but where r stands for several sets, each of them has a node above all doc_ids.
+    The node is r, but where r stands for several sets, each of them has a reserved one.
     """
-    classes = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("r")).withColumnRenamed("key", "k")
+    classes = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("r"), F.count(F.lit(1)).alias("n_rows")).withColumnRenamed("key", "k")
     if not shared:
         return classes.withColumn("node", F.col("r"))
     several = classes.groupBy("r").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("r").alias("several"))
-    above = F.lit(1 << 62) + F.xxhash64("k").bitwiseAND(F.lit((1 << 62) - 1))
-    return classes.join(several, F.col("r") == F.col("several"), "left").select("k", "r", F.when(F.col("several").isNull(), F.col("r")).otherwise(above).alias("node"))
+    reserved = F.lit(RESERVED) + F.xxhash64("k").bitwiseAND(F.lit(RESERVED - 1))
+    return classes.join(several, F.col("r") == F.col("several"), "left").withColumn("node", F.when(F.col("several").isNull(), F.col("r")).otherwise(reserved)).drop("several")
+
+
+def _hubs(here: DataFrame, k: int) -> DataFrame:
+    """Entries (f) across components, with a hub each, another one in every round, and the pairs that they stand for."""
+    order = F.xxhash64("r", F.lit(k // 2)) if k else F.col("r")
+    hub = F.struct(order.alias("o"), "r", "c", "n_shingles")
+    spread = here.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), (F.max if k % 2 else F.min)(hub).alias("hub"), F.count(F.lit(1)).cast("double").alias("m")).filter("lo < hi")
+    return spread.select(F.col("e").alias("f"), F.col("hub.r").alias("hr"), F.col("hub.c").alias("hc"), F.col("hub.n_shingles").alias("hn"), (F.col("m") * (F.col("m") - 1) / 2).alias("m_pairs"))
+
+
+def _met_hubs(here: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Each set of an entry with the entry's hub, where their components differ and their sizes allow a link."""
+    near = (F.col("n_shingles") * 4 >= F.col("hn") * 3) & (F.col("hn") * 4 >= F.col("n_shingles") * 3)
+    met = here.join(hubs, F.col("e") == F.col("f")).filter("c != hc").filter(near)
+    return met.select(F.least("r", "hr").alias("a"), F.greatest("r", "hr").alias("b")).distinct()
+
+
+def _met_pairs(here: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
+    """What may link of the pairs that share an entry across components."""
+    left = here.join(hubs.select("f"), F.col("e") == F.col("f")).select("e", "r", "c")
+    marks = sets.select(F.col("doc_id").alias("d"), "n_shingles", "alone", "sketch", F.slice("entries", 1, FIRST_ENTRIES).alias("first"))
+    left = left.join(marks, F.col("r") == F.col("d")).drop("d")
+    other = left.toDF(*[f"{c}_2" for c in left.columns])
+    both = F.array_intersect("first", "first_2")
+    counts_here = (F.size(both) == 0) | (F.array_min(both) == F.col("e"))
+    met = left.join(other, (F.col("e") == F.col("e_2")) & (F.col("c") < F.col("c_2")) & may_link(F.col, lambda c: F.col(f"{c}_2")) & counts_here)
+    return met.select(F.least("r", "r_2").alias("a"), F.greatest("r", "r_2").alias("b")).distinct()
 
 
 def linked(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes' nodes that link with another one."""
+    spark, paths = sets.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        paths.append(new_path(spark, name))
+        return written(df, name, paths[-1])
+
     reps = sets.filter("entries is not null").join(classes, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("r"))).dropDuplicates(["key"])
-    reps = written(reps.select(F.col("node").alias("doc_id"), "n_shingles", "tokens", "sketch", "entries"), "join-representatives")
+    reps = kept(reps.select(F.col("node").alias("doc_id"), "n_shingles", "tokens", "alone", "sketch", "entries"), "join-representatives")
     entries = reps.select(F.col("doc_id").alias("r"), "n_shingles", F.explode("entries").alias("e"))
     repeated = entries.groupBy("e").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("e").alias("f"))
-    entries = written(entries.join(repeated, F.col("e") == F.col("f")).select("e", "r", "n_shingles"), "join-entries")
+    entries = kept(entries.join(repeated, F.col("e") == F.col("f")).select("e", "r", "n_shingles"), "join-entries")
     tokens = reps.select("doc_id", "tokens")
-    links, of, done = None, None, None
-    for k in range(HUB_ROUNDS + 1):
+    links = of = done = before = None
+    k, by_hubs = 0, True
+    while True:
         here = entries if of is None else entries.join(of, F.col("r") == F.col("node"), "left")
         here = here.select("e", "r", "n_shingles", (F.col("r") if of is None else F.coalesce("component", "r")).alias("c"))
-        # entries within one component are done
-        spread = here.groupBy("e").agg(
-            F.min("c").alias("lo"), F.max("c").alias("hi"),
-            (F.min if k % 2 == 0 else F.max)(F.struct((F.xxhash64("r", F.lit(k // 2)) if k else F.col("r")).alias("o"), "r", "c", "n_shingles")).alias("hub"),
-        ).filter("lo < hi").select(F.col("e").alias("f"), "hub.r", "hub.c", "hub.n_shingles")
-        if k < HUB_ROUNDS:
-            hub = spread.toDF("f", "hr", "hc", "hn")
-            met = here.join(hub, F.col("e") == F.col("f")).filter("c != hc")
-            near = (F.col("n_shingles") * 4 >= F.col("hn") * 3) & (F.col("hn") * 4 >= F.col("n_shingles") * 3)
-            pairs = met.filter(near).select(F.least("r", "hr").alias("a"), F.greatest("r", "hr").alias("b")).distinct()
-        else:
-            left = here.join(spread.select("f"), F.col("e") == F.col("f")).select("e", "r", "n_shingles", "c")
-            left = left.join(reps.select(F.col("doc_id").alias("d"), "sketch"), F.col("r") == F.col("d")).drop("d")
-            left = written(left, "join-left")
-            other = left.toDF("e2", "r2", "n2", "c2", "sketch2")
-            near = (F.col("n_shingles") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n_shingles") * 3)
-            met = left.join(other, (F.col("e") == F.col("e2")) & (F.col("c") < F.col("c2")) & near & may_link(F.col("sketch"), F.col("sketch2"), F.col("n_shingles"), F.col("n2")))
-            pairs = met.select(F.least("r", "r2").alias("a"), F.greatest("r", "r2").alias("b")).distinct()
+        hubs = kept(_hubs(here, k), "join-hubs")
+        size = hubs.agg(F.count(F.lit(1)).alias("n"), F.sum("m_pairs").alias("pairs")).first()
+        if not size["n"]:
+            break
+        # a round of hubs costs a pass over the entries, and is worth it while it takes a tenth off the pairs
+        by_hubs = by_hubs and (before is None or size["pairs"] <= 0.9 * before)
+        before = size["pairs"]
+        pairs = kept(_met_hubs(here, hubs) if by_hubs else _met_pairs(here, hubs, reps), "join-met")
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "join-pairs")
-        if pairs.isEmpty():
-            if k < HUB_ROUNDS:
-                continue
+            pairs = kept(pairs.join(done, ["a", "b"], "left_anti"), "join-pairs")
+        if not pairs.isEmpty():
+            done = pairs if done is None else done.unionByName(pairs)
+            found = kept(verified(pairs, tokens), "join-links")
+            links = found if links is None else links.unionByName(found)
+            of = written(components(links), "join-components")
+        if not by_hubs:
             break
-        done = pairs if done is None else done.unionByName(pairs)
-        found = written(verified(pairs, tokens), "join-links")
-        links = found if links is None else links.unionByName(found)
-        of = written(components(links), "join-components")
-    return of if of is not None else entries.select(F.col("r").alias("node"), F.col("r").alias("component")).limit(0)
+        k += 1
+    nothing = entries.select(F.col("r").alias("node"), F.col("r").alias("component")).limit(0)
+    of = nothing if of is None else of
+    if links is not None:  # nothing that is read from here on asks for these tables
+        for path in paths:
+            dropped(spark, path)
+    return of
 
 
 def join(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
     sets = indexed_sets(docs, width)
     slim = sets.select("doc_id", "n_shingles", "key")
-    ids = written(slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("shared_id")), "join-shared")
+    ids = written(slim.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("shared_id")), "join-shared")
     shared = not ids.isEmpty()
     # equal sets, whether or not their tokens are rare, are one class
-    classes = classes_of(sets, shared)
+    classes = written(classes_of(sets, shared), "join-classes")
     of = linked(sets, classes)
     if shared:
         # a shared doc_id links the sets of its rows
         rows = slim.join(ids, F.col("doc_id") == F.col("shared_id")).join(classes, F.col("key") == F.col("k"))
         by_id = rows.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
         of = written(components(of.toDF("a", "b").unionByName(by_id)), "join-components")
-    named = classes.join(of.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("k", F.coalesce("component", "r").alias("c"))
-    out = slim.join(named, F.col("key") == F.col("k"), "left")
+    named = classes.join(of.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("k", "n_rows", F.coalesce("component", "r").alias("c"))
+    out = dealt_join(slim, named, "key", "k", "n_rows", F.col("doc_id"))
     if shared:  # and so a row without tokens goes by its doc_id
         by_id = of.select(F.col("node").alias("of_id"), F.col("component").alias("by_id"))
         out = out.join(by_id, F.col("key").isNull() & (F.col("doc_id") == F.col("of_id")), "left").withColumn("c", F.coalesce("c", "by_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    known = lambda c: F.when(c < RESERVED, c)
+    return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(F.coalesce("c", "doc_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id, with all its columns."""
+    """One row of each component, the one with the smallest doc_id, with all its columns.
+
+    Rows without doc_id stay where none of their component has one; of equal ones a single row stays.
+    """
     rows = join(docs.select("doc_id", "text"))
-    doc_id = F.when(F.col("doc_id") != -1, F.col("doc_id"))  # a row without doc_id took part as -1
-    return without(docs, rows.select(doc_id.alias("doc_id"), (F.col("component_id") == F.col("doc_id")).alias("kept")))
+    return without(docs, rows.select("doc_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")))

@@ -50,6 +50,28 @@ def few(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+STANDS_OUT = 10_000  # a key with over 1/STANDS_OUT of all rows is dealt over several places: there are fewer such keys than this
+
+
+def dealt_join(rows: DataFrame, groups: DataFrame, key: str, group_key: str, count: str, by, at_a_place: int = 2_000) -> DataFrame:
+    """``rows`` left-joined to ``groups`` (unique ``group_key``, ``count`` rows of it, and more) on the key.
+
+    Keys that stand out by their rows are dealt over several places by a hash of
+    ``by``, with a copy of their group at each; the list of these keys has fewer
+    than STANDS_OUT entries however large the table is, and so is sent to all tasks.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    least = max(at_a_place, total // STANDS_OUT)
+    places = F.ceil(F.col(count) / F.lit(float(max(1, least // 2)))).cast("int")
+    large = groups.filter(F.col(count) > least).select(F.col(group_key).alias("__hot"), places.alias("__places"))
+    if large.isEmpty():
+        return rows.join(groups, F.col(key) == F.col(group_key), "left")
+    dealt = rows.join(F.broadcast(large), F.col(key) == F.col("__hot"), "left")
+    dealt = dealt.withColumn("__place", F.pmod(F.xxhash64(by), F.coalesce("__places", F.lit(1))).cast("int")).drop("__hot", "__places")
+    copies = groups.withColumn("__at", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > least, places - 1).otherwise(0))))
+    return dealt.join(copies, (F.col(key) == F.col(group_key)) & (F.col("__place") == F.col("__at")), "left").drop("__place", "__at")
+
+
 IDS_SENT = 500_000  # identifiers of removed rows that a broadcast may hold, 8 bytes each
 
 

@@ -137,10 +137,10 @@ def test_jaccard_join(docs, rows):
 
 def test_prefixes_lose_no_link():
     rng = np.random.default_rng(5)
-    for _ in range(300):
-        n = int(rng.integers(1, 200))
+    for k in range(600):
+        n = int(rng.integers(1, 200 if k % 2 else 20))
         pool = rng.integers(0, 2**63, 400).astype(np.uint64)
-        freq = dict(zip(pool.tolist(), rng.choice([1, 2, 10, 30, 200], 400).tolist()))
+        freq = dict(zip(pool.tolist(), rng.choice([1, 2, 10, 30, 140, 200], 400).tolist()))
         a = np.unique(rng.choice(pool, n, replace=False))
         b = np.unique(np.concatenate([rng.permutation(a)[: max(1, int(len(a) * rng.uniform(0.75, 1)))], rng.choice(pool, int(rng.integers(0, 10)))]))
         if not jaccard_join.similar(a, b) or len(a) == len(b) == jaccard_join.similar(a, b):
@@ -488,5 +488,26 @@ def test_jaccard_join_of_shared_and_missing_ids(spark):
     near = lambda t: t + " and more"
     rows = [(5, a), (5, b), (5, None), (6, near(a)), (7, near(b)), (2, c), (9, c), (9, d), (4, near(d)), (None, e), (None, near(c)), (8, "alone in this table with words"), (10, "")]
     got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # -1 is linked to 2 by c, 9 has c too and brings d, and with it 4; 5 has a and b
-    assert got == {(5, 5), (6, 5), (7, 5), (2, -1), (9, -1), (4, -1), (-1, -1), (8, 8), (10, 10)}
+    # 2 and 9 have c, 9 brings d, and with it 4; a row without doc_id is near c, another one has e alone; 5 has a and b
+    assert got == {(5, 5), (6, 5), (7, 5), (2, 2), (9, 2), (4, 2), (None, 2), (None, None), (8, 8), (10, 10)}
+    some = [(1, a), (1, b), (2, near(a)), (3, near(b)), (-1, c), (None, d), (None, near(d)), (None, "x"), (None, None)]
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(some, "doc_id long, text string")).collect())
+    assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 1, (-1, -1): 1, (None, None): 4}
+
+
+def test_jaccard_join_of_large_groups(spark, monkeypatch):
+    """Copies, near copies on both sides of the threshold and shared passages, with every list long enough for combinations."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT_CLASS", {2: 3, 3: 6})
+    rng = np.random.default_rng(12)
+    base = [f"b{w}" for w in rng.integers(0, 10**6, 90)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for j in rng.integers(0, 90, int(rng.integers(0, 7))):
+            words[j] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(words[: int(rng.integers(60, 91))]))
+    texts += [" ".join(base[:k]) for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12) for _ in range(4)]
+    texts += [texts[0]] * 40
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
