@@ -69,7 +69,7 @@ ORACLE = {
         select doc_id,
                first_value(doc_id) over w as keep_id,
                count(*) over (partition by k) as group_size,
-               doc_id = first_value(doc_id) over w as kept,
+               row_number() over w = 1 as kept,
                sha256(k) as text_sha256
         from n window w as (partition by k order by length(t) desc, doc_id)
     """,
