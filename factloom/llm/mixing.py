@@ -20,8 +20,10 @@ whatever the partitions.
 
 Rules for odd rows: null text has no words; documents without words take none;
 a null source is a source of its own and the last in order; rows that share a
-doc_id are mixed as separate rows that share their random numbers; an empty
-table gives an empty result; other columns are not looked at.
+doc_id, or have none, are mixed as separate rows that share their random numbers
+(of rows equal in doc_id, source and size, any may be the ones that are taken more
+often); of a very long text only its size goes on; an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -72,12 +74,18 @@ def source_targets(sizes: DataFrame, total_share: float, cap: float, weights=WEI
     )
 
 
-LEAF = "struct<doc_id:bigint,size:double,mass:double,u:double>"
-DONE = "array<struct<doc_id:bigint,full:boolean>>"
+MEMBER = ("doc_id", "row", "size", "mass", "u")
+LEAF = "struct<doc_id:bigint,row:bigint,size:double,mass:double,u:double>"
+DONE = "array<struct<row:bigint,full:boolean>>"
 
 
 def _leaf(x: Column) -> Column:
-    return F.struct(*[x[c].alias(c) for c in ("doc_id", "size", "mass", "u")])
+    return F.struct(*[x[c].alias(c) for c in MEMBER])
+
+
+def _member(level: int, seed: int) -> Column:
+    """A document among those of a node, the largest first."""
+    return F.struct((-F.col("size")).alias("o"), "doc_id", "size", "mass", _unit(F.col("doc_id"), level, seed).alias("u"), "row")
 
 
 def _unit(doc_id: Column, level: int, seed: int) -> Column:
@@ -92,7 +100,7 @@ def _meet(acc: Column, x: Column) -> Column:
     down = F.least(held["mass"], new["size"] - new["mass"])  # from held to new
     move = F.when(new["u"] * (up + down) < down, up).otherwise(-down)
     a, b = held["mass"] + move, new["mass"] - move
-    node = lambda of, mass: F.struct(of["doc_id"].alias("doc_id"), of["size"].alias("size"), mass.alias("mass"), of["u"].alias("u"))
+    node = lambda of, mass: F.struct(*[(mass if c == "mass" else of[c]).alias(c) for c in MEMBER])
     # masses are exact at the bound that stopped the move
     new_done = F.when(move > 0, (up == new["mass"])).otherwise(down == new["size"] - new["mass"])
     new_full = move <= 0
@@ -106,7 +114,7 @@ def _meet(acc: Column, x: Column) -> Column:
                 acc["done"],
                 F.array(
                     F.struct(
-                        F.when(new_done, new["doc_id"]).otherwise(held["doc_id"]).alias("doc_id"),
+                        F.when(new_done, new["row"]).otherwise(held["row"]).alias("row"),
                         F.when(new_done, new_full).otherwise(held_full).alias("full"),
                     )
                 ),
@@ -116,7 +124,7 @@ def _meet(acc: Column, x: Column) -> Column:
 
 
 def pivotal_round(units: DataFrame, fanout: int = 48, seed: int = 0) -> DataFrame:
-    """(source, doc_id, full) for ``units`` (source, doc_id, size, mass), 0 < mass < size.
+    """(row, full) for ``units`` (source, doc_id, row, size, mass), 0 < mass < size.
 
     ``source`` may be null.  Each level writes its table, so a lost executor costs
     one level at most.  Levels needed: log(rows of a source) / log(fanout).
@@ -128,13 +136,12 @@ def pivotal_round(units: DataFrame, fanout: int = 48, seed: int = 0) -> DataFram
         # one row for each source: as small as the result of the mix itself
         most = counts.agg(F.max("nodes")).first()[0]
         if most is None:
-            return decided if decided is not None else spark.createDataFrame([], "source string, doc_id bigint, full boolean")
+            return decided if decided is not None else spark.createDataFrame([], "row bigint, full boolean")
         keyed = units.join(
             F.broadcast(counts.withColumnRenamed("source", "s")) if few(counts, SOURCES_SENT) else counts.withColumnRenamed("source", "s"),
             F.col("source").eqNullSafe(F.col("s")),
         ).withColumn("node", F.pmod(F.xxhash64("doc_id", F.lit(level), F.lit(seed + 1)), F.col("nodes")))
-        member = F.struct((-F.col("size")).alias("o"), F.col("doc_id"), F.col("size"), F.col("mass"), _unit(F.col("doc_id"), level, seed).alias("u"))
-        folded = keyed.groupBy("source", "node").agg(F.array_sort(F.collect_list(member)).alias("m")).select(
+        folded = keyed.groupBy("source", "node").agg(F.array_sort(F.collect_list(_member(level, seed))).alias("m")).select(
             "source",
             F.aggregate(
                 F.transform("m", _leaf),
@@ -143,14 +150,14 @@ def pivotal_round(units: DataFrame, fanout: int = 48, seed: int = 0) -> DataFram
             ).alias("r"),
         )
         folded = written(folded, f"mix-level{level}")
-        done = folded.select("source", F.inline("r.done"))
+        done = folded.select(F.inline("r.done"))
         decided = done if decided is None else decided.unionByName(done)
-        left = folded.select("source", "r.held.doc_id", "r.held.size", "r.held.mass")
+        left = folded.select("source", "r.held.doc_id", "r.held.row", "r.held.size", "r.held.mass")
         whole = (F.col("mass") <= 0) | (F.col("mass") >= F.col("size"))
-        decided = decided.unionByName(left.filter(whole).select("source", "doc_id", (F.col("mass") > 0).alias("full")))
+        decided = decided.unionByName(left.filter(whole).select("row", (F.col("mass") > 0).alias("full")))
         left = left.filter(~whole)
         if most == 1:
-            return decided.unionByName(left.select("source", "doc_id", (F.col("mass") * 2 >= F.col("size")).alias("full")))
+            return decided.unionByName(left.select("row", (F.col("mass") * 2 >= F.col("size")).alias("full")))
         units, level = left, level + 1
 
 
@@ -165,36 +172,37 @@ def _settle(rest: Column, x: Column) -> Column:
     return F.struct(
         others.alias("size"),
         F.greatest(F.lit(0.0), F.least(others, F.when(rises, others_mass - up).otherwise(others_mass + down))).alias("mass"),
-        F.concat(rest["done"], F.array(F.struct(x["doc_id"].alias("doc_id"), (after * 2 >= x["size"]).alias("full")))).alias("done"),
+        F.concat(rest["done"], F.array(F.struct(x["row"].alias("row"), (after * 2 >= x["size"]).alias("full")))).alias("done"),
     )
 
 
 def settle_large(units: DataFrame, sizes: DataFrame, share: float = 200.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Round the large documents against all smaller ones of their source.
 
-    Gives (source, doc_id, full) of the large ones, and the small ones with the masses
+    Gives (row, full) of the large ones, and the small ones with the masses
     that this leaves them.  A document is large if over 1/``share`` of its source, so a
     source's list has under ``share`` entries.
     """
     whole = sizes.select(F.col("source").alias("s"), "source_size")
     whole = F.broadcast(whole) if few(whole, SOURCES_SENT) else whole
     units = units.join(whole, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("large", F.col("size") * F.lit(share) > F.col("source_size"))
-    entry = F.struct((-F.col("size")).alias("o"), F.col("doc_id"), F.col("size"), F.col("mass"), _unit(F.col("doc_id"), -1, seed).alias("u"))
+    entry = _member(-1, seed)
     by_source = units.groupBy("source").agg(
         F.sum("size").alias("all_size"), F.sum("mass").alias("all_mass"), F.array_sort(F.collect_list(F.when(F.col("large"), entry))).alias("m")
     )
     start = F.struct(F.col("all_size").alias("size"), F.col("all_mass").alias("mass"), F.array().cast(DONE).alias("done"))
     folded = written(by_source.select("source", F.aggregate(F.transform("m", _leaf), start, _settle).alias("r")), "mix-large")
-    large = folded.select("source", F.inline("r.done"))
+    large = folded.select(F.inline("r.done"))
     rate = folded.select(F.col("source").alias("s"), F.when(F.col("r.size") > 0, F.col("r.mass") / F.col("r.size")).otherwise(0.0).alias("rate"))
     rate = F.broadcast(rate) if few(rate, SOURCES_SENT) else rate
-    small = units.filter("not large").join(rate, F.col("source").eqNullSafe(F.col("s"))).select("source", "doc_id", "size", (F.col("size") * F.col("rate")).alias("mass"))
+    small = units.filter("not large").join(rate, F.col("source").eqNullSafe(F.col("s"))).select("source", "doc_id", "row", "size", (F.col("size") * F.col("rate")).alias("mass"))
     return large, small
 
 
 def mix(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0, fanout: int = 48, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row for each row of ``docs``."""
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = written(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")  # once written, a row keeps its number
     targets = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), total_share, cap), "mix-targets")
     wanted = targets.select(
         F.col("source").alias("s"), "source_size", "target",
@@ -205,17 +213,17 @@ def mix(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0, fanout: int
         "mass", F.col("size") * (F.col("p") - F.col("base"))
     )
     units = planned.filter((F.col("mass") > 0) & (F.col("mass") < F.col("size"))).select(
-        "source", "doc_id", F.col("size").cast("double").alias("size"), "mass"
+        "source", "doc_id", "row", F.col("size").cast("double").alias("size"), "mass"
     )
     large, small = settle_large(units, targets, seed=seed)
     open_ = (F.col("mass") > 0) & (F.col("mass") < F.col("size"))
     rounded = pivotal_round(small.filter(open_), fanout, seed).unionByName(large).unionByName(
-        small.filter(~open_).select("source", "doc_id", (F.col("mass") > 0).alias("full"))
+        small.filter(~open_).select("row", (F.col("mass") > 0).alias("full"))
     )
-    extra = rounded.filter("full").select(F.col("doc_id").alias("d"), F.col("source").alias("ds"), F.lit(True).alias("hit")).distinct()
-    copies = F.when(F.col("size") > 0, F.col("base") + F.when(F.col("hit"), 1).otherwise(0)).otherwise(0).cast("long")
+    extra = rounded.filter("full").select(F.col("row").alias("r"))
+    copies = F.when(F.col("size") > 0, F.col("base") + F.col("r").isNotNull().cast("long")).otherwise(0).cast("long")
     return (
-        planned.join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("ds")), "left")
+        planned.join(extra, F.col("row") == F.col("r"), "left")
         .select("doc_id", "source", F.col("size"), F.col("source_size"), F.col("target"), copies.alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
@@ -224,6 +232,16 @@ def mix(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0, fanout: int
 def mixed(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns.  Rows without words are taken once."""
     plan = mix(docs.select("doc_id", "source", "text"), total_share, cap)
-    copies = plan.groupBy(F.col("doc_id").alias("__factloom_id")).agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("__factloom_copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__factloom_id"))).filter("__factloom_copies > 0")
+    plan = written(plan.select("doc_id", "source", "size", F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("copies")), "mix-plan")
+    names = {c: f"__factloom_{c}" for c in plan.columns}
+    left, on = plan.withColumnsRenamed(names), F.col("doc_id").eqNullSafe(F.col("__factloom_doc_id"))
+    rows = docs
+    if not plan.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        # rows that share a doc_id are told apart by source and size, and numbered where these are equal too
+        of_plan = Window.partitionBy(*[names[c] for c in ("doc_id", "source", "size")]).orderBy(F.desc(names["copies"]))
+        left = left.withColumn("__factloom_n", F.row_number().over(of_plan))
+        of_rows = Window.partitionBy("doc_id", "source", "__factloom_words").orderBy(F.xxhash64("text"))
+        rows = docs.withColumn("__factloom_words", word_count(F.col("text"))).withColumn("__factloom_k", F.row_number().over(of_rows))
+        on = on & F.col("source").eqNullSafe(F.col(names["source"])) & (F.col("__factloom_words") == F.col(names["size"])) & (F.col("__factloom_k") == F.col("__factloom_n"))
+    taken = rows.join(left, on).filter("__factloom_copies > 0")
     return taken.withColumn("__factloom_copy", F.explode(F.sequence(F.lit(1), F.col("__factloom_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
