@@ -7,16 +7,19 @@ share a blank.
 
 The method: every rolling k-gram of words of every text is hashed and joined to
 the positions of the templates' k-grams (a constant table of a few hundred rows,
-so the join needs no shuffle).  A match votes for the diagonal "position in text
-minus position in template".  Votes are counted by document, template and
-diagonal; diagonals that lie within ``gap`` of each other are merged, so that a
-few words more or less don't split a span; a span is verified by comparing the
-words themselves at every voting position, and its score is the share of the
-template that it covers.  A template's label holds from ``least`` on.
-
-Null and empty texts have no words and no labels, with score 0.  Rows that share
-a doc_id share the method's votes.  A row without doc_id gets base labels alone.
-An empty table gives an empty result; other columns are not looked at.
+so the join needs no shuffle).  A match is verified by comparing all its words, and
+votes for the diagonal "position in text minus position in template".  Votes are
+gathered by row, template and diagonal, as the set of the template's positions;
+diagonals that lie within ``gap`` of each other are merged, so that a few words
+more or less don't split a span; a span's score is the share of the template's
+positions that it covers.  A template's label holds from ``least`` on.
+
+Null and empty texts have no words and no labels, with score 0.  Each row has
+votes of its own, by 128 bits of its doc_id and text; rows equal in both have equal
+results, as positions count once.  A row without doc_id is one like any other.  Of
+a very long text a task holds the words and a copy of them, in pieces of
+``PIECE`` words, whose k-grams it lists piece by piece.  An empty table gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K = 4
+PIECE = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -93,64 +97,61 @@ def template_words(text: str) -> list[str]:
 
 
 def template_grams(spark: SparkSession, templates=None) -> DataFrame:
-    """(gram, t_first, t_last, template, label, t_pos, t_grams): a constant table."""
+    """(t_gram, t_words, template, label, t_pos, t_grams): a constant table."""
     rows = []
     for label, texts in (templates or TEMPLATES).items():
         for i, text in enumerate(texts):
             words = template_words(text)
             n = len(words) - K + 1
             rows += [(words[j : j + K], f"{label}/{i}", label, j, n) for j in range(n)]
-    table = spark.createDataFrame(rows, "w array<string>, template string, label string, t_pos int, t_grams int")
-    return table.select(_gram(F.col("w"), F.lit(1)).alias("gram"), F.col("w")[0].alias("t_first"), F.col("w")[K - 1].alias("t_last"), "template", "label", "t_pos", "t_grams")
+    table = spark.createDataFrame(rows, "t_words array<string>, template string, label string, t_pos int, t_grams int")
+    return table.select(F.xxhash64("t_words").alias("t_gram"), "t_words", "template", "label", "t_pos", "t_grams")
 
 
-def _gram(words: Column, at: Column) -> Column:
-    return F.xxhash64(*[F.element_at(words, (at + j).cast("int")) for j in range(K)])
+def row_key() -> list[Column]:
+    """128 bits of a row's doc_id and text, as two numbers."""
+    return [F.xxhash64("doc_id", "text", F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k2")]
 
 
 def votes(docs: DataFrame, templates=None) -> DataFrame:
-    """(doc_id, template, label, t_grams, diagonal, t_pos, pos): verified k-gram matches."""
+    """(k1, k2, template, label, t_grams, diagonal, t_pos, pos): verified k-gram matches; positions count from 1."""
     words = F.split(F.trim(spaced_words(F.col("text"))), "  ")
-    split = docs.select("doc_id", words.alias("w")).filter(F.size("w") >= K)
-    grams = split.select(
-        "doc_id",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("w") - (K - 1)),
-                lambda i: F.struct(_gram(F.col("w"), i).alias("gram"), i.alias("pos"), F.element_at("w", i).alias("first"), F.element_at("w", i + (K - 1)).alias("last")),
-            )
-        ).alias("g"),
-    ).select("doc_id", "g.*")
-    # Verification of words at each voting position: equal hashes alone don't count.
-    same = (F.col("first") == F.col("t_first")) & (F.col("last") == F.col("t_last"))
-    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), "gram").filter(same)
-    return hits.select("doc_id", "template", "label", "t_grams", (F.col("pos") - F.col("t_pos")).alias("diagonal"), "t_pos", "pos")
+    split = docs.select(*row_key(), words.alias("w")).filter(F.size("w") >= K)
+    starts = F.sequence(F.lit(1), F.size("w") - (K - 1), F.lit(PIECE))
+    piece = lambda i: F.struct(i.alias("first"), F.slice("w", i, F.lit(PIECE + K - 1)).alias("w"))
+    pieces = split.select("k1", "k2", F.explode(F.transform(starts, piece)).alias("p")).select("k1", "k2", "p.*")
+    gram = lambda i: F.struct((F.col("first") + i - 1).alias("pos"), F.slice("w", i, F.lit(K)).alias("words"))
+    grams = pieces.select("k1", "k2", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (K - 1)), gram)).alias("g")).select("k1", "k2", "g.*")
+    # equal hashes alone don't count
+    same = (F.xxhash64("words") == F.col("t_gram")) & (F.col("words") == F.col("t_words"))
+    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), same)
+    return hits.select("k1", "k2", "template", "label", "t_grams", (F.col("pos") - F.col("t_pos")).alias("diagonal"), "t_pos", "pos")
 
 
 def spans(docs: DataFrame, gap: int = 3, templates=None) -> DataFrame:
-    """(doc_id, label, template, first_pos, last_pos, score): merged, verified spans."""
-    diagonals = votes(docs, templates).groupBy("doc_id", "template", "label", "t_grams", "diagonal").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi")
+    """(k1, k2, label, template, first_pos, last_pos, score): merged, verified spans; words count from 0."""
+    diagonals = votes(docs, templates).groupBy("k1", "k2", "template", "label", "t_grams", "diagonal").agg(
+        F.collect_set("t_pos").alias("at"), F.min("pos").alias("lo"), F.max("pos").alias("hi")  # at most t_grams positions
     )
-    w = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    w = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     merged = (
         diagonals.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(w) > gap).cast("int"))
         .withColumn("area", F.sum(F.coalesce("new", F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "template", "label", "t_grams", "area")
-        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .select("k1", "k2", "template", "label", "t_grams", "area", "lo", "hi", F.explode("at").alias("t_pos"))
+        .groupBy("k1", "k2", "template", "label", "t_grams", "area")
+        .agg(F.size(F.collect_set("t_pos")).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
-    score = F.least(F.lit(1.0), F.col("n") / F.col("t_grams"))
-    return merged.select("doc_id", "label", "template", (F.col("lo") - 1).alias("first_pos"), (F.col("hi") + K - 2).alias("last_pos"), score.alias("score"))
+    return merged.select("k1", "k2", "label", "template", (F.col("lo") - 1).alias("first_pos"), (F.col("hi") + K - 2).alias("last_pos"), (F.col("n") / F.col("t_grams")).alias("score"))
 
 
 def scan(docs: DataFrame, least: float = 0.6, templates=None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    spaced = docs.select("doc_id", spaced_words(F.col("text")).alias("s"))
-    base = spaced.select("doc_id", *[c.alias(k) for k, c in base_columns(F.col("s")).items()])
-    found = spans(docs, templates=templates).groupBy(F.col("doc_id").alias("d")).agg(
+    spaced = docs.select("doc_id", *row_key(), spaced_words(F.col("text")).alias("s"))
+    base = spaced.select("doc_id", "k1", "k2", *[c.alias(k) for k, c in base_columns(F.col("s")).items()])
+    found = spans(docs, templates=templates).groupBy("k1", "k2").agg(
         F.collect_set(F.when(F.col("score") >= least, F.col("label"))).alias("more"), F.max("score").alias("best")
     )
-    joined = base.join(found, F.col("doc_id") == F.col("d"), "left")
+    joined = base.join(found, ["k1", "k2"], "left")
     text = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     none = F.array().cast("array<string>")
     return joined.select(
