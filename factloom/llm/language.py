@@ -14,8 +14,11 @@ are tried, down to single letters.
 
 Null texts and texts without a letter get ``und`` with score 0; so does every
 text when no row can be learned from.  Ties go to the alphabetically first
-language.  Every row is judged by itself; repeated rows count as often as they
-stand in the sample; other columns are not looked at.
+language, and so does a text of which the model knows nothing, with ``known`` 0.
+Every row is judged by itself, also where doc_ids repeat or are missing (such a row
+is not held out); repeated rows count as often as they stand in the sample; the
+time of a very long text follows its length.  An empty table gives an empty result;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,7 +40,13 @@ UNKNOWN = "und"
 
 
 def words_of(text: str) -> Counter:
-    return Counter(_WORD.findall(text.lower()))
+    """Runs of letters; numbers such as halves and Roman ones are none."""
+    found = Counter(_WORD.findall(text.lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
 
 
 class Table:
@@ -72,8 +81,8 @@ class Model:
             self.grams.append(Table(_top(by, grams), self.languages))
         self.unseen: dict[str, np.ndarray] = {}
 
-    def backoff(self, w: str) -> np.ndarray:
-        """Mean log frequency of the longest known n-grams that cover an unseen word from the left."""
+    def backoff(self, w: str) -> tuple[np.ndarray, bool]:
+        """Mean log frequency of the longest known n-grams that cover an unseen word from the left, and whether there is one."""
         padded, at, total, parts = f"^{w}$", 0, np.zeros(len(self.languages)), 0
         while at < len(padded):
             for n in range(min(self.longest, len(padded) - at), 0, -1):
@@ -85,12 +94,14 @@ class Model:
                     break
             else:
                 at += 1
-        return total / max(parts, 1)
+        return total / max(parts, 1), parts > 0
 
-    def judge(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its score, and the share of the text's words of which the model knows something."""
         counts = words_of(text or "")
         if not counts or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
+        strange = 0
         at, rows, times, total, n = self.words.at, [], [], np.zeros(len(self.languages)), 0
         for w, m in counts.items():
             n += m
@@ -102,12 +113,13 @@ class Model:
                 if len(self.unseen) > 100_000:
                     self.unseen.clear()
                 one = self.unseen[w] = self.backoff(w)
-            total += m * one
+            total += m * one[0]
+            strange += m * (not one[1])
         if rows:
             total += np.array(times, float) @ self.words.logs[rows]
         best = int(np.argmax(total))
         # words are weak evidence for each other, so that long texts don't all say 1.0
-        return self.languages[best], float(1 / np.exp((total - total[best]) / math.sqrt(n)).sum())
+        return self.languages[best], float(1 / np.exp((total - total[best]) / math.sqrt(n)).sum()), 1 - strange / n
 
 
 def held_out(doc_id, of: int, remainder: int):
@@ -153,27 +165,31 @@ def train(rows: DataFrame, rows_per_language: int = 1500, words: int = 20_000, g
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for each row of ``docs`` (doc_id, text)."""
+    """doc_id, lang_pred, score, known for each row of ``docs`` (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(tables):
         m = sent.value
         for t in tables:
             found = [m.judge(x) for x in t.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            said, score, known = zip(*found) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], ["doc_id", "lang_pred", "score", "known"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(judged), "doc_id bigint, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(judged), "doc_id bigint, lang_pred string, score double, known double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learns from the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score, known; learns from the rows that are not held out."""
     out = held_out(F.col("doc_id"), 3, 1)
     model = train(docs.filter(~out).select("doc_id", "text", "lang"))
-    return predict(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "known")
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a language that the model knows, with all their columns."""
-    verdicts = identify(docs.select("doc_id", "text", "lang")).select("doc_id", (F.col("lang_pred") != UNKNOWN).alias("kept"))
+    """The rows of ``docs`` with a word, or an n-gram of one, that the model knows, with all their columns.
+
+    Where rows share a doc_id, or have none, all of them go if one does.
+    """
+    verdicts = identify(docs.select("doc_id", "text", "lang")).select("doc_id", ((F.col("lang_pred") != UNKNOWN) & (F.col("known") > 0)).alias("kept"))
     by_id = written(verdicts, "languages").filter("not kept").select(F.col("doc_id").alias("__factloom_id")).distinct()
     return docs.join(F.broadcast(by_id) if few(by_id, IDS_SENT) else by_id, F.col("doc_id").eqNullSafe(F.col("__factloom_id")), "left_anti")
