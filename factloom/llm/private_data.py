@@ -13,8 +13,9 @@ to the source.  Only spans that don't overlap a base span of their kind are
 added.  Texts without any sign of a disguise are not rewritten.
 
 Null counts as empty and gives no spans.  Every row is read by itself, so
-repeated rows give repeated results; an empty table gives an empty result; other
-columns are not looked at.
+repeated rows, and rows that share a doc_id or have none, give results of their
+own; the time of a very long text follows its length.  An empty table gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .workers import bounded_batches, lean
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -65,7 +68,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind and start; failing matches are dropped, without another try."""
     out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
     if text.count(".") >= 3:
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        # leading zeros, of which there may be any number, don't count
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -84,8 +88,8 @@ _ANY_TWIN = re.compile("[" + "".join(map(re.escape, _TWINS)) + "]")
 _NUMBER = "(?:" + "|".join(_NUMBERS) + ")"
 # A row of at least four words for digits, or of digits and such words.
 _SPELLED = re.compile(rf"(?<![A-Za-z]){_NUMBER}(?![A-Za-z])(?:[ ,.-]{{1,2}}(?:{_NUMBER}|[0-9])(?![A-Za-z]))*+", re.I)
-_AT = re.compile(r"[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?", re.I)
-_DOT = re.compile(r"[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?", re.I)
+# In brackets, which may share a blank between them; the group tells "at" from "dot".
+_BRACKETS = re.compile(r"[ ]?[\[({<][ ]?(?:(at|@)|dot|\.)[ ]?[\])}>][ ]?", re.I)
 # Between blanks: "name at host dot tld", "name at host.tld", and "10 dot 0 dot 0 dot 1"
 _SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( at )[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*(?: dot |\.)[A-Za-z]{2,}(?![A-Za-z0-9])", re.I)
 _SAID_BETWEEN_DIGITS = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
@@ -95,8 +99,7 @@ _SIGNS = re.compile(r"[\[({<][ ]?(?:at|@|dot|\.)[ ]?[\])}>]| dot | at [a-z0-9-]+
 def _edits(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement), in order and without overlaps."""
     found = [(m.start(), m.end(), _TWINS[m[0]]) for m in _ANY_TWIN.finditer(text)]
-    found += [(m.start(), m.end(), "@") for m in _AT.finditer(text)]
-    found += [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
+    found += [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETS.finditer(text)]
     found += [(m.start(), m.end(), ".") for m in _SAID_BETWEEN_DIGITS.finditer(text)]
     for m in _SAID.finditer(text):
         found.append((m.start(1), m.end(1), "@"))
@@ -197,7 +200,8 @@ SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone big
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, spans: one row for each row of ``docs``."""
-    return docs.select("doc_id", "text").mapInArrow(_found, SCHEMA)
+    bounded_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(lean(_found), SCHEMA)
 
 
 def masked(text: str) -> str:
