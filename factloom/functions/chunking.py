@@ -16,19 +16,28 @@ def estimate(text: str) -> int:
 
 
 def _units(text: str, most: int):
-    """(unit, what joins it to the text before it): paragraphs, or the sentences of a longer one."""
-    for i, p in enumerate(p for p in re.split(r"\n\s*\n", text) if p.strip()):
+    """(unit, what joins it to the text before it, what the joint counts, where its paragraph began), or None where a chunk ends.
+
+    Units are paragraphs, or the sentences of a longer one, before which a chunk ends.
+    """
+    processed = 0
+    for i, p in enumerate(p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()):
+        extra = 2 * (i > 0)
         if len(p) <= most:
-            yield p, "\n\n", 2 * (i > 0)
-            continue
-        sentences = re.split(r"\. (?=[A-Z])", p)
-        for s in sentences:
-            yield (s if s.endswith(".") else s + "."), " ", 0
-        yield None, "", 0
+            yield p, "\n\n", extra, processed
+        else:
+            yield None
+            for s in re.split(r"\. (?=[A-Z])", p):
+                yield s if s.endswith(".") else s + ".", " ", 0, None
+        processed += len(p) + extra
 
 
 def chunks(text: str | None, max_tokens: int = 3000, overlap_tokens: int = 200) -> list[tuple[str, int, int, int]]:
-    """A chunk may exceed the limit by its overlap and one unit; start and end are approximate."""
+    """(text, estimated tokens, start, end) of each chunk.
+
+    A chunk begins with the end of the one before it and may exceed the limit by that
+    and one unit; start and end are approximate.
+    """
     if not text or not text.strip():
         return []
     if estimate(text) <= max_tokens:
@@ -36,28 +45,26 @@ def chunks(text: str | None, max_tokens: int = 3000, overlap_tokens: int = 200)
     most, overlap = 4 * max_tokens, 4 * overlap_tokens
     out: list[tuple[str, int, int, int]] = []
     now, start = "", 0
-    long_one = False
 
-    def flush() -> None:
+    def closed() -> bool:
         nonlocal now, start
-        done = now.strip()
-        if done:
-            out.append((done, estimate(done), start, start + len(now)))
-            start += max(0, len(now) - overlap)
-            now = now[-overlap:] if overlap else ""
-
-    for unit, joint, extra in _units(text, most):
+        if not (done := now.strip()):
+            return False
+        out.append((done, estimate(done), start, start + len(done)))
+        back = max(0, len(done) - overlap)
+        now, start = done[back:], start + back
+        return True
+
+    for unit in _units(text, most):
         if unit is None:
-            long_one = False
+            closed()
             continue
-        if joint == " " and not long_one:
-            long_one = True
-            flush()
-        if now.strip() and len(now) + len(unit) + extra > most:
-            flush()
-        now += (joint if now else "") + unit
+        said, joint, extra, began = unit
+        if len(now) + extra + len(said) > most and not closed() and began is not None:
+            now, start = "", began
+        now += (joint if now else "") + said
     if now.strip():
-        out.append((now.strip(), estimate(now.strip()), start, start + len(now)))
+        closed()
     return out
 
 

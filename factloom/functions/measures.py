@@ -24,6 +24,23 @@ def processing_delay(duration_ms: Column, n_items: Column) -> Column:
     return F.least(F.lit(60), F.greatest(F.lit(6), F.ceil(duration_ms / 1000), F.ceil(n_items / 10))).cast("long")
 
 
+#: Of a later stage: the share of the base delay, and the least seconds.  Fixed values.
+STAGE_DELAYS = {"CONCEPTS": (0.1, 6.0), "DEDUPLICATION": (0.2, 10.0)}
+
+
+def stage_delay(stage: Column, base: Column) -> Column:
+    """Seconds that a stage waits after extraction; null for other stages."""
+    out = F.lit(None).cast("double")
+    for name, (share, least) in STAGE_DELAYS.items():
+        out = F.when(stage == name, F.greatest(F.lit(least), base * share)).otherwise(out)
+    return out
+
+
+def batch_number(place: Column, size: int) -> Column:
+    """The batch of the item at ``place`` (from 0)."""
+    return F.floor(place / size).cast("int")
+
+
 def backoff(base: float, factor: float, attempt: Column, most: float, jitter: Column | None = None) -> Column:
     delay = F.least(F.lit(base) * F.pow(F.lit(factor), attempt), F.lit(most))
     return delay if jitter is None else delay * (1 + 0.2 * (2 * jitter - 1))

@@ -50,17 +50,25 @@ def contains_any(columns: list[Column], terms: list[str]) -> Column:
     return reduce(or_, tests) if tests else F.lit(False)
 
 
+# What is hidden in logs, in this order, and how: fixed values.
+MASKS = (
+    (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL]"),
+    (r"sk-[a-zA-Z0-9]{48}", "[API_KEY]"),
+    (r"eyJ[a-zA-Z0-9_-]*\.[a-zA-Z0-9_-]*\.[a-zA-Z0-9_-]*", "[JWT_TOKEN]"),
+    (r"[a-f0-9]{64}", "[HASH_64]"),
+    (r"[a-f0-9]{32}", "[HASH_32]"),
+)
+
+
 def mask(c: Column) -> Column:
-    """Cut to 200 characters, then tags for addresses, keys and digests."""
+    """Cut to 200 characters, as logs are, then tags for addresses, keys and digests."""
     cut = F.when(F.length(c) > 200, F.concat(F.substring(c, 1, 200), F.lit("..."))).otherwise(c)
-    rules = (
-        (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]"),
-        (r"\bsk-[a-zA-Z0-9]{48}\b", "[API_KEY]"),
-        (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "[JWT]"),
-        (r"\b[a-f0-9]{64}\b", "[HASH64]"),
-        (r"\b[a-f0-9]{32}\b", "[HASH32]"),
-    )
-    return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, cut)
+    return reduce(lambda x, r: F.regexp_replace(x, F.lit(r[0]), F.lit(r[1])), MASKS, cut)
+
+
+def mask_list(c: Column) -> Column:
+    """An array of strings as struct<count, sample, truncated>: three masked items, and whether there are more."""
+    return F.struct(F.size(c).alias("count"), F.transform(F.slice(c, 1, 3), mask).alias("sample"), (F.size(c) > 3).alias("truncated"))
 
 
 def redact_map(c: Column) -> Column:
@@ -74,6 +82,21 @@ def strip_fences(c: Column) -> Column:
     return trim_space(F.regexp_replace(trim_space(c), r"^```(?:json)?\s*|\s*```$", ""))
 
 
+def listed(c: Column) -> Column:
+    """Items as a prompt names them."""
+    return F.array_join(c, ", ")
+
+
+def word_window(c: Column, first: Column, n: Column) -> Column:
+    """``n`` words from the ``first`` on (from 0), by single blanks."""
+    return F.array_join(F.slice(F.split(c, r"\s+"), first + 1, n), " ")
+
+
+def tail(c: Column, n: int = 5000) -> Column:
+    """The last ``n`` characters."""
+    return F.right(c, F.lit(n))
+
+
 def token_estimate(c: Column) -> Column:
     return F.ceil(F.length(c) / 4).cast("long")
 

@@ -1,4 +1,4 @@
-"""The graph's five verbs over a store of published tables; each gives a DataFrame."""
+"""The graph's verbs over a store of published tables; each gives a DataFrame."""
 
 from __future__ import annotations
 
@@ -9,13 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import safe_id
+from .functions.measures import processing_delay
 from .operators import concepts as C
-from .operators import dedup, entities, extract, fusion, jobs, search, store
+from .operators import dedup, entities, extract, fusion, jobs, search, store, usage
 from .operators.filters import Scope
-from .schema import CONCEPTS, CONCEPTUALIZATIONS, JOBS, TRIPLE_KEY, TRIPLE_TYPES, TRIPLES, VECTORS
+from .schema import CONCEPTS, CONCEPTUALIZATIONS, JOBS, TOKEN_USAGE, TRIPLE_KEY, TRIPLE_TYPES, TRIPLES, VECTORS
 
-SCHEMAS = {"triples": TRIPLES, "concepts": CONCEPTS, "conceptualizations": CONCEPTUALIZATIONS, "vectors": VECTORS, "jobs": JOBS}
+SCHEMAS = {"triples": TRIPLES, "concepts": CONCEPTS, "conceptualizations": CONCEPTUALIZATIONS, "vectors": VECTORS, "jobs": JOBS, "token_usage": TOKEN_USAGE}
+CHUNK = "_chunk_"
 
 
 def _shaped(df: DataFrame, schema: str) -> DataFrame:
@@ -29,11 +30,25 @@ def _within(name: str, value: float, low: float, high: float) -> None:
         raise ValueError(f"{name} must be from {low} to {high}, not {value}")
 
 
+def source_root(c):
+    """A document's source, without the number of the chunk."""
+    return F.regexp_replace(c, f"{CHUNK}[0-9]+$", "")
+
+
 class KnowledgeGraph:
-    """Extraction, concepts and vectors go in together; searches read what is published."""
+    """Extraction, concepts, dedup and vectors as jobs; searches read what is published.
 
-    def __init__(self, spark: SparkSession, root: str, extractor: Callable = extract.rule_extractor, embedder: Callable[[list[str]], np.ndarray] = extract.hash_embedder):
-        self.spark, self.root, self.extractor, self.embedder = spark, root.rstrip("/"), extractor, embedder
+    ``extractor``, ``embedder`` and ``conceptualizer`` can be replaced by ones that ask a
+    service; ``semantic_dedup`` is the similarity from which on a job's triples count as
+    one, or None for exact dedup alone.
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, extractor: extract.Extractor = extract.rule_extractor, embedder: Callable[[list[str]], np.ndarray] = extract.hash_embedder,
+        conceptualizer: Callable[..., DataFrame] = extract.bucket_concepts, semantic_dedup: float | None = None, dimension: int = 64, prices: DataFrame | None = None,
+    ):
+        self.spark, self.root, self.extractor, self.embedder, self.conceptualizer = spark, root.rstrip("/"), extractor, embedder, conceptualizer
+        self.semantic_dedup, self.dimension, self.prices = semantic_dedup, dimension, prices
         self.store = store.Store(spark, self.root)
 
     def table(self, name: str) -> DataFrame:
@@ -45,35 +60,163 @@ class KnowledgeGraph:
         df.write.parquet(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
 
-    def process_knowledge(self, docs: DataFrame, at: str) -> DataFrame:
-        """Store what docs (id, text, source, source_type) say; gives the jobs of this batch.
+    def _publish(self, appended: dict[str, DataFrame], replaced: dict | None = None) -> None:
+        self.store.publish(appended, replaced, SCHEMAS)
+
+    def _dictionary(self, texts: DataFrame) -> DataFrame:
+        return self._staged(extract.embed_texts(texts, self.embedder))
+
+    # -- storing
+
+    def store_triples(self, raw: DataFrame) -> DataFrame:
+        """Store triples that aren't stored yet, with their vectors; one row: triples_stored, duplicates_skipped, vectors_generated."""
+        given = self._staged(_shaped(store.cleaned_triples(raw), TRIPLES))
+        new = self._staged(_shaped(store.new_rows(dedup.exact_dedup(given).drop("n_merged"), self.table("triples"), TRIPLE_KEY), TRIPLES))
+        vectors = self._staged(store.checked_vectors(_shaped(store.materialise_vectors(new, self._dictionary(store.vector_texts(new).select("text"))), VECTORS), self.dimension))
+        self._publish({"triples": new, "vectors": vectors})
+        n, stored, made = given.count(), new.count(), vectors.count()
+        return self.spark.createDataFrame([(stored, n - stored, made)], "triples_stored bigint, duplicates_skipped bigint, vectors_generated bigint")
 
-        A chunk whose extraction fails is left out, and its document's job still completes.
+    def store_concepts(self, raw: DataFrame) -> DataFrame:
+        """Store concepts that aren't stored yet, with their vectors; one row of counts."""
+        given = self._staged(_shaped(store.cleaned_concepts(raw), CONCEPTS))
+        key = ["concept", "abstraction_level", "source", "source_type"]
+        new = self._staged(_shaped(store.new_rows(given, self.table("concepts"), key), CONCEPTS))
+        vectors = self._staged(store.checked_vectors(_shaped(store.concept_vectors(new, self._dictionary(new.select(F.col("concept").alias("text")))), VECTORS), self.dimension))
+        self._publish({"concepts": new, "vectors": vectors})
+        n, stored, made = given.count(), new.count(), vectors.count()
+        return self.spark.createDataFrame([(stored, n - stored, made)], "concepts_stored bigint, duplicates_skipped bigint, vectors_generated bigint")
+
+    def track_usage(self, rows: DataFrame, at: str) -> None:
+        """Append token usage rows, with their cost where the model's price is known."""
+        if self.prices is not None:
+            rows = usage.usage_costs(rows, self.prices).withColumn("estimated_cost", F.col("cost"))
+        rows = rows.withColumns({"id": F.coalesce(F.col("id"), F.uuid()) if "id" in rows.columns else F.uuid(), "timestamp": F.lit(at).cast("timestamp")})
+        self._publish({"token_usage": _shaped(rows, TOKEN_USAGE)})
+
+    # -- jobs; each takes (source, source_type) rows and gives (source, source_type, result as JSON, error_message)
+
+    def extraction_job(self, docs: DataFrame, at: str) -> DataFrame:
+        """Chunk, extract, merge and store docs (id, text, source, source_type); failing chunks are left out.
+
+        Gives (id, triples, total_chunks, successful_chunks, failed_chunks, error_message, ms):
+        the message only where nothing but failures came of a document.
         """
+        began = self.spark.sql("select unix_millis(current_timestamp())").first()[0]
         time = F.lit(at).cast("timestamp")
-        raw = extract.extract_triples(docs.select("text", "source", "source_type"), TRIPLE_TYPES, self.extractor).filter("error is null")
-        cleaned = _shaped(store.cleaned_triples(raw.withColumn("extracted_at", time)), TRIPLES)
-        triples = self._staged(_shaped(store.new_rows(dedup.exact_dedup(cleaned).drop("n_merged"), self.table("triples"), TRIPLE_KEY), TRIPLES))
+        rows = self._staged(extract.extraction_rows(docs, TRIPLE_TYPES, self.extractor))
+        self.store_triples(rows.filter("row = 'triple'").withColumn("extracted_at", time))
+        used = extract.usage_rows(rows)
+        if not used.isEmpty():
+            self.track_usage(used, at)
+        counts = extract.chunk_counts(rows, "doc").withColumnRenamed("doc", "of")
+        said = rows.groupBy(F.col("doc").alias("doc")).agg(F.count_if(F.col("row") == "triple").alias("triples"), F.min(F.when(F.col("row") == "chunk", F.col("error"))).alias("first_error"))
+        found = counts.join(said, F.col("of") == F.col("doc"))
+        ended = self.spark.sql("select unix_millis(current_timestamp())").first()[0]
+        none = F.lit(0).cast("long")
+        return self._staged(docs.select("id").join(found, F.col("id") == F.col("of"), "left").select(
+            "id", *[F.coalesce(c, none).alias(c) for c in ("triples", "total_chunks", "successful_chunks", "failed_chunks")],
+            F.when((F.col("failed_chunks") > 0) & (F.col("successful_chunks") == 0), F.col("first_error")).alias("error_message"), F.lit(ended - began).alias("ms"),
+        ))
 
-        related = self._staged(extract.bucket_concepts(C.element_sets(triples)))
-        named = related.groupBy("concept", "abstraction_level").agg(F.lit(1.0).alias("confidence"))
-        concepts = store.new_rows(_shaped(named.withColumns({"id": safe_id(F.col("concept"), F.col("abstraction_level")), "extracted_at": time}), CONCEPTS), self.table("concepts"), ["id"])
+    def _of_sources(self, table: DataFrame, sources: DataFrame) -> DataFrame:
+        """Rows of the given documents' chunks: an equality on the source without its chunk, so that ``src1`` isn't ``src10``."""
+        named = sources.select(F.col("source").alias("root"), F.col("source_type").alias("root_type")).distinct()
+        rooted = table.withColumn("source_root", source_root(F.col("source")))
+        return rooted.join(named, F.col("source_root").eqNullSafe(F.col("root")) & F.col("source_type").eqNullSafe(F.col("root_type")), "left_semi")
+
+    def concept_job(self, sources: DataFrame, at: str) -> DataFrame:
+        """Concepts of the triples of (source, source_type) rows; sources that have concepts already are skipped.
+
+        Gives (source, source_type, concepts_stored, relationships_stored, skipped).
+        """
+        time = F.lit(at).cast("timestamp")
+        sources = sources.select("source", "source_type").distinct()
+        known = self.table("concepts").select(F.col("source").alias("s"), F.col("source_type").alias("t")).distinct()
+        same = F.col("source").eqNullSafe(F.col("s")) & F.col("source_type").eqNullSafe(F.col("t"))
+        todo = sources.join(known, same, "left_anti")
+        by = ["source", "source_type"]
+        triples = self._staged(self._of_sources(self.table("triples"), todo).drop("source").withColumnRenamed("source_root", "source"))
+        related = self._staged(self.conceptualizer(C.element_sets(triples, *by), *by))
+        named = related.select(*by, "concept", "abstraction_level").distinct().withColumns({"confidence": F.lit(1.0), "extracted_at": time})
+        concepts = self._staged(_shaped(store.cleaned_concepts(named), CONCEPTS))
         context = C.context_triples(triples, related).groupBy("source_element", "concept").agg(F.array_sort(F.collect_list("id")).alias("context_triples"))  # 5 ids at most
-        links = related.select("source_element", "concept", F.col("kind").alias("triple_type")).join(context, ["source_element", "concept"], "left")
-        links = links.withColumns({"id": safe_id(F.col("source_element"), F.col("triple_type"), F.col("concept")), "confidence": F.lit(1.0), "extracted_at": time})
-        links = store.new_rows(_shaped(links, CONCEPTUALIZATIONS), self.table("conceptualizations"), ["id"])
-
-        concepts = self._staged(concepts)
-        texts = store.vector_texts(triples).select("text").unionByName(concepts.select(F.col("concept").alias("text")))
-        dictionary = self._staged(extract.embed_texts(texts, self.embedder))
-        of_concepts = concepts.select(F.col("id").alias("concept_node_id"), F.col("concept").alias("text")).join(dictionary, "text").withColumns({
-            "vector_type": F.lit("CONCEPT"), "vector_id": safe_id(F.col("concept_node_id"), F.lit("CONCEPT"), F.col("text")),
+        links = related.select(*by, "source_element", "concept", F.col("kind").alias("triple_type")).distinct().join(context, ["source_element", "concept"], "left")
+        links = links.withColumns({"confidence": F.lit(1.0), "extracted_at": time}).withColumn("id", store.conceptualization_id())
+        links = self._staged(_shaped(links, CONCEPTUALIZATIONS))
+        vectors = store.checked_vectors(_shaped(store.concept_vectors(concepts, self._dictionary(concepts.select(F.col("concept").alias("text")))), VECTORS), self.dimension)
+        key = ["source_element", "triple_type", "concept"]
+        new_links = _shaped(store.new_rows(links, self.table("conceptualizations"), key), CONCEPTUALIZATIONS)
+        self._publish({"concepts": concepts, "conceptualizations": new_links, "vectors": vectors})
+        made = concepts.groupBy(*by).agg(F.count(F.lit(1)).alias("concepts")).toDF("s1", "t1", "c1")
+        linked = links.groupBy(*by).agg(F.count(F.lit(1)).alias("links")).toDF("s2", "t2", "c2")
+        out = sources.join(known.withColumn("k", F.lit(True)), same, "left")
+        out = out.join(made, F.col("source").eqNullSafe(F.col("s1")) & F.col("source_type").eqNullSafe(F.col("t1")), "left")
+        out = out.join(linked, F.col("source").eqNullSafe(F.col("s2")) & F.col("source_type").eqNullSafe(F.col("t2")), "left")
+        none = F.lit(0).cast("long")
+        return self._staged(out.select(*by, F.coalesce("c1", none).alias("concepts_stored"), F.coalesce("c2", none).alias("relationships_stored"), F.coalesce("k", F.lit(False)).alias("skipped")))
+
+    def dedup_job(self, sources: DataFrame, at: str) -> DataFrame:
+        """Merge alike triples of each of (source, source_type) rows, and delete what was merged, with its vectors.
+
+        Survivors keep the best confidence and the last extraction.  Gives (source,
+        source_type, original, remaining, removed, skipped).
+        """
+        by = ["source", "source_type"]
+        sources = sources.select(*by).distinct()
+        if self.semantic_dedup is None:
+            zero = F.lit(0).cast("long")
+            return sources.select(*by, zero.alias("original"), zero.alias("remaining"), zero.alias("removed"), F.lit(True).alias("skipped"))
+        triples = self._staged(self._of_sources(self.table("triples"), sources).withColumn("source_root", F.concat_ws("\u001f", "source_root", "source_type")))
+        dictionary = self._dictionary(store.vector_texts(triples).select("text"))
+        kept = dedup.deduplicated(triples, dictionary, self.semantic_dedup, stage=self._staged)
+        gone = self._staged(store.duplicates_of(triples, kept))
+        merged = _shaped(kept.filter("n_merged > 1"), TRIPLES)
+        ids = self._staged(gone.unionByName(merged.select("id")))
+        self._publish({}, {
+            "triples": lambda stored: _shaped(store.without_ids(stored, ids), TRIPLES).unionByName(merged),
+            "vectors": lambda stored: _shaped(store.without_ids(stored, gone, "knowledge_triple_id"), VECTORS),
         })
-        vectors = _shaped(store.materialise_vectors(triples, dictionary), VECTORS).unionByName(_shaped(of_concepts, VECTORS))
+        count = lambda df, name: df.groupBy(source_root(F.col("source")).alias("source"), "source_type").agg(F.count(F.lit(1)).alias(name))
+        all_, left = count(triples, "original").toDF("s1", "t1", "original"), count(kept, "remaining").toDF("s2", "t2", "remaining")
+        out = sources.join(all_, F.col("source").eqNullSafe(F.col("s1")) & F.col("source_type").eqNullSafe(F.col("t1")), "left")
+        out = out.join(left, F.col("source").eqNullSafe(F.col("s2")) & F.col("source_type").eqNullSafe(F.col("t2")), "left").fillna(0, ["original", "remaining"])
+        return self._staged(out.select(*by, "original", "remaining", (F.col("original") - F.col("remaining")).alias("removed"), F.lit(False).alias("skipped")))
+
+    # -- verbs
+
+    def process_knowledge(self, docs: DataFrame, at: str) -> DataFrame:
+        """Run the jobs of docs (id, text, source, source_type); gives the jobs with the states they came to.
 
-        events = jobs.pipeline_events(docs, at).withColumns({"status": F.lit("COMPLETED"), "progress": F.lit(100), "retry_count": F.lit(0), "max_retries": F.lit(3)})
-        done = self._staged(_shaped(events.withColumns({"created_at": time, "started_at": time, "completed_at": F.current_timestamp()}), JOBS))
-        self.store.publish({"triples": triples, "concepts": concepts, "conceptualizations": links, "vectors": vectors, "jobs": done})
+        A document fails only if all its chunks do; its later stages then still run on
+        what is stored of its source.  Dedup has a job only where it is switched on.
+        """
+        docs = self._staged(docs)
+        time = F.lit(at).cast("timestamp")
+        found = self.extraction_job(docs, at)
+        concepts = self.concept_job(docs, at)
+        deduped = self.dedup_job(docs, at) if self.semantic_dedup is not None else None
+        with_base = docs.join(found.select(F.col("id").alias("of"), "ms", "triples"), F.col("id") == F.col("of"), "left")
+        events = jobs.pipeline_events(with_base, at, deduped is not None, processing_delay(F.coalesce("ms", F.lit(0)), F.coalesce("triples", F.lit(0))))
+        said = found.select(F.concat(F.lit("job-"), "id", F.lit("-extraction")).alias("j"), F.to_json(F.struct("triples", "total_chunks", "successful_chunks", "failed_chunks")).alias("r"), F.col("error_message").alias("m"))
+        by_source = lambda out, stage, *cols: docs.select(F.col("id").alias("d"), F.col("source").alias("ds"), F.col("source_type").alias("dt")).join(
+            out, F.col("ds").eqNullSafe(F.col("source")) & F.col("dt").eqNullSafe(F.col("source_type"))
+        ).select(F.concat(F.lit("job-"), "d", F.lit(f"-{stage}")).alias("j"), F.to_json(F.struct(*cols)).alias("r"), F.lit(None).cast("string").alias("m"))
+        said = said.unionByName(by_source(concepts, "concepts", "concepts_stored", "relationships_stored", "skipped"))
+        if deduped is not None:
+            said = said.unionByName(by_source(deduped, "deduplication", "original", "remaining", "removed", "skipped"))
+        done = events.join(said, F.col("id") == F.col("j"), "left")
+        failed = F.col("m").isNotNull()
+        child = F.col("parent_job_id").isNotNull()
+        done = done.withColumns({
+            "status": F.when(failed, "FAILED").when(child & F.col("r").isNotNull(), "COMPLETED").otherwise(F.col("status")), "progress": F.when(failed, 0).when(child, 100).otherwise(100),
+            "result": F.col("r"), "metrics": F.col("r"), "error_message": F.col("m"), "retry_count": F.lit(0), "max_retries": F.lit(3),
+            "created_at": time, "started_at": time, "completed_at": F.when(child, F.current_timestamp()),
+        })
+        states = jobs.pipeline_complete(done).select(F.col("parent").alias("p"), F.col("status").alias("whole"))
+        done = done.join(states, F.col("id") == F.col("p"), "left").withColumn("status", F.coalesce("whole", "status"))
+        done = self._staged(_shaped(done, JOBS))
+        self._publish({"jobs": done})
         return done
 
     def get_pipeline_status(self, parent_id: str) -> DataFrame:
@@ -103,6 +246,17 @@ class KnowledgeGraph:
         scored = [fusion.leg_scores(ranked, leg, order) for leg in fusion.LEGS if leg in legs for ranked, order in [found[leg]()]]
         return fusion.fuse(scored, weights, limit)
 
+    def search_by_text(self, query: str, limit: int = 10, threshold: float = 0.7, scope: Scope = Scope()) -> tuple[DataFrame, DataFrame]:
+        """Fused search that leans on meaning, and its triples' source dates by month."""
+        hits = self._staged(self.search_knowledge_graph(query, limit, threshold, scope, fusion.TEXT_WEIGHTS))  # `limit` rows
+        dated = self.table("triples").join(F.broadcast(hits.select(*TRIPLE_KEY)), TRIPLE_KEY, "left_semi")
+        return hits, entities.temporal_clusters(dated)
+
+    def search_by_embedding(self, vector: list[float], limit: int = 10, threshold: float = 0.7, scope: Scope = Scope()) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Nearest triples, nearest concepts where there are no such triples, and the triples' source dates by month."""
+        _within("limit", limit, 1, 100)
+        return search.search_with_fallback(self.table("triples"), self.table("concepts"), self.table("vectors"), vector, threshold, limit, scope)
+
     def search_concepts(self, query: str, level: str | None = None, limit: int = 50) -> DataFrame:
         return search.search_concepts(self.table("concepts"), query, level, limit)
 

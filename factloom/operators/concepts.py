@@ -38,8 +38,8 @@ def context_triples(triples: DataFrame, conceptualizations: DataFrame, most: int
     return conceptualizations.select("source_element", "concept").distinct().join(ranked, "source_element")
 
 
-def element_sets(triples: DataFrame) -> DataFrame:
-    """(kind, text): the distinct entities, events and relationships that a concept stage asks about."""
+def element_parts(triples: DataFrame, *carried: str) -> DataFrame:
+    """(kind, text, and the carried columns): each triple's entities, events and relationship."""
     t = F.col("type")
     subject_kind = F.when(t.isin("ENTITY_ENTITY", "ENTITY_EVENT"), "entity").otherwise("event")
     object_kind = F.when(t == "ENTITY_ENTITY", "entity").otherwise("event")
@@ -48,4 +48,14 @@ def element_sets(triples: DataFrame) -> DataFrame:
         F.struct(object_kind.alias("kind"), F.col("object").alias("text")),
         F.struct(F.lit("relationship").alias("kind"), F.col("predicate").alias("text")),
     )
-    return triples.select(F.explode(parts).alias("e")).select("e.*").distinct()
+    return triples.select(F.explode(parts).alias("e"), *carried).select("e.*", *carried)
+
+
+def element_sets(triples: DataFrame, *by: str) -> DataFrame:
+    """(kind, text): the distinct entities, events and relationships that a concept stage asks about, by the given columns."""
+    return element_parts(triples, *by).distinct()
+
+
+def triple_ids(triples: DataFrame, *by: str) -> DataFrame:
+    """The ids of a job's triples as one sorted array for each group, as a concept stage takes them along."""
+    return triples.groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("triple_ids"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -56,13 +59,14 @@ def semantic_leaders(rows: DataFrame, threshold: float = 0.85, group: str = "grp
         at = greedy_leaders(np.stack(pdf["embedding"]).astype(float), threshold)
         return pd.DataFrame({"id": pdf["id"], "leader": pdf["id"].to_numpy()[at]})
 
-    return rows.groupBy(group).applyInPandas(lead, "id string, leader string")
+    return rows.select("id", "pos", "embedding", group).groupBy(group).applyInPandas(lead, "id string, leader string")
 
 
 def similar_pairs(rows: DataFrame, threshold: float, group: str = "grp") -> DataFrame:
-    """(a, b), a before b in order, both of one group, with cosine >= threshold."""
+    """(a, b), a before b in order, both of one group, with cosine >= threshold; vectors of unequal lengths are an error."""
     right = rows.toDF(*[f"{c}_2" for c in rows.columns])
-    near = cosine(F.col("embedding"), F.col("embedding_2")) >= threshold
+    unequal = F.size("embedding") != F.size("embedding_2")
+    near = F.when(unequal, F.raise_error(F.lit("vectors of unequal lengths")).cast("boolean")).otherwise(cosine(F.col("embedding"), F.col("embedding_2")) >= threshold)
     return rows.join(right, (F.col(group) == F.col(f"{group}_2")) & (F.col("pos") < F.col("pos_2"))).filter(near).select(F.col("pos").alias("a"), F.col("pos_2").alias("b"))
 
 
@@ -88,6 +92,25 @@ def semantic_leaders_iterative(rows: DataFrame, threshold: float = 0.85, group:
     return owned.join(names, "pos").join(names.select(F.col("pos").alias("lead"), F.col("id").alias("leader")), "lead").select("id", "leader")
 
 
+GROUP_ROWS = 5_000  # of a group that one task works through; larger ones go in rounds over their similar pairs
+
+
+def leaders(rows: DataFrame, threshold: float = 0.85, group: str = "grp") -> DataFrame:
+    """(id, leader) within each group, by the form that its size asks for; both give the same.
+
+    Rows: id, pos (unique within its group), embedding and the group.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
+    large = sizes.filter(F.col("n_rows") > GROUP_ROWS).select(group)
+    out = semantic_leaders(rows.join(large, group, "left_anti"), threshold, group)
+    if large.isEmpty():
+        return out
+    many = rows.join(large, group, "left_semi")
+    # positions are made unique over all groups, in the same order within each
+    many = many.withColumn("pos", F.struct(group, "pos"))
+    return out.unionByName(semantic_leaders_iterative(many, threshold, group))
+
+
 def semantic_dedup(triples: DataFrame, dictionary: DataFrame, threshold: float = 0.85, group: str = "source_root", respect_type: bool = False) -> DataFrame:
     """Survivors with merged confidence and extraction; rows without a vector stay as they are.
 
@@ -95,9 +118,26 @@ def semantic_dedup(triples: DataFrame, dictionary: DataFrame, threshold: float =
     """
     keys = [group] + ["type"] * respect_type
     with_text = triples.withColumn("text", semantic_text())
-    known = with_text.join(dictionary, "text").select("id", F.concat_ws("|", *keys).alias("grp"), F.row_number().over(Window.partitionBy(*keys).orderBy("id")).alias("pos"), "embedding")
-    leaders = semantic_leaders(known, threshold)
-    merged = triples.join(leaders, "id").groupBy("leader").agg(F.max("confidence").alias("c"), F.max("extracted_at").alias("e"), F.count(F.lit(1)).alias("n_merged"))
+    known = with_text.join(dictionary, "text").select("id", F.concat_ws("|", *keys).alias("grp"), F.col("id").alias("pos"), "embedding")
+    led = leaders(known, threshold)
+    merged = triples.join(led, "id").groupBy("leader").agg(F.max("confidence").alias("c"), F.max("extracted_at").alias("e"), F.count(F.lit(1)).alias("n_merged"))
     survivors = triples.join(merged, F.col("id") == F.col("leader")).withColumns({"confidence": F.col("c"), "extracted_at": F.col("e")}).drop("c", "e", "leader")
     unknown = with_text.join(dictionary.select("text"), "text", "left_anti").drop("text").withColumn("n_merged", F.lit(1).cast("long"))
     return survivors.unionByName(unknown.select(*survivors.columns))
+
+
+def deduplicated(triples: DataFrame, dictionary: DataFrame | None = None, threshold: float | None = None, group: str = "source_root", stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Exact dedup, and semantic dedup after it where a threshold asks for it.
+
+    ``stage`` writes a table, which is where semantic dedup fails if it does (such as by
+    vectors of unequal lengths); then the exact result stands.
+    """
+    exact = stage(exact_dedup(triples))
+    if threshold is None or dictionary is None:
+        return exact
+    try:
+        again = semantic_dedup(exact.withColumnRenamed("n_merged", "n_exact"), dictionary, threshold, group)
+        return stage(again.withColumn("n_merged", F.col("n_merged") + F.col("n_exact") - 1).drop("n_exact"))
+    except Exception as e:
+        logging.getLogger(__name__).warning("semantic dedup failed, exact dedup stands: %s", e)
+        return exact

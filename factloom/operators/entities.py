@@ -5,28 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import TRIPLE_TYPES
 from .filters import Scope
 
 SORTS = {"frequency": lambda: [F.desc("occurrences")], "alphabetical": lambda: [F.collate("entity", "UNICODE")], "recent": lambda: [F.desc("last_seen")]}
 
 
 def enumerate_entities(triples: DataFrame, scope: Scope = Scope(), role: str = "both", min_occurrence: int = 1, sort: str = "frequency", limit: int | None = None) -> DataFrame:
-    """Per entity: occurrences, roles, sources, types, last extraction, best confidence.
+    """Per entity: occurrences, roles, sources, types of the schema, last extraction, best confidence.
 
-    A triple from an entity to itself counts twice under ``both``.
+    A triple from an entity to itself counts twice under ``both``.  Roles and types go as
+    flags and bits through two hash aggregations, by entity and source, then by entity.
     """
     roles = {"both": ("subject", "object")}.get(role, (role,))
-    pairs = F.array(*[F.struct(F.col(r).alias("entity"), F.lit(r).alias("role")) for r in roles])
-    rows = scope.apply(triples).select(F.explode(pairs).alias("named"), "source", "type", "extracted_at", "confidence").select("named.*", "source", "type", "extracted_at", "confidence")
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    out = rows.groupBy("entity").agg(
-        F.count(F.lit(1)).alias("occurrences"), joined("role").alias("roles"), F.countDistinct("source").alias("n_sources"), joined("type").alias("types"),
-        F.max("extracted_at").alias("last_seen"), F.max("confidence").alias("best_confidence"),
-    ).filter(F.col("occurrences") >= min_occurrence)
+    pairs = F.array(*[F.struct(F.col(r).alias("entity"), F.lit(1 << i).alias("role")) for i, r in enumerate(roles)])
+    bit = F.call_function("shiftleft", F.lit(1), F.array_position(F.array(*map(F.lit, TRIPLE_TYPES)), F.col("type")).cast("int"))
+    rows = scope.apply(triples).select(F.explode(pairs).alias("named"), "source", bit.alias("type"), "extracted_at", "confidence").select("named.*", "source", "type", "extracted_at", "confidence")
+    both = [F.bit_or("role").alias("role"), F.bit_or("type").alias("type"), F.max("extracted_at").alias("extracted_at"), F.max("confidence").alias("confidence")]
+    by_source = rows.groupBy("entity", "source").agg(F.count(F.lit(1)).alias("n"), *both)
+    out = by_source.groupBy("entity").agg(F.sum("n").alias("occurrences"), F.count("source").alias("n_sources"), *both).filter(F.col("occurrences") >= min_occurrence)
+    named = lambda bits, names: F.concat_ws(",", *[F.when(F.col(bits).bitwiseAND(F.lit(k)) != 0, n) for n, k in sorted(names.items())])
+    out = out.select(
+        "entity", "occurrences", named("role", {r: 1 << i for i, r in enumerate(roles)}).alias("roles"), "n_sources",
+        named("type", {t: 2 << i for i, t in enumerate(TRIPLE_TYPES)}).alias("types"), F.col("extracted_at").alias("last_seen"), F.col("confidence").alias("best_confidence"),
+    )
     out = out.orderBy(*SORTS[sort](), "entity")
     return out.limit(limit) if limit else out
 
 
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """One row with the sorted array of a column's few values, such as vector types or sources of a report."""
+    return df.select(column).distinct().agg(F.array_sort(F.collect_set(column)).alias("found"))
+
+
 def temporal_clusters(triples: DataFrame) -> DataFrame:
     """(period, n, first, last) by month of the source date; rows without one don't count."""
     return triples.filter("source_date is not null").groupBy(F.date_format("source_date", "yyyy-MM").alias("period")).agg(

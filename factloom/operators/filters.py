@@ -61,6 +61,34 @@ def by_ids(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     return df.join(ids.select(column).distinct(), column, "left_semi")
 
 
+def ids_exist(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """(id, found) for each of ``ids``."""
+    known = df.select(F.col(column).alias("known")).distinct()
+    return ids.select(column).distinct().join(known, F.col(column) == F.col("known"), "left").select(column, F.col("known").isNotNull().alias("found"))
+
+
+def id_exists(df: DataFrame, one: str, column: str = "id") -> bool:
+    """Stops at the first row that has it."""
+    return not df.filter(F.col(column) == one).limit(1).isEmpty()
+
+
+def of_concept(conceptualizations: DataFrame, concept: str) -> DataFrame:
+    return conceptualizations.filter(F.col("concept") == concept)
+
+
+def json_equals(column: str, path: str, value: str) -> Column:
+    """Equality of a field within a JSON column, such as ``metadata`` and ``source_type``."""
+    return F.get_json_object(column, f"$.{path}") == value
+
+
+def vectors_of(vectors: DataFrame, triples: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Vectors of the given triples or concepts, each once: two semi joins, of which each drops what it doesn't look at first."""
+    by_triple = vectors.filter("knowledge_triple_id is not null").join(triples.select(F.col("id").alias("knowledge_triple_id")), "knowledge_triple_id", "left_semi")
+    rest = vectors.filter("concept_node_id is not null")
+    by_concept = rest.join(concepts.select(F.col("id").alias("concept_node_id")), "concept_node_id", "left_semi")
+    return by_triple.select(*vectors.columns).unionByName(by_concept.select(*vectors.columns)).dropDuplicates(["vector_id"])
+
+
 def complete_triples(df: DataFrame) -> DataFrame:
     """Rows whose three parts are not blank."""
     return df.filter(reduce(and_, [F.length(trim_space(F.col(c))) > 0 for c in ("subject", "predicate", "object")]))

@@ -13,6 +13,10 @@ LEGS = ("entity", "relationship", "semantic", "concept")
 WEIGHTS = {"entity": 0.3, "relationship": 0.2, "semantic": 0.3, "concept": 0.2}
 
 
+#: Of the graph's text search, which leans on meaning.
+TEXT_WEIGHTS = {"entity": 0.25, "relationship": 0.2, "semantic": 0.35, "concept": 0.2}
+
+
 def leg_scores(ranked: DataFrame, leg: str, order: list) -> DataFrame:
     """(key, leg, pos, score): (n - position) / n over a leg of top-k size."""
     w = Window.orderBy(*order)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.measures import stage_delay
 from ..schema import JOB_STAGES, JOB_STATUSES
 
+STAGE_JOBS = {"EXTRACTION": "EXTRACT_KNOWLEDGE_BATCH", "CONCEPTS": "GENERATE_CONCEPTS", "DEDUPLICATION": "DEDUPLICATE_KNOWLEDGE"}
+
 
 def latest_state(events: DataFrame) -> DataFrame:
     """The last event of each job is its state; combined within tasks."""
@@ -20,18 +23,30 @@ def queue_stats(jobs: DataFrame) -> DataFrame:
 
 
 def pipeline_status(jobs: DataFrame) -> DataFrame:
-    """(parent, stage, status, progress): of several jobs for a stage the last created one counts."""
-    last = F.max(F.struct("created_at", "id", "status", "progress", "started_at", "completed_at")).alias("s")
+    """(parent, stage, status, progress, times, metrics): of several jobs for a stage the last created one counts."""
+    rest = ["status", "progress", *[c for c in ("started_at", "completed_at", "metrics") if c in jobs.columns]]
+    last = F.max(F.struct("created_at", "id", *rest)).alias("s")
     children = jobs.filter("parent_job_id is not null").groupBy(F.col("parent_job_id").alias("parent"), "stage").agg(last)
-    return children.select("parent", "stage", "s.status", "s.progress", "s.started_at", "s.completed_at")
+    return children.select("parent", "stage", *[f"s.{c}" for c in rest])
 
 
 def pipeline_overview(jobs: DataFrame) -> DataFrame:
-    """One row for each parent: the map of its stages' states."""
-    state = F.struct("status", "progress", "started_at", "completed_at")
-    stages = pipeline_status(jobs).groupBy("parent").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", state.alias("state"))))).alias("stages"))
-    parents = jobs.filter("parent_job_id is null")
-    return parents.join(stages, F.col("id") == F.col("parent"), "left").select("id", "status", "created_at", "stages")
+    """One row for each parent, whose state follows its children's: the map of its stages' states."""
+    states = pipeline_status(jobs)
+    state = F.struct(*[c for c in states.columns if c not in ("parent", "stage")])
+    stages = states.groupBy("parent").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", state.alias("state"))))).alias("stages"))
+    whole = pipeline_complete(jobs).select(F.col("parent").alias("of"), F.col("status").alias("whole"))
+    parents = jobs.filter("parent_job_id is null").join(whole, F.col("id") == F.col("of"))
+    return parents.join(stages, F.col("id") == F.col("parent"), "left").select("id", F.col("whole").alias("status"), "created_at", "stages")
+
+
+def job_of_stage(jobs: DataFrame, parent: str, stage: str) -> DataFrame:
+    """The first job of a parent's stage."""
+    return jobs.filter((F.col("parent_job_id") == parent) & (F.col("stage") == stage)).orderBy("created_at", "id").limit(1)
+
+
+def by_status(jobs: DataFrame, status: str, n: int = 100) -> DataFrame:
+    return jobs.filter(F.col("status") == status).orderBy("created_at", "id").limit(n)
 
 
 def pipeline_complete(jobs: DataFrame) -> DataFrame:
@@ -55,16 +70,35 @@ def retried(jobs: DataFrame) -> DataFrame:
 
 
 def stale(jobs: DataFrame, before: str) -> DataFrame:
+    """Finished jobs from before a time."""
     return jobs.filter(F.col("status").isin("COMPLETED", "FAILED") & (F.col("completed_at") < F.lit(before).cast("timestamp")))
 
 
+def stale_days(jobs: DataFrame, days: int, now: str | None = None) -> DataFrame:
+    """Finished jobs older than some days."""
+    at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+    return jobs.filter(F.col("status").isin("COMPLETED", "FAILED") & (F.col("completed_at") < at - F.make_interval(days=F.lit(days))))
+
+
+def purged(jobs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``jobs`` without those, and without the children of those, that go."""
+    ids = gone.select("id").distinct()
+    left = jobs.join(ids, "id", "left_anti")
+    return left.join(ids.withColumnRenamed("id", "parent_job_id"), "parent_job_id", "left_anti").select(*jobs.columns)
+
+
+def elapsed_ms(jobs: DataFrame) -> DataFrame:
+    """(id, ms) from start to end; null while a job runs."""
+    return jobs.select("id", (F.unix_millis("completed_at") - F.unix_millis("started_at")).alias("ms"))
+
+
 def next_queued(jobs: DataFrame, n: int = 1) -> DataFrame:
     return jobs.filter("status = 'QUEUED'").orderBy("created_at", "id").limit(n)
 
 
 def progressed(jobs: DataFrame, values: DataFrame, at: str) -> DataFrame:
     """Apply (id, progress): 100 completes a job, more than 0 starts it."""
-    p = F.least(F.lit(100), F.greatest(F.lit(0), F.col("new_progress")))
+    p = F.when(F.col("new_progress").isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), F.col("new_progress"))))
     time = F.lit(at).cast("timestamp")
     return jobs.join(values.select("id", F.col("progress").alias("new_progress")), "id", "left").withColumns({
         "progress": F.coalesce(p, "progress"),
@@ -74,20 +108,26 @@ def progressed(jobs: DataFrame, values: DataFrame, at: str) -> DataFrame:
     }).drop("new_progress")
 
 
-def pipeline_events(documents: DataFrame, at: str, with_dedup: bool = True) -> DataFrame:
-    """Parent and stage jobs for each document (id, text, source, source_type); later stages wait for a time."""
+def pipeline_events(documents: DataFrame, at: str, with_dedup: bool = True, base_delay=None) -> DataFrame:
+    """Parent and stage jobs for each document (id, text, source, source_type).
+
+    Extraction may start at once; later stages wait for a share of ``base_delay``, in
+    seconds: a column of ``documents`` that follows what extraction took, or 6.
+    """
     stages = [s for s in JOB_STAGES if with_dedup or s != "DEDUPLICATION"]
-    wait = F.create_map(*[F.lit(x) for i, s in enumerate(JOB_STAGES) for x in (s, 6 * i)])
     time = F.lit(at).cast("timestamp")
     meta = F.to_json(F.struct("source", "source_type"))
+    base = F.lit(6.0) if base_delay is None else base_delay
     parents = documents.select(
         F.concat(F.lit("job-"), "id").alias("id"), F.lit("PROCESS_KNOWLEDGE").alias("job_type"), F.lit(None).cast("string").alias("parent_job_id"), F.lit(None).cast("string").alias("stage"),
-        "text", meta.alias("metadata"), F.lit("PROCESSING").alias("status"), time.alias("not_before"),
+        "text", meta.alias("metadata"), F.lit("PROCESSING").alias("status"), time.alias("not_before"), base.alias("base"),
     )
     # children carry the parent's source, on which the later stages filter
-    children = parents.withColumn("stage", F.explode(F.array(*map(F.lit, stages)))).select(
-        F.concat_ws("-", "id", F.lower("stage")).alias("id"), F.col("stage").alias("job_type"), F.col("id").alias("parent_job_id"), "stage",
+    children = parents.withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
+    kinds = F.create_map(*[F.lit(x) for s in stages for x in (s, STAGE_JOBS[s])])
+    children = children.select(
+        F.concat_ws("-", "id", F.lower("stage")).alias("id"), F.element_at(kinds, F.col("stage")).alias("job_type"), F.col("id").alias("parent_job_id"), "stage",
         F.when(F.col("stage") == "EXTRACTION", F.col("text")).alias("text"), "metadata", F.lit("QUEUED").alias("status"),
-        (time + F.make_interval(secs=F.element_at(wait, F.col("stage")).cast("decimal(8,6)"))).alias("not_before"),
+        (time + F.make_interval(secs=F.coalesce(stage_delay(F.col("stage"), F.col("base")), F.lit(0.0)).cast("decimal(8,6)"))).alias("not_before"),
     )
-    return parents.unionByName(children)
+    return parents.drop("base").unionByName(children)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_any, search_terms
 from ..functions.vector import literal, similarity
 from .concepts import triples_of_elements
+from .entities import temporal_clusters
 from .filters import Scope
 
 
@@ -73,14 +74,22 @@ def search_concept_vector(concepts, vectors, vector, min_score=0.7, limit=10, me
 
 
 def concept_triples(triples: DataFrame, concepts: DataFrame, conceptualizations: DataFrame, vectors: DataFrame, vector: list[float],
-                    min_score: float = 0.7, limit: int = 10, scope: Scope = Scope()) -> DataFrame:
-    """Triples of the elements of the nearest concepts, by (best concept's rank, id)."""
-    near = search_concept_vector(concepts, vectors, vector, min_score, limit).select("concept", F.col("score").alias("concept_score"))
+                    min_score: float = 0.7, limit: int = 10, scope: Scope = Scope(), n_concepts: int | None = None) -> DataFrame:
+    """Triples of the elements of the nearest concepts (``n_concepts``, else ``limit``), by (best concept's score, id)."""
+    near = search_concept_vector(concepts, vectors, vector, min_score, n_concepts or limit).select("concept", F.col("score").alias("concept_score"))
     rel = conceptualizations.join(F.broadcast(near), "concept").groupBy("source_element").agg(F.max("concept_score").alias("concept_score"))  # near has `limit` rows
-    found = triples_of_elements(triples, rel)
+    found = triples_of_elements(scope.apply(triples), rel)
     best = found.groupBy(*triples.columns).agg(F.max("concept_score").alias("concept_score"))
-    return scope.apply(best).orderBy(F.desc("concept_score"), "id").limit(limit)
+    return best.orderBy(F.desc("concept_score"), "id").limit(limit)
 
 
-def min_score_filter(score: Column, least: float) -> Column:
-    return score >= least
+def search_with_fallback(triples: DataFrame, concepts: DataFrame, vectors: DataFrame, vector: list[float], min_score: float = 0.7, limit: int = 10, scope: Scope = Scope()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nearest triples, nearest concepts where no triple is near, the triples' source dates by month), with real scores.
+
+    The second search depends on the first by a join with its count, so all is one plan.
+    """
+    hits = search_semantic(triples, vectors, vector, min_score, limit, scope)
+    none = hits.agg(F.count(F.lit(1)).alias("n_hits"))  # one row
+    near = search_concept_vector(concepts, vectors, vector, min_score, min(limit, 10))
+    near = near.join(F.broadcast(none), F.col("n_hits") == 0).drop("n_hits")
+    return hits, near, temporal_clusters(hits)

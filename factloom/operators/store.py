@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp_confidence, safe_id, sanitize, semantic_text
@@ -67,44 +68,115 @@ def wrong_dimension(vectors: DataFrame, n: int = 1536) -> DataFrame:
     return vectors.filter(F.size("embedding") != n)
 
 
+def checked_vectors(vectors: DataFrame, n: int) -> DataFrame:
+    """``vectors``, all of dimension ``n``; one that isn't rejects them all before anything is written."""
+    wrong = wrong_dimension(vectors, n).select("vector_id").limit(1).collect()
+    if wrong:
+        raise ValueError(f"VECTOR_DIMENSION_ERROR: {wrong[0][0]} has not {n} numbers")
+    return vectors
+
+
+def concept_vectors(concepts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Vector rows of concepts whose names the dictionary (text, embedding) has."""
+    found = concepts.select(F.col("id").alias("concept_node_id"), F.col("concept").alias("text")).join(dictionary, "text")
+    return found.select(
+        safe_id(F.col("concept_node_id"), F.lit("CONCEPT"), F.col("text")).alias("vector_id"), "text", "embedding", F.lit("CONCEPT").alias("vector_type"),
+        F.lit(None).cast("string").alias("entity_name"), F.lit(None).cast("string").alias("knowledge_triple_id"), "concept_node_id",
+    )
+
+
+def concept_id() -> Column:
+    return safe_id(F.col("concept"), F.col("abstraction_level"), F.col("source"))
+
+
+def conceptualization_id() -> Column:
+    return safe_id(F.col("source_element"), F.col("source_type"), F.col("concept"))
+
+
+def cleaned_concepts(raw: DataFrame) -> DataFrame:
+    """Names of at most 2000 characters without control characters; levels in upper case; confidence from 0 to 1."""
+    said = {"concept": sanitize(F.col("concept"), 2000), "abstraction_level": F.upper("abstraction_level"), "confidence": clamp_confidence(F.col("confidence")).cast("decimal(3,2)")}
+    return raw.withColumns(said).withColumn("id", concept_id())
+
+
+def strict_casts(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns as other types; what can't be read becomes null instead of an error."""
+    return raw.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items()})
+
+
 class Store:
     """Tables published together: a batch becomes visible when the manifest names its folders.
 
     Each table is a list of folders; a failed batch leaves folders that nothing names.
-    The manifest is the single file that a publication replaces, through Hadoop's
-    file system, so it can be in any store that Spark reads.
+    Manifests are numbered files; a publication writes the one after the manifest that
+    it read, through Hadoop's file system, so that of two at a time one finds the number
+    taken and starts from the other's.  What it appends stays as written; what it
+    replaces is worked out again from what is stored then.
     """
 
+    FOLDERS = 64  # of a table, from which on a publication compacts it
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict[str, list[str]]:
+    def manifest(self) -> tuple[int, dict[str, list[str]]]:
+        """The last manifest's number, 0 if there is none, and what it names."""
         versions = self._fs.globStatus(self._path(f"{self.root}/manifest-*.json")) or []
         if not versions:
-            return {}
+            return 0, {}
         last = max(str(v.getPath()) for v in versions)
-        return json.loads("".join(r[0] for r in self.spark.read.text(last, wholetext=True).collect()))
+        return int(last[-17:-5]), json.loads("".join(r[0] for r in self.spark.read.text(last, wholetext=True).collect()))
 
     def read(self, table: str, schema: str) -> DataFrame:
-        folders = self.manifest().get(table, [])
+        folders = self.manifest()[1].get(table, [])
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def publish(self, appended: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None) -> None:
-        now = self.manifest()
-        for mode, tables in (("append", appended), ("replace", replaced or {})):
-            for name, df in tables.items():
-                folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
-                df.write.parquet(folder)
-                now[name] = ([] if mode == "replace" else now.get(name, [])) + [folder]
-        n = len(self._fs.globStatus(self._path(f"{self.root}/manifest-*.json")) or [])
-        hidden, shown = (self._path(f"{self.root}/{p}manifest-{n:012d}.json") for p in (".", ""))
+    def _written(self, name: str, df: DataFrame) -> str:
+        folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        return folder
+
+    def _named(self, number: int, tables: dict[str, list[str]]) -> bool:
+        """Whether the manifest with this number is ours: a file that isn't there yet, moved into place at once."""
+        hidden, shown = self._path(f"{self.root}/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest-{number:012d}.json")
         out = self._fs.create(hidden, True)
-        out.write(bytearray(json.dumps(now).encode()))
+        out.write(bytearray(json.dumps(tables).encode()))
         out.close()
-        if not self._fs.rename(hidden, shown):
-            raise RuntimeError("another publication came first")
+        if shown.toUri().getScheme() not in (None, "file"):
+            return self._fs.rename(hidden, shown)  # refused where the number is taken
+        as_file = lambda p: self.spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:  # a local rename would replace; a link is refused
+            self.spark._jvm.java.nio.file.Files.createLink(as_file(shown), as_file(hidden))
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+    def publish(self, appended: dict[str, DataFrame], replaced: dict[str, Callable[[DataFrame], DataFrame]] | None = None, schemas: dict[str, str] | None = None, tries: int = 20) -> None:
+        """Append tables' rows, and put for others what a function makes of their stored rows, all at once."""
+        new = {name: self._written(name, df) for name, df in appended.items()}
+        for _ in range(tries):
+            number, tables = self.manifest()
+            now = {name: list(folders) for name, folders in tables.items()}
+            for name, change in (replaced or {}).items():
+                stored = self.spark.read.schema(schemas[name]).parquet(*now[name]) if now.get(name) else self.spark.createDataFrame([], schemas[name])
+                now[name] = [self._written(name, change(stored))]
+            for name, folder in new.items():
+                now[name] = now.get(name, []) + [folder]
+            if schemas:
+                for name in [n for n, folders in now.items() if len(folders) > self.FOLDERS and n in schemas]:
+                    now[name] = [self._written(name, self.spark.read.schema(schemas[name]).parquet(*now[name]))]
+            if self._named(number + 1, now):
+                return
+        raise RuntimeError("other publications came first each time")
+
+
+def duplicates_of(triples: DataFrame, survivors: DataFrame) -> DataFrame:
+    """The ids of triples that no survivor has."""
+    return triples.select("id").join(survivors.select("id"), "id", "left_anti")
 
 
 def delete_triples(triples: DataFrame, vectors: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,5 +50,3 @@ def scaling_exponent(runs: DataFrame) -> DataFrame:
     ends = runs.agg(F.min_by("t", "n").alias("t1"), F.max_by("t", "n").alias("t2"), F.min("n").alias("n1"), F.max("n").alias("n2"))
     return ends.select(F.try_divide(F.log(F.col("t2") / F.col("t1")), F.log(F.col("n2") / F.col("n1"))).alias("exponent"))
 
-
-BONUS_BASE = math.log(5)

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures
 from ..functions import text as T
 from ..functions.chunking import chunk_column
 from ..operators import concepts as C
-from ..operators import dedup, entities, fusion, jobs, search, store, usage
-from ..operators.filters import Scope, TimeWindow, by_source_prefix, complete_triples, usage_between
+from ..operators import dedup, entities, extract, filters, fusion, jobs, report, search, store, usage
+from ..operators.filters import Scope, TimeWindow, by_ids, by_source_prefix, complete_triples, usage_between
 from ..schema import JOB_STATUSES, TRIPLE_KEY, TRIPLE_TYPES
-from ..sources.tables import table
+from ..sources.tables import requests, table
 from .demo_graph import as_ctes, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,11 +143,9 @@ concept_leg as (select t.{", t.".join(_COLUMNS)}, max(b.score) score from triple
 
 @query(f"{_CONCEPT_LEG} select {_ROW}, round(score, 6) concept_score from concept_leg", "triples", "concepts", "conceptualizations", "vectors")
 def concept_to_triples(spark, d):
-    tables = [load(spark, d, n) for n in ("triples", "concepts", "conceptualizations", "vectors")]
-    near = search.search_concept_vector(tables[1], tables[3], _vector(spark, d), -9.0, 5).select("concept", "score")
-    rel = tables[2].join(F.broadcast(near), "concept").groupBy("source_element").agg(F.max("score").alias("concept_score"))  # near has 5 rows
-    found = C.triples_of_elements(tables[0].select(*_COLUMNS), rel).groupBy(*_COLUMNS).agg(F.max("concept_score").alias("concept_score"))
-    return found.orderBy(F.desc("concept_score"), "id").limit(20).withColumn("concept_score", F.round("concept_score", 6))
+    triples, *rest = (load(spark, d, n) for n in ("triples", "concepts", "conceptualizations", "vectors"))
+    found = search.concept_triples(triples.select(*_COLUMNS), *rest, _vector(spark, d), -9.0, 20, n_concepts=5)
+    return found.withColumn("concept_score", F.round("concept_score", 6))
 
 
 def _ranked(name: str, sql: str, order: str) -> str:
@@ -155,39 +153,88 @@ def _ranked(name: str, sql: str, order: str) -> str:
     return f"{name} as (select {key}, row_number() over (order by {order}) - 1 pos, count(*) over () n from ({sql}))"
 
 
-_FUSION = f"""{_CONCEPT_LEG},
+def _fusion_sql(w: dict[str, float]) -> str:
+    legs = (("entity", "e"), ("relationship", "r"), ("semantic", "s"), ("concept", "c"))
+    got = lambda x: f"({x}s is not null)::int"
+    union = " union all ".join(f"select {_KEY}, '{leg}' leg, {i} i, pos, (n - pos) / n score from {x}" for i, (leg, x) in enumerate(legs))
+    fused = " + ".join(f"coalesce({x}s * {w[leg]}, 0)" for leg, x in legs)
+    weight, n = (" + ".join(f"{got(x)}{f' * {w[leg]}' if weighted else ''}" for leg, x in legs) for weighted in (True, False))
+    return f"""{_CONCEPT_LEG},
 {_ranked("e", "select * from triples where contains(lower(subject), 'customer:1') or contains(lower(object), 'customer:1') order by subject desc, object desc, extracted_at desc, id limit 20", "subject desc, object desc, extracted_at desc, id")},
 {_ranked("r", "select * from triples where contains(lower(predicate), 'lives') order by predicate desc, extracted_at desc, id limit 20", "predicate desc, extracted_at desc, id")},
 {_ranked("s", _vector_query("SEMANTIC").replace("select distinct t.id, t.subject, t.object,", "select distinct t.id, t.subject, t.predicate, t.object, t.type,"), "score desc, id")},
 {_ranked("c", "select * from concept_leg", "score desc, id")},
-legs as (select subject, predicate, object, type, 'entity' leg, 0 i, pos, (n - pos) / n score from e union all select subject, predicate, object, type, 'relationship', 1, pos, (n - pos) / n from r
-  union all select subject, predicate, object, type, 'semantic', 2, pos, (n - pos) / n from s union all select subject, predicate, object, type, 'concept', 3, pos, (n - pos) / n from c),
-g as (select subject, predicate, object, type, min(score) filter (leg = 'entity') es, min(score) filter (leg = 'relationship') rs, min(score) filter (leg = 'semantic') ss, min(score) filter (leg = 'concept') cs,
-  min(i * 1000 + pos) f from legs group by all)
-select subject, predicate, object, type, round(es, 6) entity_score, round(rs, 6) relationship_score, round(ss, 6) semantic_score, round(cs, 6) concept_score,
-  cast((es is not null)::int + (rs is not null)::int + (ss is not null)::int + (cs is not null)::int as int) n_legs,
-  round((coalesce(es * .3, 0) + coalesce(rs * .2, 0) + coalesce(ss * .3, 0) + coalesce(cs * .2, 0))
-    / ((es is not null)::int * .3 + (rs is not null)::int * .2 + (ss is not null)::int * .3 + (cs is not null)::int * .2)
-    * (1 + 0.2 * ln(1 + (es is not null)::int + (rs is not null)::int + (ss is not null)::int + (cs is not null)::int) / ln(5)), 6) fusion_score
-from g order by fusion_score desc, f limit 10
+legs as ({union}),
+g as (select {_KEY}, {", ".join(f"min(score) filter (leg = '{leg}') {x}s" for leg, x in legs)}, min(i * 1000 + pos) f from legs group by all),
+fused as (select {_KEY}, {", ".join(f"round({x}s, 6) {leg}_score" for leg, x in legs)}, cast({n} as int) n_legs,
+  round(({fused}) / ({weight}) * (1 + 0.2 * ln(1 + {n}) / ln(5)), 6) fusion_score, f
+from g order by fusion_score desc, f limit 10)
 """
 
 
-@query(_FUSION, "triples", "concepts", "conceptualizations", "vectors")
-def fusion_search(spark, d):
-    triples, concepts, rel, vectors = (load(spark, d, n) for n in ("triples", "concepts", "conceptualizations", "vectors"))
-    vector = _vector(spark, d)
+_KEY = ", ".join(TRIPLE_KEY)
+_GRAPH = ("triples", "concepts", "conceptualizations", "vectors")
+_FUSED = f"{_KEY}, {', '.join(f'{k}_score' for k in fusion.LEGS)}, n_legs, fusion_score"
+
+
+def _fused(spark, d, weights=None):
+    """Each leg takes its top rows by what it needs alone: keys and orders."""
+    triples, concepts, rel, vectors = (load(spark, d, n) for n in _GRAPH)
+    triples, vector = triples.select(*_COLUMNS, "extracted_at"), _vector(spark, d)
     legs = [
         fusion.leg_scores(search.search_entity(triples, "customer:1", limit=20), "entity", [F.desc("subject"), F.desc("object"), F.desc("extracted_at"), "id"]),
         fusion.leg_scores(search.search_relationship(triples, "lives", limit=20), "relationship", [F.desc("predicate"), F.desc("extracted_at"), "id"]),
         fusion.leg_scores(search.search_semantic(triples, vectors, vector, -0.45, 20), "semantic", [F.desc(F.round("score", 6)), "id"]),
         fusion.leg_scores(concept_to_triples(spark, d), "concept", [F.desc("concept_score"), "id"]),
     ]
-    out = fusion.fuse(legs)
+    out = fusion.fuse(legs, weights)
     return out.select(*TRIPLE_KEY, *[F.round(f"{k}_score", 6).alias(f"{k}_score") for k in fusion.LEGS], "n_legs", F.round("fusion_score", 6).alias("fusion_score"))
 
 
-_KEY = ", ".join(TRIPLE_KEY)
+@query(f"{_fusion_sql(fusion.WEIGHTS)} select {_FUSED} from fused", *_GRAPH)
+def fusion_search(spark, d):
+    return _fused(spark, d)
+
+
+@query(f"{_fusion_sql(fusion.TEXT_WEIGHTS)} select {_FUSED} from fused", *_GRAPH)
+def graph_search_text(spark, d):
+    return _fused(spark, d, fusion.TEXT_WEIGHTS)
+
+
+@query(
+    f"{_fusion_sql(fusion.TEXT_WEIGHTS)} select strftime(source_date, '%Y-%m') period, cast(count(*) as bigint) n, min(source_date) first_date, max(source_date) last_date "
+    "from triples join fused using (subject, predicate, object, type) where source_date is not null group by 1",
+    *_GRAPH,
+)
+def graph_search_months(spark, d):
+    hits = graph_search_text(spark, d).select(*TRIPLE_KEY)
+    return entities.temporal_clusters(load(spark, d, "triples").join(F.broadcast(hits), TRIPLE_KEY, "left_semi"))  # hits has 10 rows
+
+
+def _fallback_sql(least: float) -> str:
+    near = f"1 - list_distance(cast(v.embedding as double[]), cast({_FIRST_VECTOR} as double[]))"
+    return f""", hits as (select distinct t.id, t.subject name, {near} score from triples t join vectors v on t.id = v.knowledge_triple_id
+      where v.vector_type = 'SEMANTIC' and {near} >= {least} order by score desc, t.id limit 10),
+    near as (select distinct c.id, c.concept name, {near} score from concepts c join vectors v on c.id = v.concept_node_id where v.vector_type = 'CONCEPT' and {near} >= {least} order by score desc, c.id limit 10)
+    select 'triple' found, id, name, round(score, 6) score from hits union all select 'concept', id, name, round(score, 6) from near where not exists (select 1 from hits)"""
+
+
+def _fallback(spark, d, least):
+    hits, near, _ = search.search_with_fallback(*(load(spark, d, n) for n in ("triples", "concepts", "vectors")), _vector(spark, d), least, 10)
+    named = lambda df, kind, name: df.select(F.lit(kind).alias("found"), "id", F.col(name).alias("name"), F.round("score", 6).alias("score"))
+    return named(hits, "triple", "subject").unionByName(named(near, "concept", "concept"))
+
+
+@query(_fallback_sql(-0.45), "triples", "concepts", "vectors")
+def graph_search_vector(spark, d):
+    """Some triple is near, so no concept is asked for."""
+    return _fallback(spark, d, -0.45)
+
+
+@query(_fallback_sql(0.0), "triples", "concepts", "vectors")
+def graph_search_vector_fallback(spark, d):
+    """Where no triple is as near, concepts are, among them the query's own vector."""
+    return _fallback(spark, d, 0.0)
 
 
 @query(f"select {_KEY}, min(id) id, cast(max(confidence) as double) confidence, max(extracted_at) extracted_at, cast(count(*) as bigint) n_merged from triples group by {_KEY}", "triples")
@@ -200,26 +247,62 @@ def dedup_metadata(spark, d):
     return dedup.dedup_metadata(load(spark, d, "triples"))
 
 
-def _labelled_vectors(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("pos"), F.col("label").alias("grp"), "embedding")
+def told_vectors(spark, d):
+    """(text, embedding) of the triples "customer:N lives in ...", by the N-th embedding."""
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("customer:"), "vec_id").alias("subject"), "embedding")
+    told = load(spark, d, "triples").filter("predicate = 'lives in'").select("subject", F.concat_ws(" ", "subject", "predicate", "object").alias("text"))
+    return told.join(e, "subject").select("text", "embedding")
 
 
 @query()
 def semantic_dedup(spark, d):
-    """Leaders among the vectors of each label; sequential by definition, so tests compare it with a plain loop and the iterative form."""
-    return dedup.semantic_leaders(_labelled_vectors(spark, d), 0.3)
+    """Survivors of exact and semantic dedup within each source; greedy by definition, so tests compare it with a plain loop and the iterative form."""
+    triples = load(spark, d, "triples").filter("type = 'ENTITY_ENTITY' and predicate <> 'supplies'").withColumn("source_root", F.regexp_replace("source", "_chunk_[0-9]+$", ""))
+    out = dedup.deduplicated(triples, told_vectors(spark, d), 0.3)
+    return out.select("id", *TRIPLE_KEY, F.col("confidence").cast("double").alias("confidence"), "extracted_at", "n_merged")
+
+
+@query(f"select id from triples where id not in (select id from (select id, min(id) over (partition by {_KEY}) m from triples) x where id <> m)", "triples")
+def delete_duplicates(spark, d):
+    triples = load(spark, d, "triples")
+    gone = dedup.dedup_metadata(triples).select("id")
+    return store.delete_triples(triples, load(spark, d, "vectors"), gone)[0].select("id")
+
+
+_DICTIONARY = """dictionary as (select 'customer:' || cast(vec_id as varchar(20)) text, cast(vec_id as bigint) n from embeddings
+  union all select distinct predicate, cast(-1 as bigint) from triples where predicate <> 'performed'
+  union all select distinct subject || ' ' || predicate || ' ' || object, cast(-2 as bigint) from triples where type = 'EMOTIONAL_CONTEXT')"""
+_TEXTS = """texts as (select distinct id, vector_type, text from (select id, 'ENTITY' vector_type, subject text from triples union all select id, 'ENTITY', object from triples
+  union all select id, 'RELATIONSHIP', predicate from triples union all select id, 'SEMANTIC', subject || ' ' || predicate || ' ' || object from triples) x)"""
+
+
+def _dictionary(spark, d):
+    triples = load(spark, d, "triples")
+    entities_ = table(spark, d, "embeddings").select(F.concat(F.lit("customer:"), "vec_id").alias("text"), F.col("vec_id").cast("long").alias("n"))
+    predicates = triples.filter("predicate <> 'performed'").select(F.col("predicate").alias("text")).distinct().withColumn("n", F.lit(-1).cast("long"))
+    told = triples.filter("type = 'EMOTIONAL_CONTEXT'").select(F.concat_ws(" ", "subject", "predicate", "object").alias("text")).distinct().withColumn("n", F.lit(-2).cast("long"))
+    return entities_.unionByName(predicates).unionByName(told)
 
 
 @query(
-    """select v.id, v.vector_type, v.text, cast(e.vec_id as bigint) vec_id from (
-      select distinct id, vector_type, text from (select id, 'ENTITY' vector_type, subject text from triples union all select id, 'ENTITY', object from triples
-      union all select id, 'RELATIONSHIP', predicate from triples union all select id, 'SEMANTIC', subject || ' ' || predicate || ' ' || object from triples) x) v
-    join (select 'customer:' || cast(vec_id as varchar(20)) text, vec_id from embeddings) e on v.text = e.text""",
+    f""", {_DICTIONARY}, {_TEXTS}
+    select replace(replace(replace(base64(encode(t.id || '|' || t.vector_type || '|' || t.text)), '+', '_'), '/', '_'), '=', '_') vector_id, t.text, t.vector_type,
+    case when t.vector_type = 'ENTITY' then t.text end entity_name, t.id knowledge_triple_id, d.n from texts t join dictionary d on t.text = d.text""",
     "triples",
 )
 def vector_materialise(spark, d):
-    dictionary = table(spark, d, "embeddings").select(F.concat(F.lit("customer:"), F.col("vec_id").cast("string")).alias("text"), "vec_id")
-    return store.vector_texts(load(spark, d, "triples")).join(dictionary, "text").select("id", "vector_type", "text", "vec_id")
+    """Entity, relationship and semantic vectors of what a dictionary knows."""
+    dictionary = _dictionary(spark, d).withColumnRenamed("n", "embedding")
+    out = store.materialise_vectors(load(spark, d, "triples"), dictionary)
+    return out.select("vector_id", "text", "vector_type", "entity_name", "knowledge_triple_id", F.col("embedding").alias("n")).distinct()
+
+
+@query(
+    f""", {_DICTIONARY}, {_TEXTS} select vector_type, cast(count(*) as bigint) misses from (select distinct vector_type, text from texts where text not in (select text from dictionary)) m group by 1""",
+    "triples",
+)
+def missing_vectors(spark, d):
+    return store.missing_texts(load(spark, d, "triples"), _dictionary(spark, d)).groupBy("vector_type").agg(F.count(F.lit(1)).alias("misses"))
 
 
 @query(
@@ -308,11 +391,14 @@ def triple_ids(spark, d):
     return load(spark, d, "triples").select("id", T.safe_id(*[F.col(c) for c in TRIPLE_KEY]).alias("triple_id"))
 
 
-@query(
-    r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(case when length(text) > 200 then substring(text, 1, 200) || '...' else text end,
-    '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[EMAIL]', 'g'), '\bsk-[a-zA-Z0-9]{48}\b', '[API_KEY]', 'g'), '\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b', '[JWT]', 'g'),
-    '\b[a-f0-9]{64}\b', '[HASH64]', 'g'), '\b[a-f0-9]{32}\b', '[HASH32]', 'g') masked from documents"""
-)
+def _masked(c: str) -> str:
+    out = f"case when length({c}) > 200 then substring({c}, 1, 200) || '...' else {c} end"
+    for pattern, tag in T.MASKS:
+        out = f"regexp_replace({out}, '{pattern}', '{tag}', 'g')"
+    return out
+
+
+@query(f"select doc_id, {_masked('text')} masked from documents")
 def mask_pii(spark, d):
     return table(spark, d, "documents").select("doc_id", T.mask(F.col("text")).alias("masked"))
 
@@ -388,9 +474,14 @@ def next_queued(spark, d):
     return jobs.next_queued(load(spark, d, "jobs"), 20).select("id", "stage", "created_at")
 
 
-@query("select id, cast(least(60, greatest(6, ceil(duration_ms / 1000.0), ceil(total_tokens / 10.0))) as bigint) delay from token_usage", "token_usage")
+@query(
+    """, b as (select id, cast(least(60, greatest(6, ceil(duration_ms / 1000.0), ceil(total_tokens / 10.0))) as bigint) delay from token_usage)
+    select id, delay, cast(greatest(6, delay * 0.1) as double) concepts, cast(greatest(10, delay * 0.2) as double) deduplication from b""",
+    "token_usage",
+)
 def processing_delay(spark, d):
-    return load(spark, d, "token_usage").select("id", measures.processing_delay(F.col("duration_ms"), F.col("total_tokens")).alias("delay"))
+    base = load(spark, d, "token_usage").select("id", measures.processing_delay(F.col("duration_ms"), F.col("total_tokens")).alias("delay"))
+    return base.select("id", "delay", *[measures.stage_delay(F.lit(s), F.col("delay")).alias(s.lower()) for s in ("CONCEPTS", "DEDUPLICATION")])
 
 
 @query(
@@ -446,8 +537,274 @@ def chunk_documents(spark, d):
 
 @query()
 def extract_triples(spark, d):
-    from ..operators.extract import extract_triples as extract
-
+    """By the local rules, which tests compare with sentences worked by hand."""
     docs = table(spark, d, "documents").select("text", "source", F.lit("file").alias("source_type"))
-    return extract(docs, TRIPLE_TYPES).select(*TRIPLE_KEY, "source", F.round("confidence", 2).alias("confidence"), "error")
+    return extract.extract_triples(docs, TRIPLE_TYPES).select(*TRIPLE_KEY, "source", F.round("confidence", 2).alias("confidence"), "error")
+
+
+@query()
+def chunk_counts(spark, d):
+    """Chunks by document, as extraction counts them; chunking is a fold, so tests compare it with golden chunks."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.lit("file").alias("source_type"))
+    return extract.chunk_counts(extract.extraction_rows(docs, TRIPLE_TYPES, max_tokens=500), "doc")
+
+
+# -- lookups
+
+_URGENT = "select 'ENTITY_EVENT:placed:' || cast(o_orderkey as varchar(20)) id from orders where o_orderpriority = '1-URGENT'"
+
+
+def _urgent(spark, d):
+    return table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("ENTITY_EVENT:placed:"), "o_orderkey").alias("id"))
+
+
+@query(f"select {_ROW} from triples where id in ({_URGENT})", "triples")
+def triples_by_ids(spark, d):
+    return by_ids(load(spark, d, "triples"), _urgent(spark, d)).select(*_COLUMNS)
+
+
+@query("select id, concept from concepts where id in (select 'c' || cast(n_nationkey as varchar(20)) from nation)", "concepts")
+def concepts_by_ids(spark, d):
+    ids = table(spark, d, "nation").select(F.concat(F.lit("c"), "n_nationkey").alias("id"))
+    return by_ids(load(spark, d, "concepts"), ids).select("id", "concept")
+
+
+@query(
+    f"select i.id, i.id in (select id from triples) found from (select distinct id from ({_URGENT} union all select 'no:' || cast(n_nationkey as varchar(20)) from nation) x) i",
+    "triples",
+)
+def ids_exist(spark, d):
+    other = table(spark, d, "nation").select(F.concat(F.lit("no:"), "n_nationkey").alias("id"))
+    return filters.ids_exist(load(spark, d, "triples"), _urgent(spark, d).unionByName(other))
+
+
+@query("select source_element, cast(confidence as double) confidence from conceptualizations where concept = 'Topic 4'", "conceptualizations")
+def concept_lookup(spark, d):
+    return filters.of_concept(load(spark, d, "conceptualizations"), "Topic 4").select("source_element", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("select event_id, event_type from events where json_extract_string(props, '$.k') = '7'")
+def json_path(spark, d):
+    return table(spark, d, "events").filter(filters.json_equals("props", "k", "7")).select("event_id", "event_type")
+
+
+@query(
+    "select vector_id, vector_type from vectors where knowledge_triple_id in (select id from triples where starts_with(source, 'src1')) or concept_node_id in (select id from concepts where abstraction_level = 'HIGH')",
+    "triples", "concepts", "vectors",
+)
+def vectors_of_rows(spark, d):
+    triples = by_source_prefix(load(spark, d, "triples"), "src1").select("id")
+    return filters.vectors_of(load(spark, d, "vectors"), triples, load(spark, d, "concepts").filter("abstraction_level = 'HIGH'")).select("vector_id", "vector_type")
+
+
+@query("select id, status from jobs where parent_job_id = 'j7' and stage = 'CONCEPTS' order by created_at, id limit 1", "jobs")
+def job_of_stage(spark, d):
+    return jobs.job_of_stage(load(spark, d, "jobs"), "j7", "CONCEPTS").select("id", "status")
+
+
+@query("select id, stage from jobs where status = 'FAILED' order by created_at, id limit 30", "jobs")
+def jobs_by_status(spark, d):
+    return jobs.by_status(load(spark, d, "jobs"), "FAILED", 30).select("id", "stage")
+
+
+# -- jobs' transitions
+
+@query(
+    """, p as (select id, cast((k * 13) % 140 - 20 as int) v, status, progress, created_at from jobs where k % 3 <> 0), q as (select id, v, least(100, greatest(0, v)) c, status from p)
+    select j.id, coalesce(q.c, j.progress) progress, case when q.c = 100 then 'COMPLETED' when q.c > 0 then 'PROCESSING' else j.status end status,
+    case when q.c > 0 and q.c < 100 then timestamp '2025-01-01 00:00:00' end started_at, case when q.c = 100 then timestamp '2025-01-01 00:00:00' end completed_at
+    from jobs j left join q on j.id = q.id""",
+    "jobs",
+)
+def job_transitions(spark, d):
+    j = load(spark, d, "jobs").withColumns({"started_at": F.lit(None).cast("timestamp"), "completed_at": F.lit(None).cast("timestamp")})
+    values = j.filter("k % 3 <> 0").select("id", F.expr("cast((k * 13) % 140 - 20 as int)").alias("progress"))
+    return jobs.progressed(j, values, "2025-01-01 00:00:00").select("id", "progress", "status", "started_at", "completed_at")
+
+
+@query("select id, 'QUEUED' status, cast(retry_count + 1 as int) retry_count from jobs where status = 'FAILED' and retry_count < max_retries", "jobs")
+def retried_jobs(spark, d):
+    return jobs.retried(load(spark, d, "jobs").withColumn("error_message", F.lit("x"))).filter("error_message is null").select("id", "status", "retry_count")
+
+
+@query(
+    """, t as (select *, created_at + k * interval '1' second completed_at from jobs), gone as (select id from t where status in ('COMPLETED', 'FAILED') and completed_at < timestamp '2024-01-01 06:00:00' - interval '0' day)
+    select id from t where id not in (select id from gone) and (parent_job_id is null or parent_job_id not in (select id from gone))""",
+    "jobs",
+)
+def purged_jobs(spark, d):
+    j = load(spark, d, "jobs").withColumn("completed_at", F.col("created_at") + F.make_interval(secs=F.col("k").cast("decimal(18,6)")))
+    return jobs.purged(j, jobs.stale_days(j, 0, "2024-01-01 06:00:00")).select("id")
+
+
+@query(
+    """select id, least(2.0 * pow(2.0, retry_count), 30.0) delay, cast(round(10 + (k % 7) / 7.0 * 70) as int) chunk_progress, round(progress * 1000.0 / nullif(retry_count, 0), 6) rate,
+    coalesce(nullif(retry_count, 0), nullif(progress, 0), 0) first_number, cast(1000 * (k + 1) as bigint) ms from jobs""",
+    "jobs",
+)
+def job_measures(spark, d):
+    j = load(spark, d, "jobs").withColumns({"started_at": F.col("created_at"), "completed_at": F.col("created_at") + F.make_interval(secs=(F.col("k") + 1).cast("decimal(18,6)"))})
+    took = jobs.elapsed_ms(j).withColumnRenamed("id", "of")
+    return j.join(took, F.col("id") == F.col("of")).select(
+        "id", measures.backoff(2.0, 2.0, F.col("retry_count"), 30.0).alias("delay"), measures.chunk_progress(F.col("k") % 7, F.lit(7)).alias("chunk_progress"),
+        F.round(measures.rate(F.col("progress"), F.col("retry_count"), 1000.0), 6).alias("rate"), measures.first_nonzero(F.col("retry_count"), F.col("progress")).alias("first_number"), "ms",
+    )
+
+
+# -- reports
+
+@query("select coalesce(stage, 'unknown') name, cast(count(*) as bigint) n from jobs group by 1", "jobs")
+def counts_by_stage(spark, d):
+    return report.counts_by(load(spark, d, "jobs"), "stage")
+
+
+@query(
+    """select cast(count(*) as bigint) total, cast(count(*) filter (ok) as bigint) successful, cast(count(*) filter (not ok) as bigint) failed, cast(sum(duration_ms) as bigint) total_duration,
+    round(avg(duration_ms), 6) mean_duration from token_usage""",
+    "token_usage",
+)
+def tests_summary(spark, d):
+    runs = load(spark, d, "token_usage").select(F.col("ok").alias("success"), F.col("duration_ms").alias("duration"))
+    return report.tests_summary(runs).withColumn("mean_duration", F.round("mean_duration", 6))
+
+
+@query(
+    """, m as (select operation_type, avg(duration_ms) mean from token_usage group by 1)
+    select round(avg(mean), 6) mean_of_means, arg_min(operation_type, mean) lowest, arg_max(operation_type, mean) highest from m""",
+    "token_usage",
+)
+def grouped_extremes(spark, d):
+    return report.grouped_extremes(load(spark, d, "token_usage"), "operation_type", "duration_ms").withColumn("mean_of_means", F.round("mean_of_means", 6))
+
+
+@query(
+    """, g as (select model, avg(total_tokens) efficiency, sum(total_tokens) * 1000.0 / sum(duration_ms) speed from token_usage group by 1)
+    select model, cast(row_number() over (order by round(efficiency) desc, speed desc) as int) place from g""",
+    "token_usage",
+)
+def efficiency_ranking(spark, d):
+    groups = load(spark, d, "token_usage").groupBy("model").agg(F.avg("total_tokens").alias("efficiency"), (F.sum("total_tokens") * 1000 / F.sum("duration_ms")).alias("speed"))
+    return report.by_efficiency(groups).select("model", "place")
+
+
+@query(
+    """, t as (select operation_type || model as name, avg(duration_ms) m, cast(count(*) filter (ok) as double) / count(*) s, sum(total_tokens) * 1000.0 / sum(duration_ms) t from token_usage group by 1)
+    select name, case when m > 3000 then 'HIGH' when m > 1500 then 'MEDIUM' else 'LOW' end latency, case when s < 0.9 then 'LOW' else 'HIGH' end reliability, case when t < 20 then 'SLOW' else 'FAST' end speed from t""",
+    "token_usage",
+)
+def bottlenecks(spark, d):
+    runs = load(spark, d, "token_usage").withColumn("name", F.concat("operation_type", "model"))
+    tests = runs.groupBy("name").agg(F.avg("duration_ms").alias("mean_ms"), (F.count_if("ok") / F.count(F.lit(1))).alias("success_rate"), (F.sum("total_tokens") * 1000 / F.sum("duration_ms")).alias("tokens_per_second"))
+    return report.bottlenecks(tests)
+
+
+@query(
+    """, gone as (select id from triples where starts_with(source, 'src1')), topics as (select id, concept, source, source_type from concepts where abstraction_level = 'HIGH')
+    select 'triples' name, cast(count(*) as bigint) n from triples where id not in (select id from gone) union all select 'concepts', count(*) from concepts where abstraction_level <> 'HIGH'
+    union all select 'vectors', count(*) from vectors where coalesce(knowledge_triple_id, '') not in (select id from gone) and coalesce(concept_node_id, '') not in (select id from topics)
+    union all select 'conceptualizations', count(*) from conceptualizations c where not exists (select 1 from topics t where t.concept = c.concept)""",
+    "triples", "concepts", "vectors", "conceptualizations",
+)
+def report_cleanup(spark, d):
+    tables = {n: load(spark, d, n) for n in ("triples", "concepts", "vectors", "conceptualizations")}
+    # links of the demo graph have no source of their own; they get their concept's
+    of = tables["concepts"].select("concept", "source", "source_type").distinct()
+    tables["conceptualizations"] = tables["conceptualizations"].join(of, "concept", "left")
+    gone = {"triples": by_source_prefix(tables["triples"], "src1").select("id"), "concepts": tables["concepts"].filter("abstraction_level = 'HIGH'").select("id")}
+    left, out = report.cleaned(tables, gone), None
+    for name, df in left.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select array_to_string(list_sort(list(distinct vector_type)), ',') found from vectors", "vectors")
+def distinct_types(spark, d):
+    return entities.distinct_values(load(spark, d, "vectors"), "vector_type").select(F.array_join("found", ",").alias("found"))
+
+
+@query("select id, subject, type from triples order by id limit 5", "triples")
+def report_samples(spark, d):
+    return report.sample(load(spark, d, "triples")).select("id", "subject", "type")
+
+
+# -- texts
+
+@query("select doc_id, right(text, 5000) log from documents")
+def log_tail(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.tail(F.col("text")).alias("log"))
+
+
+@query(r"""select doc_id, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), doc_id % 7 + 1, doc_id % 7 + 5 + doc_id % 20), ' ') said from documents""")
+def word_windows(spark, d):
+    window = T.word_window(F.col("text"), (F.col("doc_id") % 7).cast("int"), (5 + F.col("doc_id") % 20).cast("int"))
+    return table(spark, d, "documents").select("doc_id", window.alias("said"))
+
+
+@query(
+    """, parts as (select type, case when type in ('ENTITY_ENTITY', 'ENTITY_EVENT') then 'entity' else 'event' end kind, subject as part from triples
+      union all select type, case when type = 'ENTITY_ENTITY' then 'entity' else 'event' end, object from triples union all select type, 'relationship', predicate from triples),
+    l as (select type, coalesce(string_agg(distinct part, ', ' order by part) filter (kind = 'entity'), '') e, coalesce(string_agg(distinct part, ', ' order by part) filter (kind = 'event'), '') v,
+      coalesce(string_agg(distinct part, ', ' order by part) filter (kind = 'relationship'), '') r from parts group by 1)
+    select type, 'Name concepts for these elements.' || chr(10) || 'Entities: ' || e || chr(10) || 'Events: ' || v || chr(10) || 'Relationships: ' || r prompt from l""",
+    "triples",
+)
+def concept_prompts(spark, d):
+    return extract.concept_prompt(C.element_sets(load(spark, d, "triples"), "type"), "type")
+
+
+@query("select source, source_type, string_agg(id, ',' order by id) triple_ids from triples where type = 'EMOTIONAL_CONTEXT' group by all", "triples")
+def job_triple_ids(spark, d):
+    triples = load(spark, d, "triples").filter("type = 'EMOTIONAL_CONTEXT'")
+    return C.triple_ids(triples, "source", "source_type").select("source", "source_type", F.array_join("triple_ids", ",").alias("triple_ids"))
+
+
+@query(
+    """, t as (select source, row_number() over (partition by source order by doc_id) - 1 i, cast(ceil(length(coalesce(text, '')) / 4.0) as bigint) tokens from documents)
+    select source, cast(floor(i / 100) as int) batch, cast(count(*) as bigint) texts, cast(sum(tokens) as bigint) tokens from t group by 1, 2""".lstrip(", ").replace("t as", "with t as", 1)
+)
+def embedding_batches(spark, d):
+    """Batches of 100 texts within each source, and the tokens of each."""
+    docs = table(spark, d, "documents").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    return docs.groupBy("source", measures.batch_number(F.col("i"), 100).alias("batch")).agg(F.count(F.lit(1)).alias("texts"), F.sum(T.token_estimate(F.coalesce("text", F.lit("")))).alias("tokens"))
+
+
+@query(
+    """select event_id, event_id % 130 between 1 and 100 and (event_id % 50) / 40.0 <= 1 and event_type <> 'error' ok from events"""
+)
+def request_validation(spark, d):
+    body = F.to_json(F.struct(F.when(F.col("event_type") != "error", F.col("event_type")).otherwise(" ").alias("query"), (F.col("event_id") % 130).alias("limit"), (F.col("event_id") % 50 / 40.0).alias("threshold")))
+    lines = table(spark, d, "events").select(F.concat(body, F.lit("#"), "event_id").alias("both")).select(F.split("both", "#")[0].alias("value"), F.split("both", "#")[1].cast("long").alias("event_id"))
+    checked = requests(lines.withColumn("value", F.concat(F.rtrim("value"), F.lit(""))), "search").select("raw", "ok").distinct()
+    return lines.join(checked, F.col("value") == F.col("raw")).select("event_id", "ok")
+
+
+@query("select event_id, props said, case when event_id % 2 = 0 then '[REDACTED]' else event_type end hidden from events")
+def fences_and_secrets(spark, d):
+    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    secret = F.when(F.col("event_id") % 2 == 0, "apiKey").otherwise("kind")
+    hidden = T.redact_map(F.create_map(secret, F.col("event_type")))
+    return table(spark, d, "events").select("event_id", T.strip_fences(fenced).alias("said"), F.map_values(hidden)[0].alias("hidden"))
+
+
+@query(
+    """, u as (select id, duration_ms * 37 s from token_usage) select id, case when s >= 86400 then cast(s // 86400 as varchar(20)) || 'd ' else '' end
+    || case when s % 86400 >= 3600 then cast(s % 86400 // 3600 as varchar(20)) || 'h ' else '' end || case when s % 3600 >= 60 then cast(s % 3600 // 60 as varchar(20)) || 'm ' else '' end
+    || cast(s % 60 as varchar(20)) || 's' uptime from u""",
+    "token_usage",
+)
+def uptimes(spark, d):
+    return load(spark, d, "token_usage").select("id", T.uptime(F.col("duration_ms") * 37).alias("uptime"))
+
+
+@query("select vec_id, length(array_to_string(embedding[1:0], ',')) = 0 and len(embedding) = 64 ok from embeddings")
+def vector_checks(spark, d):
+    e = table(spark, d, "embeddings")
+    wrong = store.wrong_dimension(e, 64).select(F.col("vec_id").alias("w"))
+    return e.join(wrong, F.col("vec_id") == F.col("w"), "left").select("vec_id", F.col("w").isNull().alias("ok"))
+
 
+@query("select subject || predicate as name, try_cast(subject as decimal(3,2)) \"number\", try_cast(object as timestamp) \"time\" from triples where type = 'EMOTIONAL_CONTEXT'", "triples")
+def strict_casts(spark, d):
+    rows = load(spark, d, "triples").filter("type = 'EMOTIONAL_CONTEXT'").select(F.concat("subject", "predicate").alias("name"), F.col("subject").alias("number"), F.col("object").alias("time"))
+    return store.strict_casts(rows, {"number": "decimal(3,2)", "time": "timestamp"})

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +26,48 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("source"))
 
 
-REQUEST = "text string, source string, source_type string, source_date timestamp, limit int, threshold double"
+#: What each request may hold, and what is required and bounded in it.
+REQUESTS = {
+    "process": ("text string, source string, source_type string, source_date timestamp", ("text", "source", "source_type", "source_date"), {}),
+    "search": ("query string, limit int, threshold double, entity double, relationship double, semantic double, concept double", ("query",),
+               {"limit": (1, 100), "threshold": (0, 1), "entity": (0, 1), "relationship": (0, 1), "semantic": (0, 1), "concept": (0, 1)}),
+    "concepts": ("query string, abstraction string, limit int", ("query",), {"limit": (1, 100)}),
+}
+
 
+def requests(lines: DataFrame, kind: str = "process", column: str = "value") -> DataFrame:
+    """JSON requests of a kind with a verdict instead of an exception.
 
-def requests(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON requests with a verdict instead of an exception: limit 1 to 100, threshold 0 to 1, text not blank."""
-    r = lines.select(F.from_json(column, REQUEST, {"mode": "PERMISSIVE"}).alias("r"), F.col(column).alias("raw")).select("r.*", "raw")
-    ok = (F.length(F.trim("text")) > 0) & F.coalesce(F.col("limit"), F.lit(10)).between(1, 100) & F.coalesce("threshold", F.lit(0.0)).between(0, 1)
+    Required fields are there and not blank, numbers are within their bounds, an
+    abstraction is high, medium or low.
+    """
+    schema, required, bounds = REQUESTS[kind]
+    r = lines.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r"), F.col(column).alias("raw")).select("r.*", "raw")
+    ok = F.lit(True)
+    for c in required:
+        ok = ok & (F.length(F.trim(F.col(c).cast("string"))) > 0)
+    for c, (low, high) in bounds.items():
+        ok = ok & (F.col(c).isNull() | F.col(c).between(low, high))
+    if kind == "concepts":
+        ok = ok & (F.col("abstraction").isNull() | F.lower("abstraction").isin("high", "medium", "low"))
     return r.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("error", F.when(~F.col("ok"), "INPUT_VALIDATION_ERROR"))
+
+
+_PUBLISHED: dict[tuple[str, str], tuple[str, object]] = {}
+
+
+def published(spark: SparkSession, derive: Callable[[], DataFrame], key: str) -> DataFrame:
+    """A table derived and written once in a session, in the folder of ``spark.checkpoint.dir``, and read from there after."""
+    at = (spark.sparkContext.applicationId, key)
+    if at not in _PUBLISHED:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="factloom-")
+            spark.conf.set("spark.checkpoint.dir", base)
+        df, path = derive(), f"{base.rstrip('/')}/published-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _PUBLISHED[at] = path, df.schema
+    path, schema = _PUBLISHED[at]
+    return spark.read.schema(schema).parquet(path)

@@ -8,10 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-EVENT = "id string, event_time timestamp, job_type string, parent_job_id string, stage string, status string, progress int, retry_count int, max_retries int"
+EVENT = (
+    "id string, event_time timestamp, job_type string, parent_job_id string, stage string, status string, progress int, retry_count int, max_retries int, "
+    "text string, metadata string, result string, error_message string"
+)
+Handler = Callable[[DataFrame], DataFrame]
 
 
-def run_jobs(spark: SparkSession, events_dir: str, done_dir: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]]) -> StreamingQuery:
+def enqueue(spark: SparkSession, events_dir: str, jobs: DataFrame) -> None:
+    """Append jobs' events to the folder that the stream reads."""
+    fields = spark.createDataFrame([], EVENT).schema.fields
+    shaped = jobs.select(*[(F.col(f.name) if f.name in jobs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    shaped.write.mode("append").json(events_dir)
+
+
+def dispatch(queued: DataFrame, handlers: dict[str, Handler]) -> DataFrame:
+    """The events of queued jobs: each type's handler gives its own, jobs of other types fail."""
+    unknown = queued.filter(~F.coalesce(F.col("job_type").isin(list(handlers)), F.lit(False)))
+    out = unknown.withColumns({"status": F.lit("FAILED"), "error_message": F.concat(F.lit("no handler for "), F.coalesce("job_type", F.lit("a job without type")))})
+    for kind, handle in handlers.items():
+        mine = queued.filter(F.col("job_type") == kind)
+        if not mine.isEmpty():
+            out = out.unionByName(handle(mine))
+    return out
+
+
+def run_jobs(spark: SparkSession, events_dir: str, done_dir: str, checkpoint: str, handlers: dict[str, Handler]) -> StreamingQuery:
     """Each job type's handler gets the queued jobs of a batch and returns their events.
 
     A repeated event is dropped by job and time within the watermark; a repeated batch overwrites its own folder, so results
@@ -22,17 +44,43 @@ def run_jobs(spark: SparkSession, events_dir: str, done_dir: str, checkpoint: st
     def step(batch: DataFrame, number: int) -> None:
         queued = batch.filter("status = 'QUEUED'").persist()
         try:
-            known = F.col("job_type").isin(list(handlers))
-            out = queued.filter(~known).withColumns({"status": F.lit("FAILED")})
-            for kind, handle in handlers.items():
-                out = out.unionByName(handle(queued.filter(F.col("job_type") == kind)))
-            out.write.mode("overwrite").parquet(f"{done_dir}/batch={number}")
+            dispatch(queued, handlers).select(*queued.columns).write.mode("overwrite").parquet(f"{done_dir}/batch={number}")
         finally:
             queued.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
 
 
+def graph_handlers(graph, at: str) -> dict[str, Handler]:
+    """What a knowledge graph does with each type of job."""
+    of = lambda name: F.get_json_object("metadata", f"$.{name}").alias(name)
+
+    def finished(batch: DataFrame, said: DataFrame, same) -> DataFrame:
+        """``said``: (r, m) and what ``same`` compares; the message makes a job fail."""
+        failed = F.col("m").isNotNull()
+        return batch.join(said, same, "left").withColumns({
+            "status": F.when(failed, "FAILED").otherwise("COMPLETED"), "progress": F.when(failed, 0).otherwise(100), "result": F.col("r"), "error_message": F.col("m"),
+        }).select(*batch.columns)
+
+    def extraction(batch: DataFrame) -> DataFrame:
+        found = graph.extraction_job(batch.select("id", "text", of("source"), of("source_type")), at)
+        said = found.select(F.col("id").alias("d"), F.to_json(F.struct("triples", "total_chunks", "successful_chunks", "failed_chunks")).alias("r"), F.col("error_message").alias("m"))
+        return finished(batch, said, F.col("id") == F.col("d"))
+
+    def by_source(job: Handler) -> Handler:
+        def handle(batch: DataFrame) -> DataFrame:
+            out = job(batch.select(of("source"), of("source_type")), at)
+            said = out.select(F.col("source").alias("s"), F.col("source_type").alias("t"), F.to_json(F.struct(*out.columns[2:])).alias("r"), F.lit(None).cast("string").alias("m"))
+            return finished(batch, said, of("source").eqNullSafe(F.col("s")) & of("source_type").eqNullSafe(F.col("t")))
+
+        return handle
+
+    return {
+        "PROCESS_KNOWLEDGE": extraction, "EXTRACT_KNOWLEDGE_BATCH": extraction,
+        "GENERATE_CONCEPTS": by_source(graph.concept_job), "DEDUPLICATE_KNOWLEDGE": by_source(graph.dedup_job),
+    }
+
+
 def usage_windows(usage: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tokens by tumbling window; works on a stream and on a table."""
     rows = usage.withWatermark("timestamp", late) if usage.isStreaming else usage
