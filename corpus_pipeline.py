@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one works on; all
 but the last return the columns of ``documents``.
+
+Odd rows are as the operators say: texts without a letter, null ones among them, go
+first; rows that share a doc_id, or have none, are told apart where an operator
+decides by row; other columns go along, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -12,12 +17,12 @@ from factloom.llm import exact_dedup, jaccard_join, language, mixing, packing
 from factloom.llm.queries import word_vocabulary
 from factloom.llm.scratch import documents, written
 
-#: Tokenizing, random mixing and similarity have no SQL form; tests compare the stages with brute force.
+#: Tokenizing, random mixing and similarity have no SQL form; a test compares run() with a chain of plain loops.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that was learned, go."""
+    """Documents without a letter, or without a word or n-gram that the model knows, go."""
     return language.identified(docs)
 
 
