@@ -6,8 +6,10 @@ gives it with the pixel arrays that decoding it gives, and ``as_media`` the
 checksums and features of both.  The feature lists the images' sizes, mean and
 deviation of the samples, and their distribution over 16 ranges, in thousandths.
 
-Null text is empty: a payload of 576 fill bytes.  Every row is stored by itself;
-an empty table gives an empty result; other columns are not looked at.
+Null text is empty: a payload of 576 fill bytes.  Every row is stored by itself,
+also where doc_ids repeat or are missing; a very long text, of which one task holds
+the pixels, becomes several images.  An empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,39 +43,48 @@ def feature(samples: bytes, shapes) -> str:
     return f"{'+'.join(f'{w}x{h}' for w, h in shapes)};mean={mean:.3f};dev={deviation:.3f};hist={','.join(map(str, shares.tolist()))}"
 
 
-def _stored(tables):
-    image = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("argb", pa.binary())])
+def _images(tables):
+    """(doc_id, bytes of the text, media, pixels of its images) of each row."""
     for t in tables:
-        ids, sizes, medias, images, held = [], [], [], [], 0
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(medias, pa.binary()), pa.array(images, pa.list_(image))], ["doc_id", "n_bytes", "media", "images"])
-
         for doc_id, text in zip(t.column(0), t.column(1)):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             media = store_payload(padded(raw))
-            ids.append(doc_id.as_py())
-            sizes.append(len(raw))
-            medias.append(media)
-            images.append([{"width": p.shape[1], "height": p.shape[0], "argb": p.astype("<u4").tobytes()} for p in read_images(media)])
-            held += 5 * len(raw)
-            if held >= BATCH_BYTES:
-                yield batch()
-                ids, sizes, medias, images, held = [], [], [], [], 0
-        yield batch()
+            yield doc_id.as_py(), len(raw), media, read_images(media)
+
+
+def _stored(tables):
+    image = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("argb", pa.binary())])
+    kinds, rows, held = [pa.int64(), pa.int64(), pa.binary(), pa.list_(image)], [], 0
+
+    def batch():
+        cols = zip(*rows) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "media", "images"])
+
+    for doc_id, n, media, images in _images(tables):
+        rows.append((doc_id, n, media, [{"width": p.shape[1], "height": p.shape[0], "argb": p.astype("<u4").tobytes()} for p in images]))
+        held += 3 * n
+        if held >= BATCH_BYTES:
+            yield batch()
+            rows.clear()
+            held = 0
+    yield batch()
 
 
 def _digests(tables):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    for t in tables:
-        rows = []
-        for doc_id, n, media, images in zip(*(t.column(k) for k in range(4))):
-            media, images = media.as_py(), images.as_py()
-            back = b"".join(samples(np.frombuffer(i["argb"], "<u4")) for i in images)
-            rows.append((doc_id.as_py(), n.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, [(i["width"], i["height"]) for i in images])))
-        cols = list(zip(*rows)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+    kinds, rows = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()], []
+
+    def batch():
+        cols = zip(*rows) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    for doc_id, n, media, images in _images(tables):
+        back = b"".join(map(samples, images))
+        rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, [p.shape[::-1] for p in images])))
+        if len(rows) >= 5000:
+            yield batch()
+            rows.clear()
+    yield batch()
 
 
 def as_columns(docs: DataFrame) -> DataFrame:
@@ -83,5 +94,6 @@ def as_columns(docs: DataFrame) -> DataFrame:
 
 
 def as_media(docs: DataFrame) -> DataFrame:
-    """The digest columns of each row's media and pixels."""
-    return as_columns(docs).mapInArrow(lean(_digests), SCHEMA)
+    """The digest columns of each row's media and pixels, which stay within the task."""
+    bounded_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(lean(_digests), SCHEMA)

@@ -3,17 +3,21 @@
 ``decode`` reads prefix codes, meta prefix images, back-references and the colour
 cache, and inverts the predictor, cross-colour, subtract-green and palette
 transforms.  With one group of codes, what a symbol would be is looked up at every
-bit at once, and only the steps from symbol to symbol are followed one by one.
+bit at once; only the steps from symbol to symbol, and copies, are followed one by
+one.
 
-``encode_bytes`` writes prefix codes fitted to the image, back-references, a colour
-cache, and the transform (none, a predictor or a packed palette) that leaves
-the least entropy.
+``encode_bytes`` writes three bytes to a pixel, with prefix codes fitted to the
+image, back-references or a colour cache, and the transform (none, a predictor,
+subtract-green or a packed palette) that leaves the least entropy.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 import struct
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -36,11 +40,8 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 N_LENGTHS, N_DISTANCES = 24, 40
 MOST = 16384  # pixels of a side
 
-REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), axis=1, bitorder="little").ravel()
-
-
-def _reversed(code: int, n: int) -> int:
-    return (int(REVERSED[code & 255]) << 8 | int(REVERSED[code >> 8])) >> (16 - n)
+#: The numbers of 15 bits with their bits in reverse order.
+REVERSED = sum(((np.arange(1 << 15) >> k & 1) << (14 - k) for k in range(15)), np.zeros(1 << 15, np.int64))
 
 
 class Bits:
@@ -61,86 +62,105 @@ class Bits:
 
 
 class Code:
-    """A canonical prefix code: symbols by (length, code read bit by bit)."""
+    """A canonical prefix code, which puts shorter codes, and smaller symbols among them, first."""
 
     def __init__(self, lengths):
-        lengths = list(lengths)
-        used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else (0 if not used else None)
-        self.table: dict[tuple[int, int], int] = {}
+        lengths = np.asarray(lengths)
+        used = np.flatnonzero(lengths)
+        self.only = int(used[0]) if len(used) == 1 else (0 if not len(used) else None)
+        self.short = None
         if self.only is None:
-            code, last = 0, 0
-            for n, s in sorted((lengths[s], s) for s in used):
-                code <<= n - last
-                self.table[n, code] = s
-                code, last = code + 1, n
-            if code != 1 << last:
+            by = used[np.argsort(lengths[used], kind="stable")]
+            self.symbols, self.lengths = by, lengths[by]
+            if int((1 << (15 - self.lengths)).sum()) != 1 << 15:
                 raise ValueError("a prefix code is not complete")
-        self.most, self.short = max(lengths, default=0), None
 
-    def look_up(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """(symbols, lengths, mask): by the next bits under the mask."""
+    def look_up(self) -> tuple[np.ndarray, int]:
+        """(symbol * 16 + length of the code) by the next bits under the mask."""
         if self.only is not None:
-            return np.array([self.only], np.int32), np.zeros(1, np.int32), 0
-        most = max(n for n, _ in self.table)
-        symbols, lengths = np.zeros(1 << most, np.int32), np.zeros(1 << most, np.int32)
-        for (n, code), s in self.table.items():
-            at = _reversed(code, n)
-            symbols[at :: 1 << n], lengths[at :: 1 << n] = s, n
-        return symbols, lengths, (1 << most) - 1
+            return np.array([self.only << 4]), 0
+        most = int(self.lengths[-1])
+        table = np.repeat(self.symbols << 4 | self.lengths, 1 << (most - self.lengths))
+        return table[REVERSED[: 1 << most] >> (15 - most)], (1 << most) - 1
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        if self.most <= 8:
-            if self.short is None:
-                symbols, lengths, mask = self.look_up()
-                self.short = symbols.tolist(), lengths.tolist(), mask
-            symbols, lengths, mask = self.short
-            index = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2], "little") >> (bits.at & 7) & mask
-            bits.read(lengths[index])  # not past the end
-            return symbols[index]
-        code = 0
-        for n in range(1, 16):
-            code = code << 1 | bits.read(1)
-            if (s := self.table.get((n, code))) is not None:
-                return s
-        raise ValueError("no such prefix code")
-
-
-def _read_code(bits: Bits, size: int) -> Code:
-    lengths = [0] * size
+        if self.short is None:
+            table, mask = self.look_up()
+            self.short = table.tolist(), mask
+        table, mask = self.short
+        first = bits.at >> 3
+        found = table[int.from_bytes(bits.data[first : first + 3], "little") >> (bits.at & 7) & mask]
+        bits.read(found & 15)  # not past the end
+        return found >> 4
+
+
+def _read_code(bits: Bits, size: int, known: list) -> Code:
+    """``known``: the code read last, as (size, its bits, how many, Code); the same bits are not worked out again."""
+    if known and known[0] == size:
+        _, pattern, n, code = known
+        at = bits.at
+        if at + n <= 8 * len(bits.data) and bits.read(n) == pattern:
+            return code
+        bits.at = at
+    start = bits.at
+    code = _new_code(bits, size)
+    n, bits.at = bits.at - start, start
+    known[:] = size, bits.read(n), n, code
+    return code
+
+
+@lru_cache(1 << 12)
+def _table_of(lengths: tuple) -> tuple[list[int], int]:
+    """The small code that code lengths are written in; few different ones occur."""
+    table, mask = Code(lengths).look_up()
+    return table.tolist(), mask
+
+
+def _new_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
+        lengths = [0] * size
         two = bits.read(1)
         lengths[bits.read(8 if bits.read(1) else 1)] = 1
         if two:
             lengths[bits.read(8)] = 1
         return Code(lengths)
     of_lengths = [0] * 19
-    for k in LENGTH_ORDER[: 4 + bits.read(4)]:
-        of_lengths[k] = bits.read(3)
-    code = Code(of_lengths)
+    n = 4 + bits.read(4)
+    three = bits.read(3 * n)
+    for i, k in enumerate(LENGTH_ORDER[:n]):
+        of_lengths[k] = three >> (3 * i) & 7
+    table, mask = _table_of(tuple(of_lengths))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
-    while at < size and left:
+    lengths, last = [], 8
+    first, at, end = bits.at >> 3, bits.at & 7, 0
+    while len(lengths) < size and left:
+        if at >= end:  # short numbers shift faster; a length takes 14 bits at most
+            first, at, end = first + (at >> 3), at & 7, 8 * 40 - 14
+            ahead = int.from_bytes(bits.data[first : first + 40], "little")
         left -= 1
-        n = code.read(bits)
+        found = table[ahead >> at & mask]
+        at += found & 15
+        n = found >> 4
         if n < 16:
-            lengths[at] = n
-            at += 1
+            lengths.append(n)
             last = n or last
-            continue
-        if n == 16:
-            times, value = 3 + bits.read(2), last
+        elif n == 16:
+            lengths += [last] * (3 + (ahead >> at & 3))
+            at += 2
         elif n == 17:
-            times, value = 3 + bits.read(3), 0
+            lengths += [0] * (3 + (ahead >> at & 7))
+            at += 3
         else:
-            times, value = 11 + bits.read(7), 0
-        if at + times > size:
-            raise ValueError("too many code lengths")
-        lengths[at : at + times] = [value] * times
-        at += times
-    return Code(lengths)
+            lengths += [0] * (11 + (ahead >> at & 127))
+            at += 7
+    if len(lengths) > size:
+        raise ValueError("too many code lengths")
+    bits.at = 8 * first + at
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the image ends early")
+    return Code(lengths + [0] * (size - len(lengths)))
 
 
 def _number(symbol: int, bits: Bits) -> int:
@@ -165,7 +185,8 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups_at = (_read_pixels(bits, _tiles(width, tile_bits), _tiles(height, tile_bits), False) >> 8) & 0xFFFF
         n_groups = int(groups_at.max()) + 1
     sizes = (256 + N_LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, N_DISTANCES)
-    groups = [[_read_code(bits, n) for n in sizes] for _ in range(n_groups)]
+    known: list = []
+    groups = [[_read_code(bits, n, known) for n in sizes] for _ in range(n_groups)]
     total = width * height
     if n_groups == 1 and groups[0][0].only is None:
         return _read_group(bits, total, width, groups[0], cache_bits)
@@ -210,88 +231,154 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 def _read_group(bits: Bits, total: int, width: int, group: list[Code], cache_bits: int, step: int = 1 << 15) -> np.ndarray:
     """Pixels of one group of codes: symbols are looked up at all bits of ``step`` bytes, then followed."""
     tables = [c.look_up() for c in group]
-    out: list[int] = []
-    cache, shift, slot_of = [0] * (1 << cache_bits), 32 - cache_bits, {}
+    sizes_of = [table & 15 for table, _ in tables]
+    out = np.empty(total, np.int64)
+    n_out, cache, shift = 0, None, 32 - cache_bits
+
+    # positions wrap, which is the fastest way to take, but never do: the window goes on beyond them
+    def ahead(k, at):
+        return window.take(at, mode="wrap") & tables[k][1]
 
     def read(k, at):
-        symbols, lengths, mask = tables[k]
-        index = window[at] & mask
-        return symbols[index], at + lengths[index]
+        found = tables[k][0].take(ahead(k, at), mode="wrap")
+        return found >> 4, at + (found & 15)
 
     def numbers(symbol, at):
         extra = np.maximum(0, (symbol - 2) >> 1)
         value = ((2 + (symbol & 1)) << extra) + (window[at] & ((1 << extra) - 1)) + 1
         return np.where(symbol < 4, symbol + 1, value), at + extra
 
-    while len(out) < total:
+    while n_out < total:
         first = bits.at >> 3
         if first >= len(bits.data):
             raise ValueError("the image ends early")
-        raw = np.zeros(step + 20, np.int64) if first + step + 20 <= len(bits.data) else np.zeros(len(bits.data) - first + 20, np.int64)
+        raw = np.zeros(min(step, len(bits.data) - first) + 20, np.int64)
         here = np.frombuffer(bits.data, np.uint8, min(len(raw), len(bits.data) - first), first)
         raw[: len(here)] = here
         quads = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
         window = (quads[:, None] >> np.arange(8)).ravel()
         n_bits = 8 * (len(raw) - 20)  # symbols begin before; what they read may be after
-        at = np.arange(n_bits)
-        green, after = read(0, at)
-        argb = green.astype(np.int64) << 8
-        then = after
-        for k, left in ((1, 16), (2, 0), (3, 24)):
-            if group[k].only is not None:
-                argb |= group[k].only << left
-                continue
-            value, then = read(k, then)
-            argb |= value.astype(np.int64) << left
-        nexts = np.where(green < 256, then, after)
-        copies = np.flatnonzero((green >= 256) & (green < 256 + N_LENGTHS))
-        length, then = numbers(green[copies] - 256, after[copies])
-        symbol, then = read(4, then)
-        far, then = numbers(symbol, then)
-        nexts[copies] = then
-        follow, found, p = nexts.tolist(), [], bits.at & 7
-        room = total - len(out)
-        while p < n_bits and len(found) < room:  # a symbol is one pixel at least
-            found.append(p)
+        greens = tables[0][0].take(window[:n_bits] & tables[0][1], mode="wrap")
+        after = np.arange(n_bits) + (greens & 15)
+        nexts = after
+        for k in (1, 2, 3):
+            if group[k].only is None:
+                nexts = nexts + sizes_of[k].take(ahead(k, nexts), mode="wrap")
+        others = np.flatnonzero(greens >= 256 << 4)
+        if len(others):
+            nexts = nexts.copy()
+            nexts[others] = after[others]
+        copies = others[greens[others] < 256 + N_LENGTHS << 4]
+        if len(copies):
+            length, then = numbers((greens[copies] >> 4) - 256, after[copies])
+            symbol, then = read(4, then)
+            far, then = numbers(symbol, then)
+            nexts[copies] = then
+        # steps of 16 symbols are followed one by one, and those within them all at once
+        hops = [np.append(np.minimum(nexts, n_bits), n_bits)]
+        for _ in range(4):
+            hops.append(hops[-1].take(hops[-1], mode="wrap"))
+        follow, firsts, p = memoryview(hops[-1]), [], bits.at & 7
+        add = firsts.append
+        for _ in repeat(None, -(-(total - n_out) // 16)):  # a symbol is one pixel at least
+            add(p)
             p = follow[p]
-        kinds = green[found].tolist()
-        which = np.searchsorted(copies, found)
-        lengths, fars, colours = length.tolist(), far.tolist(), argb[found]
-        slots = (((CACHE_FACTOR * colours & 0xFFFFFFFF) >> shift) if cache_bits else np.zeros(len(found), np.int64)).tolist()
-        n_out = len(out)
-        for k, (s, colour, slot) in enumerate(zip(kinds, colours.tolist(), slots)):
-            if n_out >= total:
-                p = found[k]
+            if p >= n_bits:
                 break
-            if s < 256:
-                out.append(colour)
-                cache[slot] = colour
-                n_out += 1
-            elif s >= 256 + N_LENGTHS:
-                out.append(cache[s - 256 - N_LENGTHS])
-                n_out += 1
-            else:
-                n, d = lengths[which[k]], fars[which[k]]
-                if d > len(NEAR):
-                    d -= len(NEAR)
-                else:
-                    dx, dy = NEAR[d - 1]
-                    d = max(1, dx + dy * width)
-                if d > n_out or n_out + n > total:
-                    raise ValueError("a back-reference leaves the image")
-                part = out[n_out - d : n_out - d + n if n < d else None]
-                part = part if n <= d else (part * (n // d + 1))[:n]  # a copy may read what it has just written
-                out += part
-                n_out += n
-                if cache_bits:
-                    for c in part:
-                        if (slot := slot_of.get(c)) is None:
-                            slot = slot_of[c] = (CACHE_FACTOR * c & 0xFFFFFFFF) >> shift
-                        cache[slot] = c
+        found = np.array(firsts)
+        for hop in hops[3::-1]:
+            found = np.stack([found, hop.take(found, mode="wrap")], -1).ravel()
+        found = found[found < n_bits][: total - n_out]
+        p = int(nexts[found[-1]])
+        kinds = greens[found] >> 4
+        colours, then = kinds << 8, after[found]
+        for k, left in ((1, 16), (2, 0), (3, 24)):
+            value, then = read(k, then) if group[k].only is None else (group[k].only, then)
+            colours |= value << left
+        copied = np.flatnonzero((kinds >= 256) & (kinds < 256 + N_LENGTHS))
+        sizes = np.ones(len(found), np.int64)
+        if len(copied):
+            which = np.searchsorted(copies, found[copied])
+            sizes[copied] = length[which]
+        ends = n_out + np.cumsum(sizes)
+        used = int(np.searchsorted(ends, total)) + 1  # symbols beyond the last pixel were not written as such
+        if used < len(found):
+            p, kinds, colours, sizes, ends = int(found[used]), kinds[:used], colours[:used], sizes[:used], ends[:used]
+            copied = copied[copied < used]
+        if ends[-1] > total:
+            raise ValueError("a back-reference leaves the image")
+        starts = ends - sizes
+        plain = kinds < 256
+        out[starts[plain]] = colours[plain]
+        hits = np.flatnonzero(kinds >= 256 + N_LENGTHS)
+        if not len(copied) and cache is None and (not len(hits) or n_out == 0 and used == total and _from_cache(out, kinds, shift)):
+            pass
+        else:
+            fars = [_distance(d, width) for d in far[which[: len(copied)]].tolist()] if len(copied) else []
+            if cache_bits and cache is None:
+                cache = _cache_of(out[:n_out], shift)
+            _in_order(out, cache, shift, starts, ends, kinds, copied, fars)
+        n_out = int(ends[-1])
         bits.at = 8 * first + p
         if bits.at > 8 * len(bits.data):
             raise ValueError("the image ends early")
-    return np.array(out, np.uint32)
+    return out.astype(np.uint32)
+
+
+def _distance(d: int, width: int) -> int:
+    if d > len(NEAR):
+        return d - len(NEAR)
+    dx, dy = NEAR[d - 1]
+    return max(1, dx + dy * width)
+
+
+def _slots(colours: np.ndarray, shift: int) -> np.ndarray:
+    return (CACHE_FACTOR * colours & 0xFFFFFFFF) >> shift
+
+
+def _cache_of(colours: np.ndarray, shift: int) -> list[int]:
+    cache = np.zeros(1 << (32 - shift), np.int64)
+    cache[_slots(colours, shift)] = colours  # of several, the last one stays
+    return cache.tolist()
+
+
+def _from_cache(out: np.ndarray, kinds: np.ndarray, shift: int) -> bool:
+    """An image of plain pixels and cache entries: an entry holds the last plain pixel of its slot, if there is one."""
+    plain = kinds < 256
+    slot = np.where(plain, 0, kinds - 256 - N_LENGTHS)
+    slot[plain] = _slots(out[plain], shift)
+    by = np.argsort(slot, kind="stable")
+    s, at = slot[by], np.where(plain[by], np.arange(len(by)), -1)
+    last = np.maximum.accumulate(at)
+    if last[0] < 0 or (s[last] != s).any():
+        return False
+    out[by] = out[by[last]]
+    return True
+
+
+def _in_order(out, cache, shift, starts, ends, kinds, copied, fars) -> None:
+    """Copies and cache entries one by one; runs of plain pixels between them at once."""
+    if cache is None:
+        for a, b, d in zip(starts[copied].tolist(), ends[copied].tolist(), fars):
+            _copy(out, a, b, d)
+        return
+    far_of = dict(zip(copied.tolist(), fars))
+    for k, (s, a, b) in enumerate(zip(kinds.tolist(), starts.tolist(), ends.tolist())):
+        if s >= 256 + N_LENGTHS:
+            out[a] = cache[s - 256 - N_LENGTHS]  # 0 where nothing has set it
+        elif s >= 256:
+            _copy(out, a, b, far_of[k])
+        for c in out[a:b].tolist():
+            cache[(CACHE_FACTOR * c & 0xFFFFFFFF) >> shift] = c
+
+
+def _copy(out: np.ndarray, a: int, b: int, d: int) -> None:
+    if d > a:
+        raise ValueError("a back-reference leaves the image")
+    while b - a > d:  # a copy may read what it has just written
+        out[a : a + d] = out[a - d : a]
+        a, d = a + d, 2 * d
+    out[a:b] = out[a - d : b - d]
 
 
 def _split(p: np.ndarray) -> np.ndarray:
@@ -401,10 +488,11 @@ def decode(data: bytes) -> np.ndarray:
             raise ValueError("no lossless image")
     size = struct.unpack_from("<I", data, at + 4)[0]
     bits = Bits(data[at + 8 : at + 8 + size])
-    if bits.read(8) != 0x2F:
+    head = bits.read(40)
+    if head & 255 != 0x2F:
         raise ValueError("not a lossless image")
-    width, height, _, version = bits.read(14) + 1, bits.read(14) + 1, bits.read(1), bits.read(3)
-    if version:
+    width, height = (head >> 8 & 0x3FFF) + 1, (head >> 22 & 0x3FFF) + 1
+    if head >> 37:
         raise ValueError("unknown version")
     undo, coded_width = [], width
     while bits.read(1):
@@ -459,70 +547,67 @@ def riff(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def code_lengths(counts, most: int = 15) -> list[int]:
+def code_lengths(counts, most: int = 15) -> np.ndarray:
     """Lengths of a prefix code of at most ``most`` bits, for symbols with a count; two at least have one."""
-    counts = list(counts)
-    used = [s for s, n in enumerate(counts) if n]
+    counts = np.asarray(counts)
+    used = np.flatnonzero(counts).tolist()
     used += [s for s in (0, 1) if s not in used][: max(0, 2 - len(used))]
-    weights = [max(1, counts[s]) for s in used]
+    n = len(used)
+    weights = np.maximum(counts[used], 1).tolist()
     while True:
-        heap = [(n, k) for k, n in enumerate(weights)]
+        # trees as weight and number in one integer, which compares faster than a pair
+        heap = [w << 20 | k for k, w in enumerate(weights)]
         heapq.heapify(heap)
-        above, new = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            above[i] = above[j] = new
-            heapq.heapreplace(heap, (a + b, new))
-            new += 1
-        depth = [0] * new
-        for k in range(new - 2, -1, -1):
+        above = [0] * (2 * n - 1)
+        for new in range(n, 2 * n - 1):
+            a = heapq.heappop(heap)
+            b = heap[0]
+            above[a & 0xFFFFF] = above[b & 0xFFFFF] = new
+            heapq.heapreplace(heap, ((a >> 20) + (b >> 20)) << 20 | new)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[above[k]] + 1
         if max(depth) <= most:
             break
-        weights = [(n + 1) // 2 for n in weights]
-    lengths = [0] * len(counts)
-    for k, s in enumerate(used):
-        lengths[s] = depth[k]
+        weights = [(w + 1) // 2 for w in weights]
+    lengths = np.zeros(len(counts), np.uint8)
+    lengths[used] = depth[:n]
     return lengths
 
 
 def codes(lengths) -> np.ndarray:
     """Each symbol's code as its bits are written, lowest first."""
-    out, code, last = np.zeros(len(lengths), np.int64), 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - last
-        out[s] = _reversed(code, n)
-        code, last = code + 1, n
+    lengths = np.asarray(lengths, np.uint8)
+    used = np.flatnonzero(lengths)
+    by = used[np.argsort(lengths[used], kind="stable")]
+    widths = 1 << (15 - lengths[by].astype(np.int64))
+    out = np.zeros(len(lengths), np.int64)
+    out[by] = REVERSED[np.cumsum(widths) - widths]  # a code begins at the highest of 15 bits
     return out
 
 
-def _put_code(w: Writer, lengths: list[int]) -> None:
-    runs, at = [], 0  # (symbol, extra bits, how many)
-    while at < len(lengths):
-        n, end = lengths[at], at
-        while end < len(lengths) and lengths[end] == 0 and end - at < 138:
-            end += 1
-        if end - at >= 3:
-            runs.append((18, end - at - 11, 7) if end - at > 10 else (17, end - at - 3, 3))
-            at = end
-        else:
-            runs.append((n, 0, 0))
-            at += 1
-    counts = [0] * 19
-    for s, _, _ in runs:
-        counts[s] += 1
-    of_lengths = code_lengths(counts, 7)
-    used = max(k for k, s in enumerate(LENGTH_ORDER) if of_lengths[s]) + 1
-    w.put(0, 1)
-    w.put(max(4, used) - 4, 4)
-    for s in LENGTH_ORDER[: max(4, used)]:
-        w.put(of_lengths[s], 3)
-    w.put(0, 1)
-    written = codes(of_lengths).tolist()
-    for s, extra, n in runs:
-        w.put(written[s], of_lengths[s])
-        w.put(extra, n)
+_RUNS = re.compile(rb"\0{3,138}|.", re.S)
+# The code that code lengths are written in: lengths from 5 to 9 are the likeliest, 16 is not used.
+OF_LENGTHS = (4, 7, 7, 7, 5, 3, 3, 3, 3, 3, 4, 5, 6, 7, 7, 7, 0, 4, 4)
+
+
+def _run_bits() -> tuple[str, dict[bytes, str]]:
+    """How each code begins, and what each run of lengths is written as, in the order of the bits."""
+    first = lambda value, n: format(value, f"0{n}b")[::-1]
+    written = [first(c, n) if n else "" for c, n in zip(codes(OF_LENGTHS).tolist(), OF_LENGTHS)]
+    used = max(k for k, s in enumerate(LENGTH_ORDER) if OF_LENGTHS[s]) + 1
+    runs = {bytes([n]): written[n] for n in range(16)}
+    runs |= {bytes(n): written[17] + first(n - 3, 3) for n in range(3, 11)} | {bytes(n): written[18] + first(n - 11, 7) for n in range(11, 139)}
+    return "0" + first(used - 4, 4) + "".join(first(OF_LENGTHS[s], 3) for s in LENGTH_ORDER[:used]) + "0", runs
+
+
+_BEGIN, _RUN_BITS = _run_bits()
+
+
+def code_bits(lengths: np.ndarray) -> tuple[int, int]:
+    """A prefix code as it stands in the file, and how many bits that is."""
+    said = _BEGIN + "".join(map(_RUN_BITS.__getitem__, _RUNS.findall(lengths.tobytes())))
+    return int(said[::-1], 2), len(said)
 
 
 def _symbols(values: np.ndarray):
@@ -533,147 +618,207 @@ def _symbols(values: np.ndarray):
     return np.where(x < 4, x, 2 * high + ((x >> np.maximum(high - 1, 0)) & 1)), x & ((1 << extra) - 1), extra
 
 
-LEAST, LONGEST, FARTHEST = 6, 4096, (1 << 20) - 121
+LONGEST, FARTHEST = 4096, (1 << 20) - 121
 
 
-def back_references(v: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, length, distance) in order and without overlaps, from equal runs of LEAST values or more."""
-    n = len(v) - LEAST + 1
+def back_references(v: np.ndarray, least: int = 3) -> np.ndarray:
+    """Rows (start, length, distance), in order and without overlaps, from pairs of pixels that stood side by side before."""
+    n = len(v) - 1
+    none = np.zeros((0, 3), np.int64)
     if n < 2:
-        return []
-    keys = np.zeros(n, np.uint64)
-    for k in range(LEAST):
-        keys |= v[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+        return none
+    keys = v[:-1].astype(np.int64) << 24 | v[1:]
     order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
     far = np.zeros(n, np.int64)
     far[order[1:][same]] = (order[1:] - order[:-1])[same]
     far[far > FARTHEST] = 0
     starts = np.flatnonzero(np.diff(far, prepend=-1))
-    ends = np.append(starts[1:], n) + LEAST - 1
-    out, at = [], 0
-    for a, b, d in zip(*(x[far[starts] > 0].tolist() for x in (starts, ends, far[starts]))):
-        a = max(a, at)
-        if b - a >= 4:
-            out += [(c, min(LONGEST, b - c), d) for c in range(a, b, LONGEST)]
-            at = b
+    ends = np.append(starts[1:], n) + 1
+    some = (far[starts] > 0) & (ends - starts >= least)
+    starts, ends = starts[some], ends[some]
+    if not len(starts):
+        return none
+    starts = np.maximum(starts, np.append(0, np.maximum.accumulate(ends)[:-1]))
+    some = ends - starts >= least
+    starts, ends = starts[some], ends[some]
+    out = np.stack([starts, ends - starts, far[starts]], 1)
+    if len(out) and out[:, 1].max() > LONGEST:
+        out = np.array([(c, min(LONGEST, a + n - c), d) for a, n, d in out.tolist() for c in range(a, a + n, LONGEST)])
     return out
 
 
-def _packed_bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One byte a bit, of all values one after the other."""
-    parts = []
-    for i in range(0, len(values), 1 << 16):
-        v, n = values[i : i + (1 << 16)], sizes[i : i + (1 << 16)]
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        parts.append((np.repeat(v, n) >> place & 1).astype(np.uint8))
-    return np.concatenate(parts)
-
-
-def _entropy(v: np.ndarray) -> float:
-    n = np.bincount(v)
+def _packed_bits(values: np.ndarray, sizes: np.ndarray, first: int) -> int:
+    """The values one after the other, each in as many bits as its size (32 at most), from bit ``first`` on."""
+    if not len(values):
+        return 0
+    at = first + np.cumsum(sizes) - sizes
+    word, off = at >> 6, (at & 63).astype(np.uint64)
+    words = np.zeros(int(word[-1]) + 2, np.uint64)
+    begins = np.flatnonzero(np.diff(word, prepend=-1))
+    values = values.astype(np.uint64)
+    words[word[begins]] = np.add.reduceat(values << off, begins)
+    over = np.flatnonzero((at & 63) + sizes > 64)  # one to a word at most
+    words[word[over] + 1] += values[over] >> (np.uint64(64) - off[over])
+    return int.from_bytes(words.tobytes(), "little")
+
+
+def _bits(samples: np.ndarray) -> float:
+    """About how many bits the samples' symbols (under 256) take."""
+    n = np.bincount(samples.ravel(), minlength=256)
     n = n[n > 0]
-    return float((n * np.log2(len(v) / n)).sum())
+    return float((n * np.log2(samples.size / n)).sum())
 
 
 CACHE_BITS = 6
 
 
-def _put_pixels(w: Writer, v: np.ndarray, alpha: int) -> np.ndarray:
-    """Codes of an image with green samples ``v`` go to ``w``; the pixels' bits are returned."""
-    w.put(1, 1)
-    w.put(CACHE_BITS, 4)
+def _put_pixels(w: Writer, green: np.ndarray, red: np.ndarray, blue: np.ndarray, alpha: int, each: float) -> None:
+    """An image's codes and pixels go to ``w``.  ``each``: about how many bits a plain pixel takes.
+
+    Back-references or a colour cache, whichever is the likelier to save, stand for repeated pixels.
+    """
+    n = len(green)
+    colours = red << 16 | green << 8 | blue
+    copies = back_references(colours)
+    by_copies = float((copies[:, 1] * each - 21).sum()) - 80  # less what the code of distances takes
+    slots = _slots(colours | alpha << 24, 32 - CACHE_BITS)
+    order = np.argsort(slots.astype(np.uint16), kind="stable")
+    near, then = order[:-1], order[1:]
+    hit = np.zeros(n, bool)
+    hit[then] = (slots[then] == slots[near]) & (colours[then] == colours[near])
+    by_cache = np.count_nonzero(hit) * (each - CACHE_BITS) - 80
+    cached = by_cache > max(0.0, by_copies)
+    if cached or by_copies <= 0:
+        copies = copies[:0]
+    w.put(int(cached), 1)
+    if cached:
+        w.put(CACHE_BITS, 4)
     w.put(0, 1)  # one group of codes
-    colours = np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(alpha << 24)
-    slots = ((colours * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).astype(np.int64)[v]
-    order = np.argsort(slots, kind="stable")
-    hit = np.zeros(len(v), bool)
-    hit[order[1:]] = (slots[order[1:]] == slots[order[:-1]]) & (v[order[1:]] == v[order[:-1]])
-    green = np.where(hit, 256 + N_LENGTHS + slots, v)
-    copies = np.array(back_references(v), np.int64).reshape(-1, 3)
-    begun = np.ones(len(v), bool)
-    edges = np.zeros(len(v) + 1, np.int64)
-    np.add.at(edges, copies[:, 0], 1)
-    np.add.at(edges, copies[:, 0] + copies[:, 1], -1)
-    begun[edges[:-1].cumsum() > 0] = False
-    begun[copies[:, 0]] = True
-    length, length_extra, length_bits = _symbols(copies[:, 1])
-    far, far_extra, far_bits = _symbols(copies[:, 2] + len(NEAR))
-    green[copies[:, 0]] = 256 + length
-    place = np.cumsum(begun)[copies[:, 0]] - 1
-    green = green[begun]
-    green_lengths = code_lengths(np.bincount(green, minlength=256 + N_LENGTHS + (1 << CACHE_BITS)).tolist())
-    far_lengths = code_lengths(np.bincount(far, minlength=N_DISTANCES).tolist())
-    _put_code(w, green_lengths)
-    w.single(0)
-    w.single(0)
+    kinds, place = green, None
+    if cached:
+        kinds = np.where(hit, 256 + N_LENGTHS + slots, green)
+    elif len(copies):
+        edges = np.zeros(n + 1, np.int64)
+        edges[copies[:, 0]] += 1
+        edges[copies[:, 0] + copies[:, 1]] -= 1
+        begun = edges[:-1].cumsum() == 0
+        begun[copies[:, 0]] = True
+        length, length_extra, length_bits = _symbols(copies[:, 1])
+        far, far_extra, far_bits = _symbols(copies[:, 2] + len(NEAR))
+        kinds = green.copy()
+        kinds[copies[:, 0]] = 256 + length
+        place = np.cumsum(begun)[copies[:, 0]] - 1
+        kinds, red, blue = kinds[begun], red[begun], blue[begun]
+    plain = slice(None)
+    if cached or len(copies):
+        plain = np.flatnonzero(kinds < 256)
+        red, blue = red[plain], blue[plain]
+    of_kinds = code_lengths(np.bincount(kinds, minlength=256 + N_LENGTHS + ((1 << CACHE_BITS) if cached else 0)))
+    of_both = code_lengths(np.bincount(red, minlength=256) + np.bincount(blue, minlength=256))
+    w.put(*code_bits(of_kinds))
+    both = code_bits(of_both)
+    w.put(*both)
+    w.put(*both)
     w.single(alpha)
-    _put_code(w, far_lengths)
-    values, sizes = np.zeros((len(green), 4), np.int64), np.zeros((len(green), 4), np.int64)
-    values[:, 0], sizes[:, 0] = codes(green_lengths)[green], np.array(green_lengths)[green]
-    values[place, 1], sizes[place, 1] = length_extra, length_bits
-    values[place, 2], sizes[place, 2] = codes(far_lengths)[far], np.array(far_lengths)[far]
-    values[place, 3], sizes[place, 3] = far_extra, far_bits
-    some = sizes.ravel() > 0
-    return _packed_bits(values.ravel()[some], sizes.ravel()[some])
+    values, sizes = np.zeros((4, len(kinds)), np.int64), np.zeros((4, len(kinds)), np.int64)
+    values[0], sizes[0] = codes(of_kinds).take(kinds), of_kinds.take(kinds)
+    code = codes(of_both)
+    for k, c in ((1, red), (2, blue)):
+        values[k, plain], sizes[k, plain] = code.take(c), of_both.take(c)
+    if place is None:
+        w.single(0)
+    else:
+        of_far = code_lengths(np.bincount(far, minlength=N_DISTANCES))
+        w.put(*code_bits(of_far))
+        values[1, place], sizes[1, place] = length_extra, length_bits
+        values[2, place], sizes[2, place] = codes(of_far).take(far), of_far.take(far)
+        values[3, place], sizes[3, place] = far_extra, far_bits
+    sizes = sizes.T.ravel()
+    some = np.flatnonzero(sizes)
+    sizes = sizes[some]
+    w.value |= _packed_bits(values.T.ravel()[some], sizes, w.n)
+    w.n += int(sizes.sum())
+
+
+def _differences(c: np.ndarray, mode: int) -> np.ndarray:
+    """What predictor 1 (left) or 2 (top) leaves of an image's samples; bytes wrap."""
+    out = c.copy()
+    if mode == 1:
+        out[:, 1:] -= c[:, :-1]
+        out[1:, 0] -= c[:-1, 0]
+    else:
+        out[1:] -= c[:-1]
+        out[0, 1:] -= c[0, :-1]
+    return out
 
 
 def encode_bytes(payload: bytes, width: int) -> bytes:
-    """One image whose green samples are the payload; its length is a multiple of ``width``."""
-    v = np.frombuffer(payload, np.uint8).astype(np.int64).reshape(-1, width)
-    height = len(v)
+    """One image whose red, green and blue samples are the payload; its length is a multiple of 3 * ``width``."""
+    c = np.frombuffer(payload, np.uint8).reshape(-1, width, 3)
+    height = len(c)
     w = Writer()
     w.put(0x2F, 8)
     w.put(width - 1, 14)
     w.put(height - 1, 14)
     w.put(0, 4)  # no alpha, version 0
-    met = np.flatnonzero(np.bincount(v.ravel(), minlength=256))
-    left, top = v.copy(), v.copy()
-    left[:, 1:] -= v[:, :-1]
-    left[1:, 0] -= v[:-1, 0]
-    top[1:] -= v[:-1]
-    top[0, 1:] -= v[0, :-1]
-    kinds = [v, left & 255, top & 255]
-    mode = int(np.argmin([_entropy(k.ravel()) for k in kinds]))
-    alpha = 255
-    if len(met) <= 16:
+    alpha, met = 255, range(17)
+    if len(set(payload[0:192:3])) <= 16:
+        wide = c.astype(np.int64)
+        colours = (wide[..., 0] << 16 | wide[..., 1] << 8 | wide[..., 2]).ravel()
+        met = np.unique(colours)
+    if len(met) <= 16:  # colours by number, several to a pixel
         n = len(met)
         w.put(1, 1)
         w.put(PALETTE, 2)
         w.put(n - 1, 8)
-        w.put(0, 1)  # the table: differences of the colours, without a cache
-        steps = np.diff(met, prepend=0)
-        lengths = code_lengths(np.bincount(steps, minlength=256 + N_LENGTHS).tolist())
-        _put_code(w, lengths)
+        parts = np.stack([met >> 16, met >> 8, met], 1) & 255
+        parts[1:] -= parts[:-1].copy()  # the table holds differences of the colours, and no more of alpha after the first
+        parts &= 255
+        w.put(0, 1)  # no cache; groups are the main image's alone
+        lengths = [code_lengths(np.bincount(parts[:, k], minlength=256 + (N_LENGTHS if k == 1 else 0))) for k in (1, 0, 2)]
+        of_alpha = code_lengths([n - 1] + [0] * 254 + [1])
+        for one in (*lengths, of_alpha):
+            w.put(*code_bits(one))
         w.single(0)
-        w.single(0)
-        w.single(0)
-        w.single(0)
-        for s, c in zip(steps.tolist(), codes(lengths)[steps].tolist()):
-            w.put(c, lengths[s])
+        written = [codes(one) for one in (*lengths, of_alpha)]
+        for k, row in enumerate(parts.tolist()):
+            for one, code, v in zip((*lengths, of_alpha), written, (row[1], row[0], row[2], 0 if k else 255)):
+                w.put(int(code[v]), int(one[v]))
         pack = 3 if n <= 2 else 2 if n <= 4 else 1
-        each, some = 8 >> pack, 1 << pack
-        index = np.searchsorted(met, v)
+        bits, some = 8 >> pack, 1 << pack
+        index = np.searchsorted(met, colours).reshape(height, width)
         index = np.pad(index, ((0, 0), (0, -width % some))).reshape(height, -1, some)
-        v = (index << (each * np.arange(some))).sum(-1)
-    elif mode:
-        w.put(1, 1)
-        w.put(PREDICTOR, 2)
-        w.put(7, 3)  # tiles of 512, all of one mode
-        w.put(0, 1)
-        for s in (mode, 0, 0, 255, 0):
-            w.single(s)
-        v, alpha = kinds[mode], 0
+        green = (index << (bits * np.arange(some))).sum(-1).ravel()
+        red = blue = np.zeros_like(green)
+        each = _bits(green) / len(green)
+    else:
+        apart = c.copy()
+        apart[..., 0::2] -= c[..., 1:2]
+        kinds = [c, _differences(c, 1), _differences(c, 2), apart]
+        sizes = list(map(_bits, kinds))
+        best = sizes.index(min(sizes))
+        each = 3 * sizes[best] / c.size
+        if best in (1, 2):
+            w.put(1, 1)
+            w.put(PREDICTOR, 2)
+            w.put(7, 3)  # tiles of 512, all of one mode
+            w.put(0, 1)
+            for s in (best, 0, 0, 255, 0):
+                w.single(s)
+            alpha = 0
+        elif best == 3:
+            w.put(1, 1)
+            w.put(SUBTRACT_GREEN, 2)
+        red, green, blue = kinds[best].reshape(-1, 3).T.astype(np.int64)
     w.put(0, 1)  # no further transform
-    body = _put_pixels(w, v.ravel(), alpha)
-    head = np.unpackbits(np.frombuffer(w.value.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
-    return riff(np.packbits(np.concatenate([head, body]), bitorder="little").tobytes())
+    _put_pixels(w, green, red, blue, alpha, each)
+    return riff(w.value.to_bytes((w.n + 7) // 8, "little"))
 
 
-def store_payload(payload: bytes, narrow: int = 24, wide: int = 576) -> bytes:
+def store_payload(payload: bytes, width: int = 192) -> bytes:
     """One or more images, one after the other."""
-    width = narrow if len(payload) <= narrow * MOST else wide
-    step = width * MOST
+    step = 3 * width * MOST
     return b"".join(encode_bytes(payload[a : a + step], width) for a in range(0, len(payload), step))
 
 
@@ -688,10 +833,11 @@ def read_images(media: bytes) -> list[np.ndarray]:
 
 
 def samples(p: np.ndarray) -> bytes:
-    return (p >> 8).astype(np.uint8).tobytes()
+    """Red, green and blue of each pixel."""
+    return np.ascontiguousarray(_split(p.ravel())[:, 2::-1]).tobytes()
 
 
 def read_payload(media: bytes) -> tuple[bytes, list[tuple[int, int]]]:
-    """The green samples of all images, and the images' (width, height)."""
+    """The samples of all images, and the images' (width, height)."""
     images = read_images(media)
     return b"".join(map(samples, images)), [(p.shape[1], p.shape[0]) for p in images]
