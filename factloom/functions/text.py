@@ -16,9 +16,13 @@ def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE, "")
 
 
+# Control characters but tab and line ends: a fixed value.
+_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+
+
 def sanitize(c: Column, limit: int = 5000) -> Column:
     """Drop control characters but tab and line ends, trim, cut."""
-    return F.substring(trim_space(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")), 1, limit)
+    return F.substring(trim_space(F.regexp_replace(c, _CONTROLS, "")), 1, limit)
 
 
 def clamp_confidence(c: Column) -> Column:

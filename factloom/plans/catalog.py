@@ -797,7 +797,7 @@ def uptimes(spark, d):
     return load(spark, d, "token_usage").select("id", T.uptime(F.col("duration_ms") * 37).alias("uptime"))
 
 
-@query("select vec_id, length(array_to_string(embedding[1:0], ',')) = 0 and len(embedding) = 64 ok from embeddings")
+@query("select vec_id, len(embedding) = 64 ok from embeddings")
 def vector_checks(spark, d):
     e = table(spark, d, "embeddings")
     wrong = store.wrong_dimension(e, 64).select(F.col("vec_id").alias("w"))
@@ -808,3 +808,12 @@ def vector_checks(spark, d):
 def strict_casts(spark, d):
     rows = load(spark, d, "triples").filter("type = 'EMOTIONAL_CONTEXT'").select(F.concat("subject", "predicate").alias("name"), F.col("subject").alias("number"), F.col("object").alias("time"))
     return store.strict_casts(rows, {"number": "decimal(3,2)", "time": "timestamp"})
+
+
+@query("select event_id, event_type <> 'error' and event_id % 130 <= 100 and event_id % 3 <> 0 ok from events")
+def payload_validation(spark, d):
+    """One bad item rejects a payload of two."""
+    item = lambda said, confidence: F.struct(said.alias("subject"), F.lit("p").alias("predicate"), F.lit("o").alias("object"), confidence.alias("confidence"))
+    one = item(F.when(F.col("event_type") != "error", F.col("event_type")).otherwise(""), F.col("event_id") % 130 / 100.0)
+    other = item(F.lit("s"), F.when(F.col("event_id") % 3 == 0, 1.5).otherwise(0.5))
+    return table(spark, d, "events").select("event_id", filters.valid_payload(F.array(one, other)).alias("ok"))
