@@ -243,5 +243,6 @@ def mixed(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0) -> DataFr
         of_rows = Window.partitionBy("doc_id", "source", "__factloom_words").orderBy(F.xxhash64("text"))
         rows = docs.withColumn("__factloom_words", word_count(F.col("text"))).withColumn("__factloom_k", F.row_number().over(of_rows))
         on = on & F.col("source").eqNullSafe(F.col(names["source"])) & (F.col("__factloom_words") == F.col(names["size"])) & (F.col("__factloom_k") == F.col("__factloom_n"))
-    taken = rows.join(left, on).filter("__factloom_copies > 0")
+    # a plan has as many rows as the table, so it is dealt like it, whatever its size
+    taken = rows.join(left.hint("merge"), on).filter("__factloom_copies > 0")
     return taken.withColumn("__factloom_copy", F.explode(F.sequence(F.lit(1), F.col("__factloom_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

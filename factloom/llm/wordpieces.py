@@ -4,12 +4,15 @@ The vocabulary file lower-cases, drops white space and splits letters, single
 digits and other signs, so the ids of a text are the ids of its blank-separated
 chunks, one after the other.  Arrow splits a batch and finds its distinct chunks,
 each is looked up once in a bounded cache of the worker, and the ids of all texts
-are taken from these in one step.  Chunks outside Latin script, or holding a special token's marker, go to the tokenizer
-whole, so every text gets the ids the library itself would give.
+are taken from these in one step.  Chunks outside Latin script, or holding a special
+token's marker, go to the tokenizer whole, so every text gets the ids the library
+itself would give.  A file with other rules than these is recognised by its settings,
+and all its texts go to the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -17,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_CHARS = 8_000_000
-CHUNKS_KEPT = 400_000
-PIECES_KEPT = 700_000
+BATCH_CHARS = 4_000_000
+CHUNKS_KEPT = 150_000
+PIECES_KEPT = 250_000
 
 # Characters up to U+017F are stable under NFC, and all but U+0130 lower-case
 # to a single character; U+0080-U+00A0 hold white space.
@@ -38,6 +41,23 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+# The settings that the pieces above follow, fixed values.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def follows_rules(settings: dict) -> bool:
+    """Whether a tokenizer's file has the normaliser, the splits and the special tokens that this encoder stands for."""
+    steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        (settings.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+        and [s.get("type") for s in steps[1:]] == ["ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        and all(t["content"].startswith("<|") for t in settings.get("added_tokens") or [])
+        and settings.get("truncation") is None
+    )
+
+
 class WordEncoder:
     """``encode(texts)`` gives, for each text, its ids as packed little-endian integers."""
 
@@ -45,6 +65,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known = follows_rules(json.loads(self.tokenizer.to_str()))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -79,6 +100,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Texts are taken whole; a batch should hold a few MB of text at most."""
+        if not self.known:
+            return [self._whole((t or "").encode("utf-8", "replace").decode()) for t in texts]
         try:
             column = pa.array([t or "" for t in texts], pa.large_string())
         except UnicodeEncodeError:  # half a surrogate pair
