@@ -3,8 +3,9 @@
 Tokens are words after lower-casing A-Z, and one end for each text.  Every token
 belongs to one of ``CLASSES`` classes by a fixed rule on its letters, the end to a
 class of its own.  The units of the network are words: those with at least
-sqrt(tokens) / 8 training tokens, so that they grow with the corpus, and for each
-class one unit that all its rarer words share.  The model factors a token's
+tokens ** 0.75 / 500 training tokens, so that they grow with the corpus, at most as
+500 times the fourth root of its tokens, and for each class one unit that all its
+rarer words share.  The model factors a token's
 probability into that of its class given the units of the two tokens before it,
 that of its unit within the class given the same, and, for a rare word, that of
 the token among the class's rare ones:
@@ -27,16 +28,19 @@ How rows are dealt over tasks moves ``score`` a little, as each task trains from
 the same start on its own rows; the other columns don't depend on it.
 
 Counting covers the whole corpus and never gathers it anywhere.  Texts are read
-once, into blocks of bounded size that hold each text as numbers into a word
-list of the block's own.  Word lists are counted by a shuffle on the word, and
-the counts go back to the blocks by a shuffle on the block; only class totals
-and trigram counts, of a fixed size, and the frequent words with their vectors, of
-the order of sqrt(tokens), come to the driver.
+once, into blocks of bounded size that hold them as numbers into a word list of the
+block's own, words as 64-bit hashes.  Each block sends its word list, cut into hash
+ranges, with its counts; a range sums them and sends each block the counts of its
+words, so a word of every document costs one entry for each block.  Training reads
+the blocks where they are.  Only class totals and trigram counts, of a fixed size,
+and the frequent words with their vectors, at most 500 * tokens ** 0.25, come to
+the driver.
 
 Null text is empty: its one token is the end.  A row without doc_id is a
-training row.  Rows that share a doc_id are scored, and learned from, each.  An
-empty table gives an empty result; without a training row every class follows
-every other one alike.  Other columns are not looked at.
+training row.  Rows that share a doc_id are scored, and learned from, each.  A very
+long text is a block of its own, held by one task.  An empty table gives an empty
+result; without a training row every class follows every other one alike.  Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -48,14 +52,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import held_out
 from .scratch import written
+from .workers import bounded_batches, give_back, lean
 
 CLASSES = 64
 BLOCK_BYTES = 12_000_000
+RANGE_BYTES = 500_000_000  # of text to a hash range of words, so that one fits into a task whatever the corpus
 CELLS = CLASSES**3
 CELLS_A_ROW = 4096
 SIZE, NOISE = 16, 48
@@ -83,71 +90,122 @@ class _Numbers(dict):
         return n
 
 
+_BLOCK = pa.schema([
+    ("kind", pa.string()), ("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()),
+    ("part", pa.int32()), ("hashes", pa.binary()), ("classes", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("cell_row", pa.int32()), ("cells", pa.list_(pa.int64())),
+])
 BLOCK_SCHEMA = (
-    "kind string, block string, doc_id bigint, held_out boolean, ids binary, first int, "
-    "words array<binary>, classes array<int>, counts array<bigint>, cell_row int, cells array<bigint>"
+    "kind string, block string, doc_ids array<bigint>, held array<boolean>, lengths array<bigint>, ids binary, "
+    "part int, hashes binary, classes binary, counts binary, n bigint, cell_row int, cells array<bigint>"
 )
-_TYPES = pa.schema([
-    ("kind", pa.string()), ("block", pa.string()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("first", pa.int32()),
-    ("words", pa.list_(pa.binary())), ("classes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("cell_row", pa.int32()), ("cells", pa.list_(pa.int64())),
-])
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, _TYPES)
+def packed(values: np.ndarray) -> bytes:
+    data = values.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def packed(ids: np.ndarray) -> bytes:
-    return len(ids).to_bytes(4, "little") + pa.compress(ids.astype("<u4").tobytes(), "zstd", asbytes=True)
+def unpacked(data: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), dtype)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    return np.frombuffer(pa.decompress(data[4:], 4 * n, "zstd", asbytes=True), "<u4")
+def before(values: np.ndarray, lengths: np.ndarray, start) -> tuple[np.ndarray, np.ndarray]:
+    """What stands two places and one place before each value in its text; ``start`` before the first."""
+    place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    one, two = np.roll(values, 1), np.roll(values, 2)
+    one[place < 1], two[place < 2] = start, start
+    return two, one
 
 
-def _blocks(tables) -> Iterator[pa.RecordBatch]:
-    """Documents, words and class trigram counts as rows of one table."""
-    cells = np.zeros(CELLS, np.int64)
+def pieces(lengths: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[slice, slice]]:
+    """Runs of texts with about ``most`` tokens, as slices of the texts and of their tokens; a longer text is a run of its own."""
+    ends = np.cumsum(lengths)
+    first = at = 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, at + most, "right")))
+        yield slice(first, last), slice(at, int(ends[last - 1]))
+        first, at = last, int(ends[last - 1])
+
+
+def _cuts(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of the sorted hashes begins and the last ends."""
+    edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+
+
+def _blocks(parts: int):
+    """Each block's texts, its word list for each range, and class trigram counts, as rows of one table."""
+
+    def run(tables) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+
+        def rows():
+            for t in tables:
+                yield from zip(t.column(0), t.column(1), t.column(2))
+
+        def closed(numbers: _Numbers, docs: list):
+            name, words = uuid.uuid4().hex, list(numbers)
+            classes = np.fromiter(map(class_of, words), np.uint8, len(words))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            held, lengths = np.array([h for _, h, _ in docs]), np.array([len(ids) for _, _, ids in docs])
+            ids = np.concatenate([ids for _, _, ids in docs])
+            counts = np.zeros(len(words), np.int64)
+            for some, of in pieces(lengths):
+                learned = np.repeat(~held[some], lengths[some])
+                counts += np.bincount(ids[of][learned], minlength=len(words))
+                c = classes[ids[of]].astype(np.int64)
+                a, b = before(c, lengths[some], 0)
+                cells[:] += np.bincount(((a * CLASSES + b) * CLASSES + c)[learned], minlength=CELLS)
+            out = [{"kind": "texts", "block": name, "doc_ids": [d for d, _, _ in docs], "held": held.tolist(), "lengths": lengths.tolist(), "ids": packed(ids), "hashes": packed(hashes), "classes": packed(classes)}]
+            by = np.argsort(hashes)
+            cuts = _cuts(hashes[by], parts)
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                at = by[cuts[k] : cuts[k + 1]]
+                out.append({"kind": "words", "block": name, "part": k, "hashes": packed(hashes[at]), "classes": packed(classes[at]), "counts": packed(counts[at].astype("<u4")), "n": int(counts[at].sum())})
+            return pa.RecordBatch.from_pylist(out, _BLOCK)
+
+        numbers, docs, size = _Numbers({END: 0}), [], 0
+        for doc_id, held, text in rows():
+            text = text.as_py() or ""
+            docs.append((doc_id.as_py(), held.as_py(), np.fromiter(map(numbers.__getitem__, tokens_of(text) + [END]), np.uint32)))
+            size += len(text)
+            if size >= BLOCK_BYTES:
+                yield closed(numbers, docs)
+                numbers, docs, size = _Numbers({END: 0}), [], 0
+        if docs:
+            yield closed(numbers, docs)
+        for i in np.flatnonzero(cells.reshape(-1, CELLS_A_ROW).any(1)).tolist():
+            yield pa.RecordBatch.from_pylist([{"kind": "cells", "cell_row": i, "cells": cells[i * CELLS_A_ROW : (i + 1) * CELLS_A_ROW].tolist()}], _BLOCK)
+
+    return run
 
-    def rows():
-        for t in tables:
-            yield from zip(t.column(0), t.column(1), t.column(2))
-
-    class Block:
-        def __init__(self):
-            self.name, self.numbers, self.docs, self.size = uuid.uuid4().hex, _Numbers({END: 0}), [], 0
-
-    def closed(b: Block):
-        words = list(b.numbers)
-        classes = np.fromiter(map(class_of, words), np.int32, len(words))
-        counts = np.zeros(len(words), np.int64)
-        for _, held, ids in b.docs:
-            if held:
-                continue
-            counts += np.bincount(ids, minlength=len(words))
-            c = np.concatenate([[0, 0], classes[ids]]).astype(np.int64)
-            np.add.at(cells, (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], 1)
-        for i in range(0, len(b.docs), 500):
-            yield _batch([{"kind": "doc", "block": b.name, "doc_id": d, "held_out": h, "ids": packed(ids)} for d, h, ids in b.docs[i : i + 500]])
-        step = 20_000
-        for i in range(0, len(words), step):
-            part = slice(i, i + step)
-            yield _batch([{"kind": "words", "block": b.name, "first": i, "words": words[part], "classes": classes[part], "counts": counts[part]}])
-
-    block = Block()
-    for doc_id, held, text in rows():
-        text = text.as_py() or ""
-        ids = np.fromiter(map(block.numbers.__getitem__, tokens_of(text) + [END]), np.uint32)
-        block.docs.append((doc_id.as_py(), held.as_py(), ids))
-        block.size += len(text)
-        if block.size >= BLOCK_BYTES:
-            yield from closed(block)
-            block = Block()
-    if block.docs:
-        yield from closed(block)
-    for i in np.flatnonzero(cells.reshape(-1, CELLS_A_ROW).any(1)).tolist():
-        yield _batch([{"kind": "cells", "cell_row": i, "cells": cells[i * CELLS_A_ROW : (i + 1) * CELLS_A_ROW]}])
+
+COUNT_SCHEMA = "kind string, block string, part int, counts binary, hash bigint, class int, tokens bigint, types bigint"
+_COUNT = pa.schema([("kind", pa.string()), ("block", pa.string()), ("part", pa.int32()), ("counts", pa.binary()), ("hash", pa.int64()), ("class", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64())])
+
+
+def _counted(least: int):
+    """One range: the corpus's counts of each block's words, class totals, and the words with ``least`` tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        hashes = [unpacked(x.as_py(), "<u8") for x in table.column("hashes")]
+        every, first, of = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        classes = np.concatenate([unpacked(x.as_py(), np.uint8) for x in table.column("classes")])[first]
+        counts = np.bincount(of, np.concatenate([unpacked(x.as_py(), "<u4") for x in table.column("counts")]), len(every)).astype(np.int64)
+        back = np.split(counts[of], np.cumsum([len(h) for h in hashes])[:-1])
+        rows = [{"kind": "counts", "block": b, "part": part, "counts": packed(c)} for b, c in zip(table.column("block").to_pylist(), back)]
+        known = counts > 0
+        tokens, types = np.bincount(classes, counts, CLASSES).astype(np.int64), np.bincount(classes[known], minlength=CLASSES)
+        rows += [{"kind": "class", "class": k, "tokens": int(tokens[k]), "types": int(types[k])} for k in np.flatnonzero(types).tolist()]
+        for i in np.flatnonzero(counts >= least).tolist():
+            rows.append({"kind": "frequent", "hash": int(every[i].astype(np.int64)), "class": int(classes[i]), "tokens": int(counts[i])})
+        out = pa.Table.from_pylist(rows, _COUNT)
+        del hashes, every, first, of, back, rows
+        give_back()
+        return out
+
+    return run
 
 
 def fit_classes(cells: np.ndarray, size: int = SIZE, noise: int = NOISE, steps: int = 300, rate: float = 0.2, seed: int = 7) -> tuple[np.ndarray, ...]:
@@ -189,14 +247,15 @@ def train_classes(cells: np.ndarray, **options) -> np.ndarray:
 class Units:
     """What the network knows: of each class a slot for its rare words, then its frequent words, side by side."""
 
-    def __init__(self, words: list[bytes], classes: list[int], counts: list[int], class_tokens: np.ndarray, class_types: np.ndarray):
-        classes, counts = np.array(classes, np.int64), np.array(counts, np.int64)
+    def __init__(self, hashes, classes, counts, class_tokens: np.ndarray, class_types: np.ndarray):
+        """``hashes``: of the frequent words, in ascending order."""
+        hashes, classes, counts = np.array(hashes, np.uint64), np.array(classes, np.int64), np.array(counts, np.int64)
         known = np.bincount(classes, minlength=CLASSES)
         self.first = np.concatenate([[0], np.cumsum(known + 1)])
         at = np.argsort(classes, kind="stable")
-        number = np.empty(len(words), np.int64)
-        number[at] = np.arange(len(words)) + classes[at] + 1
-        self.words, self.number, self.n = words, number, int(self.first[-1])
+        number = np.empty(len(hashes), np.int64)
+        number[at] = np.arange(len(hashes)) + classes[at] + 1
+        self.hashes, self.number, self.n = hashes, number, int(self.first[-1])
         self.classes = np.repeat(np.arange(CLASSES), known + 1)
         self.rare_tokens = class_tokens - np.bincount(classes, counts, CLASSES)
         self.rare_types = class_types - known
@@ -205,6 +264,14 @@ class Units:
         self.class_share = (class_tokens + 1) / (class_tokens.sum() + CLASSES)
         self.share = (slots + 1) / (class_tokens + known + 1)[self.classes]  # of its class
 
+    def of(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Units of words; a rare word's is its class's slot."""
+        slots = self.first[classes]
+        if not len(self.hashes):
+            return slots
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.number[at], slots)
+
 
 class Network:
     """Log-bilinear over units: the sum of two context vectors scores the class, then the unit within its class."""
@@ -238,15 +305,19 @@ def _by_class(units: Units, unit: np.ndarray):
 
 def _told(q, target, bias, noise, right):
     """The error at each score: examples against the noise that they are due to meet."""
-    true = 1 / (1 + np.exp(np.log(noise) - q @ target.T - bias))
-    onto = -noise * true
+    z = q @ target.T
+    z += bias - np.log(noise)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    np.divide(-noise, z, out=z)  # what noise pulls down
     rows = np.arange(len(q))
-    onto[rows, right] += 1 - true[rows, right]
-    return onto
+    z[rows, right] += 1 + z[rows, right] / noise[right]  # and what the examples lift
+    return z
 
 
-def train(net: Network, units: Units, texts: Iterator[np.ndarray], batch: int, rate: float = 0.1) -> int:
-    """One pass of noise-contrastive estimation over all tokens of ``texts``, each a row of units; how many they were."""
+def train(net: Network, units: Units, texts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], batch: int, rate: float = 0.1) -> int:
+    """One pass of noise-contrastive estimation over all tokens, as arrays of (two units before, unit); how many they were."""
     of_class, of_unit = (NOISE * units.class_share).astype(np.float32), (NOISE * units.share).astype(np.float32)
     squares = [np.ones_like(p) for p in net.params]
     lanes = np.arange(SIZE)
@@ -278,10 +349,9 @@ def train(net: Network, units: Units, texts: Iterator[np.ndarray], batch: int, r
             step(a[part], b[part], unit[part])
         waiting, held = [(a[end:], b[end:], unit[end:])], held - end
 
-    for ids in texts:
-        c = np.concatenate([[0, 0], ids])
-        waiting.append((c[:-2], c[1:-1], ids))
-        n, held = n + len(ids), held + len(ids)
+    for a, b, unit in texts:
+        waiting.append((a, b, unit))
+        n, held = n + len(unit), held + len(unit)
         if held >= batch:
             flush(False)
     if held:
@@ -301,81 +371,77 @@ class Scorer:
         first, second, target, bias, word, word_bias = self.net.params
         q = first[a] + second[b]
 
-        def chosen(x, right):
-            return x[np.arange(len(x)), right] - (m := x.max(1)) - np.log(np.exp(x - m[:, None]).sum(1))
+        def chosen(q, target, bias, right):
+            x = q @ target.T
+            x += bias
+            x -= x.max(1, keepdims=True)
+            at = x[np.arange(len(x)), right]
+            np.exp(x, out=x)
+            return at - np.log(x.sum(1))
 
-        out = chosen(q @ target.T + bias, self.units.classes[unit]).astype(float)
+        out = chosen(q, target, bias, self.units.classes[unit]).astype(float)
         for slots, mine, right in _by_class(self.units, unit):
-            out[mine] += chosen(q[mine] @ word[slots].T + word_bias[slots], right)
+            out[mine] += chosen(q[mine], word[slots], word_bias[slots], right)
         return out / np.log(10)
 
-    def score(self, texts: list[np.ndarray], counts: np.ndarray, unit_of: np.ndarray) -> list[tuple[int, float, float]]:
-        """(known tokens, base score, score) of each text, from its block's counts and units."""
+    def score(self, ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, unit_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, base score and score of each text, from its block's counts and units."""
         word_logs = np.log10(counts + 1.0)
         k = self.units.classes[unit_of]
         rare = np.where(unit_of == self.units.first[k], word_logs - self.rare_log[k], 0.0)
-        lengths = np.array([len(ids) for ids in texts], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        ids = np.concatenate(texts)
-        unit = unit_of[ids]
-        before = np.concatenate([x for t in texts for x in ([0, 0], unit_of[t[:-1]], [0])])  # each text's, two places later
-        at = np.arange(len(ids)) + 2 * np.repeat(np.arange(len(texts)), lengths)
-        a, b, step = before[at], before[at + 1], 1 << 15
-        logs = rare[ids] + np.concatenate([self.logs(a[i : i + step], b[i : i + step], unit[i : i + step]) for i in range(0, len(ids), step)])
-        base = np.add.reduceat(word_logs[ids], starts) - lengths * float(np.log10(self.tokens + self.types + 1))
-        known = np.add.reduceat((counts[ids] > 0).astype(np.int64), starts)
-        return list(zip(known.tolist(), base.tolist(), np.add.reduceat(logs, starts).tolist()))
+        known, base, score, step = [], [], [], 1 << 15
+        for some, of in pieces(lengths):
+            n, mine = lengths[some], ids[of]
+            starts, unit = np.cumsum(n) - n, unit_of[mine]
+            a, b = before(unit, n, unit_of[0])
+            logs = rare[mine] + np.concatenate([self.logs(a[i : i + step], b[i : i + step], unit[i : i + step]) for i in range(0, len(unit), step)])
+            known.append(np.add.reduceat((counts[mine] > 0).astype(np.int64), starts))
+            base.append(np.add.reduceat(word_logs[mine], starts) - n * float(np.log10(self.tokens + self.types + 1)))
+            score.append(np.add.reduceat(logs, starts))
+        return np.concatenate(known), np.concatenate(base), np.concatenate(score)
 
 
 SCORE_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def _score(sent):
-    def run(key, docs, words):
+    def run(key, texts, ranges):
         scorer = sent.value
-        n = words.num_rows
-        counts, unit_of = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        at = words.column("number").to_numpy()
-        counts[at], unit_of[at] = words.column("c").to_numpy(), words.column("unit").to_numpy()
-        unit_of[at] = np.where(unit_of[at] < 0, scorer.units.first[words.column("class").to_numpy()], unit_of[at])
-        texts = [unpacked(ids.as_py()) for ids in docs.column("ids")]
-        cols = [docs.column("doc_id").to_pylist(), docs.column("held_out").to_pylist(), [len(t) for t in texts]]
-        known, base, score = zip(*scorer.score(texts, counts, unit_of))
-        cols += [known, [scorer.tokens] * len(texts), base, score]
+        hashes, classes = unpacked(texts.column("hashes")[0].as_py(), "<u8"), unpacked(texts.column("classes")[0].as_py(), np.uint8)
+        parts = sorted(zip(ranges.column("part").to_pylist(), ranges.column("counts")), key=lambda p: p[0])
+        counts = np.empty(len(hashes), np.int64)
+        counts[np.argsort(hashes)] = np.concatenate([unpacked(c.as_py(), "<i8") for _, c in parts])
+        ids, lengths = unpacked(texts.column("ids")[0].as_py(), "<u4"), np.array(texts.column("lengths")[0].as_py())
+        known, base, score = scorer.score(ids, lengths, counts, scorer.units.of(hashes, classes))
+        doc_ids, held = texts.column("doc_ids")[0].as_py(), texts.column("held")[0].as_py()
+        cols = [doc_ids, held, lengths, known, np.full(len(lengths), scorer.tokens), base, score]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        give_back()
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-class _UnitOf(dict):
-    """Word -> unit; a rare word's is its class's slot."""
-
-    def __init__(self, units: Units):
-        super().__init__(zip(units.words, units.number.tolist()))
-        self.first = units.first.tolist()
-
-    def __missing__(self, word):
-        if len(word) <= 32:
-            self[word] = unit = self.first[class_of(word)]
-            return unit
-        return self.first[class_of(word)]
-
-
 FIT_SCHEMA = "part int, n bigint, data binary"
 
 
 def _fitted(sent, batch: int):
-    """Each task trains on its own texts; its parameters go out in parts, with the number of tokens that they have seen."""
+    """Each task trains on its own blocks; its parameters go out in parts, with the number of tokens that they have seen."""
 
     def run(tables):
         units, net = sent.value
-        unit_of = _UnitOf(units)
 
         def texts():
             for t in tables:
-                for text in t.column(0):
-                    yield np.fromiter(map(unit_of.__getitem__, tokens_of(text.as_py()) + [END]), np.int64)
+                for r in range(t.num_rows):
+                    hashes, classes, ids = (unpacked(t.column(c)[r].as_py(), d) for c, d in (("hashes", "<u8"), ("classes", np.uint8), ("ids", "<u4")))
+                    lengths = np.array(t.column("lengths")[r].as_py())
+                    held, unit_of = np.array(t.column("held")[r].as_py()), units.of(hashes, classes)
+                    for some, of in pieces(lengths):
+                        unit = unit_of[ids[of]]
+                        a, b = before(unit, lengths[some], unit_of[0])
+                        learned = np.repeat(~held[some], lengths[some])
+                        yield a[learned], b[learned], unit[learned]
 
         if n := train(net, units, texts(), batch):
             flat = net.flat()
@@ -394,35 +460,34 @@ def _mean(table: pa.Table) -> pa.Table:
 def score(docs: DataFrame, of: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     rows = docs.select("doc_id", held_out(F.col("doc_id"), of, remainder).alias("held_out"), "text")
-    table = written(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "lm-blocks")
-    listed = table.filter("kind = 'words'").select("block", "first", F.posexplode(F.arrays_zip("words", "classes", "counts")).alias("i", "w")).select(
-        "block", (F.col("first") + F.col("i")).alias("number"), F.col("w.words").alias("word"), F.col("w.classes").alias("class"), F.col("w.counts").alias("n")
-    )
-    vocabulary = written(listed.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c"), F.min("class").alias("class")), "lm-vocabulary")
+    table = written(rows.mapInArrow(lean(_blocks(parts)), BLOCK_SCHEMA), "lm-blocks")
+    words = table.filter("kind = 'words'")
+    tokens = words.agg(F.sum("n")).first()[0] or 0
+    # words that often are at most 500 * tokens ** 0.25 in number, and a token's work follows them
+    least = max(2, math.isqrt(tokens * math.isqrt(tokens)) // 500)
+    counted = written(words.select("block", "part", "hashes", "classes", "counts").groupBy("part").applyInArrow(_counted(least), COUNT_SCHEMA), "lm-counts")
     class_tokens, class_types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in vocabulary.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # CLASSES rows
+    for r in counted.filter("kind = 'class'").groupBy("class").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).collect():  # CLASSES rows
         class_tokens[r["class"]], class_types[r["class"]] = r["n"], r["v"]
     cells = np.zeros(CELLS, np.int64)
     summed = table.filter("kind = 'cells'").select("cell_row", F.posexplode("cells").alias("i", "n")).filter("n > 0").groupBy("cell_row", "i").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     cells[summed.column("cell_row").to_numpy() * CELLS_A_ROW + summed.column("i").to_numpy()] = summed.column("n").to_numpy()
-    tokens, types = int(class_tokens.sum()), int(class_types.sum())
-    # words that often are at most 8 * sqrt(tokens) in number
-    frequent = vocabulary.filter(F.col("c") >= max(2, math.isqrt(tokens) // 8)).orderBy(F.desc("c"), "word").toArrow()
-    units = Units(frequent.column("word").to_pylist(), frequent.column("class").to_pylist(), frequent.column("c").to_pylist(), class_tokens, class_types)
+    frequent = counted.filter("kind = 'frequent'").select("hash", "class", "tokens").toArrow()
+    hashes = frequent.column("hash").to_numpy().astype(np.int64).view(np.uint64)
+    by = np.argsort(hashes)
+    units = Units(hashes[by], frequent.column("class").to_numpy()[by], frequent.column("tokens").to_numpy()[by], class_tokens, class_types)
     net = Network(units, cells)
     batch = min(8192, max(256, tokens // 256))
     to_fit = spark.sparkContext.broadcast((units, net))
-    run = rows.filter("not held_out").select("text").mapInArrow(_fitted(to_fit, batch), FIT_SCHEMA)
+    blocks = table.filter("kind = 'texts'").select("block", "doc_ids", "held", "lengths", "ids", "hashes", "classes")
+    run = blocks.select("held", "lengths", "ids", "hashes", "classes").mapInArrow(lean(_fitted(to_fit, batch)), FIT_SCHEMA)
     fitted = sorted(run.groupBy("part").applyInArrow(_mean, FIT_SCHEMA).collect(), key=lambda r: r["part"])  # one set of parameters
     if fitted:
         net.take(np.concatenate([np.frombuffer(r["data"], np.float32) for r in fitted]))
-    sent = spark.sparkContext.broadcast(Scorer(units, net, tokens, types))
-    numbers = spark.createDataFrame(list(zip(map(bytearray, units.words), units.number.tolist())), "word binary, unit bigint")
-    vocabulary = vocabulary.select("word", "c").join(F.broadcast(numbers), "word", "left")
-    counted = listed.select("block", "number", "word", "class").join(vocabulary, "word", "left").select(
-        "block", "number", "class", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("unit", F.lit(-1)).alias("unit")
-    )
-    texts = table.filter("kind = 'doc'").select("block", "doc_id", "held_out", "ids")
-    counted = counted.withColumnRenamed("block", "of_block")
-    return texts.groupBy("block").cogroup(counted.groupBy("of_block")).applyInArrow(_score(sent), SCORE_SCHEMA)
+    sent = spark.sparkContext.broadcast(Scorer(units, net, tokens, int(class_types.sum())))
+    ranges = counted.filter("kind = 'counts'").select(F.col("block").alias("of_block"), "part", "counts")
+    return blocks.groupBy("block").cogroup(ranges.groupBy("of_block")).applyInArrow(_score(sent), SCORE_SCHEMA)
