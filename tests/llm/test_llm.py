@@ -383,7 +383,7 @@ def test_language_of_numbers_and_strange_scripts(spark):
 def test_language_backs_off_to_ngrams():
     """Words that were never seen are told by their letters alone, longest known n-grams first."""
     counts = {"en": Counter({"nothing": 9, "something": 8, "though": 9, "washing": 4}), "de": Counter({"schreiben": 9, "bleiben": 8, "zwischen": 9, "treiben": 4})}
-    model = language.Model(counts, 100, 1000, 4)
+    model = language.Model(counts, 4)
     for w, said in (("bathing", "en"), ("reiben", "de"), ("thought", "en"), ("schein", "de")):
         assert w not in model.words.at and model.judge(w)[0] == said
     by = {w: model.grams[len(w) - 1].logs[model.grams[len(w) - 1].at[w]] for w in ("ing$", "hing")}
@@ -644,6 +644,49 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert left and not left & {0, 1, 2, 3, 4, 6, 121}  # no letter; shorter or later copies
 
 
+def test_pipeline_run_against_plain_loops(spark, docs, rows, tmp_path):
+    """Each stage's decisions from what the one before it kept, by the plain loops of the operators' tests, to the last token."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = {i: (t, s) for i, t, _, s in rows if any(c.isalpha() for c in t or "")}
+    groups = defaultdict(list)
+    for i, (t, _) in left.items():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
+    left = {i: left[i] for g in groups.values() for _, i in [min(g)]}
+    of = brute_components([(i, t) for i, (t, _) in left.items()])
+    left = {i: x for i, x in left.items() if of[i][1] == i}
+    mixed = mixing.mix(spark.createDataFrame([(i, t, s) for i, (t, s) in left.items()], "doc_id long, text string, source string")).collect()
+    copies = {r["doc_id"]: r["copies"] for r in mixed}
+    size = Counter()
+    for i, (t, s) in left.items():
+        size[s] += len(t.split())
+    assert abs(sum(r["taken"] for r in mixed) - 1.5 * sum(size.values())) <= 0.05 * sum(size.values()) + max(len(t.split()) for t, _ in left.values()) / 2 and len(left) < len(rows)
+    t = Tokenizer.from_file(word_vocabulary())
+    ids = {i: t.encode(left[i][0], add_special_tokens=False).ids + [1] for i in left}
+    want, got, spans = Counter(), Counter(), defaultdict(list)
+    for i, n in copies.items():
+        for k in range(0, len(ids[i]), 4096):
+            want[i, k, zlib.crc32(np.array(ids[i][k : k + 4096], "<u4").tobytes())] += n
+    for p in pieces:
+        got[p["doc_id"], p["start"], p["ids_crc32"]] += 1
+        spans[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert got == +want
+    for s in spans.values():
+        ends = np.cumsum([n for _, n in sorted(s)])
+        assert [o for o, _ in sorted(s)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert len(spans) <= math.ceil(sum(p["length"] for p in pieces) / 4096) * 1.05 + 1
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_lm_tells_words_of_one_class_apart(spark):
     pairs = ("winning morning", "running evening", "running morning", "winning evening")
     assert len({lm_scoring.class_of(w.encode()) for p in pairs for w in p.split()}) == 1
@@ -734,7 +777,7 @@ def test_writer_uses_what_the_format_has(monkeypatch):
     assert seen == {"_undo_predictor", "_undo_palette", "_add_green", "_read_group", "_from_cache", "_copy"}
     assert len(webp.store_payload(text)) < len(text) // 2 and len(webp.back_references(np.arange(40) % 9))
     skewed = [2**k for k in range(30)]
-    assert max(webp.code_lengths(skewed)) <= 15 and sum(2.0**-n for n in webp.code_lengths(skewed)) == 1
+    assert max(webp.code_lengths(skewed)) <= 15 and sum(2.0 ** -int(n) for n in webp.code_lengths(skewed)) == 1
 
 
 def test_round_trips_of_odd_payloads(monkeypatch):
