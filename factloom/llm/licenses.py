@@ -7,7 +7,8 @@ share a blank.
 
 The method: every rolling k-gram of words of every text is hashed and joined to
 the positions of the templates' k-grams (a constant table of a few hundred rows,
-so the join needs no shuffle).  A match is verified by comparing all its words, and
+so the join needs no shuffle; a bitmap of its hashes keeps nearly all other k-grams
+from becoming rows first).  A match is verified by comparing all its words, and
 votes for the diagonal "position in text minus position in template".  Votes are
 gathered by row, template and diagonal, as the set of the template's positions;
 diagonals that lie within ``gap`` of each other are merged, so that a few words
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 K = 4
 PIECE = 4096
+BITS = 1 << 14  # of the templates' bitmap
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -108,6 +110,26 @@ def template_grams(spark: SparkSession, templates=None) -> DataFrame:
     return table.select(F.xxhash64("t_words").alias("t_gram"), "t_words", "template", "label", "t_pos", "t_grams")
 
 
+def _hash(words: Column, at: Column) -> Column:
+    """That of the k words from ``at`` on, as of an array of them."""
+    return F.xxhash64(*[F.element_at(words, (at + j).cast("int")) for j in range(K)])
+
+
+def may_match(grams: DataFrame):
+    """A test of hashes: false for all but the templates' ones and those that share a bit with one."""
+    words = [0] * (BITS // 64)
+    for r in grams.select("t_gram").distinct().collect():  # a few hundred rows
+        at = r["t_gram"] % BITS
+        words[at // 64] |= 1 << at % 64
+    bitmap = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in words])
+
+    def test(h: Column) -> Column:
+        at = F.pmod(h, F.lit(BITS))
+        return F.call_function("shiftrightunsigned", F.get(bitmap, F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    return test
+
+
 def row_key() -> list[Column]:
     """128 bits of a row's doc_id and text, as two numbers."""
     return [F.xxhash64("doc_id", "text", F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k2")]
@@ -120,11 +142,15 @@ def votes(docs: DataFrame, templates=None) -> DataFrame:
     starts = F.sequence(F.lit(1), F.size("w") - (K - 1), F.lit(PIECE))
     piece = lambda i: F.struct(i.alias("first"), F.slice("w", i, F.lit(PIECE + K - 1)).alias("w"))
     pieces = split.select("k1", "k2", F.explode(F.transform(starts, piece)).alias("p")).select("k1", "k2", "p.*")
-    gram = lambda i: F.struct((F.col("first") + i - 1).alias("pos"), F.slice("w", i, F.lit(K)).alias("words"))
-    grams = pieces.select("k1", "k2", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (K - 1)), gram)).alias("g")).select("k1", "k2", "g.*")
+    of_templates = template_grams(docs.sparkSession, templates)
+    may = may_match(of_templates)
+    hashed = lambda i: F.struct(i.alias("at"), _hash(F.col("w"), i).alias("h"))
+    some = F.filter(F.transform(F.sequence(F.lit(1), F.size("w") - (K - 1)), hashed), lambda x: may(x["h"]))
+    gram = lambda x: F.struct((F.col("first") + x["at"] - 1).alias("pos"), F.slice("w", x["at"], F.lit(K)).alias("words"))
+    grams = pieces.select("k1", "k2", F.explode(F.transform(some, gram)).alias("g")).select("k1", "k2", "g.*")
     # equal hashes alone don't count
     same = (F.xxhash64("words") == F.col("t_gram")) & (F.col("words") == F.col("t_words"))
-    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), same)
+    hits = grams.join(F.broadcast(of_templates), same)
     return hits.select("k1", "k2", "template", "label", "t_grams", (F.col("pos") - F.col("t_pos")).alias("diagonal"), "t_pos", "pos")
 
 
