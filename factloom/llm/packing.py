@@ -20,8 +20,8 @@ different lengths and classes, is sent to all tasks.
 
 A document is its ids and an end id; only longer ones are cut, into whole pieces
 and a last one.  Null text is empty and gives one piece of length 1.  Rows that
-share a doc_id are packed each.  An empty table gives an empty result; other
-columns are not looked at.
+share a doc_id, or have none, are packed each.  The ids of a very long text are held
+by one task.  An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import few, written
 from .wordpieces import batches, encoder
 from .workers import bounded_batches, lean
 
+BASES_SENT = 200_000  # rows of about 50 bytes that a broadcast may hold
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part string, nth bigint"
 
 
@@ -92,13 +93,19 @@ def _best_pattern(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), pattern
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 120) -> list[tuple[list[int], float]]:
-    """Patterns and how often to use each, from the linear configuration programme."""
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], float]]:
+    """Patterns and how often to use each, from the linear configuration programme.
+
+    Columns are generated until none prices in; a run of 8 * len(sizes) columns that
+    leave the sum as it was ends it too, as its steps then only change a basis of the
+    same worth.
+    """
     m = len(sizes)
     patterns = [[capacity // s if i == j else 0 for j in range(m)] for i, s in enumerate(sizes)]
     basis = np.array(patterns, float).T
     amount = np.linalg.solve(basis, np.array(demand, float))
-    for _ in range(rounds):
+    least, idle = np.inf, 0
+    while idle < 8 * m:
         worth = np.linalg.solve(basis.T, np.ones(m))
         value, pattern = _best_pattern(sizes, worth, capacity)
         if value <= 1 + 1e-7:
@@ -109,6 +116,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         patterns[out] = pattern
         basis[:, out] = pattern
         amount = np.linalg.solve(basis, np.array(demand, float)).clip(0)
+        idle = 0 if amount.sum() < least * (1 - 1e-9) else idle + 1
+        least = min(least, amount.sum())
     return [(p, float(x)) for p, x in zip(patterns, amount)]
 
 
@@ -275,6 +284,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096)
     places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = F.broadcast(bases) if few(counts, BASES_SENT) else bases.hint("merge")  # a row for each task and length
     ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         lean(_place(places)), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
