@@ -2,7 +2,7 @@
 
 A written table survives the loss of executors and is read again as often as
 needed.  The folder is the one in ``spark.checkpoint.dir``; only where that is
-unset, as in tests, one of the driver's own is made and set.
+unset and Spark runs within one machine, as in tests, one of its own is made and set.
 """
 
 from __future__ import annotations
@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, as a URI or path that Spark and pyarrow can write to."""
+    """The shared folder, as a URI that Spark and pyarrow can write to."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", base)
+    if "://" not in base:  # as Spark would resolve it, for pyarrow and executors too
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = path if "://" in path else path.replace(":", "://", 1)
     return base.rstrip("/")
 
 
