@@ -2,10 +2,9 @@
 
 Training counts words by language over a bounded sample of labelled rows:
 about ``rows_per_language`` rows of each language, the ones with the smallest
-hashes, all of them where there are fewer.  The model keeps each language's ``words``
-most frequent words and ``grams`` most frequent character n-grams of each length
-from ``longest`` to 1; both bounds are parameters, so its size doesn't follow
-the corpus.
+hashes, all of them where there are fewer.  The model keeps every word of the sample
+and every character n-gram of its words, of each length from ``longest`` to 1, so
+its size follows the sample, not the corpus.
 
 A text's score for a language is the sum over its words of log frequencies.  A
 known word counts by itself.  An unseen word is covered from the left by its
@@ -60,14 +59,10 @@ class Table:
         self.logs = np.log((counts + 0.5) / totals).astype(np.float32)
 
 
-def _top(counts: dict[str, Counter], most: int) -> dict[str, Counter]:
-    return {k: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most])) for k, c in counts.items()}
-
-
 class Model:
-    def __init__(self, counts: dict[str, Counter], words: int, grams: int, longest: int):
+    def __init__(self, counts: dict[str, Counter], longest: int = 4):
         self.languages, self.longest = sorted(counts), longest
-        self.words = Table(_top(counts, words), self.languages)
+        self.words = Table(counts, self.languages)
         self.grams = []
         for n in range(1, longest + 1):
             by = {}
@@ -78,7 +73,7 @@ class Model:
                     for i in range(len(padded) - n + 1):
                         g[padded[i : i + n]] += m
                 by[k] = g
-            self.grams.append(Table(_top(by, grams), self.languages))
+            self.grams.append(Table(by, self.languages))
         self.unseen: dict[str, np.ndarray] = {}
 
     def backoff(self, w: str) -> tuple[np.ndarray, bool]:
@@ -126,8 +121,8 @@ def held_out(doc_id, of: int, remainder: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
-def train(rows: DataFrame, rows_per_language: int = 1500, words: int = 20_000, grams: int = 8_000, longest: int = 4) -> Model:
-    """Fit on ``rows`` (doc_id, text, lang).  Counting is distributed; what comes back has at most ``words`` * 5 rows a language."""
+def train(rows: DataFrame, rows_per_language: int = 1500, longest: int = 4) -> Model:
+    """Fit on ``rows`` (doc_id, text, lang).  Counting is distributed; what comes back are the different words of the sample."""
     bounded_batches(rows.sparkSession)
     known = rows.filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -147,21 +142,11 @@ def train(rows: DataFrame, rows_per_language: int = 1500, words: int = 20_000, g
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([w for w, _ in part]), pa.array([m for _, m in part], pa.int64())], ["lang", "word", "n"])
 
     counts = picked.select("lang", "text").mapInArrow(lean(counted), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = written(counts, "language-words")
-    # the count from which a language keeps at most 5 * words of its words, by a histogram of counts
-    least: dict[str, int] = {}
-    held: Counter = Counter()
-    for lang, n, m in counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("m")).orderBy("lang", F.desc("n")).collect():
-        held[lang] += m
-        if held[lang] <= 5 * words or lang not in least:
-            least[lang] = n
-    by: dict[str, Counter] = {k: Counter() for k in least}
-    if least:
-        floor = F.element_at(F.create_map(*[F.lit(x) for kn in least.items() for x in kn]), F.col("lang"))
-        found = counts.filter(F.col("n") >= floor).toArrow()
-        for lang, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n"))):
-            by[lang][word] = n
-    return Model(by, words, grams, longest)
+    found = counts.toArrow()
+    by: dict[str, Counter] = {}
+    for lang, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n"))):
+        by.setdefault(lang, Counter())[word] = n
+    return Model(by, longest)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
