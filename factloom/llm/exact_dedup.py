@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import dealt_join, new_path, stands_out, without, written
+from .scratch import dealt_join, dropped, new_path, stands_out, without, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 FILTER_BITS = 1 << 22  # of the hits' filter at most; beyond some 260,000 hits it lets more rows through to the exact join
@@ -83,8 +83,10 @@ class LogStructuredIndex:
             number = F.when(F.col("folder") == k, F.col("run") + first).otherwise(number)
             first, total = first + runs, total + runs
         merged = self.merged(self.runs(level).withColumn("run", F.floor(number / self.fan_in).cast("int")), "run")
-        self.levels.pop(level)
+        folders = self.levels.pop(level)
         self._flush(merged, level + 1, -(-total // self.fan_in))
+        for path, _ in folders if level else ():  # level 0 has the rows themselves
+            dropped(self.spark, path)
 
     def compact_all(self) -> int:
         """Compact level by level until one run is left; gives its level.  Level 0 is kept as it was flushed."""
