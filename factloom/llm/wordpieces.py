@@ -21,8 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BATCH_CHARS = 4_000_000
-CHUNKS_KEPT = 150_000
-PIECES_KEPT = 250_000
+CHUNKS_KEPT = 20_000  # the pieces that chunks are made of are worth more room
+PIECES_KEPT = 450_000
 
 # Characters up to U+017F are stable under NFC, and all but U+0130 lower-case
 # to a single character; U+0080-U+00A0 hold white space.
