@@ -105,7 +105,7 @@ class Model:
                 times.append(m)
                 continue
             if (one := self.unseen.get(w)) is None:
-                if len(self.unseen) > 100_000:
+                if len(self.unseen) > 20_000:
                     self.unseen.clear()
                 one = self.unseen[w] = self.backoff(w)
             total += m * one[0]

@@ -67,6 +67,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
             cols = list(zip(*out))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        words.forget()
 
     return run
 

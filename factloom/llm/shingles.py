@@ -27,7 +27,7 @@ class Shingler:
             self[word] = h = xxhash.xxh3_64_intdigest(word)
             return h
 
-    def __init__(self, width: int = 5, keep: int = 200_000):
+    def __init__(self, width: int = 5, keep: int = 60_000):
         self.width, self.keep, self.hashes = width, keep, self._Hashes()
 
     def set_of(self, text: str | None) -> np.ndarray:

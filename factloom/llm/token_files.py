@@ -75,6 +75,7 @@ def _write_shards(base: str, tokenizer: str, end_id: int, shard_bytes: int):
                 shard = None
         if shard is not None:
             yield closed()
+        words.forget()
 
     return run
 

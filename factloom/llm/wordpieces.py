@@ -3,7 +3,7 @@
 The vocabulary file lower-cases, drops white space and splits letters, single
 digits and other signs, so the ids of a text are the ids of its blank-separated
 chunks, one after the other.  Arrow splits a batch and finds its distinct chunks,
-each is looked up once in a bounded cache of the worker, and the ids of all texts
+each is looked up once in a bounded cache of the task, and the ids of all texts
 are taken from these in one step.  Chunks outside Latin script, or holding a special
 token's marker, go to the tokenizer whole, so every text gets the ids the library
 itself would give.  A file with other rules than these is recognised by its settings,
@@ -70,6 +70,11 @@ class WordEncoder:
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the caches: an idle worker should not hold them."""
+        self.chunks.clear()
+        self.pieces.clear()
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -127,7 +132,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One for each Python worker, so that its cache serves task after task."""
+    """One for each Python worker, as reading the file takes a while; tasks end by ``forget``."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
