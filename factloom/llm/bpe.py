@@ -19,6 +19,7 @@ text by text.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from array import array
@@ -266,16 +267,29 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids
     return short.unionByName(long.select(*[F.col(f"`{c}`") for c in short.columns]))
 
 
+@functools.cache
+def token_names(path: str) -> pa.Array | None:
+    """The tokens by id, from the file alone; None where it has a decoder of its own."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    if file.get("decoder") is not None or file["model"].get("type") != "BPE":
+        return None
+    ids = file["model"]["vocab"] | {t["content"]: t["id"] for t in file.get("added_tokens") or []}
+    names = [""] * (max(ids.values()) + 1)
+    for name, i in ids.items():
+        names[i] = name
+    return pa.array(names, pa.large_string())
+
+
 def decoded_column(ids: Column, tokenizer: str) -> Column:
     """The text of each array of ids, special tokens kept, as the library's decode gives it."""
 
     @F.arrow_udf("string")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = encoder(tokenizer)
-        plain = words.known and words.tokenizer.decoder is None
-        names = pa.array(words.names, pa.large_string()) if plain else None
+        names = token_names(tokenizer)
+        words = None if names is not None else encoder(tokenizer)
         for column in columns:
-            if plain:  # without a decoder of the file's own, the tokens' names joined by blanks
+            if names is not None:  # without a decoder, the tokens' names joined by blanks
                 listed = pa.ListArray.from_arrays(pa.array(np.asarray(column.offsets) - column.offsets[0].as_py()), names.take(column.flatten()))
                 yield pc.binary_join(listed, pa.scalar(" ", pa.large_string())).cast(pa.string())
             else:
