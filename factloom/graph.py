@@ -16,6 +16,11 @@ from .operators.filters import Scope
 from .schema import CONCEPTS, CONCEPTUALIZATIONS, JOBS, TOKEN_USAGE, TRIPLE_KEY, TRIPLE_TYPES, TRIPLES, VECTORS
 
 SCHEMAS = {"triples": TRIPLES, "concepts": CONCEPTS, "conceptualizations": CONCEPTUALIZATIONS, "vectors": VECTORS, "jobs": JOBS, "token_usage": TOKEN_USAGE}
+#: What tells a table's rows apart; a row whose key is stored already is not stored again.
+UNIQUE = {
+    "triples": TRIPLE_KEY, "concepts": ["concept", "abstraction_level", "source", "source_type"], "conceptualizations": ["source_element", "triple_type", "concept"],
+    "vectors": ["vector_id"], "token_usage": ["id"],
+}
 CHUNK = "_chunk_"
 
 
@@ -40,15 +45,17 @@ class KnowledgeGraph:
 
     ``extractor``, ``embedder`` and ``conceptualizer`` can be replaced by ones that ask a
     service; ``semantic_dedup`` is the similarity from which on a job's triples count as
-    one, or None for exact dedup alone.
+    one, or None for exact dedup alone; ``context`` is how many triples of its source a
+    relationship of a concept names.
     """
 
     def __init__(
         self, spark: SparkSession, root: str, extractor: extract.Extractor = extract.rule_extractor, embedder: Callable[[list[str]], np.ndarray] = extract.hash_embedder,
         conceptualizer: Callable[..., DataFrame] = extract.bucket_concepts, semantic_dedup: float | None = None, dimension: int = 64, prices: DataFrame | None = None,
+        context: int = 5,
     ):
         self.spark, self.root, self.extractor, self.embedder, self.conceptualizer = spark, root.rstrip("/"), extractor, embedder, conceptualizer
-        self.semantic_dedup, self.dimension, self.prices = semantic_dedup, dimension, prices
+        self.semantic_dedup, self.dimension, self.prices, self.context = semantic_dedup, dimension, prices, context
         self.store = store.Store(spark, self.root)
 
     def table(self, name: str) -> DataFrame:
@@ -60,8 +67,8 @@ class KnowledgeGraph:
         df.write.parquet(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
 
-    def _publish(self, appended: dict[str, DataFrame], replaced: dict | None = None) -> None:
-        self.store.publish(appended, replaced, SCHEMAS)
+    def _publish(self, appended: dict[str, DataFrame], deleted: dict[str, DataFrame] | None = None, as_of: int | None = None) -> None:
+        self.store.publish(appended, None, SCHEMAS, deleted=deleted, keys=UNIQUE, as_of=as_of)
 
     def _dictionary(self, texts: DataFrame) -> DataFrame:
         return self._staged(extract.embed_texts(texts, self.embedder))
@@ -80,8 +87,7 @@ class KnowledgeGraph:
     def store_concepts(self, raw: DataFrame) -> DataFrame:
         """Store concepts that aren't stored yet, with their vectors; one row of counts."""
         given = self._staged(_shaped(store.cleaned_concepts(raw), CONCEPTS))
-        key = ["concept", "abstraction_level", "source", "source_type"]
-        new = self._staged(_shaped(store.new_rows(given, self.table("concepts"), key), CONCEPTS))
+        new = self._staged(_shaped(store.new_rows(given, self.table("concepts"), UNIQUE["concepts"]), CONCEPTS))
         vectors = self._staged(store.checked_vectors(_shaped(store.concept_vectors(new, self._dictionary(new.select(F.col("concept").alias("text")))), VECTORS), self.dimension))
         self._publish({"concepts": new, "vectors": vectors})
         n, stored, made = given.count(), new.count(), vectors.count()
@@ -96,8 +102,15 @@ class KnowledgeGraph:
 
     # -- jobs; each takes (source, source_type) rows and gives (source, source_type, result as JSON, error_message)
 
+    def _usage_of(self, rows: DataFrame, docs: DataFrame, at: str) -> DataFrame:
+        """Usage rows that aren't stored yet: a call counts once for a run, a job's attempt, a chunk and its number, however often a batch is repeated."""
+        used = extract.usage_rows(rows)
+        attempts = docs.select(F.col("id").alias("doc"), (F.col("attempt") if "attempt" in docs.columns else F.lit(0)).cast("string").alias("attempt"))
+        used = used.join(attempts, "doc", "left").withColumn("id", F.sha2(F.to_json(F.struct(F.lit(at).alias("at"), "doc", "attempt", "chunk", "call")), 256))
+        return store.new_rows(used, self.table("token_usage"), ["id"]).drop("doc", "attempt", "chunk", "call")
+
     def extraction_job(self, docs: DataFrame, at: str) -> DataFrame:
-        """Chunk, extract, merge and store docs (id, text, source, source_type); failing chunks are left out.
+        """Chunk, extract, merge and store docs (id, text, source, source_type, attempt or none); failing chunks are left out.
 
         Gives (id, triples, total_chunks, successful_chunks, failed_chunks, error_message, ms):
         the message only where nothing but failures came of a document.
@@ -106,7 +119,7 @@ class KnowledgeGraph:
         time = F.lit(at).cast("timestamp")
         rows = self._staged(extract.extraction_rows(docs, TRIPLE_TYPES, self.extractor))
         self.store_triples(rows.filter("row = 'triple'").withColumn("extracted_at", time))
-        used = extract.usage_rows(rows)
+        used = self._usage_of(rows, docs, at)
         if not used.isEmpty():
             self.track_usage(used, at)
         counts = extract.chunk_counts(rows, "doc").withColumnRenamed("doc", "of")
@@ -140,13 +153,13 @@ class KnowledgeGraph:
         related = self._staged(self.conceptualizer(C.element_sets(triples, *by), *by))
         named = related.select(*by, "concept", "abstraction_level").distinct().withColumns({"confidence": F.lit(1.0), "extracted_at": time})
         concepts = self._staged(_shaped(store.cleaned_concepts(named), CONCEPTS))
-        context = C.context_triples(triples, related).groupBy("source_element", "concept").agg(F.array_sort(F.collect_list("id")).alias("context_triples"))  # 5 ids at most
-        links = related.select(*by, "source_element", "concept", F.col("kind").alias("triple_type")).distinct().join(context, ["source_element", "concept"], "left")
+        context = C.context_triples(triples, related, self.context, by).groupBy("source_element", "concept", *by).agg(F.array_sort(F.collect_list("id")).alias("context_triples"))  # `context` ids at most
+        links = related.select(*by, "source_element", "concept", F.col("kind").alias("triple_type")).distinct()
+        links = links.join(context.toDF("_e", "_c", "_s", "_t", "context_triples"), (F.col("source_element") == F.col("_e")) & (F.col("concept") == F.col("_c")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("source_type").eqNullSafe(F.col("_t")), "left").drop("_e", "_c", "_s", "_t")
         links = links.withColumns({"confidence": F.lit(1.0), "extracted_at": time}).withColumn("id", store.conceptualization_id())
         links = self._staged(_shaped(links, CONCEPTUALIZATIONS))
         vectors = store.checked_vectors(_shaped(store.concept_vectors(concepts, self._dictionary(concepts.select(F.col("concept").alias("text")))), VECTORS), self.dimension)
-        key = ["source_element", "triple_type", "concept"]
-        new_links = _shaped(store.new_rows(links, self.table("conceptualizations"), key), CONCEPTUALIZATIONS)
+        new_links = _shaped(store.new_rows(links, self.table("conceptualizations"), ["source_element", "triple_type", "concept"]), CONCEPTUALIZATIONS)
         self._publish({"concepts": concepts, "conceptualizations": new_links, "vectors": vectors})
         made = concepts.groupBy(*by).agg(F.count(F.lit(1)).alias("concepts")).toDF("s1", "t1", "c1")
         linked = links.groupBy(*by).agg(F.count(F.lit(1)).alias("links")).toDF("s2", "t2", "c2")
@@ -167,16 +180,16 @@ class KnowledgeGraph:
         if self.semantic_dedup is None:
             zero = F.lit(0).cast("long")
             return sources.select(*by, zero.alias("original"), zero.alias("remaining"), zero.alias("removed"), F.lit(True).alias("skipped"))
+        as_of = self.store.manifest()[0]
         triples = self._staged(self._of_sources(self.table("triples"), sources).withColumn("source_root", F.concat_ws("\u001f", "source_root", "source_type")))
-        dictionary = self._dictionary(store.vector_texts(triples).select("text"))
+        dictionary = self._dictionary(store.vector_texts(triples).filter("vector_type = 'SEMANTIC'").select("text"))
         kept = dedup.deduplicated(triples, dictionary, self.semantic_dedup, stage=self._staged)
-        gone = self._staged(store.duplicates_of(triples, kept))
+        absorbed = store.duplicates_of(triples, kept)
+        gone = self._staged(triples.join(absorbed.select(*TRIPLE_KEY), TRIPLE_KEY, "left_semi"))
         merged = _shaped(kept.filter("n_merged > 1"), TRIPLES)
-        ids = self._staged(gone.unionByName(merged.select("id")))
-        self._publish({}, {
-            "triples": lambda stored: _shaped(store.without_ids(stored, ids), TRIPLES).unionByName(merged),
-            "vectors": lambda stored: _shaped(store.without_ids(stored, gone, "knowledge_triple_id"), VECTORS),
-        })
+        vectors = store.vectors_to_delete(gone, self.table("triples"))
+        # what is written follows the sources' rows, not the tables
+        self._publish({"triples": merged}, {"triples": gone.unionByName(merged, allowMissingColumns=True).select(*TRIPLE_KEY), "vectors": vectors}, as_of)
         count = lambda df, name: df.groupBy(source_root(F.col("source")).alias("source"), "source_type").agg(F.count(F.lit(1)).alias(name))
         all_, left = count(triples, "original").toDF("s1", "t1", "original"), count(kept, "remaining").toDF("s2", "t2", "remaining")
         out = sources.join(all_, F.col("source").eqNullSafe(F.col("s1")) & F.col("source_type").eqNullSafe(F.col("t1")), "left")

@@ -29,13 +29,28 @@ def triples_of_concept(triples: DataFrame, conceptualizations: DataFrame, concep
     return triples.join(keys, TRIPLE_KEY, "left_semi")
 
 
-def context_triples(triples: DataFrame, conceptualizations: DataFrame, most: int = 5) -> DataFrame:
-    """(source_element, concept, id, rank): the first triples of each relationship's element."""
-    els = conceptualizations.select("source_element").distinct()
-    found = elements(triples).join(els, F.col("element") == F.col("source_element"))
-    first = Window.partitionBy("source_element").orderBy("id")
-    ranked = found.select("source_element", "id").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
-    return conceptualizations.select("source_element", "concept").distinct().join(ranked, "source_element")
+def context_triples(triples: DataFrame, conceptualizations: DataFrame, most: int = 5, by: list[str] = ()) -> DataFrame:
+    """(source_element, concept, id, rank, and ``by``): the first triples of each relationship's element.
+
+    With ``by``, columns of both such as the source, elements are those of its own group:
+    what another source says of one isn't its context.
+    """
+    names = [f"_{c}" for c in by]
+    els = conceptualizations.select("source_element", *[F.col(c).alias(n) for c, n in zip(by, names)]).distinct()
+    same = F.col("element") == F.col("source_element")
+    for c, n in zip(by, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    found = elements(triples).join(els, same)
+    first = Window.partitionBy("source_element", *names).orderBy("id")
+    ranked = found.select("source_element", "id", *names).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
+    of = conceptualizations.select("source_element", "concept", *by).distinct()
+    for n, c in zip(names, by):
+        ranked = ranked.withColumnRenamed(n, f"{n}2")
+    ranked = ranked.withColumnRenamed("source_element", "_element")
+    same = F.col("source_element") == F.col("_element")
+    for c, n in zip(by, names):
+        same = same & F.col(c).eqNullSafe(F.col(f"{n}2"))
+    return of.join(ranked, same).select("source_element", "concept", "id", "rank", *by)
 
 
 def element_parts(triples: DataFrame, *carried: str) -> DataFrame:

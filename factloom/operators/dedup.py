@@ -7,12 +7,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import semantic_text
-from ..functions.vector import cosine
 from ..schema import TRIPLE_KEY
+from . import metric_join
+from .metric_join import VectorError
 
 
 def exact_dedup(triples: DataFrame) -> DataFrame:
@@ -58,6 +60,8 @@ def semantic_leaders(rows: DataFrame, threshold: float = 0.85, group: str = "grp
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ignore_index=True)
+        if len({len(e) for e in pdf["embedding"]}) > 1:
+            raise VectorError(metric_join.UNEQUAL)
         at = greedy_leaders(np.stack(pdf["embedding"]).astype(float), threshold)
         return pd.DataFrame({"id": pdf["id"], "leader": pdf["id"].to_numpy()[at]})
 
@@ -65,11 +69,8 @@ def semantic_leaders(rows: DataFrame, threshold: float = 0.85, group: str = "grp
 
 
 def similar_pairs(rows: DataFrame, threshold: float, group: str = "grp") -> DataFrame:
-    """(a, b), a before b in order, both of one group, with cosine >= threshold; vectors of unequal lengths are an error."""
-    right = rows.toDF(*[f"{c}_2" for c in rows.columns])
-    unequal = F.size("embedding") != F.size("embedding_2")
-    near = F.when(unequal, F.raise_error(F.lit("vectors of unequal lengths")).cast("boolean")).otherwise(cosine(F.col("embedding"), F.col("embedding_2")) >= threshold)
-    return rows.join(right, (F.col(group) == F.col(f"{group}_2")) & (F.col("pos") < F.col("pos_2"))).filter(near).select(F.col("pos").alias("a"), F.col("pos_2").alias("b"))
+    """(group, a, b), a before b in order of ``pos``, with cosine >= threshold; see metric_join."""
+    return metric_join.similar_pairs(rows, threshold, group).filter("a is not null").drop("compared")
 
 
 def semantic_leaders_iterative(rows: DataFrame, threshold: float = 0.85, group: str = "grp") -> DataFrame:
@@ -79,55 +80,125 @@ def semantic_leaders_iterative(rows: DataFrame, threshold: float = 0.85, group:
     it is absorbed, a row whose neighbours before it are all absorbed leads.  Each
     round is checkpointed.
     """
-    pairs = similar_pairs(rows, threshold, group).checkpoint()
-    state = rows.select("pos", F.lit("open").alias("state")).checkpoint()
+    rows = rows.withColumnRenamed(group, "grp")
+    pairs = similar_pairs(rows, threshold).checkpoint()
+    state = rows.select("grp", "pos", F.lit("open").alias("state")).checkpoint()
     while not state.filter("state = 'open'").isEmpty():
-        before = pairs.join(state.select(F.col("pos").alias("a"), F.col("state").alias("s")), "a").groupBy("b").agg(
+        before = pairs.join(state.select("grp", F.col("pos").alias("a"), F.col("state").alias("s")), ["grp", "a"]).groupBy("grp", F.col("b").alias("pos")).agg(
             F.max((F.col("s") == "leader").cast("int")).alias("led"), F.min((F.col("s") == "absorbed").cast("int")).alias("free")
         )
         new = F.when(F.col("state") != "open", F.col("state")).when(F.col("led") == 1, "absorbed").when(F.coalesce("free", F.lit(1)) == 1, "leader").otherwise("open")
-        state = state.join(before, F.col("pos") == F.col("b"), "left").select("pos", new.alias("state")).checkpoint()
-    leaders = state.filter("state = 'leader'").select(F.col("pos").alias("a"))
-    owner = pairs.join(leaders, "a").groupBy("b").agg(F.min("a").alias("owner"))
-    owned = state.join(owner, F.col("pos") == F.col("b"), "left").select("pos", F.when(F.col("state") == "leader", F.col("pos")).otherwise(F.col("owner")).alias("lead"))
-    names = rows.select("pos", "id")
-    return owned.join(names, "pos").join(names.select(F.col("pos").alias("lead"), F.col("id").alias("leader")), "lead").select("id", "leader")
+        state = state.join(before, ["grp", "pos"], "left").select("grp", "pos", new.alias("state")).checkpoint()
+    leaders_ = state.filter("state = 'leader'").select("grp", F.col("pos").alias("a"))
+    owner = pairs.join(leaders_, ["grp", "a"]).groupBy("grp", F.col("b").alias("pos")).agg(F.min("a").alias("owner"))
+    owned = state.join(owner, ["grp", "pos"], "left").select("grp", "pos", F.when(F.col("state") == "leader", F.col("pos")).otherwise(F.col("owner")).alias("lead"))
+    names = rows.select("grp", "pos", "id")
+    return owned.join(names, ["grp", "pos"]).join(names.select("grp", F.col("pos").alias("lead"), F.col("id").alias("leader")), ["grp", "lead"]).select("id", "leader")
 
 
-GROUP_ROWS = 5_000  # of a group that one task works through; larger ones go in rounds over their similar pairs
+GROUP_ROWS = 5_000  # of a group that one task works through; of larger ones, the rows of a hub round
+PAYS = 0.02  # share of what is left that a hub round has to absorb for another to follow
+
+
+def hub_round(rest: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """One step of the greedy pass over groups of any size: (decided, undecided) rows.
+
+    The first GROUP_ROWS rows of each group are worked through in one task; whatever
+    comes later meets the leaders found there, in parts, and goes to the first one alike.
+    That is the pass itself for all it decides, since those leaders come first in order.
+    """
+    order = Window.partitionBy("grp").orderBy("pos")
+    block = rest.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= GROUP_ROWS).drop("n")
+    kinds = {f.name: f.dataType.simpleString() for f in rest.schema}
+
+    def lead(group: pa.Table) -> pa.Table:
+        group = group.sort_by("pos")
+        at = pa.array(greedy_leaders(metric_join.unit(group.column("embedding")), threshold))
+        return group.append_column("leader", group.column("id").take(at))
+
+    columns = ["grp", "id", "pos", "embedding", "leader"]
+    out = ", ".join(f"{c} {kinds['id' if c == 'leader' else c]}" for c in columns)
+    led = block.select(*columns[:4]).groupBy("grp").applyInArrow(lead, out).checkpoint()
+    last = led.groupBy("grp").agg(F.max("pos").alias("last"))
+    later = rest.join(last, "grp").filter(F.col("pos") > F.col("last")).select(*columns[:4])
+    places = later.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / metric_join.TASK_ROWS).cast("int").alias("places"))
+    dealt = later.join(places, "grp").withColumn("place", F.pmod(F.xxhash64("pos"), F.col("places")).cast("int")).drop("places")
+    heads = led.filter(F.col("id") == F.col("leader")).select("grp", "pos", "leader", "embedding").join(places, "grp")
+    heads = heads.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places")
+
+    def absorb(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("pos")
+        u, h = metric_join.unit(left.column("embedding")), metric_join.unit(right.column("embedding"))
+        if u.size and h.size and u.shape[1] != h.shape[1]:
+            raise VectorError(metric_join.UNEQUAL)
+        first = np.full(len(u), -1)
+        for i in range(0, len(u), 1000):
+            alike = u[i : i + 1000] @ h.T >= threshold
+            first[i : i + 1000] = np.where(alike.any(axis=1), alike.argmax(axis=1), -1)
+        return left.select(columns[:4]).append_column("leader", right.column("leader").take(pa.array(first, mask=first < 0)))
+
+    met = dealt.groupBy("grp", "place").cogroup(metric_join.own_columns(heads).groupBy("grp", "place")).applyInArrow(absorb, out).checkpoint()
+    return led.unionByName(met.filter("leader is not null")).select("id", "leader"), met.filter("leader is null").drop("leader")
 
 
 def leaders(rows: DataFrame, threshold: float = 0.85, group: str = "grp") -> DataFrame:
-    """(id, leader) within each group, by the form that its size asks for; both give the same.
+    """(id, leader) within each group, by the form that its size asks for; all give the same.
 
-    Rows: id, pos (unique within its group), embedding and the group.
+    Rows: id (unique), pos (unique within its group), embedding and the group.  Larger
+    groups go by hub rounds while these absorb a share of what is left, so that dense
+    groups of alike rows vanish early; the rest goes by its similar pairs.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
-    large = sizes.filter(F.col("n_rows") > GROUP_ROWS).select(group)
-    out = semantic_leaders(rows.join(large, group, "left_anti"), threshold, group)
-    if large.isEmpty():
-        return out
-    many = rows.join(large, group, "left_semi")
-    # positions are made unique over all groups, in the same order within each
-    many = many.withColumn("pos", F.struct(group, "pos"))
-    return out.unionByName(semantic_leaders_iterative(many, threshold, group))
+    rows = rows.select("id", "pos", "embedding", F.col(group).alias("grp"))
+
+    def by_size(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sizes = some.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rows"))
+        large = sizes.filter(F.col("n_rows") > GROUP_ROWS).select("grp")
+        return some.join(large, "grp", "left_anti"), some.join(large, "grp", "left_semi")
+
+    small, rest = by_size(rows)
+    out, pays = semantic_leaders(small, threshold), True
+    n = rest.count()
+    while n and pays:
+        decided, rest = hub_round(rest, threshold)
+        out = out.unionByName(decided)
+        left = rest.count()
+        pays, n = n - left - GROUP_ROWS >= PAYS * n, left
+    if n:
+        small, rest = by_size(rest)
+        out = out.unionByName(semantic_leaders(small, threshold))
+        if not rest.isEmpty():
+            out = out.unionByName(semantic_leaders_iterative(rest, threshold))
+    return out
+
+
+def key_text() -> Column:
+    """A text that tells triples apart by their four columns and sorts by id first; ids alone don't, as different keys can share one."""
+    bits = [F.xxhash64(F.lit(k), *[F.coalesce(c, F.lit("")) for c in order], *[F.col(c).isNull() for c in order]) for k, order in enumerate((TRIPLE_KEY, TRIPLE_KEY[::-1]))]
+    return F.concat_ws("\u001f", F.coalesce("id", F.lit("")), *[F.hex(b) for b in bits])
 
 
 def semantic_dedup(triples: DataFrame, dictionary: DataFrame, threshold: float = 0.85, group: str = "source_root", respect_type: bool = False) -> DataFrame:
     """Survivors with merged confidence and extraction; rows without a vector stay as they are.
 
-    Texts ignore the type unless ``respect_type``; ``dictionary`` is (text, embedding).
+    ``triples`` has each four-column key once, as exact dedup leaves them.  Texts ignore
+    the type unless ``respect_type``; ``dictionary`` is (text, embedding).
     """
     keys = [group] + ["type"] * respect_type
-    with_text = triples.withColumn("text", semantic_text())
-    known = with_text.join(dictionary, "text").select("id", F.concat_ws("|", *keys).alias("grp"), F.col("id").alias("pos"), "embedding")
-    led = leaders(known, threshold)
-    merged = triples.join(led, "id").groupBy("leader").agg(F.max("confidence").alias("c"), F.max("extracted_at").alias("e"), F.count(F.lit(1)).alias("n_merged"))
-    survivors = triples.join(merged, F.col("id") == F.col("leader")).withColumns({"confidence": F.col("c"), "extracted_at": F.col("e")}).drop("c", "e", "leader")
-    unknown = with_text.join(dictionary.select("text"), "text", "left_anti").drop("text").withColumn("n_merged", F.lit(1).cast("long"))
+    with_text = triples.withColumns({"text": semantic_text(), "key_": key_text()})
+    known = with_text.join(dictionary, "text").select(F.col("key_").alias("id"), F.concat_ws("|", *keys).alias("grp"), F.col("key_").alias("pos"), "embedding")
+    led = leaders(known, threshold).withColumnRenamed("id", "key_")
+    keyed = with_text.drop("text")
+    merged = keyed.join(led, "key_").groupBy("leader").agg(F.max("confidence").alias("c"), F.max("extracted_at").alias("e"), F.count(F.lit(1)).alias("n_merged"))
+    survivors = keyed.join(merged, F.col("key_") == F.col("leader")).withColumns({"confidence": F.col("c"), "extracted_at": F.col("e")}).drop("c", "e", "leader", "key_")
+    unknown = with_text.join(dictionary.select("text"), "text", "left_anti").drop("text", "key_").withColumn("n_merged", F.lit(1).cast("long"))
     return survivors.unionByName(unknown.select(*survivors.columns))
 
 
+def vector_failure(e: Exception) -> bool:
+    """Whether an error says that vectors can't be compared; a lost executor or a cancelled stage doesn't."""
+    return isinstance(e, metric_join.VectorError) or metric_join.UNEQUAL in str(e)
+
+
 def deduplicated(triples: DataFrame, dictionary: DataFrame | None = None, threshold: float | None = None, group: str = "source_root", stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Exact dedup, and semantic dedup after it where a threshold asks for it.
 
@@ -141,5 +212,7 @@ def deduplicated(triples: DataFrame, dictionary: DataFrame | None = None, thresh
         again = semantic_dedup(exact.withColumnRenamed("n_merged", "n_exact"), dictionary, threshold, group)
         return stage(again.withColumn("n_merged", F.col("n_merged") + F.col("n_exact") - 1).drop("n_exact"))
     except Exception as e:
+        if not vector_failure(e):
+            raise
         logging.getLogger(__name__).warning("semantic dedup failed, exact dedup stands: %s", e)
         return exact

@@ -75,7 +75,7 @@ def extraction_rows(docs: DataFrame, types: tuple[str, ...], extractor: Extracto
     """All that extraction says of docs (id, text, source, source_type, source_date), in one pass over the texts.
 
     ``row`` is one of: chunk (one for each, with an error if it gave nothing but one),
-    triple, error (of a type), usage (of a call, as JSON).  A chunk's source is its
+    triple, error (of a type), usage (of a call, as JSON, its type the call's number).  A chunk's source is its
     document's with the chunk's number.  Chunk failures leave the others as they are.
     """
     n_types = len(types)
@@ -94,7 +94,7 @@ def extraction_rows(docs: DataFrame, types: tuple[str, ...], extractor: Extracto
                     rows.append(at | {"row": "chunk"} | ({"error_type": got.errors[0][1], "error": got.errors[0][2]} if failed else {}))
                     rows += [at | dict(zip(("type", "subject", "predicate", "object", "confidence"), x)) | {"row": "triple"} for x in got.triples]
                     rows += [at | {"row": "error", "type": k, "error_type": e, "error": m} for k, e, m in got.errors]
-                    rows += [at | {"row": "usage", "usage": json.dumps(u)} for u in got.usage]
+                    rows += [at | {"row": "usage", "type": str(n), "usage": json.dumps(u)} for n, u in enumerate(got.usage)]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ROWS)
 
@@ -118,8 +118,9 @@ USAGE = "input_tokens int, output_tokens int, total_tokens int, thinking_tokens
 
 
 def usage_rows(rows: DataFrame) -> DataFrame:
-    """Token usage as said by the calls of extraction rows."""
-    return rows.filter("row = 'usage'").select("source", "source_type", F.from_json("usage", USAGE).alias("u")).select("source", "source_type", "u.*")
+    """Token usage as said by the calls of extraction rows, each told by its document, chunk and number."""
+    of = ["doc", "chunk", "source", "source_type"]
+    return rows.filter("row = 'usage'").select(*of, F.col("type").alias("call"), F.from_json("usage", USAGE).alias("u")).select(*of, "call", "u.*")
 
 
 def embed_texts(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hash_embedder) -> DataFrame:

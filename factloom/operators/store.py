@@ -107,38 +107,79 @@ def strict_casts(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
 class Store:
     """Tables published together: a batch becomes visible when the manifest names its folders.
 
-    Each table is a list of folders; a failed batch leaves folders that nothing names.
+    A table is a list of data folders, each with the numbers of the manifests that first
+    named its rows, and a list of delete folders: keys, each with the number up to which
+    rows that have it are gone.  Reading joins the two, so that deleting or replacing rows
+    writes as much as the batch holds and never the table.  A failed batch leaves folders
+    that nothing names.
+
     Manifests are numbered files; a publication writes the one after the manifest that
     it read, through Hadoop's file system, so that of two at a time one finds the number
-    taken and starts from the other's.  What it appends stays as written; what it
-    replaces is worked out again from what is stored then.
+    taken and starts from the other's.  What it appends stays as written, but for rows
+    whose unique key the other has published meanwhile; what it deletes is what it had
+    read; what it replaces is worked out again from what is stored then.
+
+    A table of over FOLDERS data folders has its smallest ones merged into one, without
+    the rows that are deleted: large folders are rarely written again.  Merged rows keep
+    their numbers, for deletes of publishers that worked from an earlier manifest.  Over DELETES
+    delete folders become one, and go where no data folder is as old as they are.
     """
 
-    FOLDERS = 64  # of a table, from which on a publication compacts it
+    FOLDERS = 64  # of a table's data, from which on a publication merges the smallest
+    DELETES = 16
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> tuple[int, dict[str, list[str]]]:
-        """The last manifest's number, 0 if there is none, and what it names."""
+    def manifest(self) -> tuple[int, dict[str, dict[str, list]]]:
+        """The last manifest's number, 0 if there is none, and what it names: by table, data and deletes."""
         versions = self._fs.globStatus(self._path(f"{self.root}/manifest-*.json")) or []
         if not versions:
             return 0, {}
         last = max(str(v.getPath()) for v in versions)
         return int(last[-17:-5]), json.loads("".join(r[0] for r in self.spark.read.text(last, wholetext=True).collect()))
 
-    def read(self, table: str, schema: str) -> DataFrame:
-        folders = self.manifest()[1].get(table, [])
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+    def read(self, table: str, schema: str, as_of: dict | None = None) -> DataFrame:
+        """The table's rows, of the last manifest or of one that was read before."""
+        named = (self.manifest()[1] if as_of is None else as_of).get(table, {})
+        return self._rows(named.get("data", []), named.get("deletes", []), schema)
+
+    def _numbered(self, data: list, deletes: list, schema: str) -> DataFrame:
+        """Rows of data folders without those deleted, with the number of the manifest that first named each."""
+        rows = self.spark.read.schema(f"{schema}, _named bigint").parquet(*[d[0] for d in data])
+        of = F.create_map(*[F.lit(x) for folder, low, _ in data for x in (folder.rsplit("/", 1)[-1], low)])
+        rows = rows.withColumn("_named", F.coalesce("_named", of[F.regexp_extract("_metadata.file_path", "/([^/]+)/[^/]+$", 1)].cast("long")))
+        for by in {tuple(d["by"]) for d in deletes}:
+            keys = [f"_{c}" for c in by]
+            gone = self.spark.read.parquet(*[d["folder"] for d in deletes if tuple(d["by"]) == by]).groupBy(*by).agg(F.max("_upto").alias("_upto")).toDF(*keys, "_upto")
+            same = F.col("_named") <= F.col("_upto")
+            for c, k in zip(by, keys):
+                same = same & F.col(c).eqNullSafe(F.col(k))
+            rows = rows.join(gone, same, "left_anti")
+        return rows
+
+    def _rows(self, data: list, deletes: list, schema: str) -> DataFrame:
+        if not data:
+            return self.spark.createDataFrame([], schema)
+        newest = max((d["upto"] for d in deletes), default=0)
+        old, young = [d for d in data if d[1] <= newest], [d[0] for d in data if d[1] > newest]
+        if not old:
+            return self.spark.read.schema(schema).parquet(*young)
+        rows = self._numbered(old, deletes, schema).drop("_named")
+        return rows.unionByName(self.spark.read.schema(schema).parquet(*young)) if young else rows
 
     def _written(self, name: str, df: DataFrame) -> str:
         folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
         df.write.parquet(folder)
         return folder
 
-    def _named(self, number: int, tables: dict[str, list[str]]) -> bool:
+    def size(self, folder: str) -> int:
+        """Bytes of a folder's files."""
+        return self._fs.getContentSummary(self._path(folder)).getLength()
+
+    def _named(self, number: int, tables: dict) -> bool:
         """Whether the manifest with this number is ours: a file that isn't there yet, moved into place at once."""
         hidden, shown = self._path(f"{self.root}/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest-{number:012d}.json")
         out = self._fs.create(hidden, True)
@@ -155,33 +196,94 @@ class Store:
             raise
         return True
 
-    def publish(self, appended: dict[str, DataFrame], replaced: dict[str, Callable[[DataFrame], DataFrame]] | None = None, schemas: dict[str, str] | None = None, tries: int = 20) -> None:
-        """Append tables' rows, and put for others what a function makes of their stored rows, all at once."""
+    def _compacted(self, name: str, table: dict, schema: str) -> dict:
+        """The table with its smallest data folders merged, where there are too many, and its delete folders too."""
+        data, deletes = table["data"], table["deletes"]
+        if len(data) > self.FOLDERS:
+            by_size = sorted(data, key=lambda d: self.size(d[0]))
+            merged, rest = by_size[: len(data) - self.FOLDERS // 2], by_size[len(data) - self.FOLDERS // 2 :]
+            one = self._written(name, self._numbered(merged, deletes, schema))
+            data = [d for d in data if d in rest] + [[one, min(d[1] for d in merged), max(d[2] for d in merged)]]
+        deletes = [d for d in deletes if any(low <= d["upto"] for _, low, _ in data)]
+        for by in {tuple(d["by"]) for d in deletes}:
+            mine = [d for d in deletes if tuple(d["by"]) == by]
+            if len(mine) > self.DELETES:
+                keys = self.spark.read.parquet(*[d["folder"] for d in mine]).groupBy(*by).agg(F.max("_upto").alias("_upto"))
+                one = {"folder": self._written(f"{name}-deletes", keys), "upto": max(d["upto"] for d in mine), "by": list(by)}
+                deletes = [d for d in deletes if tuple(d["by"]) != by] + [one]
+        return {"data": data, "deletes": deletes}
+
+    def publish(
+        self, appended: dict[str, DataFrame], replaced: dict[str, Callable[[DataFrame], DataFrame]] | None = None, schemas: dict[str, str] | None = None, tries: int = 20,
+        deleted: dict[str, DataFrame] | None = None, keys: dict[str, list[str]] | None = None, as_of: int | None = None,
+    ) -> None:
+        """Append tables' rows, delete those with given keys, and put for others what a function makes of their stored rows, all at once.
+
+        ``deleted``: for a table, rows of key columns; a key may be stored again in the same
+        publication.  ``as_of``: the manifest from which the caller worked, else the one at
+        the start; rows published after it are not deleted, and ``keys``, a table's unique
+        key, keeps appended rows out whose key came between.
+        """
+        start = self.manifest()[0] if as_of is None else as_of
         new = {name: self._written(name, df) for name, df in appended.items()}
+        gone = {}
+        for name, df in (deleted or {}).items():
+            folder = self._written(f"{name}-deletes", df.distinct().withColumn("_upto", F.lit(start).cast("long")))
+            gone[name] = {"folder": folder, "upto": start, "by": df.columns}
         for _ in range(tries):
             number, tables = self.manifest()
-            now = {name: list(folders) for name, folders in tables.items()}
+            now = {name: {"data": list(t["data"]), "deletes": list(t["deletes"])} for name, t in tables.items()}
+            of = lambda name: now.setdefault(name, {"data": [], "deletes": []})
             for name, change in (replaced or {}).items():
-                stored = self.spark.read.schema(schemas[name]).parquet(*now[name]) if now.get(name) else self.spark.createDataFrame([], schemas[name])
-                now[name] = [self._written(name, change(stored))]
+                now[name] = {"data": [[self._written(name, change(self._rows(of(name)["data"], of(name)["deletes"], schemas[name]))), number + 1, number + 1]], "deletes": []}
+            for name, entry in gone.items():
+                of(name)["deletes"].append(entry)
             for name, folder in new.items():
-                now[name] = now.get(name, []) + [folder]
-            if schemas:
-                for name in [n for n, folders in now.items() if len(folders) > self.FOLDERS and n in schemas]:
-                    now[name] = [self._written(name, self.spark.read.schema(schemas[name]).parquet(*now[name]))]
+                since = [d for d in of(name)["data"] if d[2] > start]
+                if since and name in (keys or {}):
+                    others = self._numbered(since, of(name)["deletes"], schemas[name]).filter(F.col("_named") > start)
+                    folder = self._written(name, new_rows(self.spark.read.schema(schemas[name]).parquet(folder), others, keys[name]))
+                of(name)["data"].append([folder, number + 1, number + 1])
+            for name in [n for n in now if n in (schemas or {})]:
+                now[name] = self._compacted(name, now[name], schemas[name])
             if self._named(number + 1, now):
                 return
         raise RuntimeError("other publications came first each time")
 
+    def upsert(self, name: str, batch: DataFrame, key: list[str], schemas: dict[str, str]) -> None:
+        """Rows of the batch replace those with their key; of the batch's own rows with one key the last by all columns stays."""
+        rest = [c for c in batch.columns if c not in key]
+        last = batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_r")).select(*key, "_r.*").select(*batch.columns)
+        self.publish({name: last}, None, schemas, deleted={name: batch.select(*key)})
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` whose key, nulls being equal, is not among ``keys``."""
+    other = keys.select(*by).distinct().toDF(*[f"_{c}" for c in by])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(other, same, "left_anti")
+
 
 def duplicates_of(triples: DataFrame, survivors: DataFrame) -> DataFrame:
-    """The ids of triples that no survivor has."""
-    return triples.select("id").join(survivors.select("id"), "id", "left_anti")
+    """The triples (id and key) whose key no survivor has; ids don't tell triples apart."""
+    return without_keys(triples.select("id", *TRIPLE_KEY).distinct(), survivors, TRIPLE_KEY)
+
+
+VECTOR_OF = ["knowledge_triple_id", "vector_type", "text"]
+
+
+def vectors_to_delete(gone: DataFrame, stored: DataFrame) -> DataFrame:
+    """Which vectors (VECTOR_OF) go with triples: those that no stored triple of the same id still has."""
+    stays = without_keys(stored.join(gone.select("id").distinct(), "id", "left_semi"), gone, TRIPLE_KEY)
+    return vector_texts(gone).toDF(*VECTOR_OF).distinct().join(vector_texts(stays).toDF(*VECTOR_OF), VECTOR_OF, "left_anti")
 
 
-def delete_triples(triples: DataFrame, vectors: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables without the triples; vectors go with their triple."""
-    return without_ids(triples, ids), without_ids(vectors, ids, "knowledge_triple_id")
+def delete_triples(triples: DataFrame, vectors: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the triples of ``gone`` (ids, and keys where it has them); vectors go with the last triple of their id."""
+    left = without_keys(triples, gone, [c for c in ("id", *TRIPLE_KEY) if c in gone.columns])
+    return left, without_ids(vectors, gone.select("id").join(left.select("id"), "id", "left_anti"), "knowledge_triple_id")
 
 
 def detach_concepts(conceptualizations: DataFrame, ids: DataFrame) -> DataFrame:

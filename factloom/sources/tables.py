@@ -53,21 +53,38 @@ def requests(lines: DataFrame, kind: str = "process", column: str = "value") ->
     return r.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("error", F.when(~F.col("ok"), "INPUT_VALIDATION_ERROR"))
 
 
-_PUBLISHED: dict[tuple[str, str], tuple[str, object]] = {}
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder of ``spark.checkpoint.dir``, which driver and executors share; unset, a local session gets one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="factloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if "://" not in base:  # as Spark would resolve it
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def published(spark: SparkSession, derive: Callable[[], DataFrame], key: str) -> DataFrame:
-    """A table derived and written once in a session, in the folder of ``spark.checkpoint.dir``, and read from there after."""
+_BUILT: dict[tuple[str, str], object] = {}
+
+
+def once(spark: SparkSession, key: str, build: Callable[[str], object]) -> object:
+    """What ``build`` makes in a new folder, made once in a session."""
     at = (spark.sparkContext.applicationId, key)
-    if at not in _PUBLISHED:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="factloom-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        df, path = derive(), f"{base.rstrip('/')}/published-{uuid.uuid4().hex}"
+    if at not in _BUILT:
+        _BUILT[at] = build(new_folder(spark, "published"))
+    return _BUILT[at]
+
+
+def published(spark: SparkSession, derive: Callable[[], DataFrame], key: str) -> DataFrame:
+    """A table derived and written once in a session, and read from there after."""
+
+    def build(path: str) -> tuple[str, object]:
+        df = derive()
         df.write.parquet(path)
-        _PUBLISHED[at] = path, df.schema
-    path, schema = _PUBLISHED[at]
+        return path, df.schema
+
+    path, schema = once(spark, key, build)
     return spark.read.schema(schema).parquet(path)

@@ -1,17 +1,21 @@
-"""Jobs as a stream of files: each micro-batch advances queued jobs once."""
+"""Jobs as a stream of files: due jobs run in micro-batches, and their outcomes are events again."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .job_state import FINAL, STATE, Pipelines, Rules
+
 EVENT = (
     "id string, event_time timestamp, job_type string, parent_job_id string, stage string, status string, progress int, retry_count int, max_retries int, "
-    "text string, metadata string, result string, error_message string"
+    "text string, metadata string, result string, error_message string, not_before timestamp"
 )
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # a state store that keyed state with timers needs
 Handler = Callable[[DataFrame], DataFrame]
 
 
@@ -33,22 +37,58 @@ def dispatch(queued: DataFrame, handlers: dict[str, Handler]) -> DataFrame:
     return out
 
 
-def run_jobs(spark: SparkSession, events_dir: str, done_dir: str, checkpoint: str, handlers: dict[str, Handler]) -> StreamingQuery:
-    """Each job type's handler gets the queued jobs of a batch and returns their events.
+def run_jobs(
+    spark: SparkSession, events_dir: str, done_dir: str, checkpoint: str, handlers: dict[str, Handler], rules: Rules = Rules(), every: str = "1 second",
+) -> StreamingQuery:
+    """A stream that runs jobs when they are due, schedules what follows, and tries failed ones again, until it is stopped.
 
-    A repeated event is dropped by job and time within the watermark; a repeated batch overwrites its own folder, so results
-    are counted once.
+    Events (jobs that are asked for, and outcomes) come from ``events_dir``.  Each
+    micro-batch hands due jobs to their type's handler, whose outcomes go back there, and
+    writes what jobs have come to into ``done_dir``, in a folder of its own that a repeated
+    batch overwrites.  A batch that is repeated runs its handlers again; its outcomes are
+    repetitions that the state leaves aside.  A handler that raises stops the stream
+    before the batch counts, and a restart from the checkpoint repeats it.
     """
-    stream = spark.readStream.schema(EVENT).json(events_dir).withWatermark("event_time", "1 hour").dropDuplicatesWithinWatermark(["id", "event_time"])
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    events = spark.readStream.schema(EVENT).json(events_dir).withColumn("pipeline", F.coalesce("parent_job_id", "id"))
+    moved = events.filter("id is not null").groupBy("pipeline").transformWithState(Pipelines(rules), STATE, "Update", "ProcessingTime")
 
     def step(batch: DataFrame, number: int) -> None:
-        queued = batch.filter("status = 'QUEUED'").persist()
+        batch = batch.persist()
         try:
-            dispatch(queued, handlers).select(*queued.columns).write.mode("overwrite").parquet(f"{done_dir}/batch={number}")
+            batch.filter("kind = 'state'").drop("kind").write.mode("overwrite").parquet(f"{done_dir}/batch={number}")
+            due = batch.filter("kind = 'run'").drop("kind", "pipeline")
+            if not due.isEmpty():
+                enqueue(spark, events_dir, dispatch(due, handlers))
         finally:
-            queued.unpersist()
+            batch.unpersist()
+
+    return moved.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).outputMode("update").foreachBatch(step).start()
+
+
+def job_states(spark: SparkSession, done_dir: str) -> DataFrame:
+    """What each job has come to: the last row that the stream wrote of it."""
+    rows = spark.read.schema(f"{STATE.replace('kind string, ', '')}, batch long").parquet(done_dir)
+    rest = [c for c in rows.columns if c not in ("id", "event_time", "batch")]
+    last = rows.groupBy("id").agg(F.max_by(F.struct("event_time", *rest), F.struct("batch", "event_time", "retry_count", F.col("status").isin(*FINAL))).alias("s"))
+    return last.select("id", "s.*")
+
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+def wait_until_final(query: StreamingQuery, spark: SparkSession, done_dir: str, jobs: int, seconds: float) -> None:
+    """Wait until so many jobs are final, then stop the stream; a TimeoutError after ``seconds``."""
+    end = time.time() + seconds
+    try:
+        while time.time() < end:
+            if query.exception():
+                raise query.exception()
+            batches = [p for p in query.recentProgress if p["batchId"] >= 0]
+            if batches and job_states(spark, done_dir).filter(F.col("status").isin(*FINAL)).count() >= jobs:
+                return
+            time.sleep(0.5)
+        raise TimeoutError(f"not all of {jobs} jobs came to an end")
+    finally:
+        query.stop()
 
 
 def graph_handlers(graph, at: str) -> dict[str, Handler]:
@@ -63,8 +103,8 @@ def graph_handlers(graph, at: str) -> dict[str, Handler]:
         }).select(*batch.columns)
 
     def extraction(batch: DataFrame) -> DataFrame:
-        found = graph.extraction_job(batch.select("id", "text", of("source"), of("source_type")), at)
-        said = found.select(F.col("id").alias("d"), F.to_json(F.struct("triples", "total_chunks", "successful_chunks", "failed_chunks")).alias("r"), F.col("error_message").alias("m"))
+        found = graph.extraction_job(batch.select("id", "text", of("source"), of("source_type"), F.col("retry_count").alias("attempt")), at)
+        said = found.select(F.col("id").alias("d"), F.to_json(F.struct("triples", "total_chunks", "successful_chunks", "failed_chunks", "ms")).alias("r"), F.col("error_message").alias("m"))
         return finished(batch, said, F.col("id") == F.col("d"))
 
     def by_source(job: Handler) -> Handler:

@@ -10,6 +10,7 @@ from factloom.operators import jobs
 from factloom.operators.extract import rule_extractor
 from factloom.operators.model import Extracted
 from factloom.streaming import job_stream
+from factloom.streaming.job_state import Rules
 
 TEXTS = [
     ("d1", "Alice Moor works at Tech Corp. Tech Corp is based in San Francisco.", "notes", "file"),
@@ -121,21 +122,27 @@ def test_states_usage_and_dedup_job(spark, tmp_path):
 
 
 def test_jobs_as_a_stream(spark, tmp_path):
-    """Queued jobs are routed by type; a repeated event runs once; an unknown type fails."""
-    g = KnowledgeGraph(spark, f"file://{tmp_path}/g")
+    """The graph's own handlers, from a request to the end; a repeated event and a repeated batch count once."""
+    prices = spark.createDataFrame([("m", 1.0, 2.0, 0.0, 0.0)], "price_model string, price_in double, price_out double, price_thinking double, price_reasoning double")
+    g = KnowledgeGraph(spark, f"file://{tmp_path}/g", extractor=usage_extractor, prices=prices)
     docs = spark.createDataFrame([("1", "Ann Lee likes Rome.", "s", "file")], DOCS)
     events = jobs.pipeline_events(docs, "2025-01-01 00:00:00", with_dedup=True).withColumns({"event_time": F.lit("2025-01-01").cast("timestamp"), "retry_count": F.lit(0), "max_retries": F.lit(3)})
-    odd = events.limit(1).withColumns({"id": F.lit("odd"), "job_type": F.lit("OTHER"), "status": F.lit("QUEUED")})
-    where = f"{tmp_path}/events"
-    job_stream.enqueue(spark, where, events.unionByName(odd))
-    job_stream.enqueue(spark, where, events)
-    for _ in range(2):
-        job_stream.run_jobs(spark, where, f"{tmp_path}/done", f"{tmp_path}/state", job_stream.graph_handlers(g, "2025-01-01 00:00:00")).awaitTermination()
-    done = {r["id"]: r for r in spark.read.parquet(f"{tmp_path}/done").collect()}
-    assert set(done) == {"job-1-extraction", "job-1-concepts", "job-1-deduplication", "odd"} and len(done) == spark.read.parquet(f"{tmp_path}/done").count()
-    assert done["odd"]["status"] == "FAILED" and done["odd"]["error_message"] == "no handler for OTHER"
-    assert {done[k]["status"] for k in done if k != "odd"} == {"COMPLETED"} and json.loads(done["job-1-extraction"]["result"])["triples"] == 1
-    assert g.table("triples").count() == 1
+    where, out = f"{tmp_path}/events", f"{tmp_path}/done"
+    asked = events.filter("stage is null or stage = 'EXTRACTION'")
+    job_stream.enqueue(spark, where, asked)
+    job_stream.enqueue(spark, where, asked)
+    handlers = job_stream.graph_handlers(g, "2025-01-01 00:00:00")
+    query = job_stream.run_jobs(spark, where, out, f"{tmp_path}/state", handlers, Rules(second=1), every="200 milliseconds")
+    job_stream.wait_until_final(query, spark, out, 4, 300)
+    done = {r["id"]: r for r in job_stream.job_states(spark, out).collect()}
+    assert {k: r["status"] for k, r in done.items()} == {f"job-1{s}": "COMPLETED" for s in ("", "-extraction", "-concepts", "-deduplication")}
+    assert json.loads(done["job-1-extraction"]["result"])["triples"] == 1 and g.table("triples").count() == 1 and g.table("concepts").count() > 0
+    run = events.filter("stage = 'EXTRACTION'")
+    before = [r["id"] for r in g.table("token_usage").collect()]
+    handlers["EXTRACT_KNOWLEDGE_BATCH"](run)  # as a repeated batch does
+    assert [r["id"] for r in g.table("token_usage").collect()] == before and len(before) == 1
+    handlers["EXTRACT_KNOWLEDGE_BATCH"](run.withColumn("retry_count", F.lit(1)))  # another attempt asks again
+    assert g.table("token_usage").count() == 2
     waits = {r["stage"]: r["not_before"] for r in events.filter("stage is not null").collect()}
     assert (waits["CONCEPTS"] - waits["EXTRACTION"]).seconds == 6 and (waits["DEDUPLICATION"] - waits["EXTRACTION"]).seconds == 10
     assert waits["EXTRACTION"] == datetime(2025, 1, 1)
