@@ -70,6 +70,10 @@ class KnowledgeGraph:
     def _publish(self, appended: dict[str, DataFrame], deleted: dict[str, DataFrame] | None = None, as_of: int | None = None) -> None:
         self.store.publish(appended, None, SCHEMAS, deleted=deleted, keys=UNIQUE, as_of=as_of)
 
+    def publish_rows(self, name: str, rows: DataFrame) -> None:
+        """Append a table's rows as they are, such as those of another graph."""
+        self._publish({name: _shaped(rows, SCHEMAS[name])})
+
     def _dictionary(self, texts: DataFrame) -> DataFrame:
         return self._staged(extract.embed_texts(texts, self.embedder))
 

@@ -42,7 +42,7 @@ def context_triples(triples: DataFrame, conceptualizations: DataFrame, most: int
         same = same & F.col(c).eqNullSafe(F.col(n))
     found = elements(triples).join(els, same)
     first = Window.partitionBy("source_element", *names).orderBy("id")
-    ranked = found.select("source_element", "id", *names).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
+    ranked = found.select("source_element", "id", *names).withColumn("rank", F.dense_rank().over(first)).filter(F.col("rank") <= most).distinct()  # an id is named once
     of = conceptualizations.select("source_element", "concept", *by).distinct()
     for n, c in zip(names, by):
         ranked = ranked.withColumnRenamed(n, f"{n}2")

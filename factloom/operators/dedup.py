@@ -30,10 +30,15 @@ def exact_dedup(triples: DataFrame) -> DataFrame:
     return out.select(*[F.col(c) if c in ("confidence", "extracted_at") else F.col(f"first.{c}").alias(c) for c in triples.columns], "n_merged")
 
 
+def dropped_rows(triples: DataFrame) -> DataFrame:
+    """(id, the key's columns, merged_into): a row for each row that exact dedup drops for one with a smaller id."""
+    keys = triples.groupBy(*TRIPLE_KEY).agg(F.min("id").alias("merged_into"))
+    return triples.join(keys, TRIPLE_KEY).filter("id <> merged_into").select("id", *TRIPLE_KEY, "merged_into")
+
+
 def dedup_metadata(triples: DataFrame) -> DataFrame:
     """(id, merged_into): a row for each row that exact dedup drops."""
-    keys = triples.groupBy(*TRIPLE_KEY).agg(F.min("id").alias("merged_into"))
-    return triples.join(keys, TRIPLE_KEY).filter("id <> merged_into").select("id", "merged_into")
+    return dropped_rows(triples).select("id", "merged_into")
 
 
 def greedy_leaders(vectors: np.ndarray, threshold: float) -> np.ndarray:

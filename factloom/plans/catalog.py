@@ -11,10 +11,12 @@ from ..functions import measures
 from ..functions import text as T
 from ..functions.chunking import chunk_column
 from ..operators import concepts as C
-from ..operators import dedup, entities, extract, filters, fusion, jobs, report, search, store, usage
+from ..operators import dedup, entities, extract, filters, fusion, jobs, metric_join, report, search, store, usage, vector_index
 from ..operators.filters import Scope, TimeWindow, by_ids, by_source_prefix, complete_triples, usage_between
 from ..schema import JOB_STATUSES, TRIPLE_KEY, TRIPLE_TYPES
-from ..sources.tables import requests, table
+from ..streaming import job_stream
+from ..streaming.job_state import Rules
+from ..sources.tables import new_folder, once, requests, table
 from .demo_graph import as_ctes, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +24,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *ctes: str, name: str | None = None):
+def query(sql: str | None = None, *ctes: str, name: str | None = None, recursive: bool = False):
     def add(f: Query) -> Query:
         key = name or f.__name__
         QUERIES[key] = f
         if sql is not None:
-            ORACLE[key] = f"{as_ctes(*ctes)} {sql}" if ctes else sql
+            head = as_ctes(*ctes).replace("with ", "with recursive ", 1) if recursive else as_ctes(*ctes)
+            ORACLE[key] = f"{head} {sql}" if ctes else sql
         return f
 
     return add
@@ -122,6 +125,47 @@ _vector_search("search_entity_vector", "ENTITY", search.search_entity_vector)
 _vector_search("search_relationship_vector", "RELATIONSHIP", search.search_relationship_vector)
 
 
+def _semantic_index(spark, d) -> vector_index.VectorIndex:
+    def build(path: str) -> str:
+        of = load(spark, d, "triples").select(F.col("id").alias("knowledge_triple_id"))
+        vector_index.build(load(spark, d, "vectors").filter("vector_type = 'SEMANTIC'").join(of, "knowledge_triple_id", "left_semi"), path)  # vectors of stored triples
+        return path
+
+    return vector_index.VectorIndex(spark, once(spark, f"{d}/semantic-index", build))
+
+
+@query(_vector_query("SEMANTIC"), "triples", "vectors")
+def search_semantic_index(spark, d):
+    """The same answer as without the index, from the cells that can hold it."""
+    hits = _semantic_index(spark, d).search(_vector(spark, d), 20, -0.45).select(F.col("knowledge_triple_id").alias("id"), "score")
+    found = load(spark, d, "triples").join(F.broadcast(hits), "id").select("id", "subject", "object", F.round("score", 6).alias("score"))  # hits has 20 rows
+    return found.distinct().orderBy(F.desc("score"), "id").limit(20)
+
+
+@query("select cast(count(*) as bigint) n_queries, cast(count(*) * 10 as bigint) wanted, true reached from embeddings where vec_id % 20 = 0")
+def index_recall(spark, d):
+    """Of an index of all embeddings, searched in half of its cells by every 20th vector against all: whether it finds at least 0.9 of the ten nearest."""
+
+    def build(path: str) -> str:
+        vector_index.build(table(spark, d, "embeddings"), path, key="vec_id")
+        return path
+
+    index = vector_index.VectorIndex(spark, once(spark, f"{d}/embeddings-index", build))
+    asked = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    said = index.recall(asked, 10, (len(index.cells) + 1) // 2)
+    return said.agg(F.count(F.lit(1)).alias("n_queries"), F.sum("wanted").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("reached"))
+
+
+@query(
+    """select a.label, least(a.vec_id, b.vec_id) a, greatest(a.vec_id, b.vec_id) b from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id
+    where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.3"""
+)
+def similar_vectors(spark, d):
+    """Pairs of alike vectors within each label."""
+    rows = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("pos"), "embedding")
+    return metric_join.similar_pairs(rows, 0.3, "label").filter("a is not null").select("label", "a", "b")
+
+
 @query(
     f"""select distinct c.id, c.concept, round(1 - list_distance(cast(v.embedding as double[]), cast({_FIRST_VECTOR} as double[])), 6) score
     from concepts c join vectors v on c.id = v.concept_node_id where v.vector_type = 'CONCEPT' order by score desc, c.id limit 15""",
@@ -254,21 +298,117 @@ def told_vectors(spark, d):
     return told.join(e, "subject").select("text", "embedding")
 
 
-@query()
+_GREEDY = f"""
+, told as (select {_KEY}, e.embedding from triples t join embeddings e on t.subject = 'customer:' || cast(e.vec_id as varchar(20)) where t.predicate = 'lives in'),
+x as materialized (select {_KEY}, arg_min(id, id) id, arg_min(source, id) source, max(confidence) confidence, max(extracted_at) extracted_at, cast(count(*) as bigint) n from triples group by {_KEY}),
+r as materialized (select x.*, regexp_replace(x.source, '_chunk_[0-9]+$', '') root, cast(e.embedding as double[]) e, row_number() over (partition by regexp_replace(x.source, '_chunk_[0-9]+$', '') order by x.id) i
+  from x join (select distinct subject || ' ' || predicate || ' ' || object t, embedding from told) e on e.t = x.subject || ' ' || x.predicate || ' ' || x.object),
+g as (select root, cast(0 as bigint) i, cast(null as bigint) leader, cast([] as struct(i bigint, e double[])[]) heads from (select distinct root from r) q
+  union all
+  select g.root, r.i, coalesce(h.found[1].i, r.i), case when len(h.found) = 0 then list_append(g.heads, {{'i': r.i, 'e': r.e}}) else g.heads end
+  from g join r on r.root = g.root and r.i = g.i + 1, lateral (select list_filter(g.heads, lambda l: list_cosine_similarity(l.e, r.e) >= 0.3) found) h),
+m as (select g.root, g.leader i, max(r.confidence) confidence, max(r.extracted_at) extracted_at, cast(sum(r.n) as bigint) n_rows, cast(count(*) as bigint) n_keys from g join r on g.root = r.root and g.i = r.i group by all)
+select r.id, {", ".join(f"r.{c}" for c in TRIPLE_KEY)}, cast(m.confidence as double) confidence, m.extracted_at, m.n_keys + r.n - 1 n_merged from m join r on m.root = r.root and m.i = r.i
+union all
+select x.id, {", ".join(f"x.{c}" for c in TRIPLE_KEY)}, cast(x.confidence as double), x.extracted_at, x.n from x where not exists (select 1 from r where r.id = x.id)
+"""
+
+
+@query(_GREEDY, "triples", recursive=True)
 def semantic_dedup(spark, d):
-    """Survivors of exact and semantic dedup within each source; greedy by definition, so tests compare it with a plain loop and the iterative form."""
-    triples = load(spark, d, "triples").filter("type = 'ENTITY_ENTITY' and predicate <> 'supplies'").withColumn("source_root", F.regexp_replace("source", "_chunk_[0-9]+$", ""))
+    """Survivors of exact and semantic dedup within each source, over all triples; those without a vector stay."""
+    triples = load(spark, d, "triples").withColumn("source_root", F.regexp_replace("source", "_chunk_[0-9]+$", ""))
     out = dedup.deduplicated(triples, told_vectors(spark, d), 0.3)
     return out.select("id", *TRIPLE_KEY, F.col("confidence").cast("double").alias("confidence"), "extracted_at", "n_merged")
 
 
-@query(f"select id from triples where id not in (select id from (select id, min(id) over (partition by {_KEY}) m from triples) x where id <> m)", "triples")
+@query(f"select t.id from triples t join (select {_KEY}, min(id) m from triples group by {_KEY}) k using ({_KEY}) where t.id = k.m", "triples")
 def delete_duplicates(spark, d):
     triples = load(spark, d, "triples")
-    gone = dedup.dedup_metadata(triples).select("id")
+    gone = dedup.dropped_rows(triples).drop("merged_into")
     return store.delete_triples(triples, load(spark, d, "vectors"), gone)[0].select("id")
 
 
+def _by_length(texts: list[str]):
+    """Vectors alike if the texts' lengths are, modulo 7: what SQL can follow."""
+    import numpy as np
+
+    return np.eye(64)[[len(t) % 7 for t in texts]]
+
+
+@query(
+    f""", x as (select *, regexp_replace(source, '_chunk_[0-9]+$', '') root, length(subject || ' ' || predicate || ' ' || object) % 7 l from (
+      select {_KEY}, min(id) id, arg_min(source, id) source, arg_min(source_type, id) source_type, max(confidence) confidence, max(extracted_at) extracted_at from triples group by {_KEY}) k),
+    m as (select root, source_type, min(id) id, max(confidence) confidence, max(extracted_at) extracted_at from x group by root, source_type, l)
+    select x.subject, x.predicate, x.object, x.type, x.source, cast(m.confidence as double) confidence, m.extracted_at from m join x on m.id = x.id""",
+    "triples",
+)
+def dedup_job(spark, d):
+    """Published triples after a dedup job of all sources: survivors with what was merged into them."""
+    from ..graph import KnowledgeGraph
+
+    graph = KnowledgeGraph(spark, new_folder(spark, "graph"), embedder=_by_length, semantic_dedup=0.9)
+    stored = dedup.exact_dedup(load(spark, d, "triples")).drop("n_merged")
+    graph.publish_rows("triples", stored)
+    graph.dedup_job(stored.select(F.regexp_replace("source", "_chunk_[0-9]+$", "").alias("source"), "source_type").distinct(), "2025-01-01 00:00:00")
+    return graph.table("triples").select(*TRIPLE_KEY, "source", F.col("confidence").cast("double").alias("confidence"), "extracted_at")
+
+
+@query(
+    """, links as (select distinct t.subject source_element, c.concept, t.source, t.source_type from triples t join conceptualizations c on t.subject = c.source_element),
+    els as (select distinct source_element, source, source_type from links),
+    hits as (select distinct e.*, t.id from els e join triples t on t.source = e.source and t.source_type = e.source_type and (t.subject = e.source_element or t.object = e.source_element or t.predicate = e.source_element)),
+    ranked as (select *, row_number() over (partition by source_element, source, source_type order by id) n from hits)
+    select l.source_element, l.concept, l.source, l.source_type, r.id, cast(r.n as int) place from links l join ranked r using (source_element, source, source_type) where r.n <= 5""",
+    "triples", "conceptualizations",
+)
+def concept_contexts(spark, d):
+    """The first five triples of each relationship's element within the relationship's own source."""
+    triples, rel = load(spark, d, "triples"), load(spark, d, "conceptualizations").select("source_element", "concept").distinct()
+    links = triples.join(rel, F.col("subject") == F.col("source_element")).select("source_element", "concept", "source", "source_type").distinct()
+    return C.context_triples(triples, links, 5, ["source", "source_type"]).withColumnRenamed("rank", "place")
+
+
+@query(
+    """select vec_id, case when vec_id % 3 = 0 then label + 100 else label end label from embeddings where vec_id % 5 <> 1 or vec_id % 3 = 0
+    union all select vec_id + 1000000000, label from embeddings where vec_id % 7 = 0"""
+)
+def store_changes(spark, d):
+    """A table after deletes, an upsert and an append, as its folders and delete folders give it."""
+    schemas = {"t": "vec_id bigint, label int"}
+    rows = table(spark, d, "embeddings").select("vec_id", "label")
+    s = store.Store(spark, new_folder(spark, "store"))
+    s.publish({"t": rows}, None, schemas)
+    s.publish({"t": rows.filter("vec_id % 7 = 0").withColumn("vec_id", F.col("vec_id") + 1000000000)}, None, schemas, deleted={"t": rows.filter("vec_id % 5 = 1").select("vec_id")})
+    s.upsert("t", rows.filter("vec_id % 3 = 0").withColumn("label", (F.col("label") + 100).cast("int")), ["vec_id"], schemas)
+    return s.read("t", schemas["t"])
+
+
+@query(
+    """with e as (select doc_id, case when doc_id % 7 = 0 then 'FAILED' else 'COMPLETED' end s, case when doc_id % 7 = 0 then 2 when doc_id % 5 = 0 then 1 else 0 end n from documents)
+    select 'job-' || cast(doc_id as varchar(20)) id, s status, cast(0 as int) retry_count from e union all select 'job-' || cast(doc_id as varchar(20)) || '-extraction', s, cast(n as int) from e
+    union all select 'job-' || cast(doc_id as varchar(20)) || f, 'COMPLETED', cast(0 as int) from e, (select '-concepts' f union all select '-deduplication') x where s = 'COMPLETED'"""
+)
+def job_stream_states(spark, d):
+    """What a stream brings all documents' pipelines to: every fifth extraction is tried twice, every seventh fails, the others are followed by both stages."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.lit("file").alias("source_type"))
+    asked = jobs.pipeline_events(docs.withColumn("text", F.lit(None).cast("string")), "2025-01-01 00:00:00", False).filter("stage is null or stage = 'EXTRACTION'")
+    asked = asked.withColumns({"event_time": F.lit("2025-01-01").cast("timestamp"), "retry_count": F.lit(0), "max_retries": F.lit(2)})
+    n = F.split("id", "-")[1].cast("long")
+    fails = (n % 7 == 0) | ((n % 5 == 0) & (F.col("retry_count") < 1))
+    done = {"status": F.lit("COMPLETED"), "progress": F.lit(100)}
+    handlers = {
+        "EXTRACT_KNOWLEDGE_BATCH": lambda batch: batch.withColumns({"status": F.when(fails, "FAILED").otherwise("COMPLETED"), "progress": F.lit(100)}),
+        "GENERATE_CONCEPTS": lambda batch: batch.withColumns(done), "DEDUPLICATE_KNOWLEDGE": lambda batch: batch.withColumns(done),
+    }
+    where, out = new_folder(spark, "job-events"), new_folder(spark, "job-states")
+    job_stream.enqueue(spark, where, asked)
+    stream = job_stream.run_jobs(spark, where, out, new_folder(spark, "job-stream"), handlers, Rules(second=0, backoff=0), every="0 seconds")
+    total = docs.select(F.count(F.lit(1)) * 2 + 2 * F.count_if(F.col("id").cast("long") % 7 != 0)).first()[0]
+    job_stream.wait_until_final(stream, spark, out, total, 3600)
+    return job_stream.job_states(spark, out).select("id", "status", "retry_count")
+
+
 _DICTIONARY = """dictionary as (select 'customer:' || cast(vec_id as varchar(20)) text, cast(vec_id as bigint) n from embeddings
   union all select distinct predicate, cast(-1 as bigint) from triples where predicate <> 'performed'
   union all select distinct subject || ' ' || predicate || ' ' || object, cast(-2 as bigint) from triples where type = 'EMOTIONAL_CONTEXT')"""
@@ -510,9 +650,14 @@ def fastest_slowest(spark, d):
     return usage.extremes(load(spark, d, "token_usage"), "id")
 
 
-@query(f"select {_ROW} from triples where length(trim(subject)) > 0 and length(trim(predicate)) > 0 and length(trim(object)) > 0", "triples")
+@query(f"select {_ROW} from triples where length(id) % 3 <> 0 and length(id) % 5 <> 0", "triples")
 def complete_rows(spark, d):
-    return complete_triples(load(spark, d, "triples")).select(*_COLUMNS)
+    """Of triples, some of which have lost a part or have a blank one, those with all three."""
+    n = F.length("id")
+    rows = load(spark, d, "triples").withColumns({
+        "subject": F.when(n % 3 == 0, F.lit(" \t")).otherwise(F.col("subject")), "object": F.when(n % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("object")),
+    })
+    return complete_triples(rows).select(*_COLUMNS)
 
 
 @query("select date_trunc('hour', \"timestamp\") window_start, operation_type, cast(sum(total_tokens) as bigint) tokens, cast(count(*) as bigint) calls from token_usage group by 1, 2", "token_usage")
@@ -797,17 +942,26 @@ def uptimes(spark, d):
     return load(spark, d, "token_usage").select("id", T.uptime(F.col("duration_ms") * 37).alias("uptime"))
 
 
-@query("select vec_id, len(embedding) = 64 ok from embeddings")
+@query("select vec_id, vec_id % 4 <> 0 ok from embeddings")
 def vector_checks(spark, d):
-    e = table(spark, d, "embeddings")
+    """Every fourth vector has lost its last number."""
+    e = table(spark, d, "embeddings").withColumn("embedding", F.expr("if(vec_id % 4 = 0, slice(embedding, 1, 63), embedding)"))
     wrong = store.wrong_dimension(e, 64).select(F.col("vec_id").alias("w"))
     return e.join(wrong, F.col("vec_id") == F.col("w"), "left").select("vec_id", F.col("w").isNull().alias("ok"))
 
 
-@query("select subject || predicate as name, try_cast(subject as decimal(3,2)) \"number\", try_cast(object as timestamp) \"time\" from triples where type = 'EMOTIONAL_CONTEXT'", "triples")
+@query(
+    """, x as (select id, case when length(id) % 2 = 0 then cast(length(object) as varchar) || '.25' else subject end n, case when length(id) % 3 = 0 then strftime(extracted_at, '%Y-%m-%d %H:%M:%S') else object end t from triples)
+    select id, cast(try_cast(n as decimal(5,2)) as double) "number", try_cast(t as timestamp) "time" from x""",
+    "triples",
+)
 def strict_casts(spark, d):
-    rows = load(spark, d, "triples").filter("type = 'EMOTIONAL_CONTEXT'").select(F.concat("subject", "predicate").alias("name"), F.col("subject").alias("number"), F.col("object").alias("time"))
-    return store.strict_casts(rows, {"number": "decimal(3,2)", "time": "timestamp"})
+    """Numbers and times in text, among texts that are neither."""
+    rows = load(spark, d, "triples").select(
+        "id", F.when(F.length("id") % 2 == 0, F.concat(F.length("object").cast("string"), F.lit(".25"))).otherwise(F.col("subject")).alias("number"),
+        F.when(F.length("id") % 3 == 0, F.date_format("extracted_at", "yyyy-MM-dd HH:mm:ss")).otherwise(F.col("object")).alias("time"),
+    )
+    return store.strict_casts(rows, {"number": "decimal(5,2)", "time": "timestamp"}).withColumn("number", F.col("number").cast("double"))
 
 
 @query("select event_id, event_type <> 'error' and event_id % 130 <= 100 and event_id % 3 <> 0 ok from events")
