@@ -1,8 +1,8 @@
 """Language identification, word first, with backoff to character n-grams.
 
 Training counts words by language over a bounded sample of labelled rows:
-about ``rows_per_language`` rows of each language, the ones with the smallest
-hashes, all of them where there are fewer.  The model keeps every word of the sample
+about ``rows_per_language`` different rows of each language, the ones with the
+smallest hashes of doc_id and text, all of them where there are fewer.  The model keeps every word of the sample
 and every character n-gram of its words, of each length from ``longest`` to 1, so
 its size follows the sample, not the corpus.
 
@@ -15,7 +15,7 @@ Null texts and texts without a letter get ``und`` with score 0; so does every
 text when no row can be learned from.  Ties go to the alphabetically first
 language, and so does a text of which the model knows nothing, with ``known`` 0.
 Every row is judged by itself, also where doc_ids repeat or are missing (such a row
-is not held out); repeated rows count as often as they stand in the sample; the
+is not held out); equal rows (doc_id, text and lang) count once in the sample; the
 time of a very long text follows its length.  An empty table gives an empty result;
 other columns are not looked at.
 """
@@ -125,10 +125,12 @@ def train(rows: DataFrame, rows_per_language: int = 1500, longest: int = 4) -> M
     """Fit on ``rows`` (doc_id, text, lang).  Counting is distributed; what comes back are the different words of the sample."""
     bounded_batches(rows.sparkSession)
     known = rows.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows_per_language / n))]) if sizes else None
-    picked = known.filter(unit < F.element_at(share, F.col("lang"))) if sizes else known
+    # drawn by row: what rows share, such as an id or its absence, must not draw a whole language in or out
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(4)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sizes = {r["lang"]: r for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.01).alias("n"), F.min(unit).alias("least")).collect()}
+    # the row with the smallest hash is in whatever the share
+    bound = F.create_map(*[F.lit(x) for k, r in sizes.items() for x in (k, max(r["least"], rows_per_language / max(r["n"], 1)))]) if sizes else None
+    picked = known.filter(unit <= F.element_at(bound, F.col("lang"))).dropDuplicates(["doc_id", "text", "lang"]) if sizes else known
 
     def counted(tables):
         by: dict[str, Counter] = {}
