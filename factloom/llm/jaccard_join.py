@@ -23,9 +23,11 @@ link at a Jaccard similarity of 75 % or more.  The join is exact on these sets:
    (its hub), which is linear in the entries; linked sets become one component,
    and entries that lie within one component are done.  Rounds with other hubs
    follow as long as each takes a tenth off the pairs that are left.  Then entries
-   across components are compared pair by pair, each pair at one entry: every set
-   carries its first few entries, and where two sets share some of these, only the
-   least of them counts for the pair.  The join itself drops pairs that can't link,
+   across components are compared pair by pair, each pair at one entry: of entries
+   with the same sets one stays, every set carries its first few entries, and where
+   two sets share some of these, only the least of them counts for the pair.  Sets
+   that their tokens of their own keep from linking with any other of an entry have
+   left its list before.  The join itself drops pairs that can't link,
    by their sizes, by their tokens that no other set has, and by a sketch of the
    others (a bit for each of 512 hash buckets, the parity of the bucket's tokens, so
    two sketches differ in at most as many bits as the sets do in tokens): linked
@@ -35,8 +37,8 @@ link at a Jaccard similarity of 75 % or more.  The join is exact on these sets:
 Null and empty texts have no tokens and link with nothing.  Rows that share a
 doc_id are one node: their sets link them together.  A row without doc_id takes
 part by its text and is returned without one; its component_id is the smallest
-doc_id that it reaches, or null.  Identifiers from 2**62 on are reserved for such
-sets.  The time of a very long text follows its length; its set is held by one
+doc_id that it reaches, or null.  Such sets take identifiers from 2**62 on; where a
+doc_id is as large, all go by their places in order instead.  The time of a very long text follows its length; its set is held by one
 task.  An empty table gives an empty result; other columns are not looked at.
 """
 
@@ -324,15 +326,31 @@ def _met_hubs(here: DataFrame, hubs: DataFrame) -> DataFrame:
     return met.select(F.least("r", "hr").alias("a"), F.greatest("r", "hr").alias("b")).distinct()
 
 
+SLICE = 512  # sets of an entry that one task compares with as many
+
+
 def _met_pairs(here: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
-    """What may link of the pairs that share an entry across components."""
+    """What may link of the pairs that share an entry across components.
+
+    Of entries with the same sets one stays, so that sets that share thousands of them
+    meet once; a long entry's sets are dealt over slices, each compared with each.
+    """
     left = here.join(hubs.select("f"), F.col("e") == F.col("f")).select("e", "r", "c")
-    marks = sets.select(F.col("doc_id").alias("d"), "n_shingles", "alone", "sketch", F.slice("entries", 1, FIRST_ENTRIES).alias("first"))
-    left = left.join(marks, F.col("r") == F.col("d")).drop("d")
-    other = left.toDF(*[f"{c}_2" for c in left.columns])
+    members = left.groupBy("e").agg(F.count(F.lit(1)).alias("m"), *[F.sum(F.xxhash64("r", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
+    lists = members.groupBy("m", "h1", "h2").agg(F.min("e").alias("f")).select("f", F.ceil(F.col("m") / SLICE).cast("int").alias("places"))
+    left = left.join(lists, F.col("e") == F.col("f")).drop("f")
+    first = left.groupBy(F.col("r").alias("of")).agg(F.slice(F.array_sort(F.collect_list("e")), 1, FIRST_ENTRIES).alias("first"))  # a set has a bounded number of entries
+    marks = sets.select(F.col("doc_id").alias("d"), "n_shingles", "alone", "sketch")
+    left = left.join(marks, F.col("r") == F.col("d")).join(first, F.col("r") == F.col("of")).drop("d", "of")
+    left = left.withColumn("i", F.pmod(F.xxhash64("r"), F.col("places")).cast("int"))
+    other = left.withColumn("j", F.col("i")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).drop("places")
+    left = left.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("places") - 1))).drop("places")
+    other = other.toDF(*[f"{c}_2" for c in other.columns])
     both = F.array_intersect("first", "first_2")
     counts_here = (F.size(both) == 0) | (F.array_min(both) == F.col("e"))
-    met = left.join(other, (F.col("e") == F.col("e_2")) & (F.col("c") < F.col("c_2")) & may_link(F.col, lambda c: F.col(f"{c}_2")) & counts_here)
+    same = (F.col("e") == F.col("e_2")) & (F.col("i") == F.col("i_2")) & (F.col("j") == F.col("j_2"))
+    once = (F.col("i") < F.col("j")) | (F.col("r") < F.col("r_2"))  # a slice with itself holds each pair twice
+    met = left.join(other, same & (F.col("c") != F.col("c_2")) & once & may_link(F.col, lambda c: F.col(f"{c}_2")) & counts_here)
     return met.select(F.least("r", "r_2").alias("a"), F.greatest("r", "r_2").alias("b")).distinct()
 
 
@@ -346,9 +364,11 @@ def linked(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
     reps = sets.filter("entries is not null").join(classes, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("r"))).dropDuplicates(["key"])
     reps = kept(reps.select(F.col("node").alias("doc_id"), "n_shingles", "tokens", "alone", "sketch", "entries"), "join-representatives")
-    entries = reps.select(F.col("doc_id").alias("r"), "n_shingles", F.explode("entries").alias("e"))
-    repeated = entries.groupBy("e").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("e").alias("f"))
-    entries = kept(entries.join(repeated, F.col("e") == F.col("f")).select("e", "r", "n_shingles"), "join-entries")
+    # tokens of its own leave a set this much short of linking (7 times them, less its size); two that link aren't above 0 together
+    short = (F.col("alone") * 7 - F.col("n_shingles")).alias("short")
+    entries = reps.select(F.col("doc_id").alias("r"), "n_shingles", short, F.explode("entries").alias("e"))
+    repeated = entries.groupBy("e").agg(F.count(F.lit(1)).alias("m"), F.min("short").alias("least")).filter("m > 1").select(F.col("e").alias("f"), "least")
+    entries = kept(entries.join(repeated, F.col("e") == F.col("f")).filter("short + least <= 0").select("e", "r", "n_shingles"), "join-entries")
     tokens = reps.select("doc_id", "tokens")
     links = of = done = before = None
     k, by_hubs = 0, True
@@ -383,6 +403,19 @@ def linked(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
+    docs = docs.select("doc_id", "text")
+    if docs.filter(F.col("doc_id") >= RESERVED).select("doc_id").limit(1).isEmpty():
+        return _joined(docs, width)
+    # identifiers that sets without one could be given: all go by their place in order
+    ids = docs.filter("doc_id is not null").select("doc_id").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    places = written(ids.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("place")), "join-places")
+    placed = docs.filter("doc_id is not null").join(places, F.col("doc_id") == F.col("id")).select(F.col("place").alias("doc_id"), "text")
+    found = written(_joined(placed.unionByName(docs.filter("doc_id is null")), width), "join-placed")
+    back = lambda df, column: df.join(places.toDF(f"{column}_id", f"{column}_place"), F.col(column) == F.col(f"{column}_place"), "left")
+    return back(back(found, "doc_id"), "component_id").select(F.col("doc_id_id").alias("doc_id"), "n_shingles", F.col("component_id_id").alias("component_id"))
+
+
+def _joined(docs: DataFrame, width: int) -> DataFrame:
     sets = indexed_sets(docs, width)
     slim = sets.select("doc_id", "n_shingles", "key")
     ids = written(slim.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("shared_id")), "join-shared")
