@@ -53,6 +53,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -422,7 +423,8 @@ def _score(sent):
     return run
 
 
-FIT_SCHEMA = "part int, n bigint, data binary"
+FIT_SCHEMA = "part int, task int, n bigint, data binary"
+FAN_IN, LEVELS = 64, 3  # of the tree over tasks that averages parameters: enough for FAN_IN ** LEVELS tasks
 
 
 def _fitted(sent, batch: int):
@@ -446,7 +448,8 @@ def _fitted(sent, batch: int):
         if n := train(net, units, texts(), batch):
             flat = net.flat()
             for k, i in enumerate(range(0, len(flat), PART)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[i : i + PART].tobytes()], pa.binary())], ["part", "n", "data"])
+                of = [pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[i : i + PART].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(of, ["part", "task", "n", "data"])
 
     return run
 
@@ -454,7 +457,15 @@ def _fitted(sent, batch: int):
 def _mean(table: pa.Table) -> pa.Table:
     n = table.column("n").to_pylist()
     data = sum(k * np.frombuffer(d.as_py(), np.float32).astype(float) for k, d in zip(n, table.column("data"))) / sum(n)
-    return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([sum(n)], pa.int64()), pa.array([data.astype(np.float32).tobytes()], pa.binary())], ["part", "n", "data"])
+    one = [pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("part", "task")]
+    return pa.table([*one, pa.array([sum(n)], pa.int64()), pa.array([data.astype(np.float32).tobytes()], pa.binary())], ["part", "task", "n", "data"])
+
+
+def mean_of_tasks(run: DataFrame) -> DataFrame:
+    """One row for each part: the tasks' parameters averaged by their tokens, level by level, FAN_IN of them at a time in a worker."""
+    for _ in range(LEVELS):
+        run = run.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInArrow(_mean, FIT_SCHEMA)
+    return run.groupBy("part").applyInArrow(_mean, FIT_SCHEMA)
 
 
 def score(docs: DataFrame, of: int = 7, remainder: int = 2) -> DataFrame:
@@ -485,7 +496,7 @@ def score(docs: DataFrame, of: int = 7, remainder: int = 2) -> DataFrame:
     to_fit = spark.sparkContext.broadcast((units, net))
     blocks = table.filter("kind = 'texts'").select("block", "doc_ids", "held", "lengths", "ids", "hashes", "classes")
     run = blocks.select("held", "lengths", "ids", "hashes", "classes").mapInArrow(lean(_fitted(to_fit, batch)), FIT_SCHEMA)
-    fitted = sorted(run.groupBy("part").applyInArrow(_mean, FIT_SCHEMA).collect(), key=lambda r: r["part"])  # one set of parameters
+    fitted = sorted(mean_of_tasks(run).collect(), key=lambda r: r["part"])  # one set of parameters
     if fitted:
         net.take(np.concatenate([np.frombuffer(r["data"], np.float32) for r in fitted]))
     sent = spark.sparkContext.broadcast(Scorer(units, net, tokens, int(class_types.sum())))
