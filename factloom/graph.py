@@ -13,13 +13,13 @@ from .functions.measures import processing_delay
 from .operators import concepts as C
 from .operators import dedup, entities, extract, fusion, jobs, search, store, usage
 from .operators.filters import Scope
-from .schema import CONCEPTS, CONCEPTUALIZATIONS, JOBS, TOKEN_USAGE, TRIPLE_KEY, TRIPLE_TYPES, TRIPLES, VECTORS
+from .schema import CONCEPTS, CONCEPTUALIZATIONS, DICTIONARY, JOBS, TOKEN_USAGE, TRIPLE_KEY, TRIPLE_TYPES, TRIPLES, VECTORS
 
-SCHEMAS = {"triples": TRIPLES, "concepts": CONCEPTS, "conceptualizations": CONCEPTUALIZATIONS, "vectors": VECTORS, "jobs": JOBS, "token_usage": TOKEN_USAGE}
+SCHEMAS = {"triples": TRIPLES, "concepts": CONCEPTS, "conceptualizations": CONCEPTUALIZATIONS, "vectors": VECTORS, "jobs": JOBS, "token_usage": TOKEN_USAGE, "dictionary": DICTIONARY}
 #: What tells a table's rows apart; a row whose key is stored already is not stored again.
 UNIQUE = {
     "triples": TRIPLE_KEY, "concepts": ["concept", "abstraction_level", "source", "source_type"], "conceptualizations": ["source_element", "triple_type", "concept"],
-    "vectors": ["vector_id"], "token_usage": ["id"],
+    "vectors": ["vector_id"], "token_usage": ["id"], "dictionary": ["digest", "model"],
 }
 CHUNK = "_chunk_"
 
@@ -46,16 +46,18 @@ class KnowledgeGraph:
     ``extractor``, ``embedder`` and ``conceptualizer`` can be replaced by ones that ask a
     service; ``semantic_dedup`` is the similarity from which on a job's triples count as
     one, or None for exact dedup alone; ``context`` is how many triples of its source a
-    relationship of a concept names.
+    relationship of a concept names; ``model`` names the embedder: another one needs
+    another name, as texts that were embedded under it are not embedded again.
     """
 
     def __init__(
         self, spark: SparkSession, root: str, extractor: extract.Extractor = extract.rule_extractor, embedder: Callable[[list[str]], np.ndarray] = extract.hash_embedder,
         conceptualizer: Callable[..., DataFrame] = extract.bucket_concepts, semantic_dedup: float | None = None, dimension: int = 64, prices: DataFrame | None = None,
-        context: int = 5,
+        context: int = 5, model: str = "default",
     ):
         self.spark, self.root, self.extractor, self.embedder, self.conceptualizer = spark, root.rstrip("/"), extractor, embedder, conceptualizer
         self.semantic_dedup, self.dimension, self.prices, self.context = semantic_dedup, dimension, prices, context
+        self.model = model
         self.store = store.Store(spark, self.root)
 
     def table(self, name: str) -> DataFrame:
@@ -75,7 +77,19 @@ class KnowledgeGraph:
         self._publish({name: _shaped(rows, SCHEMAS[name])})
 
     def _dictionary(self, texts: DataFrame) -> DataFrame:
-        return self._staged(extract.embed_texts(texts, self.embedder))
+        """(text, embedding) of the distinct texts; only texts that the model hasn't embedded before go to the embedder.
+
+        Embeddings are stored by their text's digest and the model's name, and published
+        before they are used, so that a batch that fails later has not asked in vain.
+        """
+        wanted = self._staged(texts.filter("text is not null").select("text").distinct().withColumn("digest", F.sha2("text", 256)))
+        stored = self.table("dictionary").filter(F.col("model") == self.model).select("digest", "embedding")
+        made = self._staged(extract.embed_texts(wanted.join(stored.select("digest"), "digest", "left_anti").select("text"), self.embedder))
+        if not made.isEmpty():
+            rows = made.withColumns({"digest": F.sha2("text", 256), "model": F.lit(self.model)})
+            store.checked_vectors(rows.withColumn("vector_id", F.col("digest")), self.dimension)
+            self._publish({"dictionary": _shaped(rows, DICTIONARY)})
+        return self._staged(wanted.join(stored, "digest").select("text", "embedding").unionByName(made))
 
     # -- storing
 

@@ -77,17 +77,20 @@ def extraction_rows(docs: DataFrame, types: tuple[str, ...], extractor: Extracto
     ``row`` is one of: chunk (one for each, with an error if it gave nothing but one),
     triple, error (of a type), usage (of a call, as JSON, its type the call's number).  A chunk's source is its
     document's with the chunk's number.  Chunk failures leave the others as they are.
+    An extractor with limits says over how many partitions (``workers``) its job's calls
+    are dealt; each has its share of the limits, so that together they keep them.
     """
-    n_types = len(types)
+    n_types, workers = len(types), getattr(extractor, "workers", None)
 
     def run(tables) -> Iterator[pa.RecordBatch]:
+        ask = extractor.in_partition() if workers else extractor
         for t in tables:
             for r in t.to_pylist():
                 rows = []
                 for i, (text, *_) in enumerate(chunks(r["text"], max_tokens, overlap)):
                     at = {"doc": r["id"], "source": f"{r['source']}_chunk_{i}", "source_type": r["source_type"], "source_date": r["source_date"], "chunk": i}
                     try:
-                        got = extractor(text, types)
+                        got = ask(text, types)
                     except Exception as e:  # the others of the batch go on
                         got = Extracted(errors=[(k, "EXTRACTION_ERROR", str(e)) for k in types])
                     failed = len(got.errors) >= (n_types if got.errors and got.errors[0][0] != "all" else 1) and not got.triples
@@ -99,7 +102,10 @@ def extraction_rows(docs: DataFrame, types: tuple[str, ...], extractor: Extracto
                     yield pa.RecordBatch.from_pylist(rows, _ROWS)
 
     lacks = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c)
-    return docs.select(lacks("id", "string"), "text", "source", "source_type", lacks("source_date", "timestamp")).mapInArrow(run, ROWS)
+    given = docs.select(lacks("id", "string"), "text", "source", "source_type", lacks("source_date", "timestamp"))
+    if workers:
+        given = given.repartition(workers, F.pmod(F.xxhash64("id", "text", "source"), F.lit(1 << 20)))
+    return given.mapInArrow(run, ROWS)
 
 
 def extract_triples(docs: DataFrame, types: tuple[str, ...], extractor: Extractor = rule_extractor, max_tokens: int = 3000, overlap: int = 200) -> DataFrame:

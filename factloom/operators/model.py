@@ -6,6 +6,7 @@ service.  Extractors, which ``extract_triples`` runs in its tasks, are built fro
 
 from __future__ import annotations
 
+import copy
 import json
 import random
 import re
@@ -107,7 +108,7 @@ def wait_for_memory(used_mb: Callable[[], float], most_mb: float, tries: int = 3
 
 
 class Limits:
-    """What a job may use: model calls at a time and in the long run, and memory; one for each Python worker."""
+    """What one partition of a job may use: model calls at a time and in the long run, and memory."""
 
     def __init__(self, calls: int = 4, memory_mb: float | None = None, used_mb: Callable[[], float] | None = None, bucket: TokenBucket | None = None):
         self.slots, self.memory_mb, self.used_mb, self.bucket = threading.Semaphore(calls), memory_mb, used_mb, bucket or TokenBucket()
@@ -120,6 +121,14 @@ class Limits:
             return f()
 
 
+def share_of(limits: dict, workers: int) -> dict:
+    """One of ``workers`` equal shares of a job's limits; what is left of calls at a time goes unused, as a call can't be cut."""
+    calls, capacity, rate = (limits.get(k, v) for k, v in (("calls", 4), ("capacity", 10.0), ("rate", 1.0)))
+    if workers > calls:
+        raise ValueError(f"{workers} workers can't share {calls} calls at a time")
+    return {k: v for k, v in limits.items() if k not in ("calls", "capacity", "rate")} | {"calls": calls // workers, "bucket": TokenBucket(capacity / workers, rate / workers)}
+
+
 # Names of token counts by generation of the interfaces, the first that is not 0 counts: fixed values.
 USAGE_NAMES = {
     "input_tokens": ("inputTokens", "promptTokens", "prompt_tokens", "input_tokens"),
@@ -228,10 +237,23 @@ class ModelExtractor:
     def __getstate__(self):
         return self.__dict__ | {"breaker": None, "limit": None}  # each worker has its own
 
+    @property
+    def workers(self) -> int | None:
+        """Over how many partitions a job's texts are dealt, each with its share of the limits; None without limits."""
+        return None if self.limits is None else min(self.limits.get("workers", 4), self.limits.get("calls", 4))
+
+    def in_partition(self) -> ModelExtractor:
+        """This extractor with one partition's share of the job's limits, not used by any other."""
+        out = copy.copy(self)
+        out.breaker, out.limit = None, None
+        if self.limits is not None:
+            out.limit = Limits(**share_of({k: v for k, v in self.limits.items() if k != "workers"}, self.workers))
+        return out
+
     def ask(self, prompt: str, field_name: str, out: Extracted, kind: str) -> list[dict]:
         self.breaker = self.breaker or Breaker()
         if self.limits is not None and self.limit is None:
-            self.limit = Limits(**self.limits)
+            self.limit = self.in_partition().limit
         call = lambda: self.breaker.call(lambda: self.client(prompt))
         began = time.monotonic()
         try:

@@ -19,6 +19,7 @@ CONCEPTUALIZATIONS = (
     "source string, source_type string, extracted_at timestamp"
 )
 VECTORS = "vector_id string, text string, embedding array<float>, vector_type string, entity_name string, knowledge_triple_id string, concept_node_id string"
+DICTIONARY = "digest string, model string, text string, embedding array<float>"
 TOKEN_USAGE = (
     "id string, source string, source_type string, operation_type string, provider string, model string, input_tokens int, output_tokens int, "
     "total_tokens int, thinking_tokens int, reasoning_tokens int, duration_ms int, estimated_cost decimal(10,6), timestamp timestamp"
