@@ -326,7 +326,7 @@ def _met_hubs(here: DataFrame, hubs: DataFrame) -> DataFrame:
     return met.select(F.least("r", "hr").alias("a"), F.greatest("r", "hr").alias("b")).distinct()
 
 
-SLICE = 512  # sets of an entry that one task compares with as many
+SLICE = 2048  # sets of an entry that one task compares with as many
 
 
 def _met_pairs(here: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
