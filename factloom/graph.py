@@ -21,6 +21,8 @@ UNIQUE = {
     "triples": TRIPLE_KEY, "concepts": ["concept", "abstraction_level", "source", "source_type"], "conceptualizations": ["source_element", "triple_type", "concept"],
     "vectors": ["vector_id"], "token_usage": ["id"], "dictionary": ["digest", "model"],
 }
+#: What is counted with each publication, so that statistics don't read the tables.
+VIEWS = {"triples": {"entities": entities.entity_counts, "kinds": entities.kind_counts}, "concepts": {"levels": entities.level_counts}}
 CHUNK = "_chunk_"
 
 
@@ -58,7 +60,7 @@ class KnowledgeGraph:
         self.spark, self.root, self.extractor, self.embedder, self.conceptualizer = spark, root.rstrip("/"), extractor, embedder, conceptualizer
         self.semantic_dedup, self.dimension, self.prices, self.context = semantic_dedup, dimension, prices, context
         self.model = model
-        self.store = store.Store(spark, self.root)
+        self.store = store.Store(spark, self.root, UNIQUE, VIEWS)
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name, SCHEMAS[name])
@@ -96,7 +98,7 @@ class KnowledgeGraph:
     def store_triples(self, raw: DataFrame) -> DataFrame:
         """Store triples that aren't stored yet, with their vectors; one row: triples_stored, duplicates_skipped, vectors_generated."""
         given = self._staged(_shaped(store.cleaned_triples(raw), TRIPLES))
-        new = self._staged(_shaped(store.new_rows(dedup.exact_dedup(given).drop("n_merged"), self.table("triples"), TRIPLE_KEY), TRIPLES))
+        new = self._staged(_shaped(self.store.new_rows("triples", self._staged(_shaped(dedup.exact_dedup(given), TRIPLES)), TRIPLES), TRIPLES))
         vectors = self._staged(store.checked_vectors(_shaped(store.materialise_vectors(new, self._dictionary(store.vector_texts(new).select("text"))), VECTORS), self.dimension))
         self._publish({"triples": new, "vectors": vectors})
         n, stored, made = given.count(), new.count(), vectors.count()
@@ -105,7 +107,7 @@ class KnowledgeGraph:
     def store_concepts(self, raw: DataFrame) -> DataFrame:
         """Store concepts that aren't stored yet, with their vectors; one row of counts."""
         given = self._staged(_shaped(store.cleaned_concepts(raw), CONCEPTS))
-        new = self._staged(_shaped(store.new_rows(given, self.table("concepts"), UNIQUE["concepts"]), CONCEPTS))
+        new = self._staged(_shaped(self.store.new_rows("concepts", given, CONCEPTS), CONCEPTS))
         vectors = self._staged(store.checked_vectors(_shaped(store.concept_vectors(new, self._dictionary(new.select(F.col("concept").alias("text")))), VECTORS), self.dimension))
         self._publish({"concepts": new, "vectors": vectors})
         n, stored, made = given.count(), new.count(), vectors.count()
@@ -177,7 +179,7 @@ class KnowledgeGraph:
         links = links.withColumns({"confidence": F.lit(1.0), "extracted_at": time}).withColumn("id", store.conceptualization_id())
         links = self._staged(_shaped(links, CONCEPTUALIZATIONS))
         vectors = store.checked_vectors(_shaped(store.concept_vectors(concepts, self._dictionary(concepts.select(F.col("concept").alias("text")))), VECTORS), self.dimension)
-        new_links = _shaped(store.new_rows(links, self.table("conceptualizations"), ["source_element", "triple_type", "concept"]), CONCEPTUALIZATIONS)
+        new_links = _shaped(self.store.new_rows("conceptualizations", links, CONCEPTUALIZATIONS), CONCEPTUALIZATIONS)
         self._publish({"concepts": concepts, "conceptualizations": new_links, "vectors": vectors})
         made = concepts.groupBy(*by).agg(F.count(F.lit(1)).alias("concepts")).toDF("s1", "t1", "c1")
         linked = links.groupBy(*by).agg(F.count(F.lit(1)).alias("links")).toDF("s2", "t2", "c2")
@@ -292,7 +294,14 @@ class KnowledgeGraph:
         return search.search_concepts(self.table("concepts"), query, level, limit)
 
     def get_knowledge_graph_stats(self) -> DataFrame:
-        """One row: totals, and a map with the count of every type."""
-        triples = self.table("triples")
-        kinds = entities.triples_by_type(triples, TRIPLE_TYPES).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("triples_by_type"))
-        return entities.graph_stats(triples, self.table("concepts")).crossJoin(kinds)  # one row each
+        """One row: totals, and a map with the count of every type; from the publications' counts."""
+        now = self.store.manifest()[1]
+        counted, levels = self.store.view("triples", "kinds", TRIPLES, now), self.store.view("concepts", "levels", CONCEPTS, now)
+        every = counted.sparkSession.createDataFrame([(k,) for k in TRIPLE_TYPES], "type string")
+        kinds = F.broadcast(every).join(counted.groupBy("type").agg(F.sum("n").alias("n")), "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"))
+        kinds = kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("triples_by_type"))
+        return entities.stats_counted(counted, levels).crossJoin(kinds)  # one row each
+
+    def enumerate_entities(self, role: str = "both", min_occurrence: int = 1, sort: str = "frequency", limit: int | None = None) -> DataFrame:
+        """Entities with their occurrences, roles, sources and types; from the publications' counts."""
+        return entities.enumerate_counted(self.store.view("triples", "entities", TRIPLES), role, min_occurrence, sort, limit)

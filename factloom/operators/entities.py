@@ -17,16 +17,57 @@ def enumerate_entities(triples: DataFrame, scope: Scope = Scope(), role: str = "
     A triple from an entity to itself counts twice under ``both``.  Roles and types go as
     flags and bits through two hash aggregations, by entity and source, then by entity.
     """
-    roles = {"both": ("subject", "object")}.get(role, (role,))
-    pairs = F.array(*[F.struct(F.col(r).alias("entity"), F.lit(1 << i).alias("role")) for i, r in enumerate(roles)])
+    rows = _named_entities(scope.apply(triples), role)
+    return _enumerated(rows, F.count(F.lit(1)), role, min_occurrence, sort, limit)
+
+
+ROLES = {"subject": 1, "object": 2}
+
+
+def _roles(role: str) -> dict[str, int]:
+    return ROLES if role == "both" else {role: ROLES[role]}
+
+
+def _named_entities(triples: DataFrame, role: str) -> DataFrame:
+    """A row for each entity and role of a triple; roles and types as bits."""
+    pairs = F.array(*[F.struct(F.col(r).alias("entity"), F.lit(k).alias("role")) for r, k in _roles(role).items()])
     bit = F.call_function("shiftleft", F.lit(1), F.array_position(F.array(*map(F.lit, TRIPLE_TYPES)), F.col("type")).cast("int"))
-    rows = scope.apply(triples).select(F.explode(pairs).alias("named"), "source", bit.alias("type"), "extracted_at", "confidence").select("named.*", "source", "type", "extracted_at", "confidence")
+    return triples.select(F.explode(pairs).alias("named"), "source", bit.alias("type"), "extracted_at", "confidence").select("named.*", "source", "type", "extracted_at", "confidence")
+
+
+def entity_counts(triples: DataFrame) -> DataFrame:
+    """How often each entity comes in each role, source, type, time and confidence: counts that add up over publications."""
+    return _named_entities(triples, "both").groupBy("entity", "role", "source", "type", "extracted_at", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def enumerate_counted(counts: DataFrame, role: str = "both", min_occurrence: int = 1, sort: str = "frequency", limit: int | None = None) -> DataFrame:
+    """``enumerate_entities`` of the triples that ``entity_counts`` has counted."""
+    rows = counts if role == "both" else counts.filter(F.col("role") == ROLES[role])
+    return _enumerated(rows, F.sum("n"), role, min_occurrence, sort, limit)
+
+
+def kind_counts(triples: DataFrame) -> DataFrame:
+    return triples.groupBy("type", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def level_counts(concepts: DataFrame) -> DataFrame:
+    return concepts.groupBy("abstraction_level", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stats_counted(kinds: DataFrame, levels: DataFrame) -> DataFrame:
+    """``graph_stats`` of what ``kind_counts`` and ``level_counts`` have counted."""
+    total = lambda name: F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias(name)
+    found = kinds.agg(total("total_triples"), F.countDistinct("type").alias("n_types"), F.countDistinct("source").alias("n_sources"))
+    return found.crossJoin(levels.agg(total("total_concepts")))  # one row each
+
+
+def _enumerated(rows: DataFrame, n, role: str, min_occurrence: int, sort: str, limit: int | None) -> DataFrame:
     both = [F.bit_or("role").alias("role"), F.bit_or("type").alias("type"), F.max("extracted_at").alias("extracted_at"), F.max("confidence").alias("confidence")]
-    by_source = rows.groupBy("entity", "source").agg(F.count(F.lit(1)).alias("n"), *both)
+    by_source = rows.groupBy("entity", "source").agg(n.alias("n"), *both)
     out = by_source.groupBy("entity").agg(F.sum("n").alias("occurrences"), F.count("source").alias("n_sources"), *both).filter(F.col("occurrences") >= min_occurrence)
     named = lambda bits, names: F.concat_ws(",", *[F.when(F.col(bits).bitwiseAND(F.lit(k)) != 0, n) for n, k in sorted(names.items())])
     out = out.select(
-        "entity", "occurrences", named("role", {r: 1 << i for i, r in enumerate(roles)}).alias("roles"), "n_sources",
+        "entity", "occurrences", named("role", _roles(role)).alias("roles"), "n_sources",
         named("type", {t: 2 << i for i, t in enumerate(TRIPLE_TYPES)}).alias("types"), F.col("extracted_at").alias("last_seen"), F.col("confidence").alias("best_confidence"),
     )
     out = out.orderBy(*SORTS[sort](), "entity")

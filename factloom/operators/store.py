@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import clamp_confidence, safe_id, sanitize, semantic_text
 from ..schema import TRIPLE_KEY
@@ -123,13 +124,22 @@ class Store:
     the rows that are deleted: large folders are rarely written again.  Merged rows keep
     their numbers, for deletes of publishers that worked from an earlier manifest.  Over DELETES
     delete folders become one, and go where no data folder is as old as they are.
+
+    ``keys``: unique keys by table.  Beside each data folder of such a table stands its
+    membership filter, the 64-bit hashes of its keys, so that ``new_rows`` reads the
+    folders in which a key of the batch can be and no others.
+
+    ``views``: by table and name, a function that counts rows: columns to group by, and
+    ``n``.  Each publication writes its own counts, those of rows that it deletes with a
+    minus; ``view`` adds them up and never reads the table's rows.  Whatever follows from
+    the rows as a multiset, the greatest value of a column too, follows from such counts.
     """
 
     FOLDERS = 64  # of a table's data, from which on a publication merges the smallest
     DELETES = 16
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keys: dict[str, list[str]] | None = None, views: dict[str, dict[str, Callable[[DataFrame], DataFrame]]] | None = None):
+        self.spark, self.root, self.keys, self.views = spark, root.rstrip("/"), keys or {}, views or {}
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -146,6 +156,65 @@ class Store:
         named = (self.manifest()[1] if as_of is None else as_of).get(table, {})
         return self._rows(named.get("data", []), named.get("deletes", []), schema)
 
+    def _hashes(self, name: str, rows: DataFrame, schema: str) -> DataFrame:
+        """(h) of the rows' keys, in the types of the table."""
+        kinds = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
+        return rows.select(F.xxhash64(*[F.col(c).cast(kinds[c]) for c in self.keys[name]]).alias("h"))
+
+    def _filter(self, name: str, folder: str, schemas: dict[str, str]) -> dict[str, str]:
+        """The folder's membership filter, by the folder; none for a table without a known key."""
+        if name not in self.keys or name not in schemas:
+            return {}
+        rows = self.spark.read.schema(schemas[name]).parquet(folder)
+        return {folder: self._written(f"{name}-filters", self._hashes(name, rows, schemas[name]).sortWithinPartitions("h"))}
+
+    def may_hold(self, name: str, batch: DataFrame, schema: str, as_of: dict | None = None) -> list[str]:
+        """The table's data folders in which a key of the batch can be: at most FOLDERS names."""
+        named = (self.manifest()[1] if as_of is None else as_of).get(name, {})
+        filters = named.get("filters", {})
+        sure = [d[0] for d in named.get("data", []) if d[0] not in filters]
+        if not filters:
+            return sure
+        of = {f.rsplit("/", 1)[-1]: folder for folder, f in filters.items()}
+        held = self.spark.read.schema("h bigint").parquet(*filters.values()).withColumn("f", F.regexp_extract("_metadata.file_path", "/([^/]+)/[^/]+$", 1))
+        hit = held.join(self._hashes(name, batch, schema), "h", "left_semi").select("f").distinct().collect()
+        return sure + sorted(of[r["f"]] for r in hit)
+
+    def new_rows(self, name: str, batch: DataFrame, schema: str) -> DataFrame:
+        """Rows of the batch, which is read twice, whose key is not stored yet, one for each key."""
+        now = self.manifest()[1]
+        folders = set(self.may_hold(name, batch, schema, now))
+        named = now.get(name, {"data": [], "deletes": []})
+        return new_rows(batch, self._rows([d for d in named["data"] if d[0] in folders], named["deletes"], schema), self.keys[name])
+
+    def _counts(self, name: str, view: str, rows: DataFrame, sign: int = 1) -> str:
+        return self._written(f"{name}-{view}", self.views[name][view](rows).withColumn("n", (F.col("n") * sign).cast("long")))
+
+    def _counted(self, name: str, table: dict, schemas: dict[str, str]) -> dict[str, list]:
+        """The folders of each view of a table; a view that it doesn't have yet is counted from its rows."""
+        if name not in schemas:
+            return {}
+        had, full = table.get("views", {}), lambda: self._rows(table["data"], table["deletes"], schemas[name])
+        return {v: list(had[v]) if v in had else [self._counts(name, v, full())] if table["data"] else [] for v in self.views.get(name, {})}
+
+    def _lost(self, table: dict, entry: dict, schema: str) -> DataFrame:
+        """The stored rows that a delete folder takes away."""
+        keys = self.spark.read.parquet(entry["folder"]).select(*[F.col(c).alias(f"_{c}") for c in entry["by"]])
+        same = F.col("_named") <= entry["upto"]
+        for c in entry["by"]:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return self._numbered(table["data"], table["deletes"], schema).join(keys, same, "left_semi").drop("_named")
+
+    def _added_up(self, folders: list[str]) -> DataFrame:
+        rows = self.spark.read.parquet(*folders)
+        return rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("n")).filter("n != 0")
+
+    def view(self, name: str, view: str, schema: str, as_of: dict | None = None) -> DataFrame:
+        """The view's counts over all rows of the table, from the publications' counts."""
+        table = (self.manifest()[1] if as_of is None else as_of).get(name, {"data": [], "deletes": []})
+        folders = table.get("views", {}).get(view)
+        return self._added_up(folders) if folders else self.views[name][view](self._rows(table["data"], table["deletes"], schema))
+
     def _numbered(self, data: list, deletes: list, schema: str) -> DataFrame:
         """Rows of data folders without those deleted, with the number of the manifest that first named each."""
         rows = self.spark.read.schema(f"{schema}, _named bigint").parquet(*[d[0] for d in data])
@@ -198,12 +267,13 @@ class Store:
 
     def _compacted(self, name: str, table: dict, schema: str) -> dict:
         """The table with its smallest data folders merged, where there are too many, and its delete folders too."""
-        data, deletes = table["data"], table["deletes"]
+        data, deletes, filters = table["data"], table["deletes"], dict(table["filters"])
         if len(data) > self.FOLDERS:
             by_size = sorted(data, key=lambda d: self.size(d[0]))
             merged, rest = by_size[: len(data) - self.FOLDERS // 2], by_size[len(data) - self.FOLDERS // 2 :]
             one = self._written(name, self._numbered(merged, deletes, schema))
             data = [d for d in data if d in rest] + [[one, min(d[1] for d in merged), max(d[2] for d in merged)]]
+            filters |= self._filter(name, one, {name: schema})
         deletes = [d for d in deletes if any(low <= d["upto"] for _, low, _ in data)]
         for by in {tuple(d["by"]) for d in deletes}:
             mine = [d for d in deletes if tuple(d["by"]) == by]
@@ -211,7 +281,14 @@ class Store:
                 keys = self.spark.read.parquet(*[d["folder"] for d in mine]).groupBy(*by).agg(F.max("_upto").alias("_upto"))
                 one = {"folder": self._written(f"{name}-deletes", keys), "upto": max(d["upto"] for d in mine), "by": list(by)}
                 deletes = [d for d in deletes if tuple(d["by"]) != by] + [one]
-        return {"data": data, "deletes": deletes}
+        views = {}
+        for view, folders in table["views"].items():
+            if len(folders) > self.FOLDERS:
+                by_size = sorted(folders, key=self.size)
+                merged = by_size[: len(folders) - self.FOLDERS // 2]
+                folders = [f for f in folders if f not in merged] + [self._written(f"{name}-{view}", self._added_up(merged))]
+            views[view] = folders
+        return {"data": data, "deletes": deletes, "filters": {d[0]: filters[d[0]] for d in data if d[0] in filters}, "views": views}
 
     def publish(
         self, appended: dict[str, DataFrame], replaced: dict[str, Callable[[DataFrame], DataFrame]] | None = None, schemas: dict[str, str] | None = None, tries: int = 20,
@@ -224,27 +301,46 @@ class Store:
         the start; rows published after it are not deleted, and ``keys``, a table's unique
         key, keeps appended rows out whose key came between.
         """
+        schemas = schemas or {}
         start = self.manifest()[0] if as_of is None else as_of
         new = {name: self._written(name, df) for name, df in appended.items()}
+        filters = {name: self._filter(name, folder, schemas) for name, folder in new.items()}
+        rows_of = lambda name, folder: self.spark.read.schema(schemas[name]).parquet(folder)
+        views_of = lambda name: self.views.get(name, {}) if name in schemas else {}
+        counts = {name: {v: self._counts(name, v, rows_of(name, folder)) for v in views_of(name)} for name, folder in new.items()}
         gone = {}
         for name, df in (deleted or {}).items():
             folder = self._written(f"{name}-deletes", df.distinct().withColumn("_upto", F.lit(start).cast("long")))
             gone[name] = {"folder": folder, "upto": start, "by": df.columns}
         for _ in range(tries):
             number, tables = self.manifest()
-            now = {name: {"data": list(t["data"]), "deletes": list(t["deletes"])} for name, t in tables.items()}
-            of = lambda name: now.setdefault(name, {"data": [], "deletes": []})
+            now = {name: {"data": list(t["data"]), "deletes": list(t["deletes"]), "filters": dict(t.get("filters", {})), "views": t.get("views", {})} for name, t in tables.items()}
+            of = lambda name: now.setdefault(name, {"data": [], "deletes": [], "filters": {}, "views": {}})
+            for name in {*new, *gone}:
+                of(name)["views"] = self._counted(name, of(name), schemas)
             for name, change in (replaced or {}).items():
-                now[name] = {"data": [[self._written(name, change(self._rows(of(name)["data"], of(name)["deletes"], schemas[name]))), number + 1, number + 1]], "deletes": []}
+                folder = self._written(name, change(self._rows(of(name)["data"], of(name)["deletes"], schemas[name])))
+                now[name] = {
+                    "data": [[folder, number + 1, number + 1]], "deletes": [], "filters": self._filter(name, folder, schemas),
+                    "views": {v: [self._counts(name, v, rows_of(name, folder))] for v in views_of(name)},
+                }
             for name, entry in gone.items():
-                of(name)["deletes"].append(entry)
+                t = of(name)
+                for v in views_of(name) if t["data"] else ():
+                    t["views"][v].append(self._counts(name, v, self._lost(t, entry, schemas[name]), -1))
+                t["deletes"].append(entry)
             for name, folder in new.items():
-                since = [d for d in of(name)["data"] if d[2] > start]
+                t, counted = of(name), counts[name]
+                since, full = [d for d in t["data"] if d[2] > start], folder
                 if since and name in (keys or {}):
-                    others = self._numbered(since, of(name)["deletes"], schemas[name]).filter(F.col("_named") > start)
-                    folder = self._written(name, new_rows(self.spark.read.schema(schemas[name]).parquet(folder), others, keys[name]))
-                of(name)["data"].append([folder, number + 1, number + 1])
-            for name in [n for n in now if n in (schemas or {})]:
+                    others = self._numbered(since, t["deletes"], schemas[name]).filter(F.col("_named") > start)
+                    folder = self._written(name, new_rows(rows_of(name, full), others, keys[name]))
+                    counted = {v: self._counts(name, v, rows_of(name, folder)) for v in counted}
+                t["data"].append([folder, number + 1, number + 1])
+                t["filters"] |= {folder: f for f in filters[name].values()}  # of more rows than were left, maybe
+                for v, f in counted.items():
+                    t["views"][v].append(f)
+            for name in [n for n in now if n in schemas]:
                 now[name] = self._compacted(name, now[name], schemas[name])
             if self._named(number + 1, now):
                 return
