@@ -577,6 +577,65 @@ def anti_join_new(spark, d):
     return store.new_rows(t, t.filter("source_type = 'file'"), TRIPLE_KEY).select(*TRIPLE_KEY)
 
 
+_KNOWN = "source_type = 'file'"
+_GONE = "(type = 'ENTITY_EVENT' and predicate = 'placed')"
+
+
+def _grown(spark: SparkSession, d: str) -> tuple[store.Store, dict[str, str]]:
+    """A store of the triples in two publications, the second of which deletes the first one's orders; made once in a session."""
+
+    def build(root: str) -> tuple[str, dict[str, str]]:
+        t, c = load(spark, d, "triples"), load(spark, d, "concepts")
+        schemas = {"triples": _ddl(t), "concepts": _ddl(c)}
+        s = store.Store(spark, root, _UNIQUE, _COUNTED)
+        s.publish({"triples": t.filter(f"{_KNOWN} or {_GONE}"), "concepts": c}, None, schemas)
+        s.publish({"triples": t.filter(f"not ({_KNOWN} or {_GONE})")}, None, schemas, deleted={"triples": t.filter(_GONE).select(*TRIPLE_KEY)})
+        return root, schemas
+
+    root, schemas = once(spark, f"{d}/grown", build)
+    return store.Store(spark, root, _UNIQUE, _COUNTED), schemas
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+_UNIQUE = {"triples": TRIPLE_KEY}
+_COUNTED = {"triples": {"entities": entities.entity_counts, "kinds": entities.kind_counts}, "concepts": {"levels": entities.level_counts}}
+
+
+@query(f"select distinct {_KEY} from triples where (type = 'ENTITY_EVENT' and predicate = 'placed')", "triples")
+def insert_ignore_filtered(spark, d):
+    """What of all triples a store doesn't hold, of which it has deleted the orders; folders that can't hold a key are not read."""
+    s, schemas = _grown(spark, d)
+    return s.new_rows("triples", load(spark, d, "triples"), schemas["triples"]).select(*TRIPLE_KEY)
+
+
+@query(
+    """, left_ as (select * from triples where not (type = 'ENTITY_EVENT' and predicate = 'placed'))
+    select (select cast(count(*) as bigint) from left_) total_triples, (select cast(count(distinct type) as bigint) from left_) n_types,
+           (select cast(count(distinct source) as bigint) from left_) n_sources, (select cast(count(*) as bigint) from concepts) total_concepts""",
+    "triples", "concepts",
+)
+def graph_stats_incremental(spark, d):
+    """Statistics from the publications' counts, those of deleted rows among them."""
+    s, schemas = _grown(spark, d)
+    return entities.stats_counted(s.view("triples", "kinds", schemas["triples"]), s.view("concepts", "levels", schemas["concepts"]))
+
+
+@query(
+    """, left_ as (select * from triples where not (type = 'ENTITY_EVENT' and predicate = 'placed')),
+    rows as (select subject entity, 'subject' role, source, type, extracted_at, confidence from left_ union all select object, 'object', source, type, extracted_at, confidence from left_)
+    select entity, cast(count(*) as bigint) occurrences, string_agg(distinct role, ',' order by role) roles, cast(count(distinct source) as bigint) n_sources,
+           string_agg(distinct type, ',' order by type) types, max(extracted_at) last_seen, cast(max(confidence) as double) best_confidence from rows group by entity""",
+    "triples",
+)
+def entities_incremental(spark, d):
+    """All entities from the publications' counts, those of deleted rows among them."""
+    s, schemas = _grown(spark, d)
+    return entities.enumerate_counted(s.view("triples", "entities", schemas["triples"])).withColumn("best_confidence", F.col("best_confidence").cast("double"))
+
+
 @query("select id from triples where id in (select 'ENTITY_EVENT:placed:' || cast(o_orderkey as varchar(20)) from orders where o_orderpriority = '1-URGENT')", "triples")
 def existing_ids(spark, d):
     ids = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("ENTITY_EVENT:placed:"), F.col("o_orderkey").cast("string")).alias("id"))
