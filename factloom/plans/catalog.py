@@ -11,7 +11,7 @@ from ..functions import measures
 from ..functions import text as T
 from ..functions.chunking import chunk_column
 from ..operators import concepts as C
-from ..operators import dedup, entities, extract, filters, fusion, jobs, metric_join, report, search, store, usage, vector_index
+from ..operators import dedup, entities, extract, filters, fusion, jobs, metric_join, report, search, store, text_index, usage, vector_index
 from ..operators.filters import Scope, TimeWindow, by_ids, by_source_prefix, complete_triples, usage_between
 from ..schema import JOB_STATUSES, TRIPLE_KEY, TRIPLE_TYPES
 from ..streaming import job_stream
@@ -86,6 +86,30 @@ def search_entity(spark, d):
     return search.search_entity(load(spark, d, "triples"), "NATION customer:1", Scope(types=["ENTITY_ENTITY", "ENTITY_EVENT"]), 25).select(*_COLUMNS)
 
 
+def _text_index(spark, d) -> text_index.TextIndex:
+    def build(path: str) -> str:
+        text_index.build(load(spark, d, "triples"), path)
+        return path
+
+    return text_index.TextIndex(spark, once(spark, f"{d}/text-index", build))
+
+
+@query(f"select {_ROW} from triples where contains(lower(subject), 'asia') or contains(lower(predicate), 'asia') or contains(lower(object), 'asia') order by id limit 50", "triples")
+def search_text_index(spark, d):
+    """The same answer as search_text, from the rows whose texts hold the term's grams."""
+    return search.search_text(_text_index(spark, d).candidates(["Asia"]), "Asia").select(*_COLUMNS)
+
+
+@query(
+    f"""select {_ROW} from triples where (contains(lower(subject), 'customer:77') or contains(lower(subject), 'order:12') or contains(lower(object), 'customer:77') or contains(lower(object), 'order:12'))
+    order by subject desc, object desc, extracted_at desc, id limit 1000""",
+    "triples",
+)
+def search_entity_index(spark, d):
+    rows = _text_index(spark, d).candidates(T.search_terms("Customer:77 order:12"), ["subject", "object"])
+    return search.search_entity(rows, "Customer:77 order:12", limit=1000).select(*_COLUMNS)
+
+
 @query(f"select {_ROW} from triples where contains(lower(predicate), 'located') or contains(lower(predicate), 'feels') order by predicate desc, extracted_at desc, id limit 25", "triples")
 def search_relationship(spark, d):
     return search.search_relationship(load(spark, d, "triples"), "located feels", limit=25).select(*_COLUMNS)
