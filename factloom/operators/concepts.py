@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TRIPLE_KEY
+from .numbering import numbered
 
 
 def elements(triples: DataFrame) -> DataFrame:
@@ -71,6 +72,8 @@ def element_sets(triples: DataFrame, *by: str) -> DataFrame:
     return element_parts(triples, *by).distinct()
 
 
-def triple_ids(triples: DataFrame, *by: str) -> DataFrame:
-    """The ids of a job's triples as one sorted array for each group, as a concept stage takes them along."""
-    return triples.groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("triple_ids"))
+def triple_ids(triples: DataFrame, *by: str, most: int = 10_000) -> DataFrame:
+    """The ids of a job's triples as sorted arrays of at most ``most``, numbered by ``part`` from 0, as a concept stage takes them along."""
+    placed = numbered(triples.select(*by, "id"), list(by), ["id"])
+    cut = placed.withColumn("part", F.floor(F.col("place") / most).cast("int"))
+    return cut.groupBy(*by, "part").agg(F.array_sort(F.collect_list("id")).alias("triple_ids"))

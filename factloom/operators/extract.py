@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunking import chunks
 from .model import Extracted
+from .numbering import numbered
 
 Extractor = Callable[[str, tuple[str, ...]], Extracted]
 _SPAN = re.compile(r"[A-ZÀ-Þ][\w'-]*(?: [A-ZÀ-Þ][\w'-]*)*")
@@ -148,12 +149,14 @@ def bucket_concepts(elements: DataFrame, *by: str) -> DataFrame:
     return named.join(n, [*by, "concept"]).select(*by, F.col("text").alias("source_element"), "kind", "concept", level.alias("abstraction_level"))
 
 
-def concept_prompt(sets: DataFrame, *by: str) -> DataFrame:
-    """One prompt for each group of (kind, text): its elements, listed by kind, for a stage that asks a model.
+def concept_prompt(sets: DataFrame, *by: str, most: int = 1_000) -> DataFrame:
+    """Prompts for each group of distinct (kind, text), for a stage that asks a model, numbered by ``part`` from 0.
 
-    A group is what one job works on, so its lists are of a prompt's size.
+    A prompt lists at most ``most`` elements of a kind, in order; a group with more of one has several prompts.
     """
-    of = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("text")))), ", ")
-    lists = sets.groupBy(*by).agg(*[of(k).alias(k) for k in ("entity", "event", "relationship")])
+    placed = numbered(sets.select(*by, "kind", "text").filter("text is not null"), [*by, "kind"], ["text"])
+    cut = placed.withColumn("part", F.floor(F.col("place") / most).cast("int"))
+    of = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("text")))), ", ")
+    lists = cut.groupBy(*by, "part").agg(*[of(k).alias(k) for k in ("entity", "event", "relationship")])
     prompt = F.format_string("Name concepts for these elements.\nEntities: %s\nEvents: %s\nRelationships: %s", "entity", "event", "relationship")
-    return lists.select(*by, prompt.alias("prompt"))
+    return lists.select(*by, "part", prompt.alias("prompt"))

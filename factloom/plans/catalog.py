@@ -13,6 +13,7 @@ from ..functions.chunking import chunk_column
 from ..operators import concepts as C
 from ..operators import dedup, entities, extract, filters, fusion, jobs, metric_join, report, search, store, text_index, usage, vector_index
 from ..operators.filters import Scope, TimeWindow, by_ids, by_source_prefix, complete_triples, usage_between
+from ..operators.numbering import numbered
 from ..schema import JOB_STATUSES, TRIPLE_KEY, TRIPLE_TYPES
 from ..streaming import job_stream
 from ..streaming.job_state import Rules
@@ -972,19 +973,25 @@ def word_windows(spark, d):
 @query(
     """, parts as (select type, case when type in ('ENTITY_ENTITY', 'ENTITY_EVENT') then 'entity' else 'event' end kind, subject as part from triples
       union all select type, case when type = 'ENTITY_ENTITY' then 'entity' else 'event' end, object from triples union all select type, 'relationship', predicate from triples),
-    l as (select type, coalesce(string_agg(distinct part, ', ' order by part) filter (kind = 'entity'), '') e, coalesce(string_agg(distinct part, ', ' order by part) filter (kind = 'event'), '') v,
-      coalesce(string_agg(distinct part, ', ' order by part) filter (kind = 'relationship'), '') r from parts group by 1)
-    select type, 'Name concepts for these elements.' || chr(10) || 'Entities: ' || e || chr(10) || 'Events: ' || v || chr(10) || 'Relationships: ' || r prompt from l""",
+    n as (select type, kind, part, (row_number() over (partition by type, kind order by part) - 1) // 200 p from (select distinct type, kind, part from parts) x),
+    l as (select type, p, coalesce(string_agg(part, ', ' order by part) filter (kind = 'entity'), '') e, coalesce(string_agg(part, ', ' order by part) filter (kind = 'event'), '') v,
+      coalesce(string_agg(part, ', ' order by part) filter (kind = 'relationship'), '') r from n group by 1, 2)
+    select type, cast(p as int) part, 'Name concepts for these elements.' || chr(10) || 'Entities: ' || e || chr(10) || 'Events: ' || v || chr(10) || 'Relationships: ' || r prompt from l""",
     "triples",
 )
 def concept_prompts(spark, d):
-    return extract.concept_prompt(C.element_sets(load(spark, d, "triples"), "type"), "type")
+    return extract.concept_prompt(C.element_sets(load(spark, d, "triples"), "type"), "type", most=200)
 
 
-@query("select source, source_type, string_agg(id, ',' order by id) triple_ids from triples where type = 'EMOTIONAL_CONTEXT' group by all", "triples")
+@query(
+    """, n as (select source, source_type, id, (row_number() over (partition by source, source_type order by id) - 1) // 100 p from triples)
+    select source, source_type, cast(p as int) part, string_agg(id, ',' order by id) triple_ids from n group by 1, 2, 3""",
+    "triples",
+)
 def job_triple_ids(spark, d):
-    triples = load(spark, d, "triples").filter("type = 'EMOTIONAL_CONTEXT'")
-    return C.triple_ids(triples, "source", "source_type").select("source", "source_type", F.array_join("triple_ids", ",").alias("triple_ids"))
+    """In hundreds, of all types."""
+    ids = C.triple_ids(load(spark, d, "triples"), "source", "source_type", most=100)
+    return ids.select("source", "source_type", "part", F.array_join("triple_ids", ",").alias("triple_ids"))
 
 
 @query(
@@ -993,8 +1000,9 @@ def job_triple_ids(spark, d):
 )
 def embedding_batches(spark, d):
     """Batches of 100 texts within each source, and the tokens of each."""
-    docs = table(spark, d, "documents").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
-    return docs.groupBy("source", measures.batch_number(F.col("i"), 100).alias("batch")).agg(F.count(F.lit(1)).alias("texts"), F.sum(T.token_estimate(F.coalesce("text", F.lit("")))).alias("tokens"))
+    texts = table(spark, d, "documents").select("source", "doc_id", T.token_estimate(F.coalesce("text", F.lit(""))).alias("n"))
+    docs = numbered(texts, ["source"], ["doc_id"], "i")
+    return docs.groupBy("source", measures.batch_number(F.col("i"), 100).alias("batch")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("tokens"))
 
 
 @query(
