@@ -14,6 +14,14 @@ def elements(triples: DataFrame) -> DataFrame:
     return triples.withColumn("element", F.explode(F.array_distinct(F.array("subject", "object", "predicate"))))
 
 
+SENT_ROWS = 500_000  # of elements with their scores that are sent to the triples; more are met by a shuffle
+
+
+def sent_if_few(rel: DataFrame) -> DataFrame:
+    """``rel``, which is read twice, to be sent to every task if it has at most SENT_ROWS rows: three elements of every triple needn't be shuffled then."""
+    return F.broadcast(rel) if rel.limit(SENT_ROWS + 1).count() <= SENT_ROWS else rel
+
+
 def triples_of_elements(triples: DataFrame, rel: DataFrame) -> DataFrame:
     """Join on "subject, object or predicate is the element".
 

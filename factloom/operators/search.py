@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, search_terms
 from ..functions.vector import literal, similarity
-from .concepts import triples_of_elements
+from .concepts import sent_if_few, triples_of_elements
 from .entities import temporal_clusters
 from .filters import Scope
 
@@ -47,13 +47,16 @@ def nearest(items: DataFrame, vectors: DataFrame, vector: list[float], vector_ty
             scope: Scope = Scope(), metric: str = "l2") -> DataFrame:
     """Top ``limit`` items by the similarity of their vectors of one type.
 
-    The vectors are filtered by type and score before the join, so that only hits are
-    shuffled; the order by score and id plans as a partial top-k in each task.
+    The vectors are filtered by type and score, and meet the items' ids alone; each pair of
+    item and score gives a row at least, so the first ``limit`` pairs lead to all rows of the
+    result, and of the items' other columns only theirs are moved.
     """
     scored = vectors.filter(F.col("vector_type") == vector_type).select(
         F.col(key).alias("item"), similarity(F.col("embedding"), literal(vector), metric).alias("score")
     ).filter(F.col("score") >= min_score)
-    found = scope.apply(items).join(scored, F.col("id") == F.col("item")).drop("item").distinct()
+    there = scored.join(scope.apply(items).select(F.col("id").alias("item")), "item", "left_semi")
+    best = there.distinct().orderBy(F.desc("score"), "item").limit(limit)
+    found = scope.apply(items).join(F.broadcast(best), F.col("id") == F.col("item")).drop("item").distinct()  # best has `limit` rows
     return found.orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -78,7 +81,7 @@ def concept_triples(triples: DataFrame, concepts: DataFrame, conceptualizations:
     """Triples of the elements of the nearest concepts (``n_concepts``, else ``limit``), by (best concept's score, id)."""
     near = search_concept_vector(concepts, vectors, vector, min_score, n_concepts or limit).select("concept", F.col("score").alias("concept_score"))
     rel = conceptualizations.join(F.broadcast(near), "concept").groupBy("source_element").agg(F.max("concept_score").alias("concept_score"))  # near has `limit` rows
-    found = triples_of_elements(scope.apply(triples), rel)
+    found = triples_of_elements(scope.apply(triples), sent_if_few(rel))
     best = found.groupBy(*triples.columns).agg(F.max("concept_score").alias("concept_score"))
     return best.orderBy(F.desc("concept_score"), "id").limit(limit)
 
