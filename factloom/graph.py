@@ -304,4 +304,4 @@ class KnowledgeGraph:
 
     def enumerate_entities(self, role: str = "both", min_occurrence: int = 1, sort: str = "frequency", limit: int | None = None) -> DataFrame:
         """Entities with their occurrences, roles, sources and types; from the publications' counts."""
-        return entities.enumerate_counted(self.store.view("triples", "entities", TRIPLES), role, min_occurrence, sort, limit)
+        return entities.enumerate_counted(self.store.view("triples", "entities", TRIPLES, by=entities.COUNTED_BY), role, min_occurrence, sort, limit)

@@ -36,8 +36,12 @@ def _named_entities(triples: DataFrame, role: str) -> DataFrame:
 
 
 def entity_counts(triples: DataFrame) -> DataFrame:
-    """How often each entity comes in each role, source, type, time and confidence: counts that add up over publications."""
-    return _named_entities(triples, "both").groupBy("entity", "role", "source", "type", "extracted_at", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    """How often each entity comes in each role, source, type, time and confidence: counts that add up over publications.
+
+    A row for each mention, since these columns hardly repeat: grouping would shuffle them all to
+    write little less, and who reads the counts adds them up anyway.
+    """
+    return _named_entities(triples, "both").withColumn("n", F.lit(1).cast("long"))
 
 
 def enumerate_counted(counts: DataFrame, role: str = "both", min_occurrence: int = 1, sort: str = "frequency", limit: int | None = None) -> DataFrame:
@@ -46,6 +50,9 @@ def enumerate_counted(counts: DataFrame, role: str = "both", min_occurrence: int
     return _enumerated(rows, F.sum("n"), role, min_occurrence, sort, limit)
 
 
+COUNTED_BY = ("entity", "source")  # by which counts of entities are dealt, so that adding up and enumerating take one shuffle
+
+
 def kind_counts(triples: DataFrame) -> DataFrame:
     return triples.groupBy("type", "source").agg(F.count(F.lit(1)).alias("n"))
 

@@ -205,15 +205,15 @@ class Store:
             same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
         return self._numbered(table["data"], table["deletes"], schema).join(keys, same, "left_semi").drop("_named")
 
-    def _added_up(self, folders: list[str]) -> DataFrame:
+    def _added_up(self, folders: list[str], by: tuple[str, ...] = ()) -> DataFrame:
         rows = self.spark.read.parquet(*folders)
         return rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("n")).filter("n != 0")
 
-    def view(self, name: str, view: str, schema: str, as_of: dict | None = None) -> DataFrame:
-        """The view's counts over all rows of the table, from the publications' counts."""
+    def view(self, name: str, view: str, schema: str, as_of: dict | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+        """The view's counts over all rows of the table, from the publications' counts; ``by``: columns by which the caller groups them further."""
         table = (self.manifest()[1] if as_of is None else as_of).get(name, {"data": [], "deletes": []})
         folders = table.get("views", {}).get(view)
-        return self._added_up(folders) if folders else self.views[name][view](self._rows(table["data"], table["deletes"], schema))
+        return self._added_up(folders, by) if folders else self.views[name][view](self._rows(table["data"], table["deletes"], schema))
 
     def _numbered(self, data: list, deletes: list, schema: str) -> DataFrame:
         """Rows of data folders without those deleted, with the number of the manifest that first named each."""

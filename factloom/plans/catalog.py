@@ -658,7 +658,7 @@ def graph_stats_incremental(spark, d):
 def entities_incremental(spark, d):
     """All entities from the publications' counts, those of deleted rows among them."""
     s, schemas = _grown(spark, d)
-    return entities.enumerate_counted(s.view("triples", "entities", schemas["triples"])).withColumn("best_confidence", F.col("best_confidence").cast("double"))
+    return entities.enumerate_counted(s.view("triples", "entities", schemas["triples"], by=entities.COUNTED_BY)).withColumn("best_confidence", F.col("best_confidence").cast("double"))
 
 
 @query("select id from triples where id in (select 'ENTITY_EVENT:placed:' || cast(o_orderkey as varchar(20)) from orders where o_orderpriority = '1-URGENT')", "triples")
