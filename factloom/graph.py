@@ -84,14 +84,15 @@ class KnowledgeGraph:
         Embeddings are stored by their text's digest and the model's name, and published
         before they are used, so that a batch that fails later has not asked in vain.
         """
-        wanted = self._staged(texts.filter("text is not null").select("text").distinct().withColumn("digest", F.sha2("text", 256)))
+        digest = F.sha2("text", 256)
+        wanted = self._staged(texts.filter("text is not null").select("text").distinct())
         stored = self.table("dictionary").filter(F.col("model") == self.model).select("digest", "embedding")
-        made = self._staged(extract.embed_texts(wanted.join(stored.select("digest"), "digest", "left_anti").select("text"), self.embedder))
+        made = self._staged(extract.embed_texts(wanted.join(stored.select("digest"), digest == F.col("digest"), "left_anti"), self.embedder))
         if not made.isEmpty():
-            rows = made.withColumns({"digest": F.sha2("text", 256), "model": F.lit(self.model)})
+            rows = made.withColumns({"digest": digest, "model": F.lit(self.model)})
             store.checked_vectors(rows.withColumn("vector_id", F.col("digest")), self.dimension)
             self._publish({"dictionary": _shaped(rows, DICTIONARY)})
-        return self._staged(wanted.join(stored, "digest").select("text", "embedding").unionByName(made))
+        return wanted.join(stored, digest == F.col("digest")).select("text", "embedding").unionByName(made)
 
     # -- storing
 
@@ -155,6 +156,7 @@ class KnowledgeGraph:
     def _of_sources(self, table: DataFrame, sources: DataFrame) -> DataFrame:
         """Rows of the given documents' chunks: an equality on the source without its chunk, so that ``src1`` isn't ``src10``."""
         named = sources.select(F.col("source").alias("root"), F.col("source_type").alias("root_type")).distinct()
+        named = self._staged(named)  # of a known size, so that few sources are sent to the table's rows
         rooted = table.withColumn("source_root", source_root(F.col("source")))
         return rooted.join(named, F.col("source_root").eqNullSafe(F.col("root")) & F.col("source_type").eqNullSafe(F.col("root_type")), "left_semi")
 
@@ -204,12 +206,13 @@ class KnowledgeGraph:
         triples = self._staged(self._of_sources(self.table("triples"), sources).withColumn("source_root", F.concat_ws("\u001f", "source_root", "source_type")))
         dictionary = self._dictionary(store.vector_texts(triples).filter("vector_type = 'SEMANTIC'").select("text"))
         kept = dedup.deduplicated(triples, dictionary, self.semantic_dedup, stage=self._staged)
-        absorbed = store.duplicates_of(triples, kept)
-        gone = self._staged(triples.join(absorbed.select(*TRIPLE_KEY), TRIPLE_KEY, "left_semi"))
+        gone = self._staged(store.without_keys(triples.select("id", *TRIPLE_KEY), kept, TRIPLE_KEY))
         merged = _shaped(kept.filter("n_merged > 1"), TRIPLES)
-        vectors = store.vectors_to_delete(gone, self.table("triples"))
+        deleted = {"triples": gone.select(*TRIPLE_KEY).unionByName(merged.select(*TRIPLE_KEY))}
+        if self.store.holds("vectors", as_of):
+            deleted["vectors"] = store.vectors_to_delete(gone, self.table("triples"))
         # what is written follows the sources' rows, not the tables
-        self._publish({"triples": merged}, {"triples": gone.unionByName(merged, allowMissingColumns=True).select(*TRIPLE_KEY), "vectors": vectors}, as_of)
+        self._publish({"triples": merged}, deleted, as_of)
         count = lambda df, name: df.groupBy(source_root(F.col("source")).alias("source"), "source_type").agg(F.count(F.lit(1)).alias(name))
         all_, left = count(triples, "original").toDF("s1", "t1", "original"), count(kept, "remaining").toDF("s2", "t2", "remaining")
         out = sources.join(all_, F.col("source").eqNullSafe(F.col("s1")) & F.col("source_type").eqNullSafe(F.col("t1")), "left")

@@ -156,6 +156,10 @@ class Store:
         named = (self.manifest()[1] if as_of is None else as_of).get(table, {})
         return self._rows(named.get("data", []), named.get("deletes", []), schema)
 
+    def holds(self, table: str, upto: int) -> bool:
+        """Whether the table has a data folder with rows of the manifest of this number or an earlier one."""
+        return any(low <= upto for _, low, _ in self.manifest()[1].get(table, {}).get("data", []))
+
     def _hashes(self, name: str, rows: DataFrame, schema: str) -> DataFrame:
         """(h) of the rows' keys, in the types of the table."""
         kinds = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
@@ -207,6 +211,7 @@ class Store:
 
     def _added_up(self, folders: list[str], by: tuple[str, ...] = ()) -> DataFrame:
         rows = self.spark.read.parquet(*folders)
+        rows = rows.repartition(*by) if by else rows
         return rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("n")).filter("n != 0")
 
     def view(self, name: str, view: str, schema: str, as_of: dict | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -231,7 +236,7 @@ class Store:
 
     def _rows(self, data: list, deletes: list, schema: str) -> DataFrame:
         if not data:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).limit(0)  # which the optimizer knows to be empty
         newest = max((d["upto"] for d in deletes), default=0)
         old, young = [d for d in data if d[1] <= newest], [d[0] for d in data if d[1] > newest]
         if not old:

@@ -17,7 +17,7 @@ from ..operators.numbering import numbered
 from ..schema import JOB_STATUSES, TRIPLE_KEY, TRIPLE_TYPES
 from ..streaming import job_stream
 from ..streaming.job_state import Rules
-from ..sources.tables import new_folder, once, requests, table
+from ..sources.tables import new_folder, once, requests, table, written
 from .demo_graph import as_ctes, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,7 +343,7 @@ select x.id, {", ".join(f"x.{c}" for c in TRIPLE_KEY)}, cast(x.confidence as dou
 def semantic_dedup(spark, d):
     """Survivors of exact and semantic dedup within each source, over all triples; those without a vector stay."""
     triples = load(spark, d, "triples").withColumn("source_root", F.regexp_replace("source", "_chunk_[0-9]+$", ""))
-    out = dedup.deduplicated(triples, told_vectors(spark, d), 0.3)
+    out = dedup.deduplicated(triples, told_vectors(spark, d), 0.3, stage=lambda df: written(df, new_folder(spark, "semantic-dedup")))
     return out.select("id", *TRIPLE_KEY, F.col("confidence").cast("double").alias("confidence"), "extracted_at", "n_merged")
 
 
@@ -373,9 +373,8 @@ def dedup_job(spark, d):
     from ..graph import KnowledgeGraph
 
     graph = KnowledgeGraph(spark, new_folder(spark, "graph"), embedder=_by_length, semantic_dedup=0.9)
-    stored = dedup.exact_dedup(load(spark, d, "triples")).drop("n_merged")
-    graph.publish_rows("triples", stored)
-    graph.dedup_job(stored.select(F.regexp_replace("source", "_chunk_[0-9]+$", "").alias("source"), "source_type").distinct(), "2025-01-01 00:00:00")
+    graph.publish_rows("triples", dedup.exact_dedup(load(spark, d, "triples")).drop("n_merged"))
+    graph.dedup_job(graph.table("triples").select(F.regexp_replace("source", "_chunk_[0-9]+$", "").alias("source"), "source_type").distinct(), "2025-01-01 00:00:00")
     return graph.table("triples").select(*TRIPLE_KEY, "source", F.col("confidence").cast("double").alias("confidence"), "extracted_at")
 
 

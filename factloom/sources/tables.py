@@ -67,6 +67,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a new folder and read from there, so that what follows doesn't work it out again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _BUILT: dict[tuple[str, str], object] = {}
 
 
