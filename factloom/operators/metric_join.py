@@ -10,13 +10,15 @@ the triangle inequality asks.
 
 No task holds a group or a cell: rows meet pivots in parts of TASK_ROWS rows, and a
 cell's comparisons are dealt out by pairs of slices of SLICE rows.  Vectors that don't
-cluster aren't pruned; then all slices meet, evenly dealt.
+cluster aren't pruned: where rows of the sample would visit over VISITS cells, there are
+fewer pivots, down to one, and all slices meet, evenly dealt.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ CELL_ROWS = 64
 MAX_PIVOTS = 1_024  # of a group
 TASK_ROWS = 20_000
 SLICE = 2_000
+VISITS = 8  # cells that a row of the sample visits on average, beside its home
 SLACK = 1e-6  # of distances, for rounding
 
 
@@ -58,7 +61,18 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
 
 
-def _pivots(rows: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
+def _visits(u: np.ndarray, p: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each row goes to each pivot's cell, the row's own pivot, and the distances."""
+    between = np.nan_to_num(_apart(p, p), nan=np.inf) + SLACK
+    d = np.nan_to_num(_apart(u, p), nan=np.inf)
+    mine = d.argmin(axis=1)
+    near = d[np.arange(len(d)), mine]
+    with np.errstate(invalid="ignore"):
+        goes = (d**2 - near[:, None] ** 2 <= 2 * r * between[mine]) & (np.arange(d.shape[1])[None] <= mine[:, None]) & np.isfinite(near)[:, None]
+    return goes, mine, d
+
+
+def _pivots(rows: DataFrame, sizes: DataFrame, threshold: float, group: str) -> DataFrame:
     """(group, cell, pivot): of the rows with the smallest hashes, four for each pivot, those that lie far apart."""
     most = 4 * MAX_PIVOTS
     order = Window.partitionBy(group).orderBy(F.xxhash64("pos"), "pos")
@@ -67,6 +81,8 @@ def _pivots(rows: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
     some = first.join(sizes, group).withColumn("wanted", wanted).filter(F.col("n") <= 4 * F.col("wanted")).select(group, "n", "wanted", "embedding")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
+    r = radius(threshold)
+
     def far_apart(held: pa.Table) -> pa.Table:
         held = held.sort_by("n")
         u = np.nan_to_num(unit(held.column("embedding")))
@@ -77,6 +93,8 @@ def _pivots(rows: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
             if least.max() <= 1e-12:
                 break
             chosen.append(int(least.argmax()))
+        while len(chosen) > 1 and sum(int(_visits(u[i : i + 1000], u[chosen], r)[0].sum()) for i in range(0, len(u), 1000)) > (1 + VISITS) * len(u):
+            chosen = chosen[: -(-len(chosen) // 4)]
         return pa.table({group: held.column(group).take(chosen), "cell": pa.array(range(len(chosen)), pa.int32()), "pivot": held.column("embedding").take(chosen)})
 
     return some.groupBy(group).applyInArrow(far_apart, f"{group} {kinds[group]}, cell int, pivot {kinds['embedding']}")
@@ -88,7 +106,7 @@ def cells(rows: DataFrame, threshold: float, group: str = "grp") -> DataFrame:
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
     places = F.ceil(F.col("n_rows") / TASK_ROWS).cast("int")
     dealt = rows.join(sizes, group).withColumn("place", F.pmod(F.xxhash64("pos"), places).cast("int")).drop("n_rows")
-    pivots = _pivots(rows, sizes, group).join(sizes, group).withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).drop("n_rows")
+    pivots = _pivots(rows, sizes, threshold, group).join(sizes, group).withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).drop("n_rows")
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     r = radius(threshold)
 
@@ -98,14 +116,9 @@ def cells(rows: DataFrame, threshold: float, group: str = "grp") -> DataFrame:
         u, p = unit(left.column("embedding")), unit(right.column("pivot"))
         if u.size and p.size and u.shape[1] != p.shape[1]:
             raise VectorError(UNEQUAL)
-        between = np.nan_to_num(_apart(p, p), nan=np.inf) + SLACK
         at, cell, home, apart = [], [], [], []
         for i in range(0, len(u), 2000):
-            d = np.nan_to_num(_apart(u[i : i + 2000], p), nan=np.inf)
-            mine = d.argmin(axis=1)
-            known = np.isfinite(d[np.arange(len(d)), mine])
-            near = d[np.arange(len(d)), mine]
-            goes = (d**2 - near[:, None] ** 2 <= 2 * r * between[mine]) & (np.arange(d.shape[1])[None] <= mine[:, None]) & known[:, None]
+            goes, mine, d = _visits(u[i : i + 2000], p, r)
             x, c = np.nonzero(goes)
             at.append(x + i), cell.append(order[c]), home.append(c == mine[x]), apart.append(d[x, c])
         at = np.concatenate(at) if at else np.empty(0, int)
@@ -146,26 +159,27 @@ def similar_pairs(rows: DataFrame, threshold: float, group: str = "grp") -> Data
     r = radius(threshold)
 
     def compare(key: tuple, one: pa.Table, other: pa.Table) -> pa.Table:
-        made, a, b = 0, [], []
+        made, a, b = 0, [np.empty(0, int)], [np.empty(0, int)]
+        one, other = one.sort_by("d"), other.sort_by("d")
+        pos = pa.concat_arrays([*one.column("pos").chunks, *other.column("pos").chunks, pa.array([], one.schema.field("pos").type)])
         if one.num_rows and other.num_rows:
-            one, other = one.sort_by("d"), other.sort_by("d")
             u, v, du, dv = unit(one.column("embedding")), unit(other.column("embedding")), one.column("d").to_numpy(), other.column("d").to_numpy()
-            pu, pv = np.array(one.column("pos").to_pylist(), object), np.array(other.column("pos").to_pylist(), object)
+            rank = pc.rank(pos, tiebreaker="dense").to_numpy()
             same = key[2].as_py() == key[3].as_py()  # a slice with itself holds each pair twice
             for i in range(0, len(u), 256):
                 low, high = np.searchsorted(dv, [du[i] - r, du[min(i + 256, len(u)) - 1] + r])
                 some = u[i : i + 256] @ v[low:high].T >= threshold
                 made += some.size
                 x, y = np.nonzero(some)
-                first, second = pu[x + i], pv[y + low]
-                before = first < second if len(first) else np.empty(0, bool)
-                keep = before if same else np.ones(len(first), bool)
-                a += np.where(before, first, second)[keep].tolist()
-                b += np.where(before, second, first)[keep].tolist()
-        n = len(a)
-        pos = one.schema.field("pos").type
-        of = pa.array([key[0].as_py()] * (n + 1), one.schema.field(group).type)
-        return pa.table({group: of, "a": pa.array([*a, None], pos), "b": pa.array([*b, None], pos), "compared": pa.array([None] * n + [made], pa.int64())})
+                x, y = x + i, y + low + len(u)
+                before = rank[x] < rank[y]
+                if same:
+                    x, y, before = x[before], y[before], before[before]
+                a.append(np.where(before, x, y).astype(np.int32)), b.append(np.where(before, y, x).astype(np.int32))
+        a, b = (pos.take(pa.array(np.concatenate(c).astype(np.int32))) for c in (a, b))
+        n, none = len(a), pa.nulls(1, pos.type)
+        of = pa.concat_arrays([pa.array([key[0].as_py()], one.schema.field(group).type).take(pa.array(np.zeros(n + 1, np.int32)))])
+        return pa.table({group: of, "a": pa.concat_arrays([a, none]), "b": pa.concat_arrays([b, none]), "compared": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([made], pa.int64())])})
 
     by = [group, "cell", "i", "j"]
     return left.groupBy(*by).cogroup(own_columns(right).groupBy(*by)).applyInArrow(compare, f"{group} {kinds[group]}, a {kinds['pos']}, b {kinds['pos']}, compared long")
