@@ -63,8 +63,10 @@ def by_ids(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
 
 def ids_exist(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     """(id, found) for each of ``ids``."""
-    known = df.select(F.col(column).alias("known")).distinct()
-    return ids.select(column).distinct().join(known, F.col(column) == F.col("known"), "left").select(column, F.col("known").isNotNull().alias("found"))
+    asked = ids.select(column).distinct()
+    # a hash of the asked ones in each task, past which the table's rows stream; they are neither sorted nor kept
+    known = df.select(F.col(column).alias("known")).join(asked.toDF("asked").hint("shuffle_hash"), F.col("known") == F.col("asked"), "left_semi").distinct()
+    return asked.join(known, F.col(column) == F.col("known"), "left").select(column, F.col("known").isNotNull().alias("found"))
 
 
 def id_exists(df: DataFrame, one: str, column: str = "id") -> bool:
