@@ -50,9 +50,25 @@ def vector_texts(triples: DataFrame) -> DataFrame:
     return triples.select("id", F.explode(F.array_distinct(kinds)).alias("v")).select("id", "v.*")
 
 
-def materialise_vectors(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Vector rows of triples whose texts the dictionary (text, embedding) has."""
-    found = vector_texts(triples).join(dictionary, "text")
+SENT_TEXTS = 10_000  # of predicates with their embeddings that are sent to the triples; more are met by a shuffle
+
+
+def known_texts(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(id, vector_type, text, embedding) of what the dictionary (text, embedding) has.
+
+    A predicate can be that of most triples, which a shuffle by text would bring to one task:
+    as long as there are few with an embedding, they go to the triples.
+    """
+    texts = vector_texts(triples)
+    said = dictionary.join(triples.select(F.col("predicate").alias("text")).distinct(), "text", "left_semi")
+    if said.limit(SENT_TEXTS + 1).count() > SENT_TEXTS:
+        return texts.join(dictionary, "text").select("id", "vector_type", "text", "embedding")
+    predicates = triples.select("id", F.lit("RELATIONSHIP").alias("vector_type"), F.col("predicate").alias("text")).join(F.broadcast(said), "text")
+    rest = texts.filter("vector_type <> 'RELATIONSHIP'").join(dictionary, "text")
+    return predicates.unionByName(rest).select("id", "vector_type", "text", "embedding")
+
+
+def vector_rows(found: DataFrame) -> DataFrame:
     return found.select(
         safe_id(F.col("id"), F.col("vector_type"), F.col("text")).alias("vector_id"), "text", "embedding", "vector_type",
         F.when(F.col("vector_type") == "ENTITY", F.col("text")).alias("entity_name"), F.col("id").alias("knowledge_triple_id"),
@@ -60,6 +76,11 @@ def materialise_vectors(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
+def materialise_vectors(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Vector rows of triples whose texts the dictionary (text, embedding) has."""
+    return vector_rows(known_texts(triples, dictionary))
+
+
 def missing_texts(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Texts without a vector, by kind."""
     return vector_texts(triples).select("vector_type", "text").distinct().join(dictionary.select("text"), "text", "left_anti")

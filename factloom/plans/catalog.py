@@ -457,8 +457,8 @@ def _dictionary(spark, d):
 def vector_materialise(spark, d):
     """Entity, relationship and semantic vectors of what a dictionary knows."""
     dictionary = _dictionary(spark, d).withColumnRenamed("n", "embedding")
-    out = store.materialise_vectors(load(spark, d, "triples"), dictionary)
-    return out.select("vector_id", "text", "vector_type", "entity_name", "knowledge_triple_id", F.col("embedding").alias("n")).distinct()
+    out = store.vector_rows(store.known_texts(load(spark, d, "triples"), dictionary).distinct())  # which the ids follow from
+    return out.select("vector_id", "text", "vector_type", "entity_name", "knowledge_triple_id", F.col("embedding").alias("n"))
 
 
 @query(

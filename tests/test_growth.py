@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import concepts, dedup, entities, metric_join, search, vector_index
+from factloom.operators import concepts, dedup, entities, filters, metric_join, search, store, vector_index
 
 TRIPLES = "id string, subject string, predicate string, object string, type string, source_root string, confidence double, extracted_at int"
 
@@ -110,3 +110,22 @@ def test_many_searches_are_the_loop_of_each(spark, tmp_path, monkeypatch):
     for i, v in enumerate(vectors[::4]):
         d = np.sqrt(((vectors - v) ** 2).sum(axis=1))
         assert found[i] == sorted(range(len(vectors)), key=lambda j: (d[j], j))[:7]
+
+
+def test_a_predicate_of_all_triples_is_not_one_task(shuffled, monkeypatch):
+    spark = shuffled
+    triples = spark.createDataFrame([(f"{i % 30}", f"a{i}", "is" if i % 9 else "was", "b") for i in range(60)], "id string, subject string, predicate string, object string")
+    dictionary = spark.createDataFrame([("is", 1), ("b", 2), ("a3", 3), ("a3 is b", 4)], "text string, embedding long")
+    whole = {tuple(r) for r in store.vector_texts(triples).join(dictionary, "text").select("id", "vector_type", "text", "embedding").collect()}
+    for most, join in ((1, True), (0, False)):
+        monkeypatch.setattr(store, "SENT_TEXTS", most)
+        found = store.known_texts(triples, dictionary)
+        assert {tuple(r) for r in found.collect()} == whole and ("BroadcastHashJoin" in plan(found)) is join
+    assert store.materialise_vectors(triples, dictionary).count() == found.count()
+
+
+def test_asked_ids_are_what_a_task_keeps(shuffled):
+    table = shuffled.createDataFrame([(f"{i % 50}",) for i in range(200)] + [(None,)], "id string")
+    got = filters.ids_exist(table, shuffled.createDataFrame([("7",), ("7",), ("77",), (None,)], "id string"))
+    assert got.count() == 3 and {tuple(r) for r in got.collect()} == {("7", True), ("77", False), (None, False)}
+    assert "ShuffledHashJoin" in plan(got)
