@@ -2,16 +2,15 @@
 
 Beside the rows stand, for each batch, in Parquet:
 
-* ``grams`` (gram, text): the distinct texts, by hash, that hold a gram of three code
-  points; in ranges of (gram, text), so that footers prune and a frequent gram is several files;
-* ``entries`` (text, value, field, place): the lower-cased text and where it stands;
-* ``rows``: the rows, by ``place``, a hash of their key;
-* ``counts`` (gram, texts, uses): what a gram would lead to.
+* ``rows``: the rows as they come, partitioned by slot, which is that of runs of rows within a task; they aren't shuffled;
+* ``entries`` (value, field, slot, n): the distinct lower-cased texts, and how often they stand in a slot's rows;
+  in ranges of values, each a ``part``, so that texts that begin alike stand together;
+* ``grams`` (gram, part, uses): the parts in which a text holds a gram of three code points;
+* ``counts`` (gram, uses): how many rows' texts hold a gram.
 
-Entries and rows are partitioned by slot of their hash.  A search takes the rarest grams of
-each term, meets their postings, verifies the texts themselves in the slots these fall in, and
-reads the slots of the rows found.  Hashes only narrow: the caller's predicate, applied to what
-``candidates`` gives, decides, so that a collision costs a comparison and no row.
+A search takes the rarest grams of each term, meets the parts that have all of them, verifies
+the texts themselves in these, and reads the slots in which such texts stand.  Slots only narrow:
+the caller's predicate, applied to what ``candidates`` gives, decides.
 
 A term of fewer than three code points has no gram, and one whose rarest gram stands in over
 ``SCAN_SHARE`` of all rows gains nothing: both read all rows, with the same answer.
@@ -24,12 +23,13 @@ entries without grams: no longer term can stand in them.  Repeated rows come bac
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import IntegerType, StructType
 
 FIELDS = ("subject", "predicate", "object")
 GRAM = 3
@@ -38,11 +38,10 @@ SCAN_SHARE = 0.1
 SLOT_ROWS = 2_000
 MAX_SLOTS = 4_096
 
-_ENTRIES = "text long, value string, field string, place long, slot int"
+PART_ROWS = 20_000  # rows to a part of their texts
+MAX_PARTS = 1_024
 
-
-def _slot(c: str, slots: int):
-    return F.pmod(F.col(c), F.lit(slots)).cast("int")
+_ENTRIES = "value string, field string, slot int, n long, part int"
 
 
 def grams(term: str) -> list[str]:
@@ -50,13 +49,14 @@ def grams(term: str) -> list[str]:
     return list(dict.fromkeys(term[i : i + GRAM] for i in range(len(term) - GRAM + 1)))
 
 
-def build(rows: DataFrame, path: str, key: tuple[str, ...] = ("subject", "predicate", "object", "type"), fields: tuple[str, ...] = FIELDS, slots: int | None = None) -> None:
-    """Write the index of ``rows`` to a new folder; the number of slots stays for later batches."""
-    n = slots or min(MAX_SLOTS, max(1, rows.count() // SLOT_ROWS))
+def build(rows: DataFrame, path: str, fields: tuple[str, ...] = FIELDS, slots: int | None = None) -> None:
+    """Write the index of ``rows`` to a new folder; the numbers of slots, of parts and of a run's rows stay for later batches."""
     if clash := {"slot", "place", "batch"} & {c.lower() for c in rows.columns}:
         raise ValueError(f"columns of the index's own names: {sorted(clash)}")
-    about = json.dumps({"schema": rows.schema.jsonValue(), "key": list(key), "fields": list(fields), "slots": n})
-    rows.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}/about")
+    total = rows.count()
+    n = slots or min(MAX_SLOTS, max(1, total // SLOT_ROWS))
+    about = {"schema": rows.schema.jsonValue(), "fields": list(fields), "slots": n, "run": math.ceil(total / n) or SLOT_ROWS, "parts": min(MAX_PARTS, max(1, total // PART_ROWS))}
+    rows.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}/about")
     TextIndex(rows.sparkSession, path).append(rows)
 
 
@@ -66,7 +66,8 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         about = json.loads(spark.read.text(f"{self.path}/about").first()[0])
-        self.schema, self.key, self.fields, self.slots = StructType.fromJson(about["schema"]), about["key"], about["fields"], about["slots"]
+        self.schema, self.fields = StructType.fromJson(about["schema"]), about["fields"]
+        self.slots, self.run, self.parts = about["slots"], about["run"], about["parts"]
         self.batches = self._done()
         uses = self._counts().filter(F.col("gram").isNull()).agg(F.sum("uses")).first()[0]
         self.total = uses or 0  # rows
@@ -86,33 +87,33 @@ class TextIndex:
         return found.drop("batch")
 
     def _counts(self) -> DataFrame:
-        return self._read("counts", "gram string, texts long, uses long")
+        return self._read("counts", "gram string, uses long")
 
     def append(self, rows: DataFrame) -> None:
         """Index one more batch; it is seen when its counts, which are written last, are there."""
-        batch, n = f"batch={uuid.uuid4().hex}", self.slots
-        rows.select(*self.schema.names).withColumn("place", F.xxhash64(*self.key)).withColumn("slot", _slot("place", n)).repartitionByRange(
-            "slot", "place"
-        ).sortWithinPartitions("slot", "place").write.partitionBy("slot").parquet(f"{self.path}/rows/{batch}")
-        stored = self.spark.read.schema(StructType([*self.schema.fields]).add("place", LongType()).add("slot", IntegerType())).parquet(f"{self.path}/rows/{batch}")
-        parts = [stored.select(F.lower(c).alias("value"), F.lit(c).alias("field"), "place") for c in self.fields]
-        entries = reduce(DataFrame.unionByName, parts).filter("value is not null").withColumn("text", F.xxhash64("value")).withColumn("slot", _slot("text", n))
-        entries.select("text", "value", "field", "place", "slot").repartitionByRange("slot", "text", "place").sortWithinPartitions(
-            "slot", "text"
-        ).write.partitionBy("slot").parquet(f"{self.path}/entries/{batch}")
-        texts = self.spark.read.schema(_ENTRIES).parquet(f"{self.path}/entries/{batch}").groupBy("text", "value").agg(F.count(F.lit(1)).alias("uses"))
-        long = texts.filter(F.length("value") >= GRAM)
+        batch = f"batch={uuid.uuid4().hex}"
+        row = F.monotonically_increasing_id()  # the task's number and, in 33 bits, the row's within it
+        run = F.xxhash64(F.lit(batch), F.shiftright(row, 33), F.floor(row.bitwiseAND(F.lit(2**33 - 1)) / self.run))
+        rows.select(*self.schema.names).withColumn("slot", F.pmod(run, F.lit(self.slots)).cast("int")).write.partitionBy("slot").parquet(f"{self.path}/rows/{batch}")
+        stored = self.spark.read.schema(StructType([*self.schema.fields]).add("slot", IntegerType())).parquet(f"{self.path}/rows/{batch}")
+        said = F.explode(F.array(*[F.struct(F.lower(c).alias("value"), F.lit(c).alias("field")) for c in self.fields])).alias("said")
+        # rows that stand together repeat texts, which the aggregation combines within tasks
+        entries = stored.select("slot", said).filter("said.value is not null").groupBy("said.value", "said.field", "slot").agg(F.count(F.lit(1)).alias("n"))
+        entries.repartitionByRange(self.parts, "value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(
+            f"{self.path}/entries/{batch}"
+        )
+        long = self.spark.read.schema(_ENTRIES).parquet(f"{self.path}/entries/{batch}").filter(F.length("value") >= GRAM)
         cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("value") - GRAM + 1), lambda i: F.substring("value", i, F.lit(GRAM))))
-        long.select(F.explode(cut).alias("gram"), "text", "uses").repartitionByRange("gram", "text").sortWithinPartitions("gram", "text").write.parquet(f"{self.path}/grams/{batch}")
-        posted = self.spark.read.parquet(f"{self.path}/grams/{batch}")
-        counted = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"), F.sum("uses").alias("uses"))
-        total = stored.agg(F.lit(None).cast("string").alias("gram"), F.lit(0).cast("long").alias("texts"), F.count(F.lit(1)).alias("uses"))
+        posted = long.select(F.explode(cut).alias("gram"), "part", "n").groupBy("gram", "part").agg(F.sum("n").alias("uses"))
+        posted.repartitionByRange("gram").sortWithinPartitions("gram", "part").write.parquet(f"{self.path}/grams/{batch}")
+        counted = self.spark.read.schema("gram string, uses long").parquet(f"{self.path}/grams/{batch}").groupBy("gram").agg(F.sum("uses").alias("uses"))
+        total = stored.agg(F.lit(None).cast("string").alias("gram"), F.count(F.lit(1)).alias("uses"))
         counted.unionByName(total).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{self.path}/counts/{batch}")
         self.__init__(self.spark, self.path)
 
     def rows(self, slots: list[int] | None = None) -> DataFrame:
-        """All rows, or those of some slots, with ``place``."""
-        found = self._read("rows", StructType([*self.schema.fields]).add("place", LongType()).add("slot", IntegerType()))
+        """All rows, or those of some slots."""
+        found = self._read("rows", StructType([*self.schema.fields]).add("slot", IntegerType()))
         return (found if slots is None else found.filter(F.col("slot").isin(slots))).drop("slot")
 
     def probes(self, terms: list[str]) -> dict[str, list[str]] | None:
@@ -133,21 +134,17 @@ class TextIndex:
         return None if expected > SCAN_SHARE * self.total else out
 
     def places(self, probes: dict[str, list[str]], fields: list[str] | None = None) -> DataFrame:
-        """The distinct places of texts that hold a term."""
-        posted = self._read("grams", "gram string, text long")
+        """The distinct places, which are slots, of texts that hold a term."""
+        posted = self._read("grams", "gram string, part int")
         found = []
         for term, gs in probes.items():
-            texts = posted.filter(F.col("gram").isin(gs)).groupBy("text").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(gs)).select("text")
-            slots = [r[0] for r in texts.select(_slot("text", self.slots).alias("slot")).distinct().collect()]  # MAX_SLOTS numbers at most
-            entries = self._read("entries", _ENTRIES).filter(F.col("slot").isin(slots) & F.col("field").isin(fields or self.fields))
-            found.append(entries.join(texts, "text", "left_semi").filter(F.contains("value", F.lit(term))).select("place"))
-        return reduce(DataFrame.unionByName, found).distinct() if found else self.spark.createDataFrame([], "place long")
+            held = posted.filter(F.col("gram").isin(gs)).groupBy("part").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(gs))
+            parts = [r["part"] for r in held.collect()]  # MAX_PARTS numbers at most
+            entries = self._read("entries", _ENTRIES).filter(F.col("part").isin(parts) & F.col("field").isin(fields or self.fields))
+            found.append(entries.filter(F.contains("value", F.lit(term))).select(F.col("slot").alias("place")))
+        return reduce(DataFrame.unionByName, found).distinct() if found else self.spark.createDataFrame([], "place int")
 
     def candidates(self, terms: list[str], fields: list[str] | None = None) -> DataFrame:
         """Rows among which are all that hold a term in one of ``fields``; all rows where the index wouldn't help."""
         probes = self.probes(terms)
-        if probes is None:
-            return self.rows().drop("place")
-        places = self.places(probes, fields)
-        slots = [r[0] for r in places.select(_slot("place", self.slots).alias("slot")).distinct().collect()]  # MAX_SLOTS numbers at most
-        return self.rows(slots).join(places, "place", "left_semi").drop("place")
+        return self.rows(None if probes is None else [r["place"] for r in self.places(probes, fields).collect()])  # MAX_SLOTS numbers at most

@@ -71,3 +71,16 @@ def test_batches_add_up(spark, tmp_path):
 def test_own_names_are_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         text_index.build(spark.createDataFrame(made(3), SCHEMA).withColumn("Slot", F.lit(1)), str(tmp_path / "index"))
+
+
+def test_rows_stay_and_texts_move_once_for_a_slot(spark, tmp_path):
+    """Rows are written in their order, without a shuffle; a text that a slot's rows repeat is one entry."""
+    rows = spark.createDataFrame([(f"{i:04d}", f"Alder:{i // 100}", "knows", "birch", "x") for i in range(2_000)], SCHEMA).coalesce(1)
+    path = str(tmp_path / "index")
+    text_index.build(rows, path, slots=20)
+    index = text_index.TextIndex(spark, path)
+    runs = spark.read.parquet(f"{path}/rows").groupBy("slot").agg(F.collect_list("id").alias("ids")).collect()
+    assert all(int(b) - int(a) == 1 or int(b) % 100 == 0 for r in runs for a, b in zip(sorted(r["ids"]), sorted(r["ids"])[1:]) if int(b) // 100 == int(a) // 100)
+    entries = spark.read.parquet(f"{path}/entries")
+    assert entries.count() == 20 + 2 * len(runs) and entries.agg(F.sum("n")).first()[0] == 6_000
+    assert index.candidates(["alder:13"]).filter("subject = 'Alder:13'").count() == 100 and index.candidates(["alder:13"]).count() < 1_000
