@@ -121,9 +121,22 @@ def cleaned_concepts(raw: DataFrame) -> DataFrame:
     return raw.withColumns(said).withColumn("id", concept_id())
 
 
+NO_DECIMAL = "[A-DF-Za-df-z]"  # decimals have signs, digits, points, and an E or e before an exponent
+
+
 def strict_casts(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Columns as other types; what can't be read becomes null instead of an error."""
-    return raw.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items()})
+    """Columns as other types; what can't be read becomes null instead of an error.
+
+    Trying a decimal costs an exception for each text that is none, so those with a letter
+    that no decimal has aren't tried.
+    """
+    said = {f.name: f.dataType.simpleString() for f in raw.schema}
+
+    def cast(c: str, k: str) -> Column:
+        tried = F.col(c).try_cast(k)
+        return F.when(~F.col(c).rlike(NO_DECIMAL), tried) if said.get(c) == "string" and k.lower().startswith("decimal") else tried
+
+    return raw.withColumns({c: cast(c, k) for c, k in kinds.items()})
 
 
 class Store:

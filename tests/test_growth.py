@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import chunking
 from factloom.operators import concepts, dedup, entities, filters, metric_join, search, store, vector_index
 
 TRIPLES = "id string, subject string, predicate string, object string, type string, source_root string, confidence double, extracted_at int"
@@ -151,3 +152,20 @@ def test_rows_without_a_vector_are_not_written_again(spark, tmp_path, monkeypatc
         sizes = [df.count() for df in written]
         assert sizes == [300, 31, 30 if most else 300, 6]
     assert found[1_000] == found[0] and len(found[0]) == 276 and sum(r[3] for r in found[0]) == 300
+
+
+def test_texts_that_are_no_decimals_are_not_tried(spark):
+    """The same as trying all of them."""
+    texts = ["1", "-2.50", "+.5", "1e2", "1E-2", " 7 ", "\t8\n", "٣", "1234567", "e", "", "-", "1:2", "calm", "doc:1", "1d", "0x1", "NaN", "Infinity", None]
+    rows = spark.createDataFrame([(t, t) for t in texts], "number string, time string").repartition(2)
+    got = store.strict_casts(rows, {"number": "Decimal(5,2)", "time": "timestamp"})
+    wanted = rows.select(F.col("number").try_cast("decimal(5,2)").alias("number"), F.col("time").try_cast("timestamp").alias("time"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+    assert "RLIKE" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_are_cut_some_texts_at_a_time(spark):
+    docs = spark.createDataFrame([(i, "A sentence. " * i) for i in range(300)] + [(300, None), (301, " ")], "id int, text string")
+    out = docs.select("id", chunking.chunk_column(F.col("text"), 100, 10).alias("c"))
+    assert "BatchEvalPython" in plan(out) and "Arrow" not in plan(out)
+    assert {r["id"]: [tuple(c) for c in r["c"]] for r in out.collect()} == {i: chunking.chunks(t, 100, 10) for i, t in docs.collect()}
