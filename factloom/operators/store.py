@@ -82,8 +82,15 @@ def materialise_vectors(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def missing_texts(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Texts without a vector, by kind."""
-    return vector_texts(triples).select("vector_type", "text").distinct().join(dictionary.select("text"), "text", "left_anti")
+    """Texts without a vector, by kind.
+
+    Names and predicates repeat, which tasks combine before they send them.  Whole triples
+    hardly do, and a task would keep all of its own for nothing: they are dealt first.
+    """
+    kind = lambda name, text: triples.select(F.lit(name).alias("vector_type"), text.alias("text"))
+    entities = triples.select(F.lit("ENTITY").alias("vector_type"), F.explode(F.array("subject", "object")).alias("text"))
+    texts = entities.distinct().unionByName(kind("RELATIONSHIP", F.col("predicate")).distinct()).unionByName(kind("SEMANTIC", semantic_text()).repartition("text").distinct())
+    return texts.join(dictionary.select("text"), "text", "left_anti")
 
 
 def wrong_dimension(vectors: DataFrame, n: int = 1536) -> DataFrame:

@@ -169,3 +169,30 @@ def test_chunks_are_cut_some_texts_at_a_time(spark):
     out = docs.select("id", chunking.chunk_column(F.col("text"), 100, 10).alias("c"))
     assert "BatchEvalPython" in plan(out) and "Arrow" not in plan(out)
     assert {r["id"]: [tuple(c) for c in r["c"]] for r in out.collect()} == {i: chunking.chunks(t, 100, 10) for i, t in docs.collect()}
+
+
+def test_whole_triples_are_dealt_before_they_are_compared(shuffled):
+    triples = shuffled.createDataFrame([(f"{i}", f"a{i % 7}", "is" if i % 3 else None, f"b{i % 11}") for i in range(200)] + [("x", None, None, None), ("y", "a", "is", "a")], "id string, subject string, predicate string, object string")
+    dictionary = shuffled.createDataFrame([("is",), ("b2",), ("a3",), ("a3 is b2",), ("a1 b1",)], "text string")
+    got = store.missing_texts(triples, dictionary)
+    wanted = store.vector_texts(triples).select("vector_type", "text").distinct().join(dictionary, "text", "left_anti")
+    key = lambda df: sorted((r["vector_type"], r["text"] or "") for r in df.select("vector_type", "text").collect())
+    assert key(got) == key(wanted) and len(key(got)) > 80
+    assert "REPARTITION_BY_COL" in plan(got)
+
+
+def test_entity_relationship_and_fallback_searches_move_the_hits_rows(shuffled):
+    """Of the triples, ids alone are shuffled; the rows found are those of the few hits that are sent to them."""
+    triples = shuffled.createDataFrame([(f"t{i}", f"n{i}", "is", "b", None) for i in range(60)], "id string, subject string, predicate string, object string, source_date timestamp")
+    said = shuffled.createDataFrame([(k, f"t{i}", f"c{i}", [float(i), 1.0]) for k in ("ENTITY", "RELATIONSHIP", "SEMANTIC", "CONCEPT") for i in range(40)],
+                                    "vector_type string, knowledge_triple_id string, concept_node_id string, embedding array<double>")
+    topics = shuffled.createDataFrame([(f"c{i}", f"topic {i}") for i in range(40)], "id string, concept string")
+    hits, near, _ = search.search_with_fallback(triples, topics, said, [0.0, 1.0], -4.5, 3)
+    none, instead, _ = search.search_with_fallback(triples, topics, said, [0.5, 1.0], 0.0, 3)
+    for got in (search.search_entity_vector(triples, said, [0.0, 1.0], -4.5, 3), search.search_relationship_vector(triples, said, [0.0, 1.0], -4.5, 3), hits):
+        assert [r["id"] for r in got.collect()] == ["t0", "t1", "t2"]
+        assert "BroadcastHashJoin" in plan(got) and "SortMergeJoin [item" in plan(got) and "SortMergeJoin [id" not in plan(got)
+    assert near.count() == 0 and none.count() == 2 and instead.count() == 0
+    assert [r["id"] for r in search.search_with_fallback(triples, topics, said, [0.0, 9.0], -7.5, 3)[1].collect()] == []
+    far = said.withColumn("embedding", F.when(F.col("vector_type") == "SEMANTIC", F.array(F.lit(9.0), F.lit(9.0))).otherwise(F.col("embedding")))
+    assert [r["id"] for r in search.search_with_fallback(triples, topics, far, [0.0, 1.0], 0.0, 3)[1].collect()] == ["c0", "c1"]
