@@ -430,7 +430,7 @@ def job_stream_states(spark, d):
     stream = job_stream.run_jobs(spark, where, out, new_folder(spark, "job-stream"), handlers, Rules(second=0, backoff=0), every="0 seconds")
     total = docs.select(F.count(F.lit(1)) * 2 + 2 * F.count_if(F.col("id").cast("long") % 7 != 0)).first()[0]
     job_stream.wait_until_final(stream, spark, out, total, 3600)
-    return job_stream.job_states(spark, out).select("id", "status", "retry_count")
+    return job_stream.job_states(spark, out, "status", "retry_count")
 
 
 _DICTIONARY = """dictionary as (select 'customer:' || cast(vec_id as varchar(20)) text, cast(vec_id as bigint) n from embeddings

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .job_state import FINAL, STATE, Pipelines, Rules
+from .job_state import FIELDS, FINAL, OUT, SLOTS, STATE, Pipelines, Rules
 
 EVENT = (
     "id string, event_time timestamp, job_type string, parent_job_id string, stage string, status string, progress int, retry_count int, max_retries int, "
@@ -51,13 +51,18 @@ def run_jobs(
     """
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    events = spark.readStream.schema(EVENT).json(events_dir).withColumn("pipeline", F.coalesce("parent_job_id", "id"))
-    moved = events.filter("id is not null").groupBy("pipeline").transformWithState(Pipelines(rules), STATE, "Update", "ProcessingTime")
+    times = ("event_time", "not_before")
+    told = F.to_json(F.struct(*[F.unix_micros(c).alias(c) if c in times else F.col(c) for c in FIELDS]), {"ignoreNullFields": "true"})
+    events = spark.readStream.schema(EVENT).json(events_dir).filter("id is not null").select(F.coalesce("parent_job_id", "id").alias("pipeline"), told.alias("event"))
+    dealt = events.select(F.pmod(F.xxhash64("pipeline"), F.lit(SLOTS)).cast("int").alias("slot"), "pipeline", "event")
+    moved = dealt.groupBy("slot").transformWithState(Pipelines(rules), OUT, "Update", "ProcessingTime")
+    moved = moved.select("kind", F.from_json("told", STATE.replace("kind string, ", "").replace("timestamp", "long"), {"mode": "FAILFAST"}).alias("told")).select("kind", "told.*")
+    moved = moved.withColumns({c: F.timestamp_micros(c) for c in times})
 
     def step(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            batch.filter("kind = 'state'").drop("kind").write.mode("overwrite").parquet(f"{done_dir}/batch={number}")
+            batch.drop("kind").write.mode("overwrite").parquet(f"{done_dir}/batch={number}")
             due = batch.filter("kind = 'run'").drop("kind", "pipeline")
             if not due.isEmpty():
                 enqueue(spark, events_dir, dispatch(due, handlers))
@@ -67,24 +72,34 @@ def run_jobs(
     return moved.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).outputMode("update").foreachBatch(step).start()
 
 
-def job_states(spark: SparkSession, done_dir: str) -> DataFrame:
-    """What each job has come to: the last row that the stream wrote of it."""
-    rows = spark.read.schema(f"{STATE.replace('kind string, ', '')}, batch long").parquet(done_dir)
-    rest = [c for c in rows.columns if c not in ("id", "event_time", "batch")]
-    last = rows.groupBy("id").agg(F.max_by(F.struct("event_time", *rest), F.struct("batch", "event_time", "retry_count", F.col("status").isin(*FINAL))).alias("s"))
+def _rows(spark: SparkSession, done_dir: str) -> DataFrame:
+    return spark.read.schema(f"{STATE.replace('kind string, ', '')}, batch long").parquet(done_dir)
+
+
+def job_states(spark: SparkSession, done_dir: str, *columns: str) -> DataFrame:
+    """What each job has come to (all columns, or id and those): the last row that the stream wrote of it."""
+    rows = _rows(spark, done_dir)
+    told = columns or ["event_time", *[c for c in rows.columns if c not in ("id", "event_time", "batch")]]
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*told), F.struct("batch", "event_time", "retry_count", F.col("status").isin(*FINAL))).alias("s"))
     return last.select("id", "s.*")
 
 
 def wait_until_final(query: StreamingQuery, spark: SparkSession, done_dir: str, jobs: int, seconds: float) -> None:
-    """Wait until so many jobs are final, then stop the stream; a TimeoutError after ``seconds``."""
-    end = time.time() + seconds
+    """Wait until so many jobs are final, then stop the stream; a TimeoutError after ``seconds``.
+
+    A job becomes final once, so each batch that has ended is read and counted once.
+    """
+    end, final, counted = time.time() + seconds, 0, -1
     try:
         while time.time() < end:
             if query.exception():
                 raise query.exception()
-            batches = [p for p in query.recentProgress if p["batchId"] >= 0]
-            if batches and job_states(spark, done_dir).filter(F.col("status").isin(*FINAL)).count() >= jobs:
-                return
+            ended = max((p["batchId"] for p in query.recentProgress if "addBatch" in p["durationMs"]), default=-1)  # others had nothing to do
+            if ended > counted:
+                final += _rows(spark, done_dir).filter((F.col("batch") > counted) & (F.col("batch") <= ended) & F.col("status").isin(*FINAL)).count()
+                counted = ended
+                if final >= jobs:
+                    return
             time.sleep(0.5)
         raise TimeoutError(f"not all of {jobs} jobs came to an end")
     finally:

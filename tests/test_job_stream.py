@@ -6,10 +6,12 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from factloom.operators import jobs
-from factloom.streaming import job_stream
+from factloom.streaming import job_state, job_stream
 from factloom.streaming.job_state import Rules
 
 DOCS = "id string, text string, source string, source_type string"
@@ -107,3 +109,84 @@ def test_a_raising_handler_stops_the_stream(spark, tmp_path):
     with pytest.raises(Exception, match="stage cancelled"):
         query.awaitTermination(60)
     assert os.path.isdir(f"{tmp_path}/done")
+
+
+class Counted:
+    """A key's state and timers, with the calls of them."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getMapState(self, name, key, value):
+        return CountedMap(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+
+class CountedMap:
+    def __init__(self, of):
+        self.of, self.held = of, {}
+
+    def getValue(self, key):
+        self.of.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.of.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.of.calls += 1
+        self.held.pop(key, None)
+
+
+def test_many_pipelines_take_few_calls_of_the_state():
+    asked = lambda n, at: json.dumps({"id": f"job-{n}-extraction", "parent_job_id": f"job-{n}", "stage": "EXTRACTION", "status": "QUEUED", "not_before": at * 1000})
+    rows = [Row(pipeline=f"job-{n}", event=asked(n, 0 if n else 7000)) for n in range(1000)]
+    handle, state = Counted(), job_state.Pipelines(Rules(timeout=2000, second=0))
+    state.init(handle)
+    out = list(state.handleInputRows((0,), iter(rows), TimerValues(5000, 0)))
+    assert sum(r["kind"] == "run" for r in out) == 999 and sum(r["kind"] == "state" for r in out) == 1
+    assert handle.calls <= 2 * job_state.PAGES + 10 and sorted(handle.timers) == [7000]  # one time for both: job-0 may start, the others time out
+    outcome = json.dumps({"id": "job-1-extraction", "status": "COMPLETED"})
+    assert [json.loads(r["told"])["id"] for r in state.handleInputRows((0,), iter([Row(pipeline="job-1", event=outcome)]), TimerValues(6000, 0))] == ["job-1-extraction", "job-1-concepts", "job-1-deduplication"]
+    handle.calls = 0
+    out = [json.loads(r["told"]) | {"kind": r["kind"]} for r in state.handleExpiredTimer((0,), TimerValues(7000, 0), ExpiredTimerInfo(7000))]
+    assert {r["status"] for r in out if r["id"] != "job-0-extraction"} == {"FAILED"} and len(out) == 999  # job-1 ended in time
+    assert [r["kind"] for r in out if r["id"] == "job-0-extraction"] == ["run"]
+    assert handle.calls <= 2 * job_state.PAGES + 10 and sorted(set(handle.timers)) == [7000, 8000, 9000]  # job-1's later stages, job-0
+
+
+class Told:
+    """A stream that tells another progress each time."""
+
+    def __init__(self, *progress):
+        self.left, self.stopped = list(progress), False
+
+    def exception(self):
+        return None
+
+    @property
+    def recentProgress(self):
+        return self.left.pop(0) if len(self.left) > 1 else self.left[0]
+
+    def stop(self):
+        self.stopped = True
+
+
+def test_waiting_reads_each_batch_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(job_stream, "job_states", lambda *_: pytest.fail("all batches are read again"))
+    for n, states in enumerate((["COMPLETED", "PROCESSING"], ["FAILED"], ["COMPLETED"])):
+        spark.createDataFrame([(f"{n}-{i}", s) for i, s in enumerate(states)], "id string, status string").write.parquet(f"{tmp_path}/batch={n}")
+    ran, idle = (lambda n: {"batchId": n, "durationMs": {"addBatch": 1}}), (lambda n: {"batchId": n, "durationMs": {}})
+    query = Told([], [ran(0)], [ran(0)], [ran(0), ran(1)])
+    job_stream.wait_until_final(query, spark, str(tmp_path), 2, 60)
+    assert query.stopped
+    with pytest.raises(TimeoutError):
+        job_stream.wait_until_final(Told([ran(1), idle(2)]), spark, str(tmp_path), 3, 3)  # batch 2 has not ended
