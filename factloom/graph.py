@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.measures import processing_delay
+from .functions.text import semantic_text
 from .operators import concepts as C
 from .operators import dedup, entities, extract, fusion, jobs, search, store, usage
 from .operators.filters import Scope
-from .schema import CONCEPTS, CONCEPTUALIZATIONS, DICTIONARY, JOBS, TOKEN_USAGE, TRIPLE_KEY, TRIPLE_TYPES, TRIPLES, VECTORS
+from .schema import CODEC, CONCEPTS, CONCEPTUALIZATIONS, DICTIONARY, JOBS, TOKEN_USAGE, TRIPLE_KEY, TRIPLE_TYPES, TRIPLES, VECTORS
 
 SCHEMAS = {"triples": TRIPLES, "concepts": CONCEPTS, "conceptualizations": CONCEPTUALIZATIONS, "vectors": VECTORS, "jobs": JOBS, "token_usage": TOKEN_USAGE, "dictionary": DICTIONARY}
 #: What tells a table's rows apart; a row whose key is stored already is not stored again.
@@ -68,7 +69,7 @@ class KnowledgeGraph:
     def _staged(self, df: DataFrame) -> DataFrame:
         """Written once, so that what follows doesn't extract or embed again; nothing names the folder."""
         folder = f"{self.root}/staging/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        df.write.parquet(folder, compression=CODEC)
         return self.spark.read.schema(df.schema).parquet(folder)
 
     def _publish(self, appended: dict[str, DataFrame], deleted: dict[str, DataFrame] | None = None, as_of: int | None = None) -> None:
@@ -85,14 +86,21 @@ class KnowledgeGraph:
         before they are used, so that a batch that fails later has not asked in vain.
         """
         digest = F.sha2("text", 256)
-        wanted = self._staged(texts.filter("text is not null").select("text").distinct())
-        stored = self.table("dictionary").filter(F.col("model") == self.model).select("digest", "embedding")
-        made = self._staged(extract.embed_texts(wanted.join(stored.select("digest"), digest == F.col("digest"), "left_anti"), self.embedder))
+        wanted = texts.filter("text is not null").select("text").distinct()
+        as_of, now = self.store.manifest()
+        known = bool(now.get("dictionary", {}).get("data"))
+        stored = self.store.read("dictionary", DICTIONARY, now).filter(F.col("model") == self.model).select("digest", "embedding")
+        if known:
+            wanted = self._staged(wanted)
+        new = wanted.join(stored.select("digest"), digest == F.col("digest"), "left_anti") if known else wanted
+        rows = extract.embed_distinct(new, self.embedder).withColumns({"digest": digest, "model": F.lit(self.model)})
+        folder = self.store.write("dictionary", _shaped(rows, DICTIONARY))  # what is published is what is used
+        made = self.spark.read.schema(DICTIONARY).parquet(folder)
         if not made.isEmpty():
-            rows = made.withColumns({"digest": digest, "model": F.lit(self.model)})
-            store.checked_vectors(rows.withColumn("vector_id", F.col("digest")), self.dimension)
-            self._publish({"dictionary": _shaped(rows, DICTIONARY)})
-        return wanted.join(stored, digest == F.col("digest")).select("text", "embedding").unionByName(made)
+            store.checked_vectors(made.withColumn("vector_id", F.col("digest")), self.dimension)
+            self._publish({"dictionary": folder}, as_of=as_of)
+        made = made.select("text", "embedding")
+        return wanted.join(stored, digest == F.col("digest")).select("text", "embedding").unionByName(made) if known else made
 
     # -- storing
 
@@ -204,12 +212,17 @@ class KnowledgeGraph:
             return sources.select(*by, zero.alias("original"), zero.alias("remaining"), zero.alias("removed"), F.lit(True).alias("skipped"))
         as_of = self.store.manifest()[0]
         triples = self._staged(self._of_sources(self.table("triples"), sources).withColumn("source_root", F.concat_ws("\u001f", "source_root", "source_type")))
-        dictionary = self._dictionary(store.vector_texts(triples).filter("vector_type = 'SEMANTIC'").select("text"))
-        kept = dedup.deduplicated(triples, dictionary, self.semantic_dedup, stage=self._staged)
-        gone = self._staged(store.without_keys(triples.select("id", *TRIPLE_KEY), kept, TRIPLE_KEY))
-        merged = _shaped(kept.filter("n_merged > 1"), TRIPLES)
+        dictionary = self._dictionary(triples.select(semantic_text().alias("text")))
+        exact, survivors = dedup.merged_keys(triples, dictionary, self.semantic_dedup, stage=self._staged)
+        keyed = lambda df: df.withColumns(dict(zip(dedup.KEY_BITS, dedup.key_bits())))
+        kept = keyed(exact).join(survivors.select(*dedup.KEY_BITS), dedup.KEY_BITS, "left_semi")
+        gone = keyed(triples.select("id", *TRIPLE_KEY)).join(survivors.select(*dedup.KEY_BITS), dedup.KEY_BITS, "left_anti").select("id", *TRIPLE_KEY)
+        merged = keyed(exact).drop("confidence", "extracted_at").join(survivors.filter("n_merged > 1").drop("n_merged"), dedup.KEY_BITS)
+        merged = self._staged(_shaped(merged, TRIPLES))
         deleted = {"triples": gone.select(*TRIPLE_KEY).unionByName(merged.select(*TRIPLE_KEY))}
         if self.store.holds("vectors", as_of):
+            gone = self._staged(gone)
+            deleted["triples"] = gone.select(*TRIPLE_KEY).unionByName(merged.select(*TRIPLE_KEY))
             deleted["vectors"] = store.vectors_to_delete(gone, self.table("triples"))
         # what is written follows the sources' rows, not the tables
         self._publish({"triples": merged}, deleted, as_of)

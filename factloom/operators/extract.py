@@ -132,13 +132,18 @@ def usage_rows(rows: DataFrame) -> DataFrame:
 
 def embed_texts(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hash_embedder) -> DataFrame:
     """(text, embedding) of the distinct texts."""
+    return embed_distinct(texts.filter("text is not null").select("text").distinct(), embedder)
+
+
+def embed_distinct(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hash_embedder) -> DataFrame:
+    """(text, embedding) of texts that are distinct and not null."""
 
     def run(tables) -> Iterator[pa.RecordBatch]:
         for t in tables:
             vectors = embedder(t.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([t.column("text"), pa.array(list(vectors.astype(np.float32)), pa.list_(pa.float32()))], ["text", "embedding"])
 
-    return texts.filter("text is not null").select("text").distinct().mapInArrow(run, "text string, embedding array<float>")
+    return texts.select("text").mapInArrow(run, "text string, embedding array<float>")
 
 
 def bucket_concepts(elements: DataFrame, *by: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import clamp_confidence, safe_id, sanitize, semantic_text
-from ..schema import TRIPLE_KEY
+from ..schema import CODEC, TRIPLE_KEY
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
@@ -161,6 +161,9 @@ class Store:
     whose unique key the other has published meanwhile; what it deletes is what it had
     read; what it replaces is worked out again from what is stored then.
 
+    A delete of over REWRITTEN keys that takes most of a table writes what is left of the
+    table instead: that is less than the keys, which every reading would join with all rows.
+
     A table of over FOLDERS data folders has its smallest ones merged into one, without
     the rows that are deleted: large folders are rarely written again.  Merged rows keep
     their numbers, for deletes of publishers that worked from an earlier manifest.  Over DELETES
@@ -178,6 +181,7 @@ class Store:
 
     FOLDERS = 64  # of a table's data, from which on a publication merges the smallest
     DELETES = 16
+    REWRITTEN = 100_000  # keys of a delete, from which on it may write the rest of the table
 
     def __init__(self, spark: SparkSession, root: str, keys: dict[str, list[str]] | None = None, views: dict[str, dict[str, Callable[[DataFrame], DataFrame]]] | None = None):
         self.spark, self.root, self.keys, self.views = spark, root.rstrip("/"), keys or {}, views or {}
@@ -261,6 +265,21 @@ class Store:
         folders = table.get("views", {}).get(view)
         return self._added_up(folders, by) if folders else self.views[name][view](self._rows(table["data"], table["deletes"], schema))
 
+    def _outnumbers(self, table: dict, entry: dict, schema: str) -> bool:
+        """Whether a delete folder has more keys than it leaves rows; by the files' footers."""
+        keys = self.spark.read.parquet(entry["folder"]).count()
+        return keys > self.REWRITTEN and 2 * keys > self.spark.read.schema(schema).parquet(*[d[0] for d in table["data"]]).count()
+
+    def _rewritten(self, name: str, table: dict, entry: dict, schemas: dict[str, str]) -> dict:
+        """The table as the rows that its deletes and this one leave, with their numbers, and no deletes: no later row is as old as these."""
+        data = table["data"]
+        folder = self._written(name, self._numbered(data, [*table["deletes"], entry], schemas[name]))
+        rows = self.spark.read.schema(schemas[name]).parquet(folder)
+        return {
+            "data": [[folder, min(d[1] for d in data), max(d[2] for d in data)]], "deletes": [], "filters": self._filter(name, folder, schemas),
+            "views": {v: [self._counts(name, v, rows)] for v in self.views.get(name, {})},
+        }
+
     def _numbered(self, data: list, deletes: list, schema: str) -> DataFrame:
         """Rows of data folders without those deleted, with the number of the manifest that first named each."""
         rows = self.spark.read.schema(f"{schema}, _named bigint").parquet(*[d[0] for d in data])
@@ -287,9 +306,13 @@ class Store:
 
     def _written(self, name: str, df: DataFrame) -> str:
         folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        df.write.parquet(folder, compression=CODEC)
         return folder
 
+    def write(self, name: str, df: DataFrame) -> str:
+        """A folder of the table that nothing names until it is published."""
+        return self._written(name, df)
+
     def size(self, folder: str) -> int:
         """Bytes of a folder's files."""
         return self._fs.getContentSummary(self._path(folder)).getLength()
@@ -337,10 +360,10 @@ class Store:
         return {"data": data, "deletes": deletes, "filters": {d[0]: filters[d[0]] for d in data if d[0] in filters}, "views": views}
 
     def publish(
-        self, appended: dict[str, DataFrame], replaced: dict[str, Callable[[DataFrame], DataFrame]] | None = None, schemas: dict[str, str] | None = None, tries: int = 20,
+        self, appended: dict[str, DataFrame | str], replaced: dict[str, Callable[[DataFrame], DataFrame]] | None = None, schemas: dict[str, str] | None = None, tries: int = 20,
         deleted: dict[str, DataFrame] | None = None, keys: dict[str, list[str]] | None = None, as_of: int | None = None,
     ) -> None:
-        """Append tables' rows, delete those with given keys, and put for others what a function makes of their stored rows, all at once.
+        """Append tables' rows (or the folder that ``write`` gave for them), delete those with given keys, and put for others what a function makes of their stored rows, all at once.
 
         ``deleted``: for a table, rows of key columns; a key may be stored again in the same
         publication.  ``as_of``: the manifest from which the caller worked, else the one at
@@ -349,7 +372,7 @@ class Store:
         """
         schemas = schemas or {}
         start = self.manifest()[0] if as_of is None else as_of
-        new = {name: self._written(name, df) for name, df in appended.items()}
+        new = {name: df if isinstance(df, str) else self._written(name, df) for name, df in appended.items()}
         filters = {name: self._filter(name, folder, schemas) for name, folder in new.items()}
         rows_of = lambda name, folder: self.spark.read.schema(schemas[name]).parquet(folder)
         views_of = lambda name: self.views.get(name, {}) if name in schemas else {}
@@ -372,6 +395,9 @@ class Store:
                 }
             for name, entry in gone.items():
                 t = of(name)
+                if t["data"] and name in schemas and self._outnumbers(t, entry, schemas[name]):
+                    now[name] = self._rewritten(name, t, entry, schemas)
+                    continue
                 for v in views_of(name) if t["data"] else ():
                     t["views"][v].append(self._counts(name, v, self._lost(t, entry, schemas[name]), -1))
                 t["deletes"].append(entry)

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import CODEC
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -69,7 +71,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written to a new folder and read from there, so that what follows doesn't work it out again."""
-    df.write.parquet(path)
+    df.write.parquet(path, compression=CODEC)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -89,7 +91,7 @@ def published(spark: SparkSession, derive: Callable[[], DataFrame], key: str) ->
 
     def build(path: str) -> tuple[str, object]:
         df = derive()
-        df.write.parquet(path)
+        df.write.parquet(path, compression=CODEC)
         return path, df.schema
 
     path, schema = once(spark, key, build)
