@@ -39,9 +39,11 @@ def entity_counts(triples: DataFrame) -> DataFrame:
     """How often each entity comes in each role, source, type, time and confidence: counts that add up over publications.
 
     A row for each mention, since these columns hardly repeat: grouping would shuffle them all to
-    write little less, and who reads the counts adds them up anyway.
+    write little less, and who reads the counts adds them up anyway.  Each task sorts its own,
+    so that names and sources stand beside their like: files take less, and so does the
+    shuffle that deals them by ``COUNTED_BY``.
     """
-    return _named_entities(triples, "both").withColumn("n", F.lit(1).cast("long"))
+    return _named_entities(triples, "both").withColumn("n", F.lit(1).cast("long")).sortWithinPartitions(*COUNTED_BY)
 
 
 def enumerate_counted(counts: DataFrame, role: str = "both", min_occurrence: int = 1, sort: str = "frequency", limit: int | None = None) -> DataFrame:

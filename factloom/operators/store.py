@@ -398,8 +398,10 @@ class Store:
                 if t["data"] and name in schemas and self._outnumbers(t, entry, schemas[name]):
                     now[name] = self._rewritten(name, t, entry, schemas)
                     continue
-                for v in views_of(name) if t["data"] else ():
-                    t["views"][v].append(self._counts(name, v, self._lost(t, entry, schemas[name]), -1))
+                if t["data"] and views_of(name):  # the rows are met once for all views
+                    lost = rows_of(name, self._written(f"{name}-lost", self._lost(t, entry, schemas[name])))
+                    for v in views_of(name):
+                        t["views"][v].append(self._counts(name, v, lost, -1))
                 t["deletes"].append(entry)
             for name, folder in new.items():
                 t, counted = of(name), counts[name]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.graph import KnowledgeGraph
-from factloom.operators import dedup, store
+from factloom.operators import dedup, entities, store
 from factloom.schema import TRIPLE_KEY, TRIPLES
 
 ROWS = "id string, subject string, predicate string, object string, type string, source string, source_root string, confidence double, extracted_at int"
@@ -94,3 +94,26 @@ def test_rows_left_by_a_large_delete_keep_their_numbers(spark, tmp_path, monkeyp
     s.publish({"t": rows(("late2", 1), ("k5", 2))}, None, schema, keys={"t": ["k"]}, as_of=first)
     assert held() == [("k5", 2), ("late", 7), ("late2", 8)]
     assert [r["k"] for r in s.new_rows("t", rows(("late", 0), ("k0", 3)), schema["t"]).collect()] == ["k0"]
+
+
+def test_counts_are_written_in_order_and_lost_rows_met_once(spark, tmp_path, monkeypatch):
+    """Counts of entities stand sorted in each file; a delete's rows are joined once, however many views count them."""
+    from factloom.graph import VIEWS
+
+    s = store.Store(spark, f"file://{tmp_path}/s", {"triples": TRIPLE_KEY}, VIEWS)
+    rows = [(f"{i}", f"s{i * 37 % 50}", "p", f"o{i}", "ENTITY_ENTITY", f"a{i % 7}", "file", None, None, None) for i in range(300)]
+    triples = spark.createDataFrame(rows, TRIPLES).repartition(3, "id")
+    s.publish({"triples": triples}, None, {"triples": TRIPLES})
+    met, lost = [], s._lost
+    monkeypatch.setattr(s, "_lost", lambda *a: met.append(1) or lost(*a))
+    s.publish({}, None, {"triples": TRIPLES}, deleted={"triples": triples.filter("id < 5").select(*TRIPLE_KEY)})
+    assert len(met) == 1 and len(VIEWS["triples"]) == 2
+    files = [str(p) for f in s.manifest()[1]["triples"]["views"]["entities"] for p in Path(f[5:]).glob("*.parquet")]
+    for f in files:
+        said = [(r["entity"], r["source"]) for r in spark.read.parquet(f).coalesce(1).collect()]
+        assert said == sorted(said)
+    assert len(files) > 3
+    left = s.read("triples", TRIPLES)
+    want = sorted(map(tuple, entities.enumerate_entities(left).collect()))
+    assert sorted(map(tuple, entities.enumerate_counted(s.view("triples", "entities", TRIPLES, by=entities.COUNTED_BY)).collect())) == want
+    assert sorted(map(tuple, s.view("triples", "kinds", TRIPLES).collect())) == sorted(map(tuple, entities.kind_counts(left).collect()))
