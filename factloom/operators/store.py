@@ -239,6 +239,13 @@ class Store:
     def _counts(self, name: str, view: str, rows: DataFrame, sign: int = 1) -> str:
         return self._written(f"{name}-{view}", self.views[name][view](rows).withColumn("n", (F.col("n") * sign).cast("long")))
 
+    def _read_by(self, name: str, view: str, rows: DataFrame) -> list[str]:
+        """The columns of a table that a view reads, as the plan over its files says."""
+        leaves = self.views[name][view](rows)._jdf.queryExecution().sparkPlan().collectLeaves()
+        scans = [leaves.apply(i).output() for i in range(leaves.size())]
+        read = {s.apply(i).name() for s in scans for i in range(s.size())}
+        return [c for c in rows.columns if c in read] or rows.columns[:1]
+
     def _counted(self, name: str, table: dict, schemas: dict[str, str]) -> dict[str, list]:
         """The folders of each view of a table; a view that it doesn't have yet is counted from its rows."""
         if name not in schemas:
@@ -399,7 +406,9 @@ class Store:
                     now[name] = self._rewritten(name, t, entry, schemas)
                     continue
                 if t["data"] and views_of(name):  # the rows are met once for all views
-                    lost = rows_of(name, self._written(f"{name}-lost", self._lost(t, entry, schemas[name])))
+                    counted = sorted({c for v in views_of(name) for c in self._read_by(name, v, rows_of(name, t["data"][0][0]))})
+                    lost = self._lost(t, entry, schemas[name]).select(*counted)
+                    lost = self.spark.read.schema(lost.schema).parquet(self._written(f"{name}-lost", lost))
                     for v in views_of(name):
                         t["views"][v].append(self._counts(name, v, lost, -1))
                 t["deletes"].append(entry)

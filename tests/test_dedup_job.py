@@ -108,6 +108,8 @@ def test_counts_are_written_in_order_and_lost_rows_met_once(spark, tmp_path, mon
     monkeypatch.setattr(s, "_lost", lambda *a: met.append(1) or lost(*a))
     s.publish({}, None, {"triples": TRIPLES}, deleted={"triples": triples.filter("id < 5").select(*TRIPLE_KEY)})
     assert len(met) == 1 and len(VIEWS["triples"]) == 2
+    kept = {c for p in Path(tmp_path, "s/triples-lost").glob("*/*.parquet") for c in spark.read.parquet(str(p)).columns}
+    assert kept == {"subject", "object", "type", "source", "extracted_at", "confidence"}  # ids and dates are not moved
     files = [str(p) for f in s.manifest()[1]["triples"]["views"]["entities"] for p in Path(f[5:]).glob("*.parquet")]
     for f in files:
         said = [(r["entity"], r["source"]) for r in spark.read.parquet(f).coalesce(1).collect()]
